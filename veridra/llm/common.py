@@ -83,3 +83,14 @@ def slices(batch: pa.RecordBatch, rows: int):
     """Pieces of at most `rows` rows, so that what a worker holds stays small."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
+
+
+def set_aside(df: DataFrame, made: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """Rename the columns of `df` that an operator's results would replace; `put_back` undoes it."""
+    names = {c: f"_{c}_before" for c in df.columns if c in made}
+    return df.withColumnsRenamed(names), names
+
+
+def put_back(df: DataFrame, made: tuple[str, ...], names: dict[str, str]) -> DataFrame:
+    """Drop the results and give the renamed columns their names again."""
+    return df.drop(*made).withColumnsRenamed({v: k for k, v in names.items()})

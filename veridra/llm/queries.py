@@ -8,8 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from veridra.llm.bpe import bpe_digest
+from veridra.llm.fingerprint import fingerprints
+from veridra.llm.langid import identify
 from veridra.llm.license_scan import license_scan
+from veridra.llm.mixing import mix
 from veridra.llm.neardup import near_duplicates
+from veridra.llm.pii import pseudonyms
+from veridra.llm.token_counts import token_counts
+from veridra.llm.topk import top_k
+from veridra.llm.url_filter import url_filter
+
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +29,36 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), RANKS, PATTERN)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "n_tokens", "leaf_budget", "copies")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe_digest(_table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,11 +66,8 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_license_scan": op1_license_scan,
-        "op9_byte_bpe": op9_byte_bpe,
-        "op10_near_duplicates": op10_near_duplicates,
-    }
+    found = (op1_license_scan, op2_fingerprints, op3_top_k, op4_token_counts, op5_url_filter, op6_mixing, op7_pii, op8_language_id, op9_byte_bpe, op10_near_duplicates)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
