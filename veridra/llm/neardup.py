@@ -155,12 +155,76 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _alive(feats: DataFrame, members: DataFrame, cfg: NearDupConfig) -> DataFrame:
-    """Members of whose shingles at least `percent` % occur in another member too; no other can have a link."""
+    """(node, n, s) of the members of whose n shingles at least `percent` % occur in another member too; no other can have a
+    link. `s` counts those: no member has more in common with any other."""
     grams = feats.join(members.hint("merge"), "node", "left_semi").select("node", F.explode("grams").alias("g"))
     shared = grams.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g")
     kept = grams.join(shared.hint("merge"), "g", "left_semi").groupBy("node").agg(F.count("*").alias("s"))
     sizes = feats.select("node", F.size("grams").alias("n"))
-    return kept.join(sizes.hint("merge"), "node").filter(100 * F.col("s") >= cfg.percent * F.col("n")).select("node", "n")
+    return kept.join(sizes.hint("merge"), "node").filter(100 * F.col("s") >= cfg.percent * F.col("n")).select("node", "n", "s")
+
+
+def _links(nodes: np.ndarray, roots: np.ndarray, grams: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """(u, v) of the linked pairs of different roots, one of `left` and one of `right`. Common shingles are counted by
+    multiplying 0/1 matrices over those that at least two sets hold, some thousands at a time."""
+    sizes = np.array([len(g) for g in grams])
+    values, spot, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[spot]
+    row = np.repeat(np.arange(len(grams)), sizes)
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    width = 4096
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, (at, at + width))
+        held = np.zeros((len(grams), width), np.float32)
+        held[row[lo:hi], column[lo:hi] - at] = 1
+        both += held[left] @ held[right].T
+    both = both.astype(np.int64)
+    fit = 100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both)
+    for i, j in zip(*np.nonzero(fit & (roots[left][:, None] != roots[right][None, :]))):
+        x, y = int(nodes[left[i]]), int(nodes[right[j]])
+        yield max(x, y), min(x, y)
+
+
+def _compared(rest: DataFrame, feats: DataFrame, cfg: NearDupConfig) -> DataFrame:
+    """Links between members of different components of one bucket: every pair is compared on its full sets.
+
+    A bucket's members are dealt into blocks of bounded size by a hash, and every two blocks of it (or one, if all fit) form a
+    group, so a set is sent once per pair of blocks and not once per pair of texts."""
+    room, most = 1_000_000, 1024
+    sizes = rest.groupBy("h").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    blocks = F.greatest(F.ceil(F.col("m") / most), F.ceil(F.col("total") / room)).cast("int").alias("blocks")
+    dealt = rest.select("h", "node", "root").join(sizes.select("h", blocks).hint("merge"), "h")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", "h"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("node", "h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "root")
+    full = dealt.join(feats.select("node", "grams").hint("merge"), "node")
+    parts = max(1, int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    grouped = full.repartition(parts, "h", "i", "j").sortWithinPartitions("h", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, []
+
+        def found() -> pa.RecordBatch:
+            nodes, own, roots = (np.array([r[k] for r in group], np.int64) for k in range(3))
+            left, right = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
+            links = list(_links(nodes, roots, [r[3] for r in group], left, right, cfg.percent)) if len(left) and len(right) and (roots != roots[0]).any() else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            for node, h, i, j, own, root, grams in zip(*(batch.column(k) for k in range(7))):
+                here = (h.as_py(), i.as_py(), j.as_py())
+                if here != key:
+                    if len(group) > 1:
+                        yield found()
+                    key, group = here, []
+                group.append((node.as_py(), own.as_py(), root.as_py(), grams.values.to_numpy()))
+        if len(group) > 1:
+            yield found()
+
+    return grouped.select("node", "h", "i", "j", "own", "root", "grams").mapInArrow(run, "u long, v long").filter("u > v").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
@@ -172,7 +236,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts with the same words are one class and enter the buckets once. A bucket's members are compared with one of
     them, another in each band; then those of a bucket that are still in different components are compared
-    pairwise, each pair in the first bucket it shares, after members that too few others resemble are set aside by counting.
+    pairwise in blocks, after members that too few others resemble are set aside by counting.
     """
     rows = written(sketch(docs, id_col, text_col, cfg), "sketch")
     nodes = rows.filter("id is not null and n > 0").groupBy("key").agg(F.min("id").alias("node"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
@@ -191,13 +255,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = rest.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
     rest = written(rest.join(open_.hint("merge"), "h", "left_semi"), "open")
     alive = written(_alive(feats, rest.select("node").distinct(), cfg), "alive")
-    side = rest.join(alive.hint("merge"), "node").join(nodes.select("node", "bands").hint("merge"), "node")
-    one, two = side.alias("x"), side.alias("y")
-    first = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True) == F.col("x.band") + 1
-    sizes = (100 * F.least("x.n", "y.n") >= cfg.percent * F.greatest("x.n", "y.n"))
-    more = one.join(two.hint("merge"), (F.col("x.h") == F.col("y.h")) & (F.col("x.root") < F.col("y.root")) & sizes & first)
-    more = more.select(F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v")).distinct()
-    extra = written(confirm(more, feats, cfg), "links")
+    more = _compared(rest.join(alive.hint("merge"), "node"), feats, cfg)
+    extra = written(more, "links")
     if not extra.isEmpty():
         roots = components(edges.union(extra))
 
