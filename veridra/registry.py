@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from veridra.plans import base
+from veridra.plans import q_audit, q_joins, q_metrics, q_models, q_select, q_tables, q_text  # noqa: F401  they register their queries
 
-from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def queries() -> dict[str, Query]:
-    return {}
+def queries() -> dict[str, base.Query]:
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.SQL)
