@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -96,11 +96,9 @@ def manifest_problems(manifest: DataFrame) -> DataFrame:
     """(relative_path, problem): unsafe paths, duplicates, bad sizes and digests."""
     p = F.col("relative_path")
     unsafe = (p == "") | p.startswith("/") | p.contains("\\") | p.rlike(r"(^|/)\.\.?(/|$)") | p.rlike("^[A-Za-z]:")
-    from pyspark.sql import Window
-
-    twice = F.count("*").over(Window.partitionBy("relative_path")) > 1
-    bad = F.array_compact(F.array(F.when(F.coalesce(unsafe, F.lit(True)), F.lit("unsafe path")), F.when(twice, F.lit("duplicate path")), F.when(F.coalesce(F.col("size_bytes") < 0, F.lit(True)), F.lit("bad size")), F.when(~F.coalesce(F.col("sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)), F.lit("bad digest"))))
-    return manifest.select("relative_path", F.explode(bad).alias("problem"))
+    rows = manifest.withColumn("_n", F.count("*").over(Window.partitionBy("relative_path")))
+    bad = F.array_compact(F.array(F.when(F.coalesce(unsafe, F.lit(True)), F.lit("unsafe path")), F.when(F.col("_n") > 1, F.lit("duplicate path")), F.when(F.coalesce(F.col("size_bytes") < 0, F.lit(True)), F.lit("bad size")), F.when(~F.coalesce(F.col("sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)), F.lit("bad digest"))))
+    return rows.select("relative_path", F.explode(bad).alias("problem"))
 
 
 def manifest_diff(expected: DataFrame, current: DataFrame) -> DataFrame:

@@ -1 +1,229 @@
-"""Queries."""
+"""Queries over pages and texts."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from veridra.functions import text as X
+from veridra.operators import joins as J
+from veridra.operators import metrics as M
+from veridra.operators import select as S
+from veridra.plans.base import query
+from veridra.plans.q_models import rounded, stored
+from veridra.sources import adapters as A
+from veridra.sources import files as FS
+
+
+def lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_steps(value: str, steps) -> str:
+    return reduce(lambda v, s: f"regexp_replace({v}, {lit(s[0])}, {lit(s[1])}, 'g')", steps, value)
+
+
+def sql_entities(value: str, table) -> str:
+    return reduce(lambda v, s: f"replace({v}, {lit(s[0])}, {lit(s[1])})", table, value)
+
+
+LINES_SQL = sql_steps(sql_entities(sql_steps("html", X.LINES), X.ENTITIES), X.TIDY)
+FLAT_SQL = f"trim(regexp_replace({sql_entities(sql_entities(sql_steps('html', X.FLAT), X.ENTITIES), X.MATHS)}, '[ \\t\\r\\n]+', ' ', 'g'))"
+FRAGMENT_SQL = "CASE WHEN regexp_matches(html, '(?i)<article[ >]') THEN regexp_extract(html, '(?is)<article[ >].*$', 0) ELSE html END"
+
+
+@query("strip_html_lines", f"SELECT page_id, md5({LINES_SQL}) AS digest, length({LINES_SQL}) AS n FROM pages")
+def _(spark, d):
+    rows = A.pages(spark, d).select("page_id", X.strip_html(F.col("html"), True).alias("t"))
+    return rows.select("page_id", F.md5("t").alias("digest"), F.length("t").alias("n"))
+
+
+@query("strip_html_flat", f"SELECT page_id, md5({FLAT_SQL}) AS digest, length({FLAT_SQL}) AS n FROM pages")
+def _(spark, d):
+    rows = A.pages(spark, d).select("page_id", X.strip_html(F.col("html")).alias("t"))
+    return rows.select("page_id", F.md5("t").alias("digest"), F.length("t").alias("n"))
+
+
+@query("extract_fragment", f"SELECT page_id, md5({FRAGMENT_SQL}) AS digest FROM pages")
+def _(spark, d):
+    return A.pages(spark, d).select("page_id", F.md5(X.fragment(F.col("html"), "article")).alias("digest"))
+
+
+TITLE_SQL = f"trim(regexp_replace({sql_entities(sql_steps('''regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)''', (('<[^>]*>', ''),)), X.ENTITIES)}, '[ \\t\\r\\n]+', ' ', 'g'))"
+
+
+@query("extract_sections", f"SELECT page_id, {TITLE_SQL} AS title FROM pages")
+def _(spark, d):
+    return X.extract_sections(A.pages(spark, d), "page_id", "html", X.ARTICLE).select("page_id", "title")
+
+
+@query("extract_text_fields", f"SELECT page_id, {TITLE_SQL} AS title, true AS has_text FROM pages")
+def _(spark, d):
+    rows = X.combined_text(X.extract_sections(A.pages(spark, d), "page_id", "html", X.ARTICLE), ["title", "body", "items", "text"])
+    return rows.select("page_id", "title", (F.length("combined_text") > F.length("title")).alias("has_text"))
+
+
+@query("drop_section_title", "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN text ELSE 'Inputs ' || text END AS text FROM benchmark")
+def _(spark, d):
+    title = F.when(F.col("item_id") % 2 == 0, "INPUT: ").otherwise("Inputs ")
+    return A.table(spark, d, "benchmark").select("item_id", X.drop_title(F.concat(title, "text"), "Input").alias("text"))
+
+
+@query("sample_counts", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 2 ELSE 1 END AS samples, CASE WHEN page_id % 3 = 0 THEN 0 ELSE 3 END AS blocks FROM pages")
+def _(spark, d):
+    marks = F.when(F.col("page_id") % 3 == 0, '<div class="sample-test"></div><div class="sample-tests">').otherwise('<div class="input"></div><div class="input"></div><div class="output">')
+    samples, blocks = X.sample_counts(F.concat("html", marks))
+    return A.pages(spark, d).select("page_id", samples.alias("samples"), blocks.alias("blocks"))
+
+
+@query("parse_time_limit", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN CAST(round_even(p_retailprice * 1000, 0) AS bigint) WHEN 1 THEN CAST(round_even(p_retailprice, 0) AS bigint) WHEN 2 THEN 60000 * p_size END AS ms FROM part")
+def _(spark, d):
+    kind, price = F.col("p_size") % 4, F.col("p_retailprice").cast("decimal(12,2)").cast("string")
+    text = F.when(kind == 0, F.concat(price, F.lit(" seconds"))).when(kind == 1, F.concat(price, F.lit("ms"))).when(kind == 2, F.concat(F.col("p_size").cast("string"), F.lit(" minutes"))).otherwise("soon")
+    return A.table(spark, d, "part").select("p_partkey", X.parse_quantity(text, X.TIME_UNITS).alias("ms"))
+
+
+@query("parse_memory_limit", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN CAST(ceil(p_partkey / 1024) AS bigint) WHEN 1 THEN p_partkey WHEN 2 THEN 1024 * p_partkey END AS mb FROM part")
+def _(spark, d):
+    unit = F.element_at(F.array(*map(F.lit, (" kilobytes", " MB", " gigabyte", " stones"))), F.col("p_size") % 4 + 1)
+    return A.table(spark, d, "part").select("p_partkey", X.parse_memory(F.concat(F.col("p_partkey").cast("string"), unit)).alias("mb"))
+
+
+FLAGS = {"pages": "the|and", "french": "les|une", "licence": "licen[sc]e"}
+
+
+@query("keyword_flags", "SELECT doc_id, " + ", ".join(f"CAST(len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '{p}'))) > 0 AS int) AS {k}" for k, p in FLAGS.items()) + " FROM documents")
+def _(spark, d):
+    return A.docs(spark, d).select("doc_id", *(v.alias(k) for k, v in X.keyword_flags(F.col("text"), FLAGS).items()))
+
+
+RUNS = "regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}_]+')"
+
+
+@query("text_counters", f"""SELECT doc_id, length(text) AS n_chars, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines, len(regexp_extract_all(text, '\\d+(?:\\.\\d+)?')) AS n_numbers,
+  len(regexp_extract_all(text, '\\d+\\.\\d+')) AS n_floats, len(regexp_extract_all(text, '<=|>=|≤|≥|<|>')) AS n_inequalities, len(regexp_extract_all(text, '[+*/=^%≤≥≠×]')) AS n_maths,
+  len(list_filter({RUNS}, lambda w: regexp_full_match(w, '[A-Z]{{2,}}'))) AS n_uppercase, len(list_filter({RUNS}, lambda w: regexp_full_match(w, '[a-zA-Z]'))) AS n_one_letter, len(regexp_extract_all(text, '[{{}};]|\\(\\)|==|->')) AS n_code FROM documents""")
+def _(spark, d):
+    c = X.text_counters(F.col("text"))
+    return A.docs(spark, d).select("doc_id", *(c[k].alias(k) for k in ("n_chars", "n_lines", "n_numbers", "n_floats", "n_inequalities", "n_maths", "n_uppercase", "n_one_letter", "n_code")))
+
+
+@query("section_lengths", f"SELECT page_id, length({TITLE_SQL}) AS title_length, CAST(length({TITLE_SQL}) > 0 AS int) AS has_title FROM pages")
+def _(spark, d):
+    rows = X.extract_sections(A.pages(spark, d), "page_id", "html", X.ARTICLE)
+    return rows.select("page_id", *(v.alias(k) for k, v in X.section_lengths(["title"]).items()))
+
+
+STATUS_SQL = "CASE WHEN page_id % 5 = 0 THEN 'missing' WHEN page_id % 5 = 1 THEN 'empty' WHEN page_id % 5 = 2 THEN 'pdf' WHEN page_id % 5 = 3 THEN 'failed' ELSE 'parsed' END"
+
+
+def statuses(spark, d):
+    """Pages of which some are missing, empty, of another kind or without text, with status, size, digest and body."""
+    k = F.col("page_id") % 5
+    page = F.when(k == 1, "").when(k == 2, F.concat(F.lit("%PDF-"), "html")).when(k == 3, "<html></html>").when(k == 4, F.col("html"))
+    rows = A.pages(spark, d).withColumn("html", page)
+    kind = FS.classify_content(F.col("html").cast("binary"), F.lit("x.html"))
+    body = X.strip_html(F.col("html"))
+    return rows.select("page_id", "html", X.page_status(F.col("html"), kind, body).alias("status"), F.octet_length("html").alias("size_bytes"), F.sha2(F.col("html"), 256).alias("sha256"), body.alias("body"))
+
+
+@query("parse_status", f"SELECT page_id, {STATUS_SQL} AS status, CASE page_id % 5 WHEN 1 THEN 0 WHEN 2 THEN strlen(html) + 5 WHEN 3 THEN 13 WHEN 4 THEN strlen(html) END AS size_bytes FROM pages")
+def _(spark, d):
+    return statuses(spark, d).select("page_id", "status", "size_bytes")
+
+
+@query("source_manifest", "SELECT page_id, CASE page_id % 5 WHEN 1 THEN sha256('') WHEN 2 THEN sha256('%PDF-' || html) WHEN 3 THEN sha256('<html></html>') WHEN 4 THEN sha256(html) END AS sha256 FROM pages")
+def _(spark, d):
+    return statuses(spark, d).select("page_id", "sha256")
+
+
+@query("empty_feature_defaults", f"SELECT page_id, CASE WHEN page_id % 5 = 4 THEN length({FLAT_SQL}) ELSE 0 END AS n_chars, CASE WHEN page_id % 5 = 4 THEN 7 END AS time_limit FROM pages")
+def _(spark, d):
+    rows = statuses(spark, d).withColumn("n_chars", F.length("body").cast("long")).withColumn("time_limit", F.lit(7))
+    return X.with_defaults(rows, "status", ["n_chars", "time_limit"], ("time_limit",)).select("page_id", "n_chars", "time_limit")
+
+
+def statement_features(rows):
+    """All counters, flags and limits of (page_id, html, status, body) rows, defaults where a page was not parsed."""
+    counters, flags = X.text_counters(F.col("body")), X.keyword_flags(F.col("body"))
+    flags = {f"kw_{k}": v for k, v in flags.items()}
+    samples, blocks = X.sample_counts(F.coalesce("html", F.lit("")))
+    made = counters | flags | {"samples": samples, "blocks": blocks, "time_limit_ms": X.parse_quantity(F.regexp_extract("body", r"(?i)time limit[^0-9]{0,40}([0-9.]+ ?[a-z]+)", 1), X.TIME_UNITS)}
+    return X.with_defaults(rows.select("page_id", "status", *(v.alias(k) for k, v in made.items())), "status", list(made), ("time_limit_ms",))
+
+
+@query("feature_row_assembly", f"SELECT {STATUS_SQL} AS status, count(*) AS n, sum(CASE WHEN page_id % 5 = 4 THEN length({FLAT_SQL}) ELSE 0 END) AS n_chars, sum(CASE WHEN page_id % 5 = 4 THEN len(regexp_extract_all({FLAT_SQL}, '\\d+(?:\\.\\d+)?')) ELSE 0 END) AS n_numbers FROM pages GROUP BY 1")
+def _(spark, d):
+    return statement_features(statuses(spark, d)).groupBy("status").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"), F.sum("n_numbers").alias("n_numbers"))
+
+
+@query("text_record_assembly", f"SELECT o_orderkey AS item, coalesce(page_id % 5 = 4, false) AS available, coalesce(CASE WHEN page_id % 5 = 4 THEN length({FLAT_SQL}) ELSE 0 END, 0) AS n FROM orders LEFT JOIN pages ON o_orderkey = page_id WHERE o_orderkey < 500")
+def _(spark, d):
+    items = A.table(spark, d, "orders").filter("o_orderkey < 500").select(F.col("o_orderkey").alias("item"))
+    texts = statuses(spark, d).select(F.col("page_id").alias("item"), F.when(F.col("status") == "parsed", F.col("body")).alias("text"))
+    return X.fill_text(items.join(texts, "item", "left"), "text", "available").select("item", "available", F.length("text").alias("n"))
+
+
+@query("text_fill", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE length(text) END AS n, doc_id % 3 <> 0 AS text_available FROM documents")
+def _(spark, d):
+    rows = A.docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("text")).alias("text"))
+    return X.fill_text(rows, "text").select("doc_id", F.length("text").alias("n"), "text_available")
+
+
+@query("utc_format", "SELECT group_id, strftime(to_timestamp(start_time) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS utc FROM groups_")
+def _(spark, d):
+    return A.groups(spark, d).select("group_id", X.iso_utc(F.col("start_time")).alias("utc"))
+
+
+CLAMP = "least(greatest(round_even(({x}) / 100, 0) * 100, 800.0::double), 90000.0::double)"
+
+
+@query("value_range", f"SELECT group_id, line_no, {CLAMP.format(x='label')} AS value, {CLAMP.format(x='label - greatest(coalesce(points, 250.0), 50.0)')} AS low, {CLAMP.format(x='label + greatest(coalesce(points, 250.0), 50.0)')} AS high FROM items WHERE label IS NOT NULL")
+def _(spark, d):
+    value, low, high = S.prediction_range(F.col("label"), F.coalesce("points", F.lit(250.0)), high=90_000)
+    return A.items(spark, d).filter("label is not null").select(*A.KEYS, value.alias("value"), low.alias("low"), high.alias("high"))
+
+
+@query("statement_coverage", f"SELECT count(*) FILTER (page_id % 5 <> 0) AS cached, count(*) FILTER (page_id % 5 = 4) AS parsed, round(count(*) FILTER (page_id % 5 = 4) / count(*), 6) AS rate, round(avg(CASE WHEN page_id % 5 = 4 THEN length({FLAT_SQL}) END), 4) AS mean_length, max(CASE WHEN page_id % 5 = 4 THEN length({FLAT_SQL}) END) AS max_length, median(CASE WHEN page_id % 5 = 4 THEN length({FLAT_SQL}) END) AS median_length FROM pages")
+def _(spark, d):
+    n = F.when(F.col("status") == "parsed", F.length("body"))
+    return statuses(spark, d).agg(F.count_if(F.col("status") != "missing").alias("cached"), F.count_if(F.col("status") == "parsed").alias("parsed"), F.round(F.count_if(F.col("status") == "parsed") / F.count("*"), 6).alias("rate"), F.round(F.avg(n), 4).alias("mean_length"), F.max(n).alias("max_length"), F.percentile(n, 0.5).alias("median_length"))
+
+
+WORDS_SQL = f"regexp_extract_all(translate(lower(text), {lit(X._ACCENTED)}, {lit(X._PLAIN)}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
+TFIDF_SQL = f"""WITH w AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+  g AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
+  c AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM documents WHERE doc_id % 10 < 7),
+  v AS (SELECT term, count(*) AS df, sum(tf) AS total FROM c WHERE doc_id % 10 < 7 GROUP BY 1 HAVING count(*) >= 3 AND count(*) <= 0.85::double * (SELECT n FROM n) ORDER BY total DESC, term LIMIT 2000),
+  x AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + n.n) / (1 + df)) + 1) AS w FROM c JOIN v USING (term), n)
+  SELECT doc_id, count(*) AS n_terms, round(max(w) / sqrt(sum(w * w)), 6) AS top_weight, min(term) AS first_term FROM x GROUP BY 1"""
+
+
+def weights(spark, d, max_terms: int = 2000):
+    return X.tfidf(A.docs(spark, d), "doc_id", "text", F.col("doc_id") % 10 < 7, X.TfidfConfig(max_terms=max_terms))
+
+
+@query("tfidf", TFIDF_SQL)
+def _(spark, d):
+    return weights(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.round(F.max("weight"), 6).alias("top_weight"), F.min("term").alias("first_term"))
+
+
+@query("tfidf_ridge")
+def _(spark, d):
+    """Ridge over sparse tf-idf vectors: quality of labelled documents, scored on documents that took no part."""
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+    from pyspark.ml.regression import LinearRegression
+
+    long = stored(weights(spark, d, 500))
+    names = [r.term for r in long.select("term").distinct().orderBy("term").collect()]  # max_terms at most
+    index = F.broadcast(spark.createDataFrame(list(enumerate(names)), "i int, term string"))
+    size = len(names)
+    vector = F.udf(lambda e: SparseVector(size, sorted((x.i, x.weight) for x in e)), VectorUDT())
+    rows = long.join(index, "term").groupBy("doc_id").agg(vector(F.collect_list(F.struct("i", "weight"))).alias("x"))
+    rows = stored(rows.join(A.docs(spark, d).filter("label is not null").select("doc_id", F.col("label").cast("double").alias("label")), "doc_id"))
+    train = rows.filter(F.col("doc_id") % 10 < 7)
+    n, sd = train.agg(F.count("*"), F.stddev("label")).first()
+    model = LinearRegression(featuresCol="x", labelCol="label", predictionCol="predicted", elasticNetParam=0.0, regParam=1.0 * (sd or 1.0) / n, standardization=False, solver="l-bfgs").fit(train)
+    scored = model.transform(rows).withColumn("part", F.when(F.col("doc_id") % 10 < 7, "train").otherwise("test"))
+    return M.regression_metrics(scored, "label", "predicted", ["part"], (0.25, 0.5))
