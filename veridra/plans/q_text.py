@@ -227,3 +227,8 @@ def _(spark, d):
     model = LinearRegression(featuresCol="x", labelCol="label", predictionCol="predicted", elasticNetParam=0.0, regParam=1.0 * (sd or 1.0) / n, standardization=False, solver="l-bfgs").fit(train)
     scored = model.transform(rows).withColumn("part", F.when(F.col("doc_id") % 10 < 7, "train").otherwise("test"))
     return M.regression_metrics(scored, "label", "predicted", ["part"], (0.25, 0.5))
+
+
+@query("round_to_100", "SELECT group_id, line_no, round_even(label / 100, 0) * 100 AS nearest FROM items WHERE label IS NOT NULL")
+def _(spark, d):
+    return A.items(spark, d).filter("label is not null").select(*A.KEYS, (F.bround(F.col("label") / 100) * 100).alias("nearest"))
