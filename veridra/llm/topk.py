@@ -21,7 +21,7 @@ class TopKConfig:
     block: int = 8192
     queries: int = 2048
     scale: float = 256.0
-    depths: tuple[float, ...] = (0.1, 0.5)
+    depths: tuple[float, ...] = (0.5, 0.9)
 
 
 def _shares(block: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
