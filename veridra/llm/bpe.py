@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from veridra.llm.common import slices
+from veridra.llm.common import slices, small_batches
 
 BATCH = 400
 
@@ -32,7 +33,7 @@ def byte_characters() -> dict[int, str]:
 class Codec:
     """One vocabulary: text -> ids, ids -> bytes. Pieces that were met before are remembered, up to `limit` of them."""
 
-    limit = 600_000
+    limit = 200_000
 
     def __init__(self, ranks_path: str, pattern: str):
         with open(ranks_path, "rb") as f:
@@ -79,12 +80,22 @@ class Codec:
         return (np.cumsum(lead) - 1)[starts]
 
 
-@lru_cache(maxsize=4)
-def codec(ranks_path: str, pattern: str) -> Codec:
-    """One codec per worker process."""
+@lru_cache(maxsize=1)
+def _codec(ranks_path: str, pattern: str) -> Codec:
     return Codec(ranks_path, pattern)
 
 
+@contextmanager
+def codec(ranks_path: str, pattern: str) -> Iterator[Codec]:
+    """The worker process's codec; the pieces it remembers go when the task ends, as idle workers keep their memory."""
+    c = _codec(ranks_path, pattern)
+    try:
+        yield c
+    finally:
+        c.seen.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def decode_text(parts: list[bytes]) -> list[str]:
     """Decoded chunks of one document as text; a character cut by a chunk border goes to the chunk that ends it."""
     out, rest = [], b""
@@ -114,17 +125,17 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
     schema = T.StructType([*kept.drop("_t").schema, *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(ranks_path, pattern)
-        for batch in batches:
-            for piece in slices(batch, BATCH):
-                texts = piece.column(piece.num_columns - 1).to_pylist()
-                ids = c.encode(texts)
-                new = [pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32()))]
-                if offsets:
-                    new.append(pa.array([c.offsets(i, t.encode()).astype(np.int32) for i, t in zip(ids, texts)], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *new], names=schema.names)
+        with codec(ranks_path, pattern) as c:
+            for batch in batches:
+                for piece in slices(batch, BATCH):
+                    texts = piece.column(piece.num_columns - 1).to_pylist()
+                    ids = c.encode(texts)
+                    new = [pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32()))]
+                    if offsets:
+                        new.append(pa.array([c.offsets(i, t.encode()).astype(np.int32) for i, t in zip(ids, texts)], pa.list_(pa.int32())))
+                    yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *new], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return small_batches(kept).mapInArrow(run, schema)
 
 
 def bpe_decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
@@ -134,13 +145,13 @@ def bpe_decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids
     at = kept.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(ranks_path, pattern)
-        for batch in batches:
-            for piece in slices(batch, BATCH):
-                out = [c.decode(np.array(ids or [], np.int64)) for ids in piece.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(out, pa.binary())], names=schema.names)
+        with codec(ranks_path, pattern) as c:
+            for batch in batches:
+                for piece in slices(batch, BATCH):
+                    out = [c.decode(np.array(ids or [], np.int64)) for ids in piece.column(at).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(out, pa.binary())], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return small_batches(kept).mapInArrow(run, schema)
 
 
 def bpe_digest(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,21 +159,21 @@ def bpe_digest(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     decoded_sha256, n_bytes). One row per row; null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(ranks_path, pattern)
-        for batch in batches:
-            for piece in slices(batch, BATCH):
-                ids = c.encode([t or "" for t in piece.column(1).to_pylist()])
-                back = [c.decode(i) for i in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        piece.column(0),
-                        pa.array([len(i) for i in ids], pa.int64()),
-                        pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in ids], pa.string()),
-                        pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string()),
-                        pa.array([len(b) for b in back], pa.int64()),
-                    ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"],
-                )
+        with codec(ranks_path, pattern) as c:
+            for batch in batches:
+                for piece in slices(batch, BATCH):
+                    ids = c.encode([t or "" for t in piece.column(1).to_pylist()])
+                    back = [c.decode(i) for i in ids]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            piece.column(0),
+                            pa.array([len(i) for i in ids], pa.int64()),
+                            pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in ids], pa.string()),
+                            pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string()),
+                            pa.array([len(b) for b in back], pa.int64()),
+                        ],
+                        names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"],
+                    )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
+    return small_batches(rows).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")

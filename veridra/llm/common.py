@@ -94,3 +94,12 @@ def set_aside(df: DataFrame, made: tuple[str, ...]) -> tuple[DataFrame, dict[str
 def put_back(df: DataFrame, made: tuple[str, ...], names: dict[str, str]) -> DataFrame:
     """Drop the results and give the renamed columns their names again."""
     return df.drop(*made).withColumnsRenamed({v: k for k, v in names.items()})
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """The frame itself. From here on the session sends Python at most `rows` rows at a time: with whole texts, the default of 10,000
+    would hold a hundred MB of each batch several times over. A smaller setting of the user's stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df

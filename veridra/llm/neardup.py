@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridra.llm.common import U64, WordHash, list_column, mix, shingle_hashes, slices, text_bytes, written
+from veridra.llm.common import U64, WordHash, list_column, mix, shingle_hashes, slices, small_batches, text_bytes, written
 
 
 @dataclass(frozen=True)
@@ -84,7 +84,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, cfg: NearDupConfig) -> D
                     names=["id", "key", "n", "bands"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, key binary, n long, bands array<long>")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, key binary, n long, bands array<long>")
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, cfg: NearDupConfig) -> DataFrame:

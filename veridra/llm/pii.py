@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veridra.llm.common import slices
+from veridra.llm.common import slices, small_batches
 
 ROUNDS = 8
 _FIRST_DAY, _DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
@@ -209,4 +209,4 @@ def pseudonyms(docs: DataFrame, text_col: str = "text", cfg: PiiConfig = PiiConf
                 counts, kinds = pa.array([len(k) for _, k in out], pa.int64()), pa.array([",".join(sorted(set(k))) for _, k in out], pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, counts, kinds], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return small_batches(kept).mapInArrow(run, schema)
