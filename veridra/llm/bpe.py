@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from veridra.llm.common import slices, small_batches
+from veridra.llm.common import release, slices, small_batches
 
 BATCH = 400
 
@@ -33,7 +33,7 @@ def byte_characters() -> dict[int, str]:
 class Codec:
     """One vocabulary: text -> ids, ids -> bytes. Pieces that were met before are remembered, up to `limit` of them."""
 
-    limit = 200_000
+    limit = 100_000
 
     def __init__(self, ranks_path: str, pattern: str):
         with open(ranks_path, "rb") as f:
@@ -93,7 +93,7 @@ def codec(ranks_path: str, pattern: str) -> Iterator[Codec]:
         yield c
     finally:
         c.seen.clear()
-        pa.default_memory_pool().release_unused()
+        release()
 
 
 def decode_text(parts: list[bytes]) -> list[str]:

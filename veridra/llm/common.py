@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -103,3 +104,11 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
         df.sparkSession.conf.set(key, str(rows))
     return df
+
+
+def release() -> None:
+    """Give freed memory back to the system at a task's end; workers stay, and an executor's memory holds several."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veridra.llm.common import slices, small_batches, text_bytes
+from veridra.llm.common import release, slices, small_batches, text_bytes
 
 PAD = 256
 UNKNOWN = "und"
@@ -234,6 +234,7 @@ def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 rows = piece.column(at).to_pylist()
                 found, scores = reader.read(rows) if reader else ([UNKNOWN] * len(rows), [0.0] * len(rows))
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+        release()
 
     return small_batches(kept).mapInArrow(run, schema)
 
