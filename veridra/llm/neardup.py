@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridra.llm.common import U64, WordHash, list_column, mix, shingle_hashes, slices, small_batches, text_bytes, written
+from veridra.llm.common import U64, WordHash, list_column, mix, release, shingle_hashes, slices, small_batches, text_bytes, written
 
 
 @dataclass(frozen=True)
@@ -83,6 +83,8 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, cfg: NearDupConfig) -> D
                     [piece.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), list_column(bands, pa.int64())],
                     names=["id", "key", "n", "bands"],
                 )
+        seen.clear()
+        release()
 
     return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, key binary, n long, bands array<long>")
 
@@ -103,6 +105,8 @@ def features(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, cfg
                         sigs.append(_minima(s, a, b).view(np.int32))
                         sets.append(s.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), list_column(sigs, pa.int32()), list_column(sets, pa.int64())], names=["node", "sig", "grams"])
+        seen.clear()
+        release()
 
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("t"))
     found = wanted.join(texts.hint("merge"), "node").select("node", "key", "t")
@@ -223,6 +227,8 @@ def _compared(rest: DataFrame, feats: DataFrame, cfg: NearDupConfig) -> DataFram
                 group.append((node.as_py(), own.as_py(), root.as_py(), grams.values.to_numpy()))
         if len(group) > 1:
             yield found()
+        group.clear()
+        release()
 
     return grouped.select("node", "h", "i", "j", "own", "root", "grams").mapInArrow(run, "u long, v long").filter("u > v").distinct()
 
