@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridra.llm.bpe import bpe_decode, bpe_encode
+from veridra.llm.bpe import bpe_encode
 from veridra.llm.common import put_back, set_aside, written
 from veridra.llm.langid import UNKNOWN, with_language
 from veridra.llm.mixing import MixConfig, mix
@@ -61,7 +61,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, whole): token ids of each text, and whether they decode to it."""
-    coded = bpe_decode(bpe_encode(docs.select("doc_id", "lang", "source", "text"), RANKS, PATTERN), RANKS, PATTERN)
+    coded = bpe_encode(docs.select("doc_id", "lang", "source", "text"), RANKS, PATTERN, decoded=True)
     whole = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("whole"))
 

@@ -65,6 +65,8 @@ def test_round_trip_nulls_and_clashing_columns(spark):
     back = bpe_decode(bpe_encode(df, RANKS, P.PATTERN, offsets=True), RANKS, P.PATTERN).orderBy("doc_id").collect()
     assert [bytes(r.decoded).decode() for r in back] == [t or "" for _, t in rows]
     assert all(len(r.ids) == len(r.offsets) for r in back)
+    once = bpe_encode(df, RANKS, P.PATTERN, offsets=True, decoded=True).select(*back[0].__fields__).orderBy("doc_id").collect()
+    assert once == back
     assert bpe_digest(df.limit(0), RANKS, P.PATTERN).count() == 0
     none = bpe_digest(df.filter("doc_id = 2"), RANKS, P.PATTERN).first()
     assert none.n_tokens == 0 and none.n_bytes == 0 and none.ids_sha256 == none.decoded_sha256

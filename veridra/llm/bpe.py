@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
@@ -18,7 +19,9 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 
 from veridra.llm.common import release, slices, small_batches
 
-BATCH = 400
+BATCH = 100
+# a task has one core; more threads would only hold more memory
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
 def byte_characters() -> dict[int, str]:
@@ -33,7 +36,7 @@ def byte_characters() -> dict[int, str]:
 class Codec:
     """One vocabulary: text -> ids, ids -> bytes. Pieces that were met before are remembered, up to `limit` of them."""
 
-    limit = 100_000
+    limit = 50_000
 
     def __init__(self, ranks_path: str, pattern: str):
         with open(ranks_path, "rb") as f:
@@ -114,15 +117,17 @@ def decode_text(parts: list[bytes]) -> list[str]:
     return out
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", offsets: bool = False) -> DataFrame:
-    """Add `ids` (array<int>) to every row, and with `offsets` each token's first character (array<int>).
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", offsets: bool = False, decoded: bool = False) -> DataFrame:
+    """Add `ids` (array<int>) to every row, with `offsets` each token's first character (array<int>), and with `decoded` the bytes
+    that the ids decode to (binary), as `bpe_decode` gives them, without a second pass through Python.
 
     Null text counts as empty and has no ids. Every other column stays; a column named like a result is replaced.
     An empty table stays empty.
     """
-    names = ["ids", *(["offsets"] if offsets else [])]
-    kept = docs.drop(*names).withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
-    schema = T.StructType([*kept.drop("_t").schema, *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in names)])
+    numbers = T.ArrayType(T.IntegerType())
+    made = {"ids": numbers} | ({"offsets": numbers} if offsets else {}) | ({"decoded": T.BinaryType()} if decoded else {})
+    kept = docs.drop(*made).withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
+    schema = T.StructType([*kept.drop("_t").schema, *(T.StructField(n, t) for n, t in made.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with codec(ranks_path, pattern) as c:
@@ -133,6 +138,8 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
                     new = [pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32()))]
                     if offsets:
                         new.append(pa.array([c.offsets(i, t.encode()).astype(np.int32) for i, t in zip(ids, texts)], pa.list_(pa.int32())))
+                    if decoded:
+                        new.append(pa.array([c.decode(i) for i in ids], pa.binary()))
                     yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *new], names=schema.names)
 
     return small_batches(kept).mapInArrow(run, schema)
