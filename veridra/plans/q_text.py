@@ -160,7 +160,7 @@ def _(spark, d):
 
 @query("text_record_assembly", f"SELECT o_orderkey AS item, coalesce(page_id % 5 = 4, false) AS available, coalesce(CASE WHEN page_id % 5 = 4 THEN length({FLAT_SQL}) ELSE 0 END, 0) AS n FROM orders LEFT JOIN pages ON o_orderkey = page_id WHERE o_orderkey < 500")
 def _(spark, d):
-    items = A.table(spark, d, "orders").filter("o_orderkey < 500").select(F.col("o_orderkey").alias("item"))
+    items = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("item"))
     texts = statuses(spark, d).select(F.col("page_id").alias("item"), F.when(F.col("status") == "parsed", F.col("body")).alias("text"))
     return X.fill_text(items.join(texts, "item", "left"), "text", "available").select("item", "available", F.length("text").alias("n"))
 
