@@ -30,3 +30,17 @@ def test_every_order_gets_its_text(spark, duck):
     got = rows(registry.queries()["text_record_assembly"](spark, D), ["item", "available", "n"])
     assert len(got) == duck.sql("select count(*) from orders").fetchall()[0][0] > 500
     assert got == sorted(want)
+
+
+def test_tfidf_has_the_whole_vocabulary(spark, duck, monkeypatch):
+    from veridra.plans import q_text
+
+    want = duck.sql(f"select doc_id, n_terms, first_term, top_weight from ({whole('tfidf', 'LIMIT 2000)', 'LIMIT 20000)')})").fetchall()
+    got = rows(registry.queries()["tfidf"](spark, D), ["doc_id", "n_terms", "first_term", "top_weight"])
+    assert [r[:3] for r in got] == sorted(r[:3] for r in want)
+    assert [r[3] for r in got] == pytest.approx([r[3] for r in sorted(want)], abs=2e-6)
+    assert q_text.weights(spark, D).select("term").distinct().count() > 2000
+    seen, tfidf = [], q_text.X.tfidf
+    monkeypatch.setattr(q_text.X, "tfidf", lambda *a, **k: seen.append(tfidf(*a, **k).select("term").distinct().count()) or tfidf(*a, **k))
+    assert registry.queries()["tfidf_ridge"](spark, D).count() == 2
+    assert seen[0] > 2000

@@ -231,8 +231,10 @@ def ngrams(col: Column) -> Column:
 
 def tfidf(df: DataFrame, key: str, col: str, train: Column, cfg: TfidfConfig = TfidfConfig()) -> DataFrame:
     """(key, term, weight) in long form: (1 + ln tf) * idf, unit length per document. Terms, their document frequencies and the vocabulary (by total
-    count, then term) come from the train rows only; idf = ln((1 + n) / (1 + df)) + 1."""
-    counts = df.select(key, train.alias("_train"), F.explode(ngrams(F.col(col))).alias("term")).groupBy(key, "_train", "term").agg(F.count("*").alias("tf"))
+    count, then term) come from the train rows only; idf = ln((1 + n) / (1 + df)) + 1. Whole texts are dealt by key, so that their many
+    terms are counted where they lie."""
+    texts = df.select(key, train.alias("_train"), F.col(col).alias("_text")).repartition(F.col(key))
+    counts = texts.select(key, "_train", F.explode(ngrams(F.col("_text"))).alias("term")).groupBy(key, "_train", "term").agg(F.count("*").alias("tf"))
     n = df.filter(train).count()
     terms = counts.filter("_train").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     terms = terms.filter((F.col("df") >= cfg.min_df) & (F.col("df") <= cfg.max_share * n)).orderBy(F.desc("total"), "term").limit(cfg.max_terms)

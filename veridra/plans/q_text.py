@@ -200,8 +200,8 @@ TFIDF_SQL = f"""WITH w AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
   SELECT doc_id, count(*) AS n_terms, round(max(w) / sqrt(sum(w * w)), 6) AS top_weight, min(term) AS first_term FROM x GROUP BY 1"""
 
 
-def weights(spark, d, max_terms: int = 2000):
-    return X.tfidf(A.docs(spark, d), "doc_id", "text", F.col("doc_id") % 10 < 7, X.TfidfConfig(max_terms=max_terms))
+def weights(spark, d):
+    return X.tfidf(A.docs(spark, d), "doc_id", "text", F.col("doc_id") % 10 < 7)
 
 
 @query("tfidf", TFIDF_SQL)
@@ -215,7 +215,7 @@ def _(spark, d):
     from pyspark.ml.linalg import SparseVector, VectorUDT
     from pyspark.ml.regression import LinearRegression
 
-    long = stored(weights(spark, d, 500))
+    long = stored(weights(spark, d))
     names = [r.term for r in long.select("term").distinct().orderBy("term").collect()]  # max_terms at most
     index = F.broadcast(spark.createDataFrame(list(enumerate(names)), "i int, term string"))
     size = len(names)
