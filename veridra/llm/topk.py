@@ -93,20 +93,65 @@ def nra_block(ids: np.ndarray, block: np.ndarray, query_ids: np.ndarray, queries
     return out
 
 
+def _exact(ids: np.ndarray, block: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """As `nra_block`, for components of any finite size. The sum of 64-bit products is right modulo 2**64, so it is the score wherever the
+    score fits a long; a sum of doubles with its error bound tells that, and Python integers where it cannot. Other pairs are left out."""
+    def wrapped(x: np.ndarray) -> np.ndarray:
+        r = np.fmod(x, 2.0**64)
+        return np.where(r >= 2.0**63, r - 2.0**64, np.where(r < -(2.0**63), r + 2.0**64, r)).astype(np.int64)
+
+    out: list[tuple[int, int, int]] = []
+    block, queries = block.astype(np.float64), queries.astype(np.float64)
+    short_block, short_queries = wrapped(block), wrapped(queries)
+    for a in range(0, len(queries), 256):
+        part = queries[a : a + 256]
+        scores = short_queries[a : a + 256] @ short_block.T
+        with np.errstate(over="ignore", invalid="ignore"):
+            near = np.abs(part @ block.T)
+            slack = (np.abs(part) @ np.abs(block).T) * (block.shape[1] + 2) * 2.0**-51
+            fits, unsure = near + slack < 2.0**63, ~(near - slack > 2.0**63)
+        for j, i in zip(*np.nonzero(unsure & ~fits)):
+            score = sum(int(x) * int(y) for x, y in zip(part[j], block[i]))
+            fits[j, i] = -(2**63) <= score < 2**63
+        for j, q in enumerate(query_ids[a : a + 256]):
+            rows = np.flatnonzero(fits[j] & (ids != q))
+            # ~ turns the order of longs around without overflow
+            for i in rows[np.lexsort((ids[rows], ~scores[j, rows]))[:k]]:
+                out.append((int(q), int(ids[i]), int(scores[j, i])))
+    return out
+
+
+def best_pairs(ids: np.ndarray, block: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, cfg: TopKConfig) -> list[tuple[int, int, int]]:
+    """(query, candidate, score) that hold the k best candidates of every query: bounds where all components are below LIMIT, exact
+    64-bit sums for pairs with a larger one. A query may have k pairs from each."""
+    big = lambda m: np.abs(m).max(axis=1, initial=0) >= LIMIT
+    wide, asked_wide = big(block), big(queries)
+    found: list[tuple[int, int, int]] = []
+    if not wide.all() and not asked_wide.all():
+        found = nra_block(ids[~wide], block[~wide], query_ids[~asked_wide], queries[~asked_wide], cfg)
+    if wide.any() and not asked_wide.all():
+        found += _exact(ids[wide], block[wide], query_ids[~asked_wide], queries[~asked_wide], cfg.k)
+    if asked_wide.any():
+        found += _exact(ids, block, query_ids[asked_wide], queries[asked_wide], cfg.k)
+    return found
+
+
 def quantised(vec: Column, scale: float) -> Column:
-    """floor(scale * x) of every component as long; null for vectors that are null or empty, hold a null or non-finite
-    component, or one beyond 2**24 after scaling (their scores would not be exact)."""
-    doubles = F.transform(vec, lambda x: F.floor(x.cast("double") * scale))
-    fit = F.forall(vec, lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * scale < LIMIT), F.lit(False)))
-    return F.when((F.size(vec) > 0) & fit, doubles)
+    """floor(scale * x) of every component as double; null for vectors that are null or hold a null or non-finite component. A component
+    whose product with the scale is beyond all doubles is an error."""
+    scaled = lambda x: x.cast("double") * scale
+    whole = lambda y: F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).when(F.abs(y) < float("inf"), y).otherwise(F.raise_error(F.lit("component too large to scale")).cast("double"))
+    finite = F.forall(vec, lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
+    return F.when(finite, F.transform(vec, lambda x: whole(scaled(x))))
 
 
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", is_query: Column | None = None, cfg: TopKConfig = TopKConfig()) -> DataFrame:
     """The k highest integer inner products of every query with all other rows: (query_id, rank, vec_id, score).
 
     Queries are the rows where `is_query` holds (default: id divisible by 50). Ties go to the smaller id; fewer candidates
-    than k are all returned. Rows with a null id or an unusable vector take no part; of rows with one id the smallest
-    vector stands; only vectors of equal length meet. An empty table gives an empty result.
+    than k are all returned. Rows with a null id, or a vector that is null or holds a null or non-finite component, take no part; of
+    rows with one id the smallest vector stands; only vectors of equal length meet, empty ones too. A pair whose score does not fit
+    a long has no row, as the score column cannot hold it. An empty table gives an empty result.
 
     Candidates and queries are dealt into blocks by a hash, and every pair of blocks is one group of bounded size;
     k rows per query and block go on to the merge.
@@ -123,9 +168,9 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple[int, int, int]] = []
         if left.num_rows and right.num_rows:
-            matrix = lambda t: np.asarray(t["x"].combine_chunks().flatten()).reshape(t.num_rows, -1)
+            matrix = lambda t: np.asarray(t["x"].combine_chunks().flatten()).reshape(t.num_rows, t["dim"][0].as_py())
             left = left.sort_by("id")
-            found = nra_block(left["id"].to_numpy(), matrix(left), right["id"].to_numpy(), matrix(right), cfg)
+            found = best_pairs(left["id"].to_numpy(), matrix(left), right["id"].to_numpy(), matrix(right), cfg)
         columns = list(zip(*found)) or [[], [], []]
         return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("query_id", "vec_id", "score"), columns)})
 
