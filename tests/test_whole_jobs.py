@@ -44,3 +44,12 @@ def test_tfidf_has_the_whole_vocabulary(spark, duck, monkeypatch):
     monkeypatch.setattr(q_text.X, "tfidf", lambda *a, **k: seen.append(tfidf(*a, **k).select("term").distinct().count()) or tfidf(*a, **k))
     assert registry.queries()["tfidf_ridge"](spark, D).count() == 2
     assert seen[0] > 2000
+
+
+def test_bootstrap_draws_whole_groups_ten_thousand_times(spark, duck):
+    sql = whole("paired_cluster_bootstrap", "group_id % 50", "group_id").replace("range(200)", "range(10000)")
+    names = ["estimate", "low", "high", "clusters", "reps"]
+    (want,) = duck.sql(f"select {', '.join(names)} from ({sql})").fetchall()
+    (got,) = rows(registry.queries()["paired_cluster_bootstrap"](spark, D), names)
+    assert got[3] > 50 and got[4] == 10_000
+    assert got == pytest.approx(want, abs=2e-4)

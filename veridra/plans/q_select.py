@@ -130,8 +130,8 @@ def _(spark, d):
   v AS (SELECT rep, (sum(b) - sum(a)) / sum(n) AS v FROM draws JOIN c USING (i) GROUP BY 1)
   SELECT round((SELECT (sum(b) - sum(a)) / sum(n) FROM c), 4) AS estimate, round(quantile_cont(v, 0.025), 4) AS low, round(quantile_cont(v, 0.975), 4) AS high, (SELECT count(*) FROM c) AS clusters, count(*) AS reps FROM v""")
 def _(spark, d):
-    rows = stored(refit(spark, d).withColumn("absolute_error", F.abs(F.col("predicted") - F.col("actual"))).withColumn("cluster", F.col("group_id") % 50))
-    return rounded(S.cluster_bootstrap(rows, A.KEYS, "cluster", "setting", "absolute_error", ("rank", "popularity"), 200, 42), {"estimate": 4, "low": 4, "high": 4})
+    rows = stored(refit(spark, d).withColumn("absolute_error", F.abs(F.col("predicted") - F.col("actual"))))
+    return rounded(S.cluster_bootstrap(rows, A.KEYS, "group_id", "setting", "absolute_error", ("rank", "popularity"), 10_000, 42), {"estimate": 4, "low": 4, "high": 4})
 
 
 @query("stable_sort", "SELECT group_id, line_no, label FROM items")
