@@ -53,3 +53,20 @@ def test_bootstrap_draws_whole_groups_ten_thousand_times(spark, duck):
     (got,) = rows(registry.queries()["paired_cluster_bootstrap"](spark, D), names)
     assert got[3] > 50 and got[4] == 10_000
     assert got == pytest.approx(want, abs=2e-4)
+
+
+@pytest.mark.parametrize(("name", "size"), [("random_forest", (100, 8)), ("gradient_boosting", (160, 4)), ("evaluate_grid", (100, 8)), ("evaluate_grid_metrics", (100, 8))])
+def test_models_have_their_full_size(spark, monkeypatch, name, size):
+    from veridra.plans import q_models
+
+    class Seen(Exception):
+        pass
+
+    def capture(df, specs, *rest):
+        raise Seen([s.estimator("x", "label") for s in specs])
+
+    monkeypatch.setattr(q_models.R, "evaluate_grid", capture)
+    with pytest.raises(Seen) as seen:
+        registry.queries()[name](spark, D)
+    for e in seen.value.args[0]:
+        assert (e.getMaxIter() if name == "gradient_boosting" else e.getNumTrees(), e.getMaxDepth()) == size

@@ -167,20 +167,30 @@ def _tree(spark, d, name, estimator):
 
 @query("random_forest")
 def _(spark, d):
-    return _tree(spark, d, "random_forest", R.random_forest(trees=20, depth=6))
+    return _tree(spark, d, "random_forest", R.random_forest())
 
 
 @query("gradient_boosting")
 def _(spark, d):
-    return _tree(spark, d, "gradient_boosting", R.gradient_boosting(iterations=5))
+    return _tree(spark, d, "gradient_boosting", R.gradient_boosting())
 
 
-@query("evaluate_grid", "SELECT m AS model_name, split_name, count(*) AS n FROM time_split, (VALUES ('index_only'), ('all')) v(m) GROUP BY 1, 2")
-def _(spark, d):
+def grid_metrics(spark, d) -> DataFrame:
+    """Scores of forests over two feature sets."""
     rows = forward_split(spark, d)
-    specs = [R.ModelSpec("index_only", ("index_rank", "index_letter"), R.random_forest(5, 4)), R.ModelSpec("all", ("index_rank", "index_letter", "popularity", "points"), R.random_forest(5, 4))]
+    specs = [R.ModelSpec("index_only", ("index_rank", "index_letter"), R.random_forest()), R.ModelSpec("all", ("index_rank", "index_letter", "popularity", "points"), R.random_forest())]
     long = R.evaluate_grid(rows, specs, "label", A.KEYS)
-    return M.regression_metrics(long, "actual", "predicted", ["model_name", "split_name"], BANDS).select("model_name", "split_name", "n")
+    return M.regression_metrics(long, "actual", "predicted", ["model_name", "split_name"], BANDS)
+
+
+@query("evaluate_grid", "SELECT m AS model_name, split_name, count(*) AS n FROM time_split, (VALUES ('index_only'), ('all')) v(m) GROUP BY 1, 2")
+def _(spark, d):
+    return grid_metrics(spark, d).select("model_name", "split_name", "n")
+
+
+@query("evaluate_grid_metrics")
+def _(spark, d):
+    return grid_metrics(spark, d)
 
 
 TRY_SETS = {"rank": ["index_rank"], "popularity": ["popularity"]}
