@@ -70,3 +70,9 @@ def test_models_have_their_full_size(spark, monkeypatch, name, size):
         registry.queries()[name](spark, D)
     for e in seen.value.args[0]:
         assert (e.getMaxIter() if name == "gradient_boosting" else e.getNumTrees(), e.getMaxDepth()) == size
+
+
+@pytest.mark.parametrize(("name", "cut", "order"), [("tag_one_hot", " ORDER BY df DESC, term LIMIT 5", ["column", "ones"]), ("one_hot_inverse", " ORDER BY df DESC, term LIMIT 5", ["group_id", "line_no", "tags"]), ("page_work_list", " LIMIT 12", ["item_code", "line_no"])])
+def test_all_tags_and_keys_come_back(spark, duck, name, cut, order):
+    want = duck.sql(f"""select {', '.join(f'"{c}"' for c in order)} from ({whole(name, cut, '')})""").fetchall()
+    assert rows(registry.queries()[name](spark, D), order) == sorted(want)

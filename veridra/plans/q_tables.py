@@ -78,7 +78,7 @@ def _(spark, d):
 
 @query("page_work_list", "SELECT DISTINCT item_code, line_no FROM items ORDER BY try_cast(item_code AS double) NULLS LAST, item_code, line_no LIMIT 12")
 def _(spark, d):
-    return S.work_list(A.items(spark, d), ["item_code", "line_no"], 12)
+    return S.work_list(A.items(spark, d), ["item_code", "line_no"])
 
 
 SINK_SQL = "SELECT group_id, line_no, item_code, array_to_string(tags, '|') AS tags FROM items"
@@ -198,9 +198,8 @@ def _(spark, d):
 
 
 def _vocab(spark, d):
-    """The ten most frequent terms, as a driver-side map; a vocabulary is bounded by its size."""
-    top = N.vocabulary(A.items(spark, d), "tags", 1).orderBy(F.desc("df"), "term").limit(5)
-    return {r.term: r.column for r in N.safe_names(top).orderBy("term").collect()}
+    """Every term that occurs, as a driver-side map of columns."""
+    return {r.term: r.column for r in N.safe_names(N.vocabulary(A.items(spark, d), "tags", 1)).orderBy("term").collect()}
 
 
 @query("tag_one_hot", f"WITH top AS (SELECT term, row_number() OVER (ORDER BY term) AS i FROM (SELECT * FROM {TERMS} ORDER BY df DESC, term LIMIT 5)) SELECT 'tag__' || term AS \"column\", count(*) AS ones FROM items, top WHERE list_contains(tags, term) GROUP BY 1")
