@@ -1,4 +1,5 @@
 import base64
+import hashlib
 import random
 
 import numpy as np
@@ -38,6 +39,12 @@ def test_ids_equal_tiktoken_for_random_token_strings(codec, reference):
     assert [codec.decode(i).decode() for i in ids] == texts
 
 
+def test_control_characters_and_odd_blanks_equal_tiktoken(codec, reference):
+    odd = [chr(c) for c in [*range(0x21), 0x7F, 0x85, 0xA0, 0x1680, 0x180E, 0x2000, 0x200B, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]]
+    texts = [f"a{x}{y}b {x}1{y}{y} c" for x in odd for y in odd]
+    assert [x.tolist() for x in codec.encode(texts)] == reference.encode_ordinary_batch(texts)
+
+
 def test_piece_memory_is_bounded(codec, reference):
     small = Codec(RANKS, P.PATTERN)
     small.limit = 3
@@ -61,10 +68,10 @@ def test_offsets_and_split_characters(codec):
 
 def test_round_trip_nulls_and_clashing_columns(spark):
     rows = [(1, "héllo  wörld"), (2, None), (3, ""), (3, ""), (4, "x" * 50_000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as ids", "2 as decoded")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as ids", "2 as decoded", "'mine' as _t", "'too' as _TEXT")
     back = bpe_decode(bpe_encode(df, RANKS, P.PATTERN, offsets=True), RANKS, P.PATTERN).orderBy("doc_id").collect()
     assert [bytes(r.decoded).decode() for r in back] == [t or "" for _, t in rows]
-    assert all(len(r.ids) == len(r.offsets) for r in back)
+    assert all(len(r.ids) == len(r.offsets) and (r._t, r._TEXT) == ("mine", "too") for r in back)
     once = bpe_encode(df, RANKS, P.PATTERN, offsets=True, decoded=True).select(*back[0].__fields__).orderBy("doc_id").collect()
     assert once == back
     assert bpe_digest(df.limit(0), RANKS, P.PATTERN).count() == 0
@@ -72,12 +79,17 @@ def test_round_trip_nulls_and_clashing_columns(spark):
     assert none.n_tokens == 0 and none.n_bytes == 0 and none.ids_sha256 == none.decoded_sha256
 
 
-def test_whole_table_round_trip(spark):
+def test_whole_table_equals_tiktoken(spark, reference):
     from veridra.llm.queries import op9_byte_bpe
 
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "sha2(cast(text as binary), 256) as want")
-    got = op9_byte_bpe(spark, "/root/testdata/sf0.001").join(docs, "doc_id")
-    assert got.count() == docs.count() and got.filter("decoded_sha256 <> want").count() == 0
+    d = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
+    rows = op9_byte_bpe(spark, d).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        ids = reference.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
 def test_empty_ids():

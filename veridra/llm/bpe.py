@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from veridra.llm.common import release, slices, small_batches
+from veridra.llm.common import fresh, list_column, release, slices
 
-BATCH = 100
+#: bytes of text that are worked on at a time
+SIZE = 2_000_000
 # a task has one core; more threads would only hold more memory
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -34,9 +35,10 @@ def byte_characters() -> dict[int, str]:
 
 
 class Codec:
-    """One vocabulary: text -> ids, ids -> bytes. Pieces that were met before are remembered, up to `limit` of them."""
+    """One vocabulary: text -> ids, ids -> bytes. The codes of pieces are remembered in two generations: once the young one has more than
+    `limit` pieces it becomes the old one and the old one goes. A piece that is met again is young again, so frequent ones stay."""
 
-    limit = 50_000
+    limit = 60_000
 
     def __init__(self, ranks_path: str, pattern: str):
         with open(ranks_path, "rb") as f:
@@ -57,20 +59,31 @@ class Codec:
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = bytes(map(back.__getitem__, shown[token]))
-        self.seen: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text, without special tokens."""
         cut = [self.pieces.findall(t) for t in texts]
-        seen = self.seen
-        new = list({p for pieces in cut for p in pieces if p not in seen})
-        if new:
-            if len(seen) + len(new) > self.limit:
-                seen.clear()
-                new = list({p for pieces in cut for p in pieces})
-            for piece, code in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False)):
-                seen[piece] = np.array(code.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(seen.__getitem__, pieces)), "<u4") for pieces in cut]
+        young, old, new = self.young, self.old, []
+        for piece in set().union(*cut):
+            if piece not in young:
+                code = old.get(piece)
+                if code is None:
+                    new.append(piece)
+                else:
+                    young[piece] = code
+        for at in range(0, len(new), 5000):
+            some = new[at : at + 5000]
+            for piece, code in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False)):
+                young[piece] = np.array(code.ids, "<u4").tobytes()
+        ids = [np.frombuffer(b"".join(map(young.__getitem__, pieces)), "<u4") for pieces in cut]
+        if len(young) > self.limit:
+            self.young, self.old = {}, young
+        return ids
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes the ids stand for; a character that spans several tokens is whole again here."""
@@ -95,7 +108,7 @@ def codec(ranks_path: str, pattern: str) -> Iterator[Codec]:
     try:
         yield c
     finally:
-        c.seen.clear()
+        c.forget()
         release()
 
 
@@ -121,28 +134,29 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
     """Add `ids` (array<int>) to every row, with `offsets` each token's first character (array<int>), and with `decoded` the bytes
     that the ids decode to (binary), as `bpe_decode` gives them, without a second pass through Python.
 
-    Null text counts as empty and has no ids. Every other column stays; a column named like a result is replaced.
-    An empty table stays empty.
+    Null text counts as empty and has no ids. Every other column stays; a column named like a result is replaced, unless it is the text:
+    that is read first. Repeated rows get equal results, an empty table stays empty.
     """
     numbers = T.ArrayType(T.IntegerType())
     made = {"ids": numbers} | ({"offsets": numbers} if offsets else {}) | ({"decoded": T.BinaryType()} if decoded else {})
-    kept = docs.drop(*made).withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
-    schema = T.StructType([*kept.drop("_t").schema, *(T.StructField(n, t) for n, t in made.items())])
+    own = fresh("text", docs.columns)
+    kept = docs.withColumn(own, F.coalesce(F.col(text_col), F.lit(""))).drop(*made)
+    schema = T.StructType([*kept.drop(own).schema, *(T.StructField(n, t) for n, t in made.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with codec(ranks_path, pattern) as c:
             for batch in batches:
-                for piece in slices(batch, BATCH):
+                for piece in slices(batch, 5000, batch.num_columns - 1, SIZE):
                     texts = piece.column(piece.num_columns - 1).to_pylist()
                     ids = c.encode(texts)
-                    new = [pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32()))]
+                    new = [list_column(ids, pa.int32())]
                     if offsets:
-                        new.append(pa.array([c.offsets(i, t.encode()).astype(np.int32) for i, t in zip(ids, texts)], pa.list_(pa.int32())))
+                        new.append(list_column([c.offsets(i, t.encode()) for i, t in zip(ids, texts)], pa.int32()))
                     if decoded:
                         new.append(pa.array([c.decode(i) for i in ids], pa.binary()))
                     yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *new], names=schema.names)
 
-    return small_batches(kept).mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema)
 
 
 def bpe_decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
@@ -154,21 +168,22 @@ def bpe_decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with codec(ranks_path, pattern) as c:
             for batch in batches:
-                for piece in slices(batch, BATCH):
+                for piece in slices(batch, 1000):
                     out = [c.decode(np.array(ids or [], np.int64)) for ids in piece.column(at).to_pylist()]
                     yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(out, pa.binary())], names=schema.names)
 
-    return small_batches(kept).mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema)
 
 
 def bpe_digest(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text, decode the ids again, and report digests of both: (doc_id, n_tokens, ids_sha256,
-    decoded_sha256, n_bytes). One row per row; null text is empty."""
+    decoded_sha256, n_bytes). One row per row; null text is empty and has no ids. Repeated rows get equal rows, an empty table none; other
+    columns are not looked at, whatever their names. Very long texts are worked on whole, one at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with codec(ranks_path, pattern) as c:
             for batch in batches:
-                for piece in slices(batch, BATCH):
+                for piece in slices(batch, 5000, 1, SIZE):
                     ids = c.encode([t or "" for t in piece.column(1).to_pylist()])
                     back = [c.decode(i) for i in ids]
                     yield pa.RecordBatch.from_arrays(
@@ -183,4 +198,4 @@ def bpe_digest(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                     )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    return small_batches(rows).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")

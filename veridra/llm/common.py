@@ -5,9 +5,11 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,13 +18,15 @@ _P1, _P2, _P3 = U64(0x9E3779B97F4A7C15), U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder that `spark.checkpoint.dir` names; a temporary one only where it is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="veridra-checkpoint-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return named or current
+    """The shared folder that `spark.checkpoint.dir` names, else the context's checkpoint folder. Where neither is set a local session
+    (as in tests) gets a temporary one; on a cluster that is an error, as executors could not read it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veridra-checkpoint-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -76,19 +80,30 @@ def list_column(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     """One Arrow list per array."""
     offsets = np.zeros(len(parts) + 1, np.int32)
     np.cumsum([len(p) for p in parts], out=offsets[1:])
-    values = np.concatenate(parts) if parts else np.empty(0)
+    values = np.concatenate(parts) if parts else np.empty(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values).cast(kind))
 
 
-def slices(batch: pa.RecordBatch, rows: int):
-    """Pieces of at most `rows` rows, so that what a worker holds stays small."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def slices(batch: pa.RecordBatch, rows: int, text: int | None = None, size: int = 4_000_000):
+    """Pieces of at most `rows` rows and, by the column numbered `text`, of little more than `size` bytes (one row at least), so that
+    what a worker holds stays small."""
+    if text is None:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        return
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(upto[at - 1]) if at else 0
+        n = min(rows, max(1, int(np.searchsorted(upto, before + size, "right")) - at))
+        yield batch.slice(at, n)
+        at += n
 
 
 def set_aside(df: DataFrame, made: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
     """Rename the columns of `df` that an operator's results would replace; `put_back` undoes it."""
-    names = {c: f"_{c}_before" for c in df.columns if c in made}
+    lower = {m.lower() for m in made}
+    names = {c: fresh(f"{c}_before", [*df.columns, *made]) for c in df.columns if c.lower() in lower}
     return df.withColumnsRenamed(names), names
 
 
@@ -97,12 +112,17 @@ def put_back(df: DataFrame, made: tuple[str, ...], names: dict[str, str]) -> Dat
     return df.drop(*made).withColumnsRenamed({v: k for k, v in names.items()})
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """`name` with as many underscores in front as it takes to clash with none of the `taken` names."""
+    names = {t.lower() for t in taken}
+    while name.lower() in names:
+        name = f"_{name}"
+    return name
+
+
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """The frame itself. From here on the session sends Python at most `rows` rows at a time: with whole texts, the default of 10,000
-    would hold a hundred MB of each batch several times over. A smaller setting of the user's stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
-        df.sparkSession.conf.set(key, str(rows))
+    """The frame itself; from here on the session sends Python at most `rows` rows at a time."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df
 
 
