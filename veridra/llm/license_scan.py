@@ -31,6 +31,10 @@ TEMPLATES = (
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
 )
 
 #: ASCII letters in lower case, digits and all bytes of other characters stay; the rest parts words.
@@ -72,6 +76,7 @@ class Automaton:
         for v in sorted(range(1, len(self.len)), key=lambda v: -self.len[v]):
             self.ends[self.link[v]] |= self.ends[v]
         self.ends[0] = set()
+        self.places: dict[int, list[tuple[int, int, int]]] = {}
         self.phrases: list[list[tuple[int, int]]] = [[] for _ in self.len]
         first = len(cfg.templates)
         for v in sorted(range(1, len(self.len)), key=self.len.__getitem__):
@@ -106,54 +111,68 @@ class Automaton:
         self.link[q] = new
         return new
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
-        """Places (start, phrase) of the phrases, and the maximal matches (last word, length, state)."""
-        codes, moves, link, length_of, phrases = self.codes, self.next, self.link, self.len, self.phrases
+    def credits(self, state: int) -> list[tuple[int, int, int]]:
+        """(template, place in it, longest match) of all template places at which a string of this state or of its suffix links ends."""
+        known = self.places.get(state)
+        if known is None:
+            up = self.link[state]
+            above = self.credits(up) if up > 0 and self.len[up] >= self.cfg.min_match else []
+            own = {(s, at) for s, at in self.ends[state] if s < len(self.cfg.templates)}
+            known = self.places[state] = [(s, at, self.len[state]) for s, at in sorted(own)] + [x for x in above if x[:2] not in own]
+        return known
+
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
+        """Places (start, phrase) of the phrases, and every maximal match (last word, template, its last place there, length) of at least
+        `min_match` words, in the order of their ends."""
+        codes, moves, link, length_of, phrases, least = self.codes, self.next, self.link, self.len, self.phrases, self.cfg.min_match
         places, matches = [], []
+        # running matches by (template, place there less place here)
+        running: dict[tuple[int, int], int] = {}
         state = length = 0
         for i, w in enumerate(words):
             c = codes.get(w)
-            before, ended = (state, length), False
             if c is None:
                 state = length = 0
-                ended = True
             else:
                 while state and c not in moves[state]:
                     state = link[state]
                     length = length_of[state]
-                    ended = True
                 if c in moves[state]:
                     state = moves[state][c]
                     length += 1
                 for p, k in phrases[state]:
                     if k <= length:
                         places.append((i - k + 1, p))
-            if ended and before[1] >= self.cfg.min_match:
-                matches.append((i - 1, before[1], before[0]))
-        if length >= self.cfg.min_match:
-            matches.append((len(words) - 1, length, state))
+            now = {(s, at - i): min(length, most) for s, at, most in self.credits(state)} if length >= least else {}
+            if running:
+                matches += sorted((i - 1, s, d + i - 1, n) for (s, d), n in running.items() if (s, d) not in now)
+            running = now
+        matches += sorted((len(words) - 1, s, d + len(words) - 1, n) for (s, d), n in running.items())
         return places, matches
 
-    def spans(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """Chains per template: (template, first word, last word, covered share). Matches are in text order."""
+    def spans(self, matches: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, float]]:
+        """Covered spans (template, first word, last word, covered share): of each template's chains the best, and every further one that
+        reaches the coverage and overlaps none that is better. Matches are in the order of their ends."""
         chains: dict[int, list[list]] = {}
-        for end, length, state in matches:
-            for s, at in sorted(self.ends[state]):
-                if s >= len(self.cfg.templates):
-                    continue
-                mine = chains.setdefault(s, [])
-                # a chain is [first word, last word, last place in the template, covered]
-                best = None
-                for chain in reversed(mine[-32:]):
-                    new_words = min(length, end - chain[1], at - chain[2])
-                    if new_words > 0 and end - length - chain[1] <= self.cfg.gap and at - length - chain[2] <= self.cfg.gap and (best is None or chain[3] + new_words > best[3]):
-                        best = [chain[0], end, at, chain[3] + new_words]
-                own = [end - length + 1, end, at, length]
-                mine.append(best if best is not None and best[3] > length else own)
+        for end, s, at, length in matches:
+            mine = chains.setdefault(s, [])
+            # a chain is [first word, last word, last place in the template, covered words]
+            best = [end - length + 1, end, at, length]
+            for chain in reversed(mine):
+                if end - length - chain[1] > self.cfg.gap:
+                    break  # chains' ends ascend, so no earlier one is near enough
+                new_words = min(length, end - chain[1], at - chain[2])
+                if new_words > 0 and at - length - chain[2] <= self.cfg.gap and chain[3] + new_words > best[3]:
+                    best = [chain[0], end, at, chain[3] + new_words]
+            mine.append(best)
         out = []
         for s, mine in chains.items():
-            top = max(mine, key=lambda c: (c[3], -c[0]))
-            out.append((s, top[0], top[1], min(1.0, top[3] / len(self.sequences[s]))))
+            size, taken = len(self.sequences[s]), []
+            enough = [c for c in mine if c[3] >= self.cfg.coverage * size] or [min(mine, key=lambda c: (-c[3], c[0], c[1]))]
+            for c in sorted(enough, key=lambda c: (-c[3], c[0], c[1])):
+                if all(c[1] < lo or hi < c[0] for lo, hi in taken):
+                    taken.append((c[0], c[1]))
+                    out.append((s, c[0], c[1], min(1.0, c[3] / size)))
         return out
 
 
@@ -167,7 +186,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     (doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans).
 
     `n_base` counts the places of the phrases, `first_word`/`last_word` are the smallest and largest start. `labels`
-    adds those of the templates that are covered well enough; `spans` lists them as label:first-last. `score` is the
+    adds those of the templates that are covered well enough; `spans` lists every such place as label:first-last. `score` is the
     largest covered share, 1 with a phrase. Null or wordless text has no labels and score 0. Repeated rows give equal
     rows, an empty table none; other columns are not looked at. The texts stay where they are: no shuffle.
     """
@@ -175,7 +194,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton(cfg)
         for batch in batches:
-            for piece in slices(batch, 1000):
+            for piece in slices(batch, 1000, 1):
                 rows = []
                 for text in piece.column(1):
                     words = tokens(text.as_py())
