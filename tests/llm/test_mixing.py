@@ -82,7 +82,8 @@ def test_shortage_goes_to_siblings_first(spark):
 
 def test_edges_of_the_input(spark):
     rows = [(1, None, None, None), (2, "", "en", "x"), (3, "one two", "en", "src1"), (3, "one two", "en", "src1"), (None, "three", "de", "src2"), (5, "w " * 30_000, "en", "src1")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 as copies", "2 as domain", "3 as h", "4 as id")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 as copies", "2 as domain", "3 as h", "4 as id", "5 as _whole", "6 as _last", "'keep' as _lang", "7 as leaf_domain", "8 as Leaf_Budget", "9 as w", "10 as budget")
     out = mix(df, cfg=MixConfig(share=1.0, epochs=1)).collect()
+    assert all((r._whole, r._last, r._lang, r.leaf_domain, r.h, r.w, r.budget) == (5, 6, "keep", 7, 3, 9, 10) for r in out)
     assert len(out) == 6 and all(r.copies == 1 for r in out if r.text and r.text.strip())
     assert mix(df.limit(0)).count() == 0

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridra.llm.common import written
+from veridra.llm.common import fresh, written
 
 LEVELS = ("domain", "lang", "source")
 
@@ -130,10 +130,13 @@ def mix(docs: DataFrame, c: Columns = Columns(), cfg: MixConfig = MixConfig()) -
     """
     made = ("domain", "n_tokens", "leaf_budget", "copies")
     goal = plan(docs, c, cfg)
-    leaf = _leaf_of(c)
-    keys = goal.select(*(F.col(k).alias(f"_{k}") for k in LEVELS), "leaf_budget", F.col("whole").alias("_whole"), F.col("last").alias("_last"))
-    rows = docs.drop(*made).withColumns({f"_{k}": v for k, v in leaf.items()})
-    rows = rows.join(keys.hint(_how(keys)), [f"_{k}" for k in LEVELS])
-    more = F.coalesce(_order(F.col("_whole"), F.col(c.id).cast("long"), cfg) <= F.col("_last"), F.lit(False))
-    rows = rows.withColumns({"domain": F.col("_domain"), "n_tokens": word_count(F.col(c.text)), "copies": (F.col("_whole") + more.cast("int")).cast("long")})
-    return rows.select(*[x for x in docs.columns if x not in made], "domain", "n_tokens", "leaf_budget", "copies")
+    own = {k: fresh(f"leaf_{k}", docs.columns) for k in (*LEVELS, "whole", "last", "n")}
+    keys = goal.select(*(F.col(k).alias(own[k]) for k in (*LEVELS, "whole", "last")), "leaf_budget")
+    rows = docs.withColumns({own[k]: v for k, v in _leaf_of(c).items()} | {own["n"]: word_count(F.col(c.text))})
+    more = F.coalesce(_order(F.col(own["whole"]), F.col(c.id).cast("long"), cfg) <= F.col(own["last"]), F.lit(False))
+    copies = (F.col(own["whole"]) + more.cast("int")).cast("long")
+    # the results of the same names go after they were read
+    rows = rows.withColumnsRenamed({x: fresh(f"old_{x}", docs.columns) for x in docs.columns if x.lower() == "leaf_budget"})
+    rows = rows.join(keys.hint(_how(keys)), [own[k] for k in LEVELS])
+    kept = [F.col(x) for x in docs.columns if x.lower() not in made]
+    return rows.select(*kept, F.col(own["domain"]).alias("domain"), F.col(own["n"]).alias("n_tokens"), "leaf_budget", copies.alias("copies"))
