@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veridra.llm.common import slices, small_batches
+from veridra.llm.common import slices
 
 ROUNDS = 8
 _FIRST_DAY, _DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
@@ -91,8 +91,7 @@ def _card(text: str, key: bytes) -> str | None:
     if luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
         return None
     body = permute_characters(digits[:-1], key, "card")
-    new = iter(body + luhn_digit(body))
-    return re.sub(r"\d", lambda _: next(new), text)
+    return _respelled(text, body + luhn_digit(body))
 
 
 def _octets(text: str, key: bytes) -> str | None:
@@ -103,23 +102,45 @@ def _octets(text: str, key: bytes) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
+def _respelled(spelling: str, digits: str) -> str:
+    """The digits in the places of the spelling's digits."""
+    new = iter(digits)
+    return re.sub(r"\d", lambda _: next(new), spelling)
+
+
+# Calling codes of one and two digits; all others have three.
+_SHORT_CODES = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]")
+
+
 def _phone(text: str, key: bytes) -> str | None:
-    """The country code stays, and so do the signs."""
-    if not 9 <= sum(c.isdigit() for c in text) <= 15:
+    """The calling code stays, and so do the signs; the number's digits are permuted whatever the signs between them."""
+    digits = re.sub(r"\D", "", text)
+    if not 9 <= len(digits) <= 15:
         return None
-    head = re.match(r"\+\d{1,3}(?=\D)|\+\d", text)[0]
-    return head + permute_characters(text[len(head) :], key, "phone")
+    short = _SHORT_CODES.match(digits)
+    code = short[0] if short else digits[:3]
+    return _respelled(text, code + permute_characters(digits[len(code) :], key, f"phone {code}"))
 
 
 def _email(text: str, key: bytes) -> str | None:
+    """The name is permuted in lower case and gets its capitals back where it had them; the host stays."""
     name, _, host = text.rpartition("@")
-    return f"{permute_characters(name, key, 'email')}@{host}"
+    small = "".join(chr(ord(c) + 32) if (k := _class(c)) and k[0] in "AÀØ" else c for c in name)
+    new = permute_characters(small, key, "email")
+    return "".join(n if c == s else n.upper() for n, c, s in zip(new, name, small)) + "@" + host
+
+
+_AREAS = [a for a in range(1, 900) if a != 666]
+_AREA_AT = {a: i for i, a in enumerate(_AREAS)}
 
 
 def _ssn(text: str, key: bytes) -> str | None:
-    if text[:3] in ("000", "666") or text[0] == "9" or text[4:6] == "00" or text[7:] == "0000":
+    """Valid numbers, counted from 0, are permuted among themselves: area 001 to 899 without 666, group 01 to 99, serial 0001 to 9999."""
+    area, group, serial = map(int, text.split("-"))
+    if area not in _AREA_AT or not group or not serial:
         return None
-    return permute_characters(text, key, "ssn")
+    x = Feistel(key, "ssn", len(_AREAS) * 99 * 9999).forward((_AREA_AT[area] * 99 + group - 1) * 9999 + serial - 1)
+    return f"{_AREAS[x // 9999 // 99]:03d}-{x // 9999 % 99 + 1:02d}-{x % 9999 + 1:04d}"
 
 
 def _date(year: int, month: int, day: int, key: bytes) -> date | None:
@@ -145,7 +166,7 @@ def _day_first(text: str, key: bytes) -> str | None:
 #: kind, pattern, rule: pseudonym or None where the value is not valid. The first kind that matches a place has it.
 KINDS: tuple[tuple[str, str, Callable[[str, bytes], str | None]], ...] = (
     ("email", r"[^\W_][\w.+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}|(?<=\.)\d+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
-    ("phone", r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)", _phone),
+    ("phone", r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)", _phone),
     ("iso_date", r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])", _iso_date),
     ("day_date", r"(?<![\d./])\d{2}(?P<sep>[./])\d{2}(?P=sep)\d{4}(?![\d/])", _day_first),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
@@ -192,8 +213,9 @@ def pseudonyms(docs: DataFrame, text_col: str = "text", cfg: PiiConfig = PiiConf
     """Replace the values in `text_col` of every row, whole text; every other column stays. Adds `pii_found` (long) and
     `pii_kinds` (distinct kinds, comma-joined), replacing columns of these names.
 
-    Cards must pass the check digit (and the pseudonym does), dates exist between 1900 and 2099, octets stay below 256; numbers
-    that fail stay as they are. A null text stays null with 0 found. Repeated rows get equal results, an empty table
+    Cards must pass the check digit (and the pseudonym does), dates exist between 1900 and 2099, octets stay below 256, and social security
+    numbers give such as can be valid; numbers that fail stay as they are. A value keeps its pseudonym in another spelling: a card or phone
+    number with other signs, a date in another order, an address in other capitals. Very long texts are read whole. A null text stays null with 0 found. Repeated rows get equal results, an empty table
     stays empty. Rows stay where they are: no shuffle.
     """
     kept = docs.drop("pii_found", "pii_kinds")
@@ -202,11 +224,11 @@ def pseudonyms(docs: DataFrame, text_col: str = "text", cfg: PiiConfig = PiiConf
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, 1000):
+            for piece in slices(batch, 1000, at):
                 out = [(None, []) if t is None else pseudonymise(t, cfg) for t in piece.column(at).to_pylist()]
                 columns = list(piece.columns)
                 columns[at] = pa.array([t for t, _ in out], pa.string())
                 counts, kinds = pa.array([len(k) for _, k in out], pa.int64()), pa.array([",".join(sorted(set(k))) for _, k in out], pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, counts, kinds], names=schema.names)
 
-    return small_batches(kept).mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema)
