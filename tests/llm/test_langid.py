@@ -1,8 +1,9 @@
 import zlib
 
 import numpy as np
+import pytest
 
-from veridra.llm.langid import BiGRU, LangIdConfig, columns, identify
+from veridra.llm.langid import BiGRU, LangIdConfig, columns, identify, sample, train
 
 
 def test_gradients_equal_differences():
@@ -41,6 +42,58 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.lang_pred == lang[r.doc_id] for r in rows if r.held_out]) > 0.97
 
 
+def plain_read(net, langs, text):
+    """(language, mean probability), one byte after the other, in stretches as even as they can be cut."""
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    data = text.encode()
+    n = -(-len(data) // 128)
+    sizes = [len(data) // n + (i < len(data) % n) for i in range(n)]
+    squash = lambda v: 1 / (1 + np.exp(-v.astype(float)))
+    total, h, at = np.zeros(len(langs)), net.h, 0
+    for size in sizes:
+        part, logits = data[at : at + size], np.repeat(net.p["c"].T.astype(float), size, axis=0)
+        at += size
+        for d, order in (("f", range(size)), ("b", range(size - 1, -1, -1))):
+            s = np.zeros(h)
+            for t in order:
+                e, a = net.p["E" + d][:, part[t]], net.p["U" + d] @ s
+                z, r = squash(e[:h] + a[:h]), squash(e[h : 2 * h] + a[h : 2 * h])
+                m = np.tanh(e[2 * h :] + r * a[2 * h :])
+                s = z * s + (1 - z) * m
+                logits[t] += net.p["W" + d] @ s
+        p = np.exp(logits - logits.max(axis=1, keepdims=True))
+        total += (p / p.sum(axis=1, keepdims=True)).sum(axis=0)
+    return langs[total.argmax()], total.max() / total.sum()
+
+
+def test_whole_texts_equal_a_plain_forward_pass(spark):
+    from veridra.llm.queries import op8_language_id
+
+    d, cfg = "/root/testdata/sf0.001", LangIdConfig()
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    texts, labels, langs = sample(docs, "text", "lang", "doc_id", cfg)
+    net = train(texts, labels, len(langs), cfg)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in op8_language_id(spark, d).collect():
+        lang, score = plain_read(net, langs, text[r.doc_id])
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-3
+
+
+def test_numbers_that_look_like_letters_are_none(spark):
+    rows = [(1, "the cat", "en"), (2, "der hund", "de"), (3, "½ ² 123", None), (4, "١٢٣ Ⅷ", None), (5, "漢", None), (6, "_", None)]
+    out = {r.doc_id: r.lang_pred for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), cfg=LangIdConfig(steps=5)).collect()}
+    assert out[3] == out[4] == out[6] == "und" != out[5]
+
+
+def test_every_language_is_learned_or_it_is_an_error(spark):
+    rows = [(i, "abc def", f"l{i % 70}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(sample(df, "text", "lang", "doc_id", LangIdConfig())[2]) == 70
+    with pytest.raises(ValueError, match="more than 69 languages"):
+        sample(df, "text", "lang", "doc_id", LangIdConfig(max_langs=69))
+
+
 def test_edges_of_the_input(spark):
     rows = [(1, "the cat sat on the mat", "en"), (2, "der hund und die katze", "de"), (3, None, "en"), (4, "", None), (5, "123 !?", "en"), (6, "the the " * 30_000, None), (6, "und", "de"), (None, "the", "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as score", "2 as held_out", "3 as l")

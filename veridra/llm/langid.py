@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veridra.llm.common import release, slices, small_batches, text_bytes
+from veridra.llm.common import release, slices, text_bytes
 
 PAD = 256
 UNKNOWN = "und"
@@ -20,13 +19,13 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class LangIdConfig:
-    """The network is fitted on a bounded sample: about `per_lang` texts of each of at most `max_langs` languages (the most
-    frequent), and of each text one window of `window` characters at a place that a hash picks. Prediction reads whole texts,
-    in stretches of at most `span` bytes, `batch` stretches at a time."""
+    """The network is fitted on a bounded sample: about `per_lang` texts of each language, and of each text one window of `window`
+    characters at a place that a hash picks. All languages are learned; more than `max_langs` of them are an error, as the column then
+    does not hold languages. Prediction reads whole texts, in stretches of at most `span` bytes, `batch` stretches at a time."""
 
     hidden: int = 6
     per_lang: int = 400
-    max_langs: int = 64
+    max_langs: int = 2000
     window: int = 160
     span: int = 128
     batch: int = 1024
@@ -169,7 +168,9 @@ def sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str, cfg: Lang
     """Windows, labels and the languages in order. Two passes: counts per language, then the rows whose hash falls under
     per_lang / count, so what reaches the driver is bounded whatever the table's size or skew."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col) & F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}"))
-    counts = known.groupBy(lang_col).agg(F.count("*").alias("c")).orderBy(F.desc("c"), lang_col).limit(cfg.max_langs).collect()
+    counts = known.groupBy(lang_col).agg(F.count("*").alias("c")).limit(cfg.max_langs + 1).collect()
+    if len(counts) > cfg.max_langs:
+        raise ValueError(f"more than {cfg.max_langs} languages in {lang_col}")
     langs = sorted(r[0] for r in counts)
     if not langs:
         return [], [], []
@@ -194,7 +195,7 @@ class Reader:
         cfg, total = self.cfg, np.zeros((len(texts), len(self.langs)))
         stretches: list[np.ndarray] = []
         owners: list[int] = []
-        has_letter = [bool(re.search(r"[^\W\d_]", t)) if t else False for t in texts]
+        has_letter = [any(map(str.isalpha, t)) if t else False for t in texts]
 
         def flush() -> None:
             width = max(map(len, stretches))
@@ -230,13 +231,13 @@ def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, 512):
+            for piece in slices(batch, 512, at):
                 rows = piece.column(at).to_pylist()
                 found, scores = reader.read(rows) if reader else ([UNKNOWN] * len(rows), [0.0] * len(rows))
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
         release()
 
-    return small_batches(kept).mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", cfg: LangIdConfig = LangIdConfig()) -> DataFrame:
@@ -244,7 +245,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     `score` is the predicted language's mean probability over the text's bytes. Null, blank or letterless text is `und` with
     score 0, and so is every text if no labelled text is there to learn from. Null ids are never learned from and not held
-    out. Equal texts get equal results up to rounding. Other columns are not looked at.
+    out. Equal texts get equal results up to rounding. Very long texts are read whole, in stretches. An empty table gives no rows.
+    Other columns are not looked at.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     return with_language(rows, cfg=cfg).select("doc_id", "held_out", "lang_pred", "score")
