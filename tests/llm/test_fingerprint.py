@@ -1,22 +1,53 @@
 import hashlib
 
 import numpy as np
+import xxhash
 
 from veridra.llm.common import WordHash
 from veridra.llm.fingerprint import SketchConfig, containment, fingerprints, from_text, likeness, merge, sketch_text, to_text
 
 
+M64 = 2**64 - 1
+
+
+def finish(x):
+    for prime in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = ((x ^ x >> 33) * prime) & M64
+    return x ^ x >> 33
+
+
+def hashes(text):
+    """The upper halves of all five-word shingles' hashes, in plain integers."""
+    words = [xxhash.xxh3_64_intdigest(w) for w in text.encode().lower().split()]
+    width = min(5, len(words))
+    out = set()
+    for i in range(len(words) - width + 1 if words else 0):
+        h = width
+        for w in words[i : i + width]:
+            h = (h * 0x9E3779B97F4A7C15 + w) & M64
+        out.add(finish(h) >> 32)
+    return out
+
+
+def plain_sketch(found):
+    return {h for h in found if h < 2**29} or set(sorted(found)[:1])
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
 def brute(rows):
-    """Rows in order of id, each with its successor."""
-    cfg, seen = SketchConfig(), WordHash()
+    """Rows in order of id, each with its successor, without the operator's code."""
     rows = sorted(rows, key=lambda r: r[0])
     out = []
     for (d, t), (_, n) in zip(rows, rows[1:] + rows[:1]):
         t, n = t or "", n or ""
         m = len(t) // 4
         e = t[: len(t) - m] + n[:m]
-        a, b, c = (sketch_text(x, cfg, seen) for x in (t, e, n))
-        out.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), to_text(a), to_text(b), likeness(a, b), likeness(a, c), containment(c, a)))
+        a, b, c = (plain_sketch(hashes(x)) for x in (t, e, n))
+        shown = lambda s: "".join(f"{h:08x}" for h in sorted(s))
+        out.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), shown(a), shown(b), alike(a, b), alike(a, c), len(a & c) / len(c) if c else 1.0))
     return out
 
 
@@ -39,7 +70,22 @@ def test_estimates_follow_true_likeness():
     assert abs(likeness(whole, half) - 0.5) < 0.08 and abs(containment(tenth, whole) - 1) < 1e-9
     assert abs(containment(whole, tenth) - 0.1) < 0.05
     rest = sketch_text(" ".join(words[2996:]), cfg, seen)
-    assert np.array_equal(merge(half, rest), whole) and np.array_equal(from_text(to_text(whole)), whole)
+    assert np.array_equal(merge(cfg, half, rest), whole) and np.array_equal(from_text(to_text(whole)), whole)
+
+
+def test_merge_equals_the_sketch_of_both_texts():
+    rng, seen, cfg = np.random.default_rng(4), WordHash(), SketchConfig()
+    for sizes in [(6, 60), (3, 6), (6, 6), (1, 200), (0, 6), (0, 0)] * 40:
+        texts = [" ".join(f"w{i}" for i in rng.integers(0, 10**6, n)) for n in sizes]
+        want = plain_sketch(set().union(*map(hashes, texts)))
+        assert set(merge(cfg, *(sketch_text(t, cfg, seen) for t in texts)).tolist()) == want
+
+
+def test_ranges_of_every_number(spark):
+    rows = [(i * 7 % 101 - 50, f"text {i} of a few words more") for i in range(101)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (1, 40, 10**6):
+        assert sorted(tuple(r) for r in fingerprints(df, cfg=SketchConfig(range_bytes=size)).collect()) == brute(rows)
 
 
 def test_edges_of_the_input(spark):

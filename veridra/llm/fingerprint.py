@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridra.llm.common import WordHash, shingle_hashes, slices, text_bytes
@@ -18,17 +18,23 @@ _LOWEST = -(2**63)
 
 @dataclass(frozen=True)
 class SketchConfig:
-    """k words make a shingle; one hash in `scaled` is kept, whatever the document's length."""
+    """k words make a shingle; one hash in `scaled` is kept, whatever the document's length. A task gets about `range_bytes` of text."""
 
     k: int = 5
     scaled: int = 8
+    range_bytes: int = 128 * 2**20
+
+
+def _kept(hashes: np.ndarray, cfg: SketchConfig) -> np.ndarray:
+    """Of ascending hashes those below the threshold, or the smallest alone where none is."""
+    below = hashes[: np.searchsorted(hashes, 2**32 // cfg.scaled)]
+    return below if len(below) else hashes[:1]
 
 
 def sketch_text(text: str | None, cfg: SketchConfig, seen: WordHash) -> np.ndarray:
     """Sorted kept hashes, as 32 bits. Where none is below the threshold the smallest is kept, so only a text without words has none."""
     h = (shingle_hashes(text_bytes(text).lower().split(), cfg.k, seen) >> np.uint64(32)).astype(np.uint32)
-    kept = h[h < 2**32 // cfg.scaled]
-    return np.unique(kept if len(kept) or not len(h) else h[:1])
+    return np.unique(_kept(h, cfg))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -40,13 +46,14 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of a's hashes that b has: how much of document a lies in b, however unequal their lengths."""
+    """Share of a's hashes that b has: how much of document a lies in b, however unequal their lengths. Of a text so short that only its
+    smallest hash, above the threshold, is kept, this says nothing about longer ones."""
     return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0
 
 
-def merge(*sketches: np.ndarray) -> np.ndarray:
-    """The sketch of the union of the documents."""
-    return np.unique(np.concatenate(sketches))
+def merge(cfg: SketchConfig, *sketches: np.ndarray) -> np.ndarray:
+    """The sketch of the union of the documents' shingles, exactly: a short part's hash above the threshold goes where another part has one below."""
+    return _kept(np.unique(np.concatenate(sketches)), cfg)
 
 
 def to_text(sketch: np.ndarray) -> str:
@@ -58,21 +65,31 @@ def from_text(text: str) -> np.ndarray:
     return np.frombuffer(bytes.fromhex(text), ">u4").astype(np.uint32)
 
 
-def _in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows sorted by id within partitions that hold whole ranges of ids. Each range ends with a `guest`, the first row of the
+def _place(key: str, cuts: list[int]) -> Column:
+    """How many of the ascending cuts are not above the key, less one; looked up in two steps, so that many cuts cost little a row."""
+    width = max(1, int(len(cuts) ** 0.5))
+    longs = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")  # noqa: E731  one literal, whatever its length
+    upto = lambda values: F.size(F.filter(values, lambda c: c <= F.col(key)))
+    coarse = F.greatest(upto(longs(cuts[::width])) - 1, F.lit(0)) * width
+    return coarse + upto(F.slice(longs(cuts), coarse + 1, F.lit(width))) - 1
+
+
+def _in_order(docs: DataFrame, id_col: str, text_col: str, cfg: SketchConfig) -> DataFrame:
+    """Rows sorted by id within partitions that each hold one range of ids. Each range ends with a `guest`, the first row of the
     next range (after the last: of the first), so every row's successor stands after it and nothing is ranked globally."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST))
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // cfg.range_bytes))
     found = docs.agg(F.min(order).alias("lo"), F.percentile_approx(order, [i / parts for i in range(1, parts)] or [0.5], 4 * parts).alias("cuts")).first()
     # the cuts are ids that occur, so each range starts with its cut
     cuts = sorted({found.lo, *(found.cuts or [])}) if found.lo is not None else [0]
-    # the cuts travel in the plan: as many longs as there are partitions
-    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("ok"))) - 1
-    rows = docs.select(order.alias("ok"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).withColumn("slot", place)
-    guest = F.when(F.col("ok") == F.element_at(F.array(*map(F.lit, cuts)), F.col("slot") + 1), F.struct((F.pmod(F.col("slot") - 1, F.lit(len(cuts)))).alias("slot"), F.lit(True).alias("guest")))
+    rows = docs.select(order.alias("ok"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).withColumn("slot", _place("ok", cuts))
+    starts = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+    guest = F.when(F.col("ok") == F.element_at(starts, F.col("slot") + 1), F.struct((F.pmod(F.col("slot") - 1, F.lit(len(cuts)))).alias("slot"), F.lit(True).alias("guest")))
     own = F.struct(F.col("slot"), F.lit(False).alias("guest"))
     rows = rows.select("ok", "id", "t", F.explode(F.array_compact(F.array(own, guest))).alias("s")).select("s.slot", "s.guest", "ok", "id", "t")
-    return rows.repartition(parts, "slot").sortWithinPartitions("slot", "guest", "ok", F.xxhash64("t")).select("slot", "guest", "id", "t")
+    # a slot is a partition: hashing slots would give some tasks several and others none
+    return rows.repartitionById(len(cuts), F.col("slot")).sortWithinPartitions("guest", "ok", F.xxhash64("t")).select("slot", "guest", "id", "t")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: SketchConfig = SketchConfig()) -> DataFrame:
@@ -81,8 +98,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Edited: the last floor(n_chars / 4) code points give way to as many first ones (or all) of the next document by
     ascending id; after the last stands the first. Null text is empty; two texts without words have likeness 1. Repeated
-    ids stand in the order of a hash of their texts, null ids first. A single row is its own successor. Other columns
-    are not looked at. The texts are shuffled once, by ranges of ids.
+    ids stand in the order of a hash of their texts, null ids first. A single row is its own successor. An empty table gives no rows.
+    Other columns are not looked at. The texts are shuffled once, by ranges of ids, a task each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +107,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "next_in_doc"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64()]
         for batch in batches:
-            for piece in slices(batch, 500):
+            for piece in slices(batch, 500, 3):
                 rows = []
                 for slot, guest, doc, text in zip(*(c.to_pylist() for c in piece.columns)):
                     text = text or ""
@@ -108,4 +125,4 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, next_in_doc double"
-    return _in_order(docs, id_col, text_col).mapInArrow(run, schema)
+    return _in_order(docs, id_col, text_col, cfg).mapInArrow(run, schema)
