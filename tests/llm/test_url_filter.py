@@ -1,3 +1,10 @@
+import math
+import re
+from collections import Counter
+from itertools import combinations
+
+import pytest
+
 from veridra.llm.url_filter import RULES, UrlFilterConfig, url_filter
 
 
@@ -15,7 +22,56 @@ def listed(host, path):
     return max(fits)[1:] if fits else (None, None)
 
 
-def test_whole_table_equals_brute_force(spark):
+def tokens_of(url):
+    words = [w for w in re.split(r"[^\w-]+", url.lower()) if w]
+    return sorted({"0" if re.fullmatch(r"[0-9]+", w) else w for w in words})
+
+
+def miner(pages, labels, cfg):
+    """url -> verdict of the best rule, by counting every combination of every labelled url's tokens."""
+    bad = {}
+    for doc, quality, toxic in labels:
+        bad[doc] = bad.get(doc, False) or toxic == 1 or quality == 0
+    known = [(tokens_of(url or ""), bad[page]) for page, url in pages if page in bad]
+    sets, blocked = Counter(), Counter()
+    for tokens, is_bad in known:
+        for k in range(1, len(tokens) + 1):
+            for some in combinations(tokens, k):
+                sets[some] += 1
+                blocked[some] += is_bad
+    n, n_bad = len(known), sum(b for _, b in known)
+    rules = []
+    for some, c in sets.items():
+        for verdict, both, base in (("block", blocked[some], n_bad), ("allow", c - blocked[some], n - n_bad)):
+            if both and both >= math.ceil(cfg.support * n) and both / c >= cfg.confidence and both / c / (base / n) >= cfg.lift:
+                rules.append((both / c, both / n, " ".join(some), verdict, frozenset(some)))
+
+    def best(url):
+        have = set(tokens_of(url)) if url is not None else set()
+        return max((r for r in rules if r[4] <= have), key=lambda r: r[:3], default=(None,) * 5)[3]
+
+    return rules, best
+
+
+@pytest.mark.parametrize("cfg", [UrlFilterConfig(), UrlFilterConfig(support=0.02, lift=1.05), UrlFilterConfig(support=0.02, lift=1.05, small_rules=0, salts=3)])
+def test_whole_table_equals_brute_force(spark, cfg):
+    from veridra.llm.queries import op5_url_filter
+
+    d = "/root/testdata/sf0.001"
+    tables = spark.read.parquet(f"{d}/pages.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    urls = {r.page_id: r.url for r in tables[0].collect()}
+    rules, best = miner(urls.items(), [(r.doc_id, r.quality, r.toxic) for r in tables[1].collect()], cfg)
+    rows = (op5_url_filter(spark, d) if cfg == UrlFilterConfig() else url_filter(*tables, cfg=cfg)).collect()
+    assert len(rows) == len(urls)
+    for r in rows:
+        host, path = parts(urls[r.page_id])
+        rule, verdict = listed(host, path)
+        mined = best(urls[r.page_id])
+        assert (r.host, r.path, r.rule, r.mined, r.verdict) == (host, path, rule, mined, verdict or mined or "allow")
+    assert rules
+
+
+def test_listed_rules_over_the_larger_table(spark):
     from veridra.llm.queries import op5_url_filter
 
     d = "/root/testdata/sf0.01"
@@ -39,6 +95,8 @@ def test_mined_rules_equal_brute_force(spark):
     for r in rows:
         if r.page_id < 120:
             assert r.verdict == ("block" if r.page_id % 3 == 0 else "allow"), r
+    _, best = miner([(r.page_id, r.url) for r in pages.collect()], labels + [(7, None, None)], UrlFilterConfig(support=0.05))
+    assert {(r.page_id, r.mined) for r in rows} == {(i, best(u)) for i, u in [*urls, (500, None), (501, "no scheme"), (502, "x://h?q/en/#")]}
     assert {(r.page_id, r.host, r.path, r.verdict) for r in rows if r.page_id >= 500} == {(500, "", "", "allow"), (501, "", "", "allow"), (502, "h", "", "allow")}
 
 

@@ -23,14 +23,15 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class UrlFilterConfig:
-    """Mined rules need `support` of the labelled urls and `confidence`; blocking ones also `lift` over the base rate.
-    `small_rules` bounds the rule table that is broadcast; a larger one is joined by shuffle."""
+    """Mined rules of either verdict need `support` of the labelled urls, `confidence`, and `lift` over their verdict's base rate.
+    `small_rules` bounds the rule table that is broadcast; a larger one is joined by shuffle, in `salts` parts a token."""
 
     rules: tuple[tuple[str, str], ...] = RULES
     support: float = 0.005
     confidence: float = 0.6
     lift: float = 1.2
     small_rules: int = 20_000
+    salts: int = 16
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -63,18 +64,27 @@ def mine_rules(urls: DataFrame, cfg: UrlFilterConfig) -> DataFrame:
     model = FPGrowth(itemsCol="items", minSupport=cfg.support, minConfidence=cfg.confidence).fit(urls.select(F.concat("tokens", F.array(label)).alias("items")))
     verdict = F.col("consequent")[0]
     clean = F.forall("antecedent", lambda t: ~t.startswith("\t")) & verdict.startswith("\t")
-    rules = model.associationRules.filter(clean).select("antecedent", F.substring(verdict, 2, 10).alias("verdict"), "confidence", "support", "lift")
-    return rules.filter((F.col("verdict") == "allow") | (F.col("lift") >= cfg.lift)).drop("lift")
+    # a token that is common among all urls is no reason for either verdict, so both need the lift
+    rules = model.associationRules.filter(clean & (F.col("lift") >= cfg.lift))
+    return rules.select("antecedent", F.substring(verdict, 2, 10).alias("verdict"), "confidence", "support")
 
 
-def match_rules(urls: DataFrame, rules: DataFrame, small: bool) -> DataFrame:
+def match_rules(urls: DataFrame, rules: DataFrame, cfg: UrlFilterConfig) -> DataFrame:
     """(url, mined) for the distinct (url, tokens) rows that a mined rule fits: the verdict of the most confident, then best
-    supported, then smallest rule. Each rule stands in the inverted index under the token that fewest rules have."""
+    supported, then last rule by its tokens. Each rule stands in the inverted index under the token that fewest rules have."""
+    small = rules.count() <= cfg.small_rules
     flat = rules.withColumn("rule", F.array_join(F.array_sort("antecedent"), " ")).select("*", F.explode("antecedent").alias("token"))
     spread = flat.groupBy("token").agg(F.count("*").alias("c"))
-    index = flat.join(spread.hint("merge"), "token").groupBy("rule", "verdict").agg(F.min_by("token", F.struct("c", "token")).alias("token"), F.first("antecedent").alias("antecedent"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
+    rarest = flat.join(spread.hint("broadcast" if small else "merge"), "token").groupBy("rule", "verdict").agg(F.min_by("token", F.struct("c", "token")).alias("token"))
+    index = rules.withColumn("rule", F.array_join(F.array_sort("antecedent"), " ")).join(rarest.hint("broadcast" if small else "merge"), ["rule", "verdict"])
     index = written(index, "rules")
-    hits = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(index.hint("broadcast" if small else "merge"), "token")
+    tokens = urls.select("url", "tokens", F.explode("tokens").alias("token"))
+    if small:
+        hits = tokens.join(index.hint("broadcast"), "token")
+    else:
+        # a token that a third of all urls have is dealt over several tasks, and so are its rules
+        dealt = tokens.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(cfg.salts)).cast("int"))
+        hits = dealt.join(index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(cfg.salts - 1)))).hint("merge"), ["token", "salt"])
     hits = hits.filter(F.size(F.array_except("antecedent", "tokens")) == 0)
     return hits.groupBy("url").agg(F.max_by("verdict", F.struct("confidence", "support", "rule")).alias("mined"))
 
@@ -84,21 +94,26 @@ def url_filter(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url
 
     `labels` holds (doc_id, quality, toxic) for some pages; a page is bad if toxic is 1 or quality 0. The verdict is the
     longest listed rule's; without one the best mined rule's; without any, or without labels, allow. Null urls have an empty
-    host and path and are allowed unless a mined rule says otherwise. Distinct urls are matched once, so repeated rows cost
-    nothing and get equal rows. Other columns are not looked at.
+    host and path and are allowed. Distinct urls are matched once, so repeated rows cost nothing and get equal rows. Very long urls are
+    read whole. No pages give no rows. Other columns are not looked at.
+
+    Urls are dealt by a hash to as many tasks as the session has shuffle partitions or cores before their tokens are multiplied out;
+    what was found is written, so that the join back to the pages can split a url that many pages share.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"))
     bad = (F.col("toxic") == 1) | (F.col("quality") == 0)
     marks = labels.select(F.col("doc_id").cast("long").alias("page_id"), F.coalesce(bad, F.lit(False)).alias("bad")).groupBy("page_id").agg(F.max("bad").alias("bad"))
     known = rows.join(marks.hint("merge"), "page_id").select(url_tokens(F.col("url")).alias("tokens"), "bad")
-    distinct = rows.filter("url is not null").select("url").distinct().withColumn("tokens", url_tokens(F.col("url")))
+    parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), pages.sparkSession.sparkContext.defaultParallelism)
+    distinct = rows.filter("url is not null").select("url").repartition(parts, "url").distinct().withColumn("tokens", url_tokens(F.col("url")))
     known = written(known, "known")
     if known.isEmpty():
         judged = rows.withColumn("mined", F.lit(None).cast("string"))
     else:
         rules = written(mine_rules(known, cfg), "mined")
-        found = match_rules(distinct, rules, rules.count() <= cfg.small_rules)
-        judged = rows.join(found.hint("merge"), "url", "left")
+        found = written(match_rules(distinct, rules, cfg), "found")
+        judged = rows.filter("url is not null").join(found.hint("merge"), "url", "left")
+        judged = judged.unionByName(rows.filter("url is null").withColumn("mined", F.lit(None).cast("string")))
     host, path = host_and_path(F.col("url"))
     rule, verdict = listed_rule(F.col("host"), F.col("path"), cfg.rules)
     judged = judged.withColumn("host", host).withColumn("path", path)
