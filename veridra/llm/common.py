@@ -120,12 +120,6 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """The frame itself; from here on the session sends Python at most `rows` rows at a time."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
-
-
 def release() -> None:
     """Give freed memory back to the system at a task's end; workers stay, and an executor's memory holds several."""
     pa.default_memory_pool().release_unused()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridra.llm.common import U64, WordHash, list_column, mix, release, shingle_hashes, slices, small_batches, text_bytes, written
+from veridra.llm.common import U64, WordHash, list_column, mix, release, shingle_hashes, slices, text_bytes, written
 
 
 @dataclass(frozen=True)
@@ -67,7 +67,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, cfg: NearDupConfig) -> D
         seen, (a, b) = WordHash(), _universal(cfg)
         weights = mix(np.arange(1, cfg.rows + 1, dtype=U64)) | U64(1)
         for batch in batches:
-            for piece in slices(batch, 1000):
+            for piece in slices(batch, 1000, 1):
                 keys, sizes, bands = [], [], []
                 for text in piece.column(1):
                     words = _words(text.as_py())
@@ -86,7 +86,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, cfg: NearDupConfig) -> D
         seen.clear()
         release()
 
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, key binary, n long, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, key binary, n long, bands array<long>")
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, cfg: NearDupConfig) -> DataFrame:
@@ -95,7 +95,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, cfg
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, (a, b) = WordHash(), _universal(cfg)
         for batch in batches:
-            for piece in slices(batch, 500):
+            for piece in slices(batch, 500, 2):
                 ids, sigs, sets = [], [], []
                 for node, key, text in zip(*(piece.column(i) for i in range(3))):
                     words = _words(text.as_py())
@@ -137,7 +137,8 @@ def _pushed(edges: DataFrame, large: bool) -> DataFrame:
     ends = edges.select("u", "v")
     if large:
         ends = ends.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = ends.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    # written, so that the join can split the rows of a node that a third of all edges have
+    least = written(ends.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
     met = ends.join(least.hint("merge"), "u")
     if large:
         return met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -242,7 +243,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts with the same words are one class and enter the buckets once. A bucket's members are compared with one of
     them, another in each band; then those of a bucket that are still in different components are compared
-    pairwise in blocks, after members that too few others resemble are set aside by counting.
+    pairwise in blocks, after members that too few others resemble are set aside by counting. Small sides of joins are
+    written first: Spark can then split a hot bucket, class or node over several tasks.
     """
     rows = written(sketch(docs, id_col, text_col, cfg), "sketch")
     nodes = rows.filter("id is not null and n > 0").groupBy("key").agg(F.min("id").alias("node"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
@@ -251,6 +253,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # another member leads each band's bucket, so that a group hangs together even if one leader is an outlier
     led = slots.groupBy("h").agg(F.min_by("node", F.xxhash64("node", "band")).alias("v"), F.count("*").alias("c")).filter("c > 1").select("h", "v")
+    led = written(led, "leaders")
     busy = written(slots.join(led.hint("merge"), "h"), "busy")
     pairs = busy.filter("node != v").select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
     feats = written(features(docs, id_col, text_col, busy.select("node", "key").distinct(), cfg), "features")
@@ -267,6 +270,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots = components(edges.union(extra))
 
     keys = nodes.select("key", "node").join(roots.hint("merge"), "node", "left").select("key", F.coalesce("root", "node").alias("c"))
+    keys = written(keys, "classes")
     named = rows.filter("n > 0 and id is not null").join(keys.hint("merge"), "key").select("id", "n", "c")
     lone = rows.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("c"))
     return named.union(lone).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.coalesce(F.col("id") == F.col("c"), F.lit(False)).alias("kept"))
