@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridra.llm.common import WordHash, shingle_hashes, slices, text_bytes
+from veridra.llm.common import WordHash, release, shingle_hashes, slices, text_bytes
 
 _LOWEST = -(2**63)
 
@@ -107,7 +107,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "next_in_doc"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64()]
         for batch in batches:
-            for piece in slices(batch, 500, 3):
+            for piece in slices(batch, 500, 3, 1_000_000):
                 rows = []
                 for slot, guest, doc, text in zip(*(c.to_pylist() for c in piece.columns)):
                     text = text or ""
@@ -123,6 +123,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     before = (slot, guest, doc, text, own)
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        seen.clear()
+        release()
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, next_in_doc double"
     return _in_order(docs, id_col, text_col, cfg).mapInArrow(run, schema)
