@@ -132,16 +132,20 @@ def confirm(pairs: DataFrame, feats: DataFrame, cfg: NearDupConfig) -> DataFrame
     return both.filter(_agrees(cfg)).filter(_linked(cfg)).select("u", "v").distinct()
 
 
-def _pushed(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over (u, v) edges, u > v: neighbours (large: the larger ones) are tied to the smallest node around."""
-    ends = edges.select("u", "v")
-    if large:
-        ends = ends.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    # written, so that the join can split the rows of a node that a third of all edges have
-    least = written(ends.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
-    met = ends.join(least.hint("merge"), "u")
-    if large:
-        return met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+def _large_star(edges: DataFrame, salts: int = 8) -> DataFrame:
+    """Over (u, v) edges, u > v: the larger neighbours of every node are tied to the smallest node around it. A node that a third of all edges
+    meet in is dealt over several tasks; only nodes with larger neighbours are repeated for that, and those are few after the first round."""
+    ends = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = ends.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most")).filter("most > u").select("u", F.least("u", "m").alias("m"))
+    least = least.select(F.col("u").alias("v"), "m", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    dealt = edges.select("u", "v", F.pmod(F.xxhash64("u"), F.lit(salts)).cast("int").alias("salt"))
+    return dealt.join(least.hint("merge"), ["v", "salt"]).select("u", F.col("m").alias("v")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Over (u, v) edges, u > v: every node and its smaller neighbours are tied to the smallest of them."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    met = edges.select("u", "v").join(least.hint("merge"), "u")
     return met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
 
 
@@ -156,7 +160,7 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if mark == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state, now = mark, written(_pushed(_pushed(now, True), False), "edges")
+        state, now = mark, written(_small_star(_large_star(now)), "edges")
 
 
 def _alive(feats: DataFrame, members: DataFrame, cfg: NearDupConfig) -> DataFrame:
