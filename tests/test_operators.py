@@ -14,7 +14,9 @@ from veridra.operators import models as R
 from veridra.operators import normalize as N
 from veridra.operators import select as S
 from veridra.operators import splits as P
+from veridra.operators.ranks import numbered, quantiles_by
 from veridra.sources import files as FS
+from veridra.sources.workspace import stored
 
 
 def rows(df):
@@ -40,8 +42,9 @@ def test_missing_indicators(spark):
 
 
 def test_tag_vocabulary(spark):
-    df = spark.createDataFrame([(["graphs", "math", "graphs"],), (["graphs", "math"],), (["implementation"],)], "tags array<string>")
-    assert rows(N.vocabulary(df, "tags", 2)) == [("graphs", 2), ("math", 2)]
+    df = spark.createDataFrame([(["red", "blue", "red", "red"],), (["blue", "green"],), ([],), (None,), (["green", "red"],), (["ochre"],)], "tags array<string>")
+    assert rows(N.vocabulary(df, "tags", 2)) == [("blue", 2), ("green", 2), ("red", 2)]
+    assert rows(N.vocabulary(df, "tags", 3)) == [] and ("ochre", 1) in rows(N.vocabulary(df, "tags", 1))
 
 
 def test_ages_and_buckets(spark):
@@ -97,10 +100,14 @@ def test_validation_chooses_and_test_is_only_reported(spark):
         S.validation_ranked(df.filter("mae <> 90"), ["strategy"], "model", "mae")
 
 
-def test_top_errors_break_ties_by_time_group_item(spark):
-    df = spark.createDataFrame([(2, 5, "B", 10.0), (1, 4, "C", 10.0), (1, 4, "A", 10.0), (0, 1, "A", 3.0)], "t long, g long, i string, absolute_error double")
-    got = S.top_errors(df, 3, [], ["t", "g", "i"]).orderBy("error_rank").collect()
-    assert [(r.g, r.i) for r in got] == [(4, "A"), (4, "C"), (5, "B")]
+def test_top_errors_break_ties_by_the_listed_columns(spark):
+    data = [(t, g, f"i{(t * g) % 5}", float((t + g) % 3)) for t in range(4) for g in range(6)]
+    df = spark.createDataFrame(data, "t long, g long, i string, absolute_error double")
+    want = sorted(data, key=lambda r: (-r[3], r[2], r[0], r[1]))
+    got = S.top_errors(df, 10, [], ["i", "t", "g"]).orderBy("error_rank").collect()
+    assert [tuple(r)[:4] for r in got] == want[:10] and [r.error_rank for r in got] == list(range(1, 11))
+    per = {t: [r[:4] for r in want if r[0] == t][:2] for t in range(4)}
+    assert {(r.t, r.error_rank): tuple(r)[:4] for r in S.top_errors(df, 2, ["t"], ["i", "t", "g"]).collect()} == {(t, k + 1): r for t, rs in per.items() for k, r in enumerate(rs)}
 
 
 def test_bootstrap_is_paired_and_repeatable(spark):
@@ -136,6 +143,53 @@ def test_trees_repeat_and_beat_the_mean(spark):
     assert first == score() and max(first.values()) < mean
 
 
+def test_one_boosted_stump_is_the_best_split(spark):
+    data = [(i, float(i % 5), float(i * 7 % 11 % 4), float((i * 13) % 17), "train") for i in range(60)]
+    df = spark.createDataFrame(data, "id long, a double, b double, y double, split_name string")
+    long = R.evaluate_grid(df, [R.ModelSpec("one", ("a", "b"), R.gradient_boosting(1, depth=1))], "y", ["id"])
+    best = None
+    for k in (1, 2):
+        for cut in sorted({r[k] for r in data})[:-1]:
+            sides = [[r[3] for r in data if (r[k] <= cut) == left] for left in (True, False)]
+            loss = sum(sum((y - sum(s) / len(s)) ** 2 for y in s) for s in sides)
+            if best is None or loss < best[0] - 1e-9:
+                best = (loss, {r[0]: sum(s) / len(s) for s, left in zip(sides, (True, False)) for r in data if (r[k] <= cut) == left})
+    got = {r.id: r.predicted for r in long.collect()}
+    assert all(abs(got[i] - v) < 1e-9 for i, v in best[1].items())
+
+
+def test_missing_text_is_a_category_and_unknown_text_is_none(spark):
+    train = spark.createDataFrame([("a", 1.0), ("a", None), (None, 3.0), ("b", 8.0)], "t string, v double")
+    rest = spark.createDataFrame([(None, None), ("new", 3.0)], "t string, v double")
+    fitted = R.preprocessor(train, ["v", "t"]).fit(train)
+    (missing, unknown) = ([float(v) for v in r.x.toArray()] for r in fitted.transform(rest).collect())
+    assert sum(missing[1:]) == 1.0 and sum(unknown[1:]) == 0.0
+    filled = np.array([1.0, 3.0, 3.0, 8.0])
+    assert np.isclose(missing[0], (3 - filled.mean()) / filled.std()) and np.isclose(unknown[0], missing[0])
+
+
+def test_places_and_quantiles_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    data = [(None if i % 9 == 0 else f"g{min(i % 4, 2)}", None if i % 13 == 0 else float(v)) for i, v in enumerate(np.round(rng.exponential(20, 3000)))] + [("one", 5.0), ("none", None)]
+    df = stored(spark.createDataFrame(data, "g string, v double"))
+    qs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.987, "e": 1.0}
+    for per_range in (20, 10**6):
+        got = {r.g: r for r in quantiles_by(df, ["g"], "v", qs, per_range).collect()}
+        assert set(got) == {g for g, v in data if v is not None}
+        for g, r in got.items():
+            values = [v for h, v in data if h == g and v is not None]
+            assert r.n == len(values) and np.allclose([r[k] for k in qs], np.quantile(values, list(qs.values())))
+    assert quantiles_by(df.limit(0), [], "v", qs).count() == 0
+    ranked, n = numbered(spark.range(500).selectExpr("id", "id * 37 % 500 as k"), [F.col("k").desc()], "place")
+    assert n == 500 and all(r.place == 500 - r.k for r in ranked.collect())
+
+
+def test_manifest_digest_does_not_depend_on_order_or_partitions(spark):
+    make = lambda ids: spark.createDataFrame([(f"{i}.html", f"{i:064d}", i, "html") for i in ids], "relative_path string, sha256 string, size_bytes long, kind string")
+    a, b, c = (M.manifest_summary(make(x), ["html", "pdf"]).first() for x in (range(700), range(699, -1, -1), range(1, 701)))
+    assert a == b and a.digest != c.digest and (a.entries, a.html, a.pdf) == (700, 700, 0) and M.manifest_summary(make(range(1)).limit(0), ["html"]).first().entries == 0
+
+
 def test_joins_refuse_what_they_should(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string")
     twice = spark.createDataFrame([(1, 5), (1, 6)], "k long, w long")
@@ -159,11 +213,34 @@ def test_tables_within_tolerance_are_equal(spark):
 
 
 def test_limits(spark):
-    cases = {"1.5 seconds": 1500, "750 milliseconds": 750, "2 s": 2000, "soon": None}
-    for text, ms in cases.items():
-        assert one(spark, v=X.parse_quantity(F.lit(text), X.TIME_UNITS)).v == ms
-    for text, mb in {"256 megabytes": 256, "1 gigabyte": 1024, "1025 KB": 2, "much": None}.items():
-        assert one(spark, v=X.parse_memory(F.lit(text))).v == mb
+    times = {"0.25 s": 250, "3 SECS": 3000, "12msec": 12, "0.5 ms": 0, "1.5ms": 2, "limit 7 of 40 seconds": 40_000, "5 sections": None, "": None, None: None}
+    sizes = {"64MB": 64, "0.5 GiB": 512, "2 gigabytes": 2048, "1 kib": 1, "4096kilobytes": 4, "3 of 16 mib": 16, "9 mbit": None, None: None}
+    df = spark.createDataFrame([(t,) for t in {**times, **sizes}], "t string")
+    got = {r.t: (r.ms, r.mb) for r in df.select("t", X.parse_quantity(F.col("t"), X.TIME_UNITS).alias("ms"), X.parse_memory(F.col("t")).alias("mb")).collect()}
+    assert {t: got[t][0] for t in times} == times and {t: got[t][1] for t in sizes} == sizes
+
+
+def test_counters_equal_a_plain_count(spark):
+    import re
+
+    texts = ["", "one", "a\r\nb\x0bc\n", "é-tude d'or -- 'x' _y2", "-1 +2.50 3.4.5 ٣ ½", "Sum sum sums at most at  most LIMITS, integer", "O(n) BO(n) O (n^2)O(1)", "if(x) 9f(x) v[i][j] a==b->c::d", "$x$ \\alpha\\beta \\( \\] \\{", "<= < ≥ == - *", "A bc D E_ ÀB"]
+    plain = {
+        "n_chars": len,
+        "n_words": lambda t: len(re.findall(r"\b[\w'-]+\b", t)),
+        "n_lines": lambda t: len(t.splitlines()),
+        "n_numbers": lambda t: len(re.findall(r"[-+]?\d+(?:\.\d+)?", t)),
+        "n_integers": lambda t: sum("." not in x for x in re.findall(r"[-+]?\d+(?:\.\d+)?", t)),
+        "n_floats": lambda t: len(re.findall(r"[-+]?\d+\.\d+", t)),
+        "n_maths": lambda t: len(re.findall(r"[+*/=^%-]|<=|>=|≤|≥", t)),
+        "n_constraint_words": lambda t: len(re.findall(r"\b(?:constraints?|limits?|integers?|positive|negative|at most|at least|sum)\b", t.lower())),
+        "n_big_o": lambda t: len(re.findall(r"\bO\s*\([^)]*\)", t)),
+        "n_uppercase": lambda t: len(re.findall(r"\b[A-Z]{2,}\b", t)),
+        "n_one_letter": lambda t: len(re.findall(r"\b[A-Za-z]\b", t)),
+    }
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", *(v.alias(k) for k, v in X.text_counters(F.col("t")).items())).collect()
+    for r in got:
+        assert {k: r[k] for k in plain} == {k: f(texts[r.i]) for k, f in plain.items()}, texts[r.i]
+    assert {(r.i, r.n_latex, r.n_code) for r in got if r.i in (7, 8)} == {(7, 0, 5), (8, 5, 0)}
 
 
 def test_text_cleaning(spark):
@@ -174,8 +251,8 @@ def test_text_cleaning(spark):
     assert one(spark, v=X.strip_html(F.lit(None).cast("string"))).v == ""
     assert one(spark, v=N.safe_key(F.lit(1791), F.lit("C+"))).v == "1791_C.html"
     assert one(spark, v=X.drop_title(F.lit("Input: n and m"), "Input")).v == "n and m"
-    flags = one(spark, **X.keyword_flags(F.lit("Shortest path queries in a graph; every tree")))
-    assert (flags.graph, flags.tree, flags.shortest_path, flags.query, flags.geometry) == (1, 1, 1, 1, 0)
+    flags = one(spark, **X.keyword_flags(F.lit("BITWISE sums of a list; shortest  path, Floyd!")))
+    assert {k for k, v in flags.asDict().items() if v} == {"binary", "array", "shortest_path"} and len(flags) == 13
 
 
 def test_statement_sections(spark):

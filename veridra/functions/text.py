@@ -24,9 +24,19 @@ MATHS = (("≤", "<="), ("≥", ">="), ("≠", "!="), ("×", "*"), ("−", "-"))
 
 # Topic flags by the words that raise them.
 KEYWORDS = {
-    "graph": "graphs?|vertex|vertices|edges?", "tree": "trees?", "dp": "dynamic programming|dp", "shortest_path": "shortest paths?", "string": "strings?|substrings?",
-    "geometry": "points?|polygons?|coordinates?|circles?", "number_theory": "primes?|divisors?|gcd|modulo", "probability": "probabilit(?:y|ies)|expected value",
-    "game": "games?|players?", "matrix": "matri(?:x|ces)|grid", "permutation": "permutations?", "query": "quer(?:y|ies)", "binary": "binary|bits?|xor",
+    "graph": "graphs?|vertices|edges",
+    "tree": "trees?|rooted",
+    "array": "arrays?|sequences?|lists?",
+    "string": "strings?|substrings?|characters?",
+    "dp": "dp|dynamic programming",
+    "geometry": "geometry|points?|polygons?|circles?",
+    "greedy": "greedy",
+    "probability": "probability|expected value|random",
+    "interactive": "interactive|flush|query the judge",
+    "permutation": "permutations?",
+    "binary": "binary|bits?|bitwise",
+    "shortest_path": "shortest paths?|dijkstra|floyd",
+    "query": "query|queries",
 }
 
 
@@ -82,7 +92,7 @@ class _Sections(HTMLParser):
 
     def __init__(self, profile: Profile):
         super().__init__(convert_charrefs=True)
-        self.profile, self.stack, self.parts, self.inside = profile, [], {}, False
+        self.profile, self.stack, self.parts, self.inside, self.paragraphs = profile, [], {}, False, 0
 
     def _named(self, names, tag: str, classes: list[str]) -> str | None:
         return next((n for n in names if n == tag or n[:1] == "." and n[1:] in classes), None)
@@ -93,6 +103,7 @@ class _Sections(HTMLParser):
             self.inside = True
         above = self.stack[-1][1] if self.stack else ("text" if self.inside else None)
         own = self._named(self.profile.sections, tag, classes)
+        self.paragraphs += self.inside and tag == "p"
         hidden = tag in ("script", "style") or self._named(self.profile.skip, tag, classes) or above == ""
         if tag not in _VOID:
             self.stack.append((tag, "" if hidden else self.profile.sections[own] if own else above if above is not None else ("text" if self.inside else None)))
@@ -112,7 +123,8 @@ class _Sections(HTMLParser):
 
 
 def extract_sections(pages: DataFrame, key: str, page: str, profile: Profile) -> DataFrame:
-    """(key, a column per section, text): each section's text on one line, `text` that of the rest. Null pages have empty sections."""
+    """(key, a column per section, text, paragraphs): each section's text on one line, `text` that of the rest, and the number of the
+    body's paragraphs. Null pages have empty sections."""
     names = list(dict.fromkeys([*profile.sections.values(), "text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,11 +134,12 @@ def extract_sections(pages: DataFrame, key: str, page: str, profile: Profile) ->
                 parser = _Sections(profile)
                 parser.feed(value or "")
                 parser.close()
-                rows.append([" ".join("".join(parser.parts.get(n, ())).split()) for n in names])
-            columns = [pa.array(c, pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.string())] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, *names])
+                rows.append([*(" ".join("".join(parser.parts.get(n, ())).split()) for n in names), parser.paragraphs])
+            kinds = [pa.string()] * len(names) + [pa.int64()]
+            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, *names, "paragraphs"])
 
-    schema = T.StructType([pages.schema[key], *(T.StructField(n, T.StringType()) for n in names)])
+    schema = T.StructType([pages.schema[key], *(T.StructField(n, T.StringType()) for n in names), T.StructField("paragraphs", T.LongType())])
     return pages.select(key, page).mapInArrow(run, schema)
 
 
@@ -143,41 +156,63 @@ def sample_counts(col: Column) -> tuple[Column, Column]:
 
 
 def parse_quantity(col: Column, units: Mapping[str, float], mode: str = "round") -> Column:
-    """A number with a unit to the base unit, rounded half to even (or up with `ceil`); null if it cannot be read."""
-    number = F.regexp_extract(col, r"(\d+(?:\.\d+)?)\s*([A-Za-z]+)", 1).try_cast("double")
-    unit = F.lower(F.regexp_extract(col, r"(\d+(?:\.\d+)?)\s*([A-Za-z]+)", 2))
+    """The first number that stands before one of the units, in the base unit, rounded half to even (or up with `ceil`); null if there is none."""
+    pattern = rf"(\d+(?:\.\d+)?)\s*({'|'.join(units)}){END}"
+    low = F.lower(col)
+    number, unit = F.regexp_extract(low, pattern, 1).try_cast("double"), F.regexp_extract(low, pattern, 2)
     scaled = F.lit(None).cast("double")
-    for pattern, factor in units.items():
-        scaled = F.when(unit.rlike(f"^(?:{pattern})$"), number * factor).otherwise(scaled)
+    for names, factor in units.items():
+        scaled = F.when(unit.rlike(f"^(?:{names})$"), number * factor).otherwise(scaled)
     return (F.ceil(scaled) if mode == "ceil" else F.bround(scaled)).cast("long")
 
 
-TIME_UNITS = {"ms|milliseconds?|msec": 1.0, "s|secs?|seconds?": 1000.0, "min|minutes?": 60_000.0}
+# Units in the order in which they are tried.
+TIME_UNITS = {"milliseconds?|msecs?|ms": 1.0, "seconds?|secs?|s": 1000.0}
+MEMORY_UNITS = {"megabytes?|mb|mib": 1.0, "gigabytes?|gb|gib": 1024.0, "kilobytes?|kb|kib": 1 / 1024}
 
 
 def parse_memory(col: Column) -> Column:
-    """Megabytes: kilobytes are rounded up, gigabytes are 1024."""
-    return F.coalesce(parse_quantity(col, {"kb|kilobytes?": 1 / 1024}, "ceil"), parse_quantity(col, {"mb|megabytes?": 1.0, "gb|gigabytes?": 1024.0}))
+    """Megabytes of the first size: kilobytes are rounded up, gigabytes are 1024."""
+    small = F.regexp_extract(F.lower(col), rf"\d+(?:\.\d+)?\s*({'|'.join(MEMORY_UNITS)}){END}", 1).startswith("k")
+    return F.when(small, parse_quantity(col, MEMORY_UNITS, "ceil")).otherwise(parse_quantity(col, MEMORY_UNITS))
+
+
+#: letters, digits and the underscore of any script, and the places where a word of them begins and ends
+WORD = r"[\p{L}\p{N}_]"
+BEGIN, END = rf"(?<!{WORD})", rf"(?!{WORD})"
 
 
 def keyword_flags(col: Column, keywords: Mapping[str, str] = KEYWORDS) -> dict[str, Column]:
     """A 0/1 flag per topic, whole words in any case."""
-    return {k: col.rlike(rf"(?iU)\b(?:{p})\b").cast("int") for k, p in keywords.items()}
+    return {k: col.rlike(rf"(?iu){BEGIN}(?:{p}){END}").cast("int") for k, p in keywords.items()}
 
 
-#: counter -> pattern; \b and \w are Unicode
+# Counter -> pattern.
 COUNTERS = {
-    "numbers": r"\d+(?:\.\d+)?", "integers": r"(?<![\d.])\d+(?![\d.]|\.\d)", "floats": r"\d+\.\d+", "inequalities": r"<=|>=|≤|≥|<|>", "maths": r"[+*/=^%≤≥≠×]",
-    "constraint_words": r"(?iU)\b(?:at most|at least|not exceed|constraints?|maximum|minimum)\b", "big_o": r"O\([^)]*\)", "uppercase": r"(?U)\b[A-Z]{2,}\b", "one_letter": r"(?U)\b[a-zA-Z]\b",
-    "latex": r"\\[a-zA-Z]+|\$[^$]+\$", "code": r"[{};]|\(\)|==|->",
+    "numbers": r"[-+]?\p{Nd}+(?:\.\p{Nd}+)?",
+    "floats": r"[-+]?\p{Nd}+\.\p{Nd}+",
+    "inequalities": r"<=|>=|<|>|≤|≥",
+    "maths": r"[+\-*/=^%]|<=|>=|≤|≥",
+    "constraint_words": rf"(?iu){BEGIN}(?:constraints?|limits?|integers?|positive|negative|at most|at least|sum){END}",
+    "big_o": rf"{BEGIN}O[\s\x0b\p{{Z}}]*\([^)]*\)",
+    "uppercase": rf"{BEGIN}[A-Z]{{2,}}{END}",
+    "one_letter": rf"{BEGIN}[A-Za-z]{END}",
+    "latex": r"\\[A-Za-z]+|\\[()\[\]]|\$[^$]+\$",
+    "code": rf"{BEGIN}[A-Za-z_]{WORD}*[\s\x0b\p{{Z}}]*\(|{BEGIN}{WORD}+\[[^\]]*\]|==|!=|<=|>=|::|->",
 }
+# What ends a line.
+BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
-def text_counters(col: Column) -> dict[str, Column]:
-    """Lengths and counts of a text; null counts as empty."""
+def text_counters(col: Column, paragraphs: Column | None = None) -> dict[str, Column]:
+    """Lengths and counts of a text; null counts as empty. Numbers take their sign along; integers are the numbers without a fraction;
+    words may hold apostrophes and hyphens. Paragraphs are the page's, 0 where none are given."""
     t = F.coalesce(col, F.lit(""))
-    out = {"n_chars": F.length(t), "n_words": F.regexp_count(t, F.lit(r"(?U)\b[\w'-]+\b")), "n_lines": F.when(t == "", 0).otherwise(F.regexp_count(t, F.lit("\n")) + 1), "n_paragraphs": F.when(F.trim(t) == "", 0).otherwise(F.regexp_count(t, F.lit(r"\n[ \t]*\n+")) + 1)}
-    return {k: v.cast("long") for k, v in (out | {f"n_{k}": F.regexp_count(t, F.lit(p)) for k, p in COUNTERS.items()}).items()}
+    count = lambda p: F.regexp_count(t, F.lit(p))
+    lines = count(f"\r\n|[{BREAKS}]") + F.when(t == "", 0).otherwise((F.instr(F.lit(BREAKS), F.substring(t, -1, 1)) == 0).cast("int"))
+    out = {"n_chars": F.length(t), "n_words": count(rf"['-]*{WORD}(?:{WORD}|['-])*"), "n_lines": lines, "n_paragraphs": F.coalesce(paragraphs, F.lit(0)) if paragraphs is not None else F.lit(0)}
+    out |= {f"n_{k}": count(p) for k, p in COUNTERS.items()}
+    return {k: v.cast("long") for k, v in (out | {"n_integers": out["n_numbers"] - out["n_floats"]}).items()}
 
 
 def section_lengths(sections: list[str]) -> dict[str, Column]:
@@ -221,26 +256,34 @@ class TfidfConfig:
 _ACCENTED, _PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
 
-def ngrams(col: Column) -> Column:
-    """Words of two or more letters and digits, lower case without accents, and their pairs."""
+def words(col: Column) -> Column:
+    """Words of two or more letters and digits, lower case without accents."""
     plain = F.translate(F.lower(F.coalesce(col, F.lit(""))), _ACCENTED, _PLAIN)
-    words = F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    return F.concat(words, pairs)
+    return F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+
+
+def ngrams(words: Column) -> Column:
+    """The words and their pairs. Give it a column that holds the words: it is read more than once."""
+    return F.concat(words, F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1))))
 
 
 def tfidf(df: DataFrame, key: str, col: str, train: Column, cfg: TfidfConfig = TfidfConfig()) -> DataFrame:
     """(key, term, weight) in long form: (1 + ln tf) * idf, unit length per document. Terms, their document frequencies and the vocabulary (by total
-    count, then term) come from the train rows only; idf = ln((1 + n) / (1 + df)) + 1. Whole texts are dealt by key, so that their many
-    terms are counted where they lie."""
-    texts = df.select(key, train.alias("_train"), F.col(col).alias("_text")).repartition(F.col(key))
-    counts = texts.select(key, "_train", F.explode(ngrams(F.col("_text"))).alias("term")).groupBy(key, "_train", "term").agg(F.count("*").alias("tf"))
+    count, then term) come from the train rows only; idf = ln((1 + n) / (1 + df)) + 1.
+
+    The vocabulary is counted where the texts lie: each text's terms, and once more its distinct ones, are summed per term before anything is
+    shuffled. Then whole texts are dealt by key, and only terms of the vocabulary are counted per document."""
+    terms = df.filter(train).select(words(F.col(col)).alias("_words")).select(ngrams(F.col("_words")).alias("_grams"))
+    both = F.concat(F.transform("_grams", lambda t: F.struct(t.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("tf"))), F.transform(F.array_distinct("_grams"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("tf"))))
+    terms = terms.select(F.inline(both)).groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("total"))
     n = df.filter(train).count()
-    terms = counts.filter("_train").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     terms = terms.filter((F.col("df") >= cfg.min_df) & (F.col("df") <= cfg.max_share * n)).orderBy(F.desc("total"), "term").limit(cfg.max_terms)
+    terms = terms.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
+    texts = df.select(key, F.col(col).alias("_text")).repartition(F.col(key)).select(key, words(F.col("_text")).alias("_words"))
     # at most max_terms rows
-    weighted = counts.join(F.broadcast(terms.withColumn("idf", F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).select("term", "idf")), "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    return weighted.select(key, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).alias("weight"))
+    found = texts.select(key, F.explode(ngrams(F.col("_words"))).alias("term")).join(F.broadcast(terms), "term")
+    counts = found.groupBy(key, "term", "idf").agg(F.count("*").alias("tf")).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    return counts.select(key, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).alias("weight"))
 
 
 def unescape_all(text: str) -> str:

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridra.operators.ranks import quantiles_by, with_quantiles
+from veridra.sources.workspace import stored
+
 
 def regression_metrics(df: DataFrame, y: str, yhat: str, by: list[str], bands: tuple[float, float] = (100, 200)) -> DataFrame:
     """(by..., n, mae, rmse, r2, within_1, within_2) in one pass; r2 is null below two rows or for a constant label."""
@@ -36,30 +39,34 @@ def array_frequency(df: DataFrame, col: str) -> DataFrame:
 
 def group_profile(df: DataFrame, by: list[str], y: str) -> DataFrame:
     """(by..., n, share, mean, median) of the label."""
-    total = df.count()
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(y).alias("mean"), F.percentile(y, 0.5).alias("median")).withColumn("share", F.col("n") / F.lit(float(max(total, 1))))
+    df = stored(df.select(*by, y))
+    rows = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(y).alias("mean")).withColumn("share", F.col("n") / F.lit(float(max(df.count(), 1))))
+    return with_quantiles(rows, df, by, y, {"median": 0.5})
 
 
 def banded_profile(df: DataFrame, col: str, width: int, popularity: str, tags: str) -> DataFrame:
     """(band, label, low, high, n, share, median_popularity, mean_tags) of left-closed bands."""
-    total = df.count()
-    band = (F.floor(F.col(col) / width) * width).cast("long")
-    rows = df.groupBy(band.alias("band")).agg(F.min(col).alias("low"), F.max(col).alias("high"), F.count("*").alias("n"), F.percentile(popularity, 0.5).alias("median_popularity"), F.avg(tags).alias("mean_tags"))
-    return rows.withColumn("share", F.col("n") / F.lit(float(max(total, 1)))).withColumn("label", F.concat(F.col("band").cast("string"), F.lit("-"), (F.col("band") + width - 1).cast("string")))
+    df = stored(df.select((F.floor(F.col(col) / width) * width).cast("long").alias("band"), F.col(col).alias("value"), F.col(popularity).alias("popularity"), F.col(tags).alias("tags")))
+    rows = df.groupBy("band").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"), F.avg("tags").alias("mean_tags"))
+    rows = rows.withColumn("share", F.col("n") / F.lit(float(max(df.count(), 1)))).withColumn("label", F.concat(F.col("band").cast("string"), F.lit("-"), (F.col("band") + width - 1).cast("string")))
+    return with_quantiles(rows, df, ["band"], "popularity", {"median_popularity": 0.5})
 
 
 def quantiles(df: DataFrame, col: str, qs: list[float], approximate: int | None = None) -> DataFrame:
-    """(q, value): exact with linear interpolation, or approximate with the given accuracy for tables where the values' count is large."""
-    found = F.percentile_approx(col, qs, approximate) if approximate else F.percentile(F.col(col).cast("double"), F.array(*map(F.lit, qs)))
-    return df.agg(found.alias("v")).select(F.posexplode("v").alias("i", "value")).select(F.element_at(F.array(*map(F.lit, qs)), F.col("i") + 1).alias("q"), "value")
+    """(q, value): exact with linear interpolation, or approximate with the given accuracy."""
+    if approximate:
+        found = df.agg(F.percentile_approx(col, qs, approximate).alias("v"))
+    else:
+        names = {f"q{i}": q for i, q in enumerate(qs)}
+        found = quantiles_by(stored(df.select(col)), [], col, names).select(F.array(*names).alias("v"))
+    return found.select(F.posexplode("v").alias("i", "value")).select(F.element_at(F.array(*map(F.lit, qs)), F.col("i") + 1).alias("q"), "value")
 
 
 def describe_long(df: DataFrame, cols: list[str]) -> DataFrame:
     """(feature, n, mean, median, p75, p90, p95, p99, max)."""
-    long = df.select(*(F.col(c).cast("double").alias(c) for c in cols)).unpivot([], cols, "feature", "value").dropna(subset=["value"])
-    p = F.percentile("value", F.array(*map(F.lit, (0.5, 0.75, 0.9, 0.95, 0.99))))
-    rows = long.groupBy("feature").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), p.alias("p"), F.max("value").alias("max"))
-    return rows.select("feature", "n", "mean", *(F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("median", "p75", "p90", "p95", "p99"))), "max")
+    long = stored(df.select(*(F.col(c).cast("double").alias(c) for c in cols)).unpivot([], cols, "feature", "value").dropna(subset=["value"]))
+    rows = long.groupBy("feature").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("max"))
+    return with_quantiles(rows, long, ["feature"], "value", {"median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99})
 
 
 def split_sizes(split: DataFrame, group: str, by: list[str]) -> DataFrame:
@@ -87,15 +94,15 @@ def correlations(df: DataFrame, y: str, xs: list[str], by: str) -> DataFrame:
 
 def drift(df: DataFrame, cols: list[str], part: str, by: list[str]) -> DataFrame:
     """(by..., feature, train_*, test_*, differences, smd): standardised by the mean of the population variances; null if that is 0."""
-    long = df.select(*by, part, *(F.col(c).cast("double").alias(c) for c in cols)).unpivot([*by, part], cols, "feature", "value")
-    aggs = []
-    for s in ("train", "test"):
-        v = F.when(F.col(part) == s, F.col("value"))
-        aggs += [F.avg(v).alias(f"{s}_mean"), F.percentile(v, 0.5).alias(f"{s}_median"), F.percentile(v, 0.9).alias(f"{s}_p90"), F.var_pop(v).alias(f"_{s}_var")]
-    rows = long.groupBy(*by, "feature").agg(*aggs)
-    sd = F.sqrt((F.col("_train_var") + F.col("_test_var")) / 2)
+    long = stored(df.select(*by, part, *(F.col(c).cast("double").alias(c) for c in cols)).unpivot([*by, part], cols, "feature", "value"))
+    keys = [*by, "feature", part]
+    rows = long.groupBy(*keys).agg(F.avg("value").alias("mean"), F.var_pop("value").alias("var"))
+    rows = with_quantiles(rows, long, keys, "value", {"median": 0.5, "p90": 0.9})
+    side = lambda s, m: F.max(F.when(F.col(part) == s, F.col(m))).alias(f"{s}_{m}")
+    rows = rows.groupBy(*by, "feature").agg(*(side(s, m) for s in ("train", "test") for m in ("mean", "median", "p90", "var")))
+    sd = F.sqrt((F.col("train_var") + F.col("test_var")) / 2)
     diff = {f"{m}_diff": F.col(f"test_{m}") - F.col(f"train_{m}") for m in ("mean", "median", "p90")}
-    return rows.withColumns(diff).withColumn("smd", F.when(sd > 0, F.col("mean_diff") / sd)).drop("_train_var", "_test_var")
+    return rows.withColumns(diff).withColumn("smd", F.when(sd > 0, F.col("mean_diff") / sd)).drop("train_var", "test_var")
 
 
 def coverage(df: DataFrame, split: str, group: str, time: str, parsed: str) -> DataFrame:
@@ -155,7 +162,9 @@ def histogram(df: DataFrame, col: str, bins: int, transform: str | None = None,
     if transform == "log1p":
         values = values.filter("v >= 0").select(F.log1p("v").alias("v"))
     if clip is not None:
-        limit = values.agg(F.percentile("v", clip)).first()[0]
+        values = stored(values)
+        found = quantiles_by(values, [], "v", {"limit": clip}).first()
+        limit = found and found.limit
         values = values.select(F.least("v", F.lit(limit)).alias("v"))
     lo, hi = values.agg(F.min("v"), F.max("v")).first()
     if lo is None:
@@ -167,17 +176,25 @@ def histogram(df: DataFrame, col: str, bins: int, transform: str | None = None,
 
 def box_stats(df: DataFrame, by: list[str], col: str) -> DataFrame:
     """(by..., n, min, q1, median, q3, max)."""
-    rows = df.groupBy(*by).agg(F.count(col).alias("n"), F.percentile(col, F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("p"))
-    return rows.select(*by, "n", *(F.get("p", F.lit(i)).alias(c) for i, c in enumerate(("min", "q1", "median", "q3", "max"))))
+    df = stored(df.select(*by, col))
+    rows = df.groupBy(*by).agg(F.count(col).alias("n"), F.min(col).alias("min"), F.max(col).alias("max"))
+    return with_quantiles(rows, df, by, col, {"q1": 0.25, "median": 0.5, "q3": 0.75})
 
 
 def manifest_summary(manifest: DataFrame, kinds: list[str]) -> DataFrame:
-    """One row: entries, bytes, a count per kind with zeros, and a digest of the sorted entries' digests.
+    """One row: entries, bytes, a count per kind with zeros, and a digest of all entries, whatever their order.
 
-    The digest is of per-bucket digests (256 buckets by the path's hash), so no task gathers all entries of a large tree."""
+    The digest is the root of a tree: entries are digested in groups by their own hash's first digits, groups in groups of 256 by fewer
+    digits, so that no task gathers more than some hundred of them."""
     line = F.concat_ws("\t", "relative_path", "sha256", F.col("size_bytes").cast("string"), "kind")
-    parts = manifest.groupBy(F.substring(F.md5("relative_path"), 1, 2).alias("b")).agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"), *(F.count_if(F.col("kind") == k).alias(k) for k in kinds), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("d"))
-    return parts.agg(F.sum("n").alias("entries"), F.sum("bytes").alias("bytes"), *(F.sum(k).alias(k) for k in kinds), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"))
+    totals = manifest.agg(F.count("*").alias("entries"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"), *(F.count_if(F.col("kind") == k).alias(k) for k in kinds))
+    digits, n = 0, manifest.count()
+    while n > 256 ** (digits // 2 + 1):
+        digits += 2
+    level = manifest.select(F.sha2(line, 256).alias("d")).withColumn("at", F.col("d"))
+    for k in range(digits, -1, -2):
+        level = level.groupBy(F.substring("at", 1, k).alias("at")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "\n"), 256).alias("d"))
+    return totals.withColumn("digest", F.lit((level.first() or [None, None])[1]))
 
 
 def word_count(col: Column) -> Column:

@@ -8,11 +8,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veridra.operators.ranks import quantiles_by
+from veridra.sources.workspace import stored
+
 
 def mean_model(df: DataFrame, y: str, split: str = "split_name", by: list[str] | None = None) -> DataFrame:
     """Add `predicted`: the train mean of y, within `by`."""
@@ -21,13 +24,6 @@ def mean_model(df: DataFrame, y: str, split: str = "split_name", by: list[str] |
     return df.join(means, by, "left") if by else df.withColumn("predicted", F.lit(means.first()[0]))
 
 
-def group_mean_model(df: DataFrame, y: str, x: str, by: list[str], split: str = "split_name") -> DataFrame:
-    """Add `predicted`: the train mean of y among rows of equal x, within `by`; the whole train mean where x is new."""
-    train = df.filter(F.col(split) == "train")
-    own = train.groupBy(*by, x).agg(F.avg(y).alias("_own"))
-    return mean_model(df, y, split, by).join(own, [*by, x], "left").withColumn("predicted", F.coalesce("_own", "predicted")).drop("_own")
-
-
 @dataclass(frozen=True)
 class Gram:
     """Sums of a table: rows, sums and products of (features..., label), about a fixed shift that keeps them well scaled."""
@@ -43,7 +39,7 @@ class Gram:
 
 
 def grams(df: DataFrame, features: list[str], y: str, by: str) -> dict[str, Gram]:
-    """One Gram per value of `by`, in one pass: each partition emits one row of partial sums per value, the driver adds d*d numbers."""
+    """One Gram per value of `by` (as text), in one pass: each partition emits one row of partial sums per value, the driver adds d*d numbers."""
     names = [*features, y]
     shift = np.array([v or 0.0 for v in df.agg(*(F.avg(F.col(c).cast("double")) for c in names)).first()])
     d = len(names)
@@ -64,7 +60,7 @@ def grams(df: DataFrame, features: list[str], y: str, by: str) -> dict[str, Gram
             names=["k", "n", "s", "p"],
         )
 
-    rows = df.select(F.col(by).alias("k"), *(F.col(c).cast("double") for c in names)).mapInArrow(run, "k string, n double, s array<double>, p array<double>")
+    rows = df.select(F.col(by).cast("string").alias("k"), *(F.col(c).cast("double") for c in names)).mapInArrow(run, "k string, n double, s array<double>, p array<double>")
     merged = rows.groupBy("k").agg(
         F.sum("n").alias("n"),
         *(F.sum(F.get("s", F.lit(i))).alias(f"s{i}") for i in range(d)),
@@ -115,6 +111,10 @@ class ModelSpec:
     estimator: Callable[[str, str], Estimator]
 
 
+def least_squares() -> Callable[[str, str], Estimator]:
+    return lambda x, y: LinearRegression(featuresCol=x, labelCol=y, predictionCol="predicted", solver="normal")
+
+
 def random_forest(trees: int = 100, depth: int = 8, seed: int = 42) -> Callable[[str, str], Estimator]:
     return lambda x, y: RandomForestRegressor(featuresCol=x, labelCol=y, predictionCol="predicted", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=seed)
 
@@ -123,31 +123,45 @@ def gradient_boosting(iterations: int = 160, rate: float = 0.06, depth: int = 4,
     return lambda x, y: GBTRegressor(featuresCol=x, labelCol=y, predictionCol="predicted", maxIter=iterations, stepSize=rate, maxDepth=depth, seed=seed)
 
 
-def preprocessor(df: DataFrame, features: list[str], out: str = "x") -> Pipeline:
-    """Median for missing numbers, then standardised; texts one-hot, unknown ones all zero. Everything is fitted with the pipeline, on train."""
-    text = [c for c in features if dict(df.dtypes)[c] == "string"]
+#: the category of a text that is not there
+MISSING = "__missing__"
+
+
+def preprocessor(train: DataFrame, features: list[str], out: str = "x") -> Pipeline:
+    """Missing numbers become their median, then all are standardised by mean and population deviation (constant ones become 0); texts one-hot, a
+    missing one as a category of its own, unknown ones all zero. Medians, means and deviations are those of `train`, exact, and so are the
+    categories once the pipeline is fitted on it. `train` is read several times; give it stored."""
+    text = [c for c in features if dict(train.dtypes)[c] == "string"]
     numbers = [c for c in features if c not in text]
-    stages: list = []
-    parts: list[str] = []
+    made: list[str] = []
     if numbers:
-        stages += [Imputer(strategy="median", inputCols=numbers, outputCols=[f"_{c}_filled" for c in numbers]), VectorAssembler(inputCols=[f"_{c}_filled" for c in numbers], outputCol="_numbers"), StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True)]
-        parts.append("_scaled")
+        long = stored(train.select(*(F.col(c).cast("double").alias(c) for c in numbers)).unpivot([], numbers, "feature", "v"))
+        median = {r.feature: r.median for r in quantiles_by(long, ["feature"], "v", {"median": 0.5}).collect()}  # a row per feature
+        filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(median.get(c, 0.0))) for c in numbers}
+        facts = train.agg(*(f(v).alias(f"{n}_{c}") for c, v in filled.items() for n, f in (("mean", F.avg), ("sd", F.stddev_pop)))).first()
+        scale = lambda c: f"(coalesce(CAST(`{c}` AS double), {median.get(c, 0.0)!r}D) - ({facts[f'mean_{c}'] or 0.0!r}D)) / {facts[f'sd_{c}'] or 1.0!r}D AS `_{c}_scaled`"
+        made += map(scale, numbers)
+    made += [f"coalesce(`{c}`, '{MISSING}') AS `_{c}_filled`" for c in text]
+    stages: list = [SQLTransformer(statement=f"SELECT *, {', '.join(made)} FROM __THIS__")]
+    parts = [f"_{c}_scaled" for c in numbers]
     if text:
-        stages += [StringIndexer(inputCols=text, outputCols=[f"_{c}_index" for c in text], handleInvalid="keep"), OneHotEncoder(inputCols=[f"_{c}_index" for c in text], outputCols=[f"_{c}_hot" for c in text], dropLast=True)]
+        stages += [StringIndexer(inputCols=[f"_{c}_filled" for c in text], outputCols=[f"_{c}_index" for c in text], handleInvalid="keep"), OneHotEncoder(inputCols=[f"_{c}_index" for c in text], outputCols=[f"_{c}_hot" for c in text], dropLast=True)]
         parts += [f"_{c}_hot" for c in text]
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=parts, outputCol=out)])
 
 
 def evaluate_grid(df: DataFrame, specs: list[ModelSpec], y: str, keys: list[str], split: str = "split_name") -> DataFrame:
-    """Long predictions (keys..., split, model_name, actual, predicted) of every spec, fitted on train. The frame is cached for the fits;
+    """Long predictions (keys..., split, model_name, actual, predicted) of every spec, fitted on train. The frame is written once for the fits;
     metrics of all models are one grouped job over the union."""
-    df = df.withColumns({c: F.col(c).cast("double") for s in specs for c in s.features if dict(df.dtypes)[c] != "string"}).cache()
+    kinds, used = dict(df.dtypes), list(dict.fromkeys(c for s in specs for c in s.features))
+    rows = stored(df.select(*keys, split, F.col(y).cast("double").alias("_y"), *(F.col(c) if kinds[c] == "string" else F.col(c).cast("double").alias(c) for c in used)))
+    train = rows.filter(F.col(split) == "train")
     out = None
     for s in specs:
-        prepared = preprocessor(df, list(s.features)).fit(df.filter(F.col(split) == "train"))
-        rows = prepared.transform(df)
-        model = s.estimator("x", y).fit(rows.filter(F.col(split) == "train"))
-        one = model.transform(rows).select(*keys, split, F.lit(s.name).alias("model_name"), F.col(y).alias("actual"), "predicted")
+        prepared = preprocessor(train, list(s.features)).fit(train)
+        ready = prepared.transform(rows)
+        model = s.estimator("x", "_y").fit(prepared.transform(train))
+        one = model.transform(ready).select(*keys, split, F.lit(s.name).alias("model_name"), F.col("_y").alias("actual"), "predicted")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -168,3 +182,17 @@ def predict_sets(df: DataFrame, gram: Gram, sets: Mapping[str, list[str]], alpha
     """Long predictions (keys..., setting, actual, predicted) of refitted settings."""
     solved = F.array(*(F.struct(F.lit(s).alias("setting"), linear(*ridge(gram, f, alphas[s])).alias("predicted")) for s, f in sets.items()))
     return df.select(*keys, F.col(y).alias("actual"), F.explode(solved).alias("p")).select(*keys, "p.setting", "actual", "p.predicted")
+
+
+def predict_by(df: DataFrame, grams: Mapping[str, Gram], by: str, sets: Mapping[str, list[str]], alpha: float, keys: list[str], y: str) -> DataFrame:
+    """Long predictions (keys..., model_name, actual, predicted) of a ridge model per set and value of `by`, each fitted on its own sums. A set
+    without features is the mean. Rows of other values have null predictions."""
+
+    def predicted(features: list[str]) -> Column:
+        out = F.lit(None).cast("double")
+        for value, g in grams.items():
+            out = F.when(F.col(by).cast("string") == value, linear(*ridge(g, features, alpha))).otherwise(out)
+        return out
+
+    solved = F.array(*(F.struct(F.lit(s).alias("model_name"), predicted(f).alias("predicted")) for s, f in sets.items()))
+    return df.select(*keys, F.col(y).alias("actual"), F.explode(solved).alias("p")).select(*keys, "p.model_name", "actual", "p.predicted")

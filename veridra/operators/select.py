@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridra.operators.checks import assert_finite, assert_unique
+from veridra.operators.ranks import numbered, quantiles_by
+from veridra.sources.workspace import stored
 
 
 def check_metrics(metrics: DataFrame, group: list[str], candidate: str, metric: str) -> DataFrame:
@@ -64,8 +66,11 @@ def argmax_group(df: DataFrame, by: list[str], name: str, value: str) -> DataFra
 
 def mismatch(df: DataFrame, y: str, x: str, q: float, k: int, keys: list[str]) -> DataFrame:
     """(quadrant, rank, keys..., y, x): rows that are extreme in both, k per quadrant, the most extreme x first, then y, then key."""
-    cut = F.percentile(y, F.array(F.lit(1 - q), F.lit(q))), F.percentile(x, F.array(F.lit(1 - q), F.lit(q)))
-    (ylo, yhi), (xlo, xhi) = df.agg(cut[0], cut[1]).first()  # four numbers
+    df = stored(df.select(*keys, y, x))
+    cuts = {c: quantiles_by(df, [], c, {"lo": 1 - q, "hi": q}).first() for c in (y, x)}  # four numbers
+    if None in cuts.values():
+        return df.limit(0).select(F.lit("").alias("quadrant"), F.lit(0).alias("rank"), *keys, y, x)
+    (ylo, yhi), (xlo, xhi) = ((cuts[c].lo, cuts[c].hi) for c in (y, x))
     side = lambda c, lo, hi: F.when(F.col(c) >= hi, "high").when(F.col(c) <= lo, "low")
     rows = df.withColumn("_y", side(y, ylo, yhi)).withColumn("_x", side(x, xlo, xhi)).filter("_y is not null and _x is not null")
     sign = lambda s: F.when(F.col(s) == "high", -1.0).otherwise(1.0)
@@ -97,15 +102,16 @@ def cluster_bootstrap(df: DataFrame, keys: list[str], cluster: str, setting: str
     drawn with replacement. Rows that lack one of the settings are an error.
 
     Draw `slot` of replicate `rep` is the first 32 bits of md5(seed:rep:slot) modulo the clusters, so any engine repeats it. Replicates
-    and slots are spread over tasks, and each joins the clusters' sums, a row per cluster, by number.
+    and slots are spread over tasks, and each joins the clusters' sums, a row per cluster, by number. The interval is read off `reps` numbers.
     """
     a, b = (F.sum(F.when(F.col(setting) == s, F.col(error))) for s in pair)
     counts = df.filter(F.col(setting).isin(*pair)).groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct(setting).alias("s"))
     if counts.filter("n <> 2 or s <> 2").limit(1).count():
         raise ValueError("rows are not paired")
     sums = df.groupBy(cluster).agg(a.alias("a"), b.alias("b"), F.count_if(F.col(setting) == pair[0]).alias("n"))
-    sums = sums.withColumn("c", F.row_number().over(Window.orderBy(cluster)) - 1)  # a row per cluster
-    clusters, total_a, total_b, total = sums.agg(F.count("*"), F.sum("a"), F.sum("b"), F.sum("n")).first()
+    sums, clusters = numbered(sums, [F.col(cluster)], "c")
+    sums = stored(sums.withColumn("c", F.col("c") - 1), "clusters")
+    total_a, total_b, total = sums.agg(F.sum("a"), F.sum("b"), F.sum("n")).first()
     draws = df.sparkSession.range(reps * clusters).select(F.floor(F.col("id") / clusters).alias("rep"), (F.col("id") % clusters).alias("slot"))
     text = F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("slot").cast("string"))
     draws = draws.withColumn("c", F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % clusters)
@@ -118,10 +124,11 @@ def cluster_bootstrap(df: DataFrame, keys: list[str], cluster: str, setting: str
 
 def residual_interval(df: DataFrame, y: str, yhat: str, share: float = 0.8, least: int = 2, fallback: float = 250.0) -> DataFrame:
     """One row (mean_residual, half_width, fallback): the absolute residuals' mean and quantile; a named fallback width for too few rows."""
-    r = F.abs(F.col(yhat) - F.col(y))
-    rows = df.agg(F.avg(r).alias("mean_residual"), F.percentile(r, share).alias("half_width"), F.count("*").alias("n"))
+    df = stored(df.select(F.abs(F.col(yhat) - F.col(y)).alias("r")))
+    rows = df.agg(F.avg("r").alias("mean_residual"), F.count("*").alias("n"))
+    width = quantiles_by(df, [], "r", {"width": share}).first()  # one number
     few = F.col("n") < least
-    return rows.select("mean_residual", F.when(few, fallback).otherwise(F.col("half_width")).alias("half_width"), few.alias("fallback"))
+    return rows.select("mean_residual", F.when(few, fallback).otherwise(F.lit(width and width.width)).alias("half_width"), few.alias("fallback"))
 
 
 def prediction_range(predicted: Column, half_width: Column, low: float = 800, high: float = 3500, least: float = 50) -> tuple[Column, Column, Column]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veridra.operators.ranks import numbered
+
 NAMES = ("train", "valid", "test")
 SCALE = 10_000
 
@@ -34,9 +36,8 @@ def partition_counts(n: Column, ratios: tuple[float, float, float]) -> list[Colu
 
 def _cut(keys: DataFrame, order: list[Column], ratios: tuple[float, float, float]) -> DataFrame:
     """Name the split of every row of `keys`, in the given order. Only distinct groups or instants come here, not items."""
-    n = keys.count()
+    ranked, n = numbered(keys, order, "_rank")
     a, b, _ = keys.sparkSession.range(1).select(*partition_counts(F.lit(n), ratios)).first() if n else (0, 0, 0)
-    ranked = keys.withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
     fold = F.when(F.col("_rank") <= a, 0).when(F.col("_rank") <= a + b, 1).otherwise(2)
     return ranked.withColumn("fold", fold).withColumn("split_name", F.element_at(F.array(*map(F.lit, NAMES)), F.col("fold") + 1)).drop("_rank")
 
@@ -93,12 +94,11 @@ def group_times(df: DataFrame, group: str, time: str) -> DataFrame:
 def rolling_folds(times: DataFrame, group: str, time: str, shares: list[float], test: float) -> DataFrame:
     """(fold, group, part): expanding training windows over groups in time order, each followed by its test window. Bounds are rounded
     half to even; each side has one group at least. The folds are a small literal table that ranks are compared with."""
-    n = times.count()
+    ranked, n = numbered(times, [F.col(time), F.col(group)], "rk")
     bounds = []
     for i, share in enumerate(shares):
         a = min(max(1, round(n * share)), n - 1)
         bounds.append((i + 1, a, min(n, max(a + 1, round(n * (share + test))))))
-    ranked = times.select(group, F.row_number().over(Window.orderBy(time, group)).alias("rk"))
     folds = F.array(*(F.struct(F.lit(f).alias("fold"), F.lit(a).alias("a"), F.lit(b).alias("b")) for f, a, b in bounds))
     spread = ranked.select(group, "rk", F.explode(F.filter(folds, lambda f: F.col("rk") <= f["b"])).alias("f"))
     return spread.select(F.col("f.fold").alias("fold"), group, F.when(F.col("rk") <= F.col("f.a"), "train").otherwise("test").alias("part"))

@@ -62,15 +62,19 @@ VIEWS = {
                              FROM (SELECT group_id, row_number() OVER (ORDER BY md5('42:' || group_id), group_id) AS rk, count(*) OVER () AS n FROM (SELECT DISTINCT group_id FROM model)))) t USING (group_id)""",
     # Predictions of models that SQL can fit: the train mean, and train means by a column.
     "joined": """
-    SELECT m.*, s.strategy, s.split_name FROM model m JOIN (SELECT 'forward' AS strategy, * FROM time_split UNION ALL SELECT 'grouped', * FROM group_split) s USING (group_id, line_no)""",
-    "means": """
-    SELECT strategy, avg(label) AS p FROM joined WHERE split_name = 'train' GROUP BY 1""",
+    SELECT m.*, s.strategy, s.split_name FROM aged m JOIN (SELECT 'forward' AS strategy, * FROM time_split UNION ALL SELECT 'grouped', * FROM group_split) s USING (group_id, line_no)""",
+    # Sums from which the coefficients of ridge models with one or two features follow; the penalty 1 is on standardised inputs.
+    "sums": """
+    SELECT strategy, avg(label) AS my, avg(index_rank) AS m1, avg(log_popularity) AS m2, avg(log_per_day) AS m3,
+           var_pop(index_rank) * (1 + 1.0::double / count(*)) AS a1, var_pop(log_popularity) * (1 + 1.0::double / count(*)) AS a2, var_pop(log_per_day) * (1 + 1.0::double / count(*)) AS a3,
+           covar_pop(index_rank, log_popularity) AS c2, covar_pop(index_rank, log_per_day) AS c3, covar_pop(label, index_rank) AS y1, covar_pop(label, log_popularity) AS y2, covar_pop(label, log_per_day) AS y3
+    FROM joined WHERE split_name = 'train' GROUP BY 1""",
     "predictions": """
-    SELECT strategy, 'mean' AS model_name, split_name, group_id, line_no, item_code, start_time, label AS actual, p AS predicted FROM joined JOIN means USING (strategy)
-    UNION ALL SELECT j.strategy, 'rank_mean', j.split_name, group_id, line_no, item_code, start_time, label, coalesce(q, p)
-    FROM joined j JOIN means USING (strategy) LEFT JOIN (SELECT strategy, index_rank, avg(label) AS q FROM joined WHERE split_name = 'train' GROUP BY 1, 2) USING (strategy, index_rank)
-    UNION ALL SELECT j.strategy, 'popularity_mean', j.split_name, group_id, line_no, item_code, start_time, label, coalesce(q, p)
-    FROM joined j JOIN means USING (strategy) LEFT JOIN (SELECT strategy, popularity, avg(label) AS q FROM joined WHERE split_name = 'train' GROUP BY 1, 2) USING (strategy, popularity)""",
+    SELECT strategy, model_name, split_name, group_id, line_no, item_code, start_time, label AS actual, my + CASE model_name WHEN 'mean' THEN 0
+      WHEN 'rank' THEN (index_rank - m1) * y1 / a1 WHEN 'popularity' THEN (log_popularity - m2) * y2 / a2
+      WHEN 'full' THEN (index_rank - m1) * (y1 * a2 - y2 * c2) / (a1 * a2 - c2 * c2) + (log_popularity - m2) * (y2 * a1 - y1 * c2) / (a1 * a2 - c2 * c2)
+      ELSE (index_rank - m1) * (y1 * a3 - y3 * c3) / (a1 * a3 - c3 * c3) + (log_per_day - m3) * (y3 * a1 - y1 * c3) / (a1 * a3 - c3 * c3) END AS predicted
+    FROM joined JOIN sums USING (strategy), (VALUES ('mean'), ('rank'), ('popularity'), ('full'), ('full_aged')) v(model_name)""",
     "metrics": """
     SELECT strategy, model_name, split_name, count(*) AS n, avg(abs(predicted - actual)) AS mae, sqrt(avg((predicted - actual) ** 2)) AS rmse,
            1 - sum((predicted - actual) ** 2) / (var_pop(actual) * count(*)) AS r2,

@@ -46,24 +46,20 @@ def _(spark, d):
 
 @query("hash_manifest_check", "SELECT 'altered' AS relative_path, 'sha256' AS problem UNION ALL SELECT 'gone', 'missing'")
 def _(spark, d):
-    """Artifacts written as files are listed, then checked against what lies there now."""
+    """Artifacts written as files, of some megabytes each, are listed, then checked against what lies there now."""
     path = new_path(spark, "artifacts")
-    A.pages(spark, d).select("html").repartition(4).write.text(path, lineSep="\n")
+    pages = A.pages(spark, d).select("html")
+    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    pages.repartition(max(4, -(-size // (16 * 2**20)))).write.text(path, lineSep="\n")
     found = S.files_below(spark, path, "part-*").withColumn("name", F.element_at(F.split("path", "/"), -1))
     now = S.content_manifest(found, "name", "content")
-    first = F.min("relative_path").over(_one_window())
+    first = now.agg(F.min("relative_path")).first()[0]
     listed = now.withColumn("altered", F.col("relative_path") == first).withColumn("sha256", F.when(F.col("altered"), "0").otherwise(F.col("sha256")))
     gone = listed.filter("altered").withColumn("relative_path", F.lit("gone"))
     diff = K.manifest_diff(listed.union(gone).drop("altered"), now)
     return diff.withColumn("relative_path", F.when(F.col("relative_path") == "gone", "gone").otherwise("altered"))
 
 
-def _one_window():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))  # four files
-
-
 @query("fingerprint_column", "SELECT group_id, line_no, sha256('ratios=70/15/15;seed=42') AS config_fingerprint FROM items")
 def _(spark, d):
     import hashlib

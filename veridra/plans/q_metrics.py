@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veridra.operators import joins as J
 from veridra.operators import metrics as M
 from veridra.operators import normalize as N
+from veridra.operators.ranks import quantiles_by
 from veridra.plans.base import query
 from veridra.plans.q_models import BANDS, FIGURES, ROUNDED, both_splits, forward_split, metrics, predictions, rounded, stored
 from veridra.plans.q_tables import BOUNDS, BUCKET_SQL, BUCKETS, TERMS
@@ -33,10 +34,10 @@ def _(spark, d):
 def test_errors(spark, d):
     """Test errors of the rank means with item features."""
     features = A.model_table(spark, d).select(*A.KEYS, "index_rank", "tags")
-    return J.enrich_predictions(predictions(spark, d).filter("model_name = 'rank_mean' and split_name = 'test'"), features, A.KEYS)
+    return J.enrich_predictions(predictions(spark, d).filter("model_name = 'rank' and split_name = 'test'"), features, A.KEYS)
 
 
-ERRORS = "(SELECT p.*, abs(predicted - actual) AS absolute_error, index_rank, tags FROM predictions p JOIN (SELECT group_id, line_no, index_rank, tags FROM model) USING (group_id, line_no) WHERE model_name = 'rank_mean' AND split_name = 'test')"
+ERRORS = "(SELECT p.*, abs(predicted - actual) AS absolute_error, index_rank, tags FROM predictions p JOIN (SELECT group_id, line_no, index_rank, tags FROM model) USING (group_id, line_no) WHERE model_name = 'rank' AND split_name = 'test')"
 
 
 @query("error_by_tag", f"SELECT strategy, term, count(*) AS n, round(avg(absolute_error), 4) AS mean_error FROM (SELECT strategy, absolute_error, unnest(tags) AS term FROM {ERRORS}) GROUP BY 1, 2 HAVING count(*) >= 30")
@@ -80,10 +81,12 @@ def _(spark, d):
 @query("dataset_summary", """SELECT count(*) AS n, count(DISTINCT group_id) AS n_groups, min(label) AS label_min, max(label) AS label_max, round(avg(label), 3) AS label_mean, round(median(label), 3) AS label_median, count(*) FILTER (popularity_missing = 1) AS no_popularity,
   round(quantile_cont(popularity, 0.9), 3) AS p90, round(quantile_cont(popularity, 0.99), 3) AS p99, (SELECT string_agg(term, ',' ORDER BY n DESC, term) FROM (SELECT term, count(*) AS n FROM (SELECT unnest(tags) AS term FROM model) GROUP BY 1 ORDER BY n DESC, term LIMIT 3)) AS top_tags FROM model""")
 def _(spark, d):
-    rows = A.model_table(spark, d)
+    rows = stored(A.model_table(spark, d).select("group_id", "label", "popularity", "popularity_missing", "tags"))
     top = M.array_frequency(rows, "tags").orderBy(F.desc("n"), "term").limit(3).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "term"))), lambda x: x["term"]), ",").alias("top_tags"))
-    numbers = rows.agg(F.count("*").alias("n"), F.count_distinct("group_id").alias("n_groups"), F.min("label").alias("label_min"), F.max("label").alias("label_max"), F.round(F.avg("label"), 3).alias("label_mean"), F.round(F.percentile("label", 0.5), 3).alias("label_median"), F.count_if(F.col("popularity_missing") == 1).alias("no_popularity"), *(F.round(F.percentile("popularity", q), 3).alias(n) for n, q in (("p90", 0.9), ("p99", 0.99))))
-    return numbers.withColumn("top_tags", F.lit(top.first()[0]))
+    numbers = rows.agg(F.count("*").alias("n"), F.count_distinct("group_id").alias("n_groups"), F.min("label").alias("label_min"), F.max("label").alias("label_max"), F.round(F.avg("label"), 3).alias("label_mean"), F.count_if(F.col("popularity_missing") == 1).alias("no_popularity"))
+    label, popularity = quantiles_by(rows, [], "label", {"median": 0.5}).first(), quantiles_by(rows, [], "popularity", {"p90": 0.9, "p99": 0.99}).first()
+    made = {"label_median": label.median, "p90": popularity.p90, "p99": popularity.p99}
+    return numbers.withColumns({k: F.round(F.lit(v), 3) for k, v in made.items()}).withColumn("top_tags", F.lit(top.first()[0]))
 
 
 @query("split_sizes", "SELECT strategy, split_name, count(*) AS n, count(DISTINCT group_id) AS n_groups FROM joined GROUP BY 1, 2")

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pyspark.sql.functions as F
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 
 from veridra.operators import joins as J
@@ -14,8 +13,7 @@ from veridra.operators import splits as P
 from veridra.operators.select import residual_interval, validation_ranked
 from veridra.plans.base import query
 from veridra.sources import adapters as A
-from veridra.sources import files as S
-from veridra.sources.workspace import new_path
+from veridra.sources.workspace import stored
 
 RATIOS = (0.7, 0.15, 0.15)
 SEED = 42
@@ -23,30 +21,27 @@ BANDS = (10_000, 20_000)
 
 
 def both_splits(spark, d) -> DataFrame:
-    """The model table once per strategy, with its split."""
-    rows = stored(A.model_table(spark, d))
+    """The model table with ages once per strategy, with its split."""
+    rows = stored(A.aged(spark, d))
     forward = P.time_split(rows, "start_time", RATIOS).withColumn("strategy", F.lit("forward"))
     grouped = P.group_split(rows, "group_id", RATIOS, SEED).withColumn("strategy", F.lit("grouped"))
     return stored(forward.unionByName(grouped))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """A stage's table, written and read back: what builds on it several times scans it instead of running the stage again."""
-    return S.sink(df, new_path(df.sparkSession, "stage"))
-
-
 def forward_split(spark, d) -> DataFrame:
     """The model table with its forward split, stored."""
     return stored(P.time_split(stored(A.model_table(spark, d)), "start_time", RATIOS))
 
 
+#: feature sets of the studies' ridge models; the last one has popularity by age
+SETS = {"mean": [], "rank": ["index_rank"], "popularity": ["log_popularity"], "full": ["index_rank", "log_popularity"], "full_aged": ["index_rank", "log_per_day"]}
+
+
 def predictions(spark, d) -> DataFrame:
-    """Long predictions of the train mean and of train means by rank and by popularity."""
+    """Long predictions of a ridge model per feature set and strategy, all from one pass of sums over the train rows."""
     rows = both_splits(spark, d)
-    by = ["strategy"]
-    fits = {"mean": R.mean_model(rows, "label", by=by), "rank_mean": R.group_mean_model(rows, "label", "index_rank", by), "popularity_mean": R.group_mean_model(rows, "label", "popularity", by)}
-    cols = ["strategy", "model_name", "split_name", "group_id", "line_no", "item_code", "start_time", F.col("label").alias("actual"), "predicted"]
-    return stored(reduce(DataFrame.unionByName, [f.withColumn("model_name", F.lit(n)).select(*cols) for n, f in fits.items()]))
+    train = R.grams(rows.filter("split_name = 'train'"), ["index_rank", "log_popularity", "log_per_day"], "label", "strategy")
+    return stored(R.predict_by(rows, train, "strategy", SETS, 1.0, ["strategy", "split_name", "group_id", "line_no", "item_code", "start_time"], "label"))
 
 
 def metrics(spark, d) -> DataFrame:
@@ -123,7 +118,7 @@ def folds(rows: DataFrame) -> DataFrame:
 def fold_rows(spark, d) -> DataFrame:
     """The model table once per fold and part, stored."""
     rows = stored(A.model_table(spark, d))
-    return stored(rows.join(folds(rows), "group_id"))
+    return stored(rows.join(folds(rows).hint("merge"), "group_id"))
 
 
 @query("rolling_folds", f"WITH {FOLDS_VIEW} SELECT fold, part, count(*) AS n, sum(group_id)::bigint AS s FROM folds GROUP BY 1, 2")
@@ -142,11 +137,21 @@ def _(spark, d):
     return fitted.groupBy("strategy", "split_name").agg(F.count("*").alias("n"), F.round(F.avg("predicted"), 4).alias("predicted"))
 
 
-@query("preprocess_pipeline", "SELECT split_name, count(*) AS n FROM time_split GROUP BY 1")
+# Ratings of a third of the items and codes of a fifth are taken away, so that there is something to fill.
+PREPARED_SQL = "(SELECT group_id, line_no, split_name, CASE WHEN group_id % 3 <> 0 THEN points END AS points, CASE WHEN group_id % 4 <> 0 THEN popularity END AS popularity, CASE WHEN group_id % 5 <> 0 THEN index_letter ELSE '__missing__' END AS letter FROM joined WHERE strategy = 'forward')"
+
+
+@query("preprocess_pipeline", f"""WITH r AS {PREPARED_SQL}, m AS (SELECT median(points) AS p, median(popularity) AS q FROM r WHERE split_name = 'train'),
+  f AS (SELECT r.*, coalesce(points, p) AS x, coalesce(popularity, q) AS y FROM r, m), s AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy FROM f WHERE split_name = 'train'),
+  k AS (SELECT letter, row_number() OVER (ORDER BY count(*) DESC, letter) AS hot FROM f WHERE split_name = 'train' GROUP BY 1)
+  SELECT group_id, line_no, round((x - mx) / sx, 6) + 0.0::double AS points, round((y - my) / sy, 6) + 0.0::double AS popularity, coalesce(hot, 0) AS hot FROM f LEFT JOIN k USING (letter), s""")
 def _(spark, d):
-    rows = P.time_split(A.model_table(spark, d), "start_time", RATIOS).withColumns({c: F.col(c).cast("double") for c in ("points", "popularity")})
-    fitted = R.preprocessor(rows, ["points", "popularity", "index_letter"]).fit(rows.filter("split_name = 'train'"))
-    return fitted.transform(rows).filter("x is not null").groupBy("split_name").agg(F.count("*").alias("n"))
+    kept = lambda c, k: F.when(F.col("group_id") % k != 0, F.col(c)).alias(c)
+    rows = stored(forward_split(spark, d).select(*A.KEYS, "split_name", kept("points", 3), kept("popularity", 4), kept("index_letter", 5)))
+    train = rows.filter("split_name = 'train'")
+    made = R.preprocessor(train, ["points", "popularity", "index_letter"]).fit(train).transform(rows).select(*A.KEYS, vector_to_array("x").alias("x"))
+    hot = F.array_position(F.slice("x", 3, 1000), F.lit(1.0)).alias("hot")
+    return rounded(made.select(*A.KEYS, F.get("x", F.lit(0)).alias("points"), F.get("x", F.lit(1)).alias("popularity"), hot), {"points": 6, "popularity": 6})
 
 
 SLOPE = "SELECT covar_pop(label, x) / (var_pop(x) + {alpha} * 1.0 / count(*) * var_pop(x)) AS w, avg(label) - avg(x) * covar_pop(label, x) / (var_pop(x) + {alpha} * 1.0 / count(*) * var_pop(x)) AS b FROM (SELECT label, CAST({x} AS double) AS x FROM joined WHERE strategy = 'forward' AND split_name IN {splits})"
@@ -175,22 +180,19 @@ def _(spark, d):
     return _tree(spark, d, "gradient_boosting", R.gradient_boosting())
 
 
-def grid_metrics(spark, d) -> DataFrame:
-    """Scores of forests over two feature sets."""
-    rows = forward_split(spark, d)
-    specs = [R.ModelSpec("index_only", ("index_rank", "index_letter"), R.random_forest()), R.ModelSpec("all", ("index_rank", "index_letter", "popularity", "points"), R.random_forest())]
-    long = R.evaluate_grid(rows, specs, "label", A.KEYS)
-    return M.regression_metrics(long, "actual", "predicted", ["model_name", "split_name"], BANDS)
-
-
-@query("evaluate_grid", "SELECT m AS model_name, split_name, count(*) AS n FROM time_split, (VALUES ('index_only'), ('all')) v(m) GROUP BY 1, 2")
+@query("evaluate_grid", " UNION ALL ".join(f"SELECT '{m}' AS model_name, split_name, count(*) AS n, round(avg(abs(b + w * {x} - label)), 4) AS mae FROM joined, ({SLOPE.format(alpha=0, x=x, splits="('train')")}) WHERE strategy = 'forward' GROUP BY 2" for m, x in (("rank", "index_rank"), ("popularity", "log_popularity"))))
 def _(spark, d):
-    return grid_metrics(spark, d).select("model_name", "split_name", "n")
+    specs = [R.ModelSpec("rank", ("index_rank",), R.least_squares()), R.ModelSpec("popularity", ("log_popularity",), R.least_squares())]
+    long = R.evaluate_grid(forward_split(spark, d), specs, "label", A.KEYS)
+    return M.regression_metrics(long, "actual", "predicted", ["model_name", "split_name"], BANDS).select("model_name", "split_name", "n", F.round("mae", 4).alias("mae"))
 
 
 @query("evaluate_grid_metrics")
 def _(spark, d):
-    return grid_metrics(spark, d)
+    """Scores of forests over two feature sets."""
+    specs = [R.ModelSpec("index_only", ("index_rank", "index_letter"), R.random_forest()), R.ModelSpec("all", ("index_rank", "index_letter", "popularity", "points"), R.random_forest())]
+    long = R.evaluate_grid(forward_split(spark, d), specs, "label", A.KEYS)
+    return M.regression_metrics(long, "actual", "predicted", ["model_name", "split_name"], BANDS)
 
 
 TRY_SETS = {"rank": ["index_rank"], "popularity": ["popularity"]}
@@ -221,39 +223,36 @@ def _(spark, d):
 
 
 FOLD_ERRORS = f"""{FOLDS_VIEW}, fold_rows AS (SELECT fold, part, m.* FROM model m JOIN folds USING (group_id)),
-  fold_metrics AS (SELECT fold, feature_set, count(*) AS n, avg(abs(p - label)) AS mae FROM (
-    SELECT fold, 'mean' AS feature_set, label, avg(label) FILTER (part = 'train') OVER (PARTITION BY fold) AS p, part FROM fold_rows
-    UNION ALL SELECT fold, 'rank' AS feature_set, label, avg(label) FILTER (part = 'train') OVER (PARTITION BY fold, index_rank) AS p, part FROM fold_rows) WHERE part = 'test' GROUP BY 1, 2)"""
-
-
-def fold_predictions(spark, d) -> DataFrame:
-    """Test predictions of two simple models in every fold."""
-    rows = fold_rows(spark, d)
-    mean = R.mean_model(rows, "label", "part", ["fold"]).withColumn("feature_set", F.lit("mean"))
-    rank = R.group_mean_model(rows, "label", "index_rank", ["fold"], "part").withColumn("feature_set", F.lit("rank"))
-    return mean.unionByName(rank).filter("part = 'test'")
+  fold_sums AS (SELECT fold, avg(label) AS my, avg(index_rank) AS m1, avg(log_popularity) AS m2, var_pop(index_rank) * (1 + 1.0::double / count(*)) AS a1, var_pop(log_popularity) * (1 + 1.0::double / count(*)) AS a2,
+    covar_pop(index_rank, log_popularity) AS c2, covar_pop(label, index_rank) AS y1, covar_pop(label, log_popularity) AS y2 FROM fold_rows WHERE part = 'train' GROUP BY 1),
+  fold_metrics AS (SELECT fold, feature_set, count(*) AS n, avg(abs(my + CASE feature_set WHEN 'mean' THEN 0 WHEN 'rank' THEN (index_rank - m1) * y1 / a1
+      ELSE (index_rank - m1) * (y1 * a2 - y2 * c2) / (a1 * a2 - c2 * c2) + (log_popularity - m2) * (y2 * a1 - y1 * c2) / (a1 * a2 - c2 * c2) END - label)) AS mae
+    FROM fold_rows JOIN fold_sums USING (fold), (VALUES ('mean'), ('rank'), ('full')) v(feature_set) WHERE part = 'test' GROUP BY 1, 2)"""
+FOLD_SETS = {k: SETS[k] for k in ("mean", "rank", "full")}
 
 
-def fold_metrics(spark, d) -> DataFrame:
-    """Scores per fold and feature set."""
-    return M.regression_metrics(fold_predictions(spark, d), "label", "predicted", ["fold", "feature_set"], BANDS)
+def fold_metrics(rows: DataFrame) -> DataFrame:
+    """Scores per fold and feature set: a ridge model each, fitted on the fold's train rows."""
+    train = R.grams(rows.filter("part = 'train'"), ["index_rank", "log_popularity"], "label", "fold")
+    long = R.predict_by(rows.filter("part = 'test'"), train, "fold", FOLD_SETS, 1.0, ["fold"], "label").withColumnRenamed("model_name", "feature_set")
+    return M.regression_metrics(long, "actual", "predicted", ["fold", "feature_set"], BANDS)
 
 
 @query("rolling_evaluate", f"WITH {FOLD_ERRORS} SELECT fold, feature_set, n, round(mae, 4) AS mae FROM fold_metrics")
 def _(spark, d):
-    return fold_metrics(spark, d).select("fold", "feature_set", "n", F.round("mae", 4).alias("mae"))
+    return fold_metrics(fold_rows(spark, d)).select("fold", "feature_set", "n", F.round("mae", 4).alias("mae"))
 
 
 @query("metrics_by_fold", f"WITH {FOLD_ERRORS} SELECT fold, feature_set, n, round(mae, 4) AS mae, first_test, last_train FROM fold_metrics JOIN (SELECT fold, min(start_time) FILTER (part = 'test') AS first_test, max(start_time) FILTER (part = 'train') AS last_train FROM fold_rows GROUP BY 1) USING (fold)")
 def _(spark, d):
     rows = fold_rows(spark, d)
     windows = rows.groupBy("fold").agg(F.min(F.when(F.col("part") == "test", F.col("start_time"))).alias("first_test"), F.max(F.when(F.col("part") == "train", F.col("start_time"))).alias("last_train"))
-    return fold_metrics(spark, d).join(windows, "fold").select("fold", "feature_set", "n", F.round("mae", 4).alias("mae"), "first_test", "last_train")
+    return fold_metrics(rows).join(windows.hint("broadcast"), "fold").select("fold", "feature_set", "n", F.round("mae", 4).alias("mae"), "first_test", "last_train")
 
 
 @query("average_by_feature_set", f"WITH {FOLD_ERRORS} SELECT feature_set, round(avg(mae), 4) AS average, row_number() OVER (ORDER BY avg(mae), feature_set) = 1 AS best, (SELECT bool_and(a.mae > b.mae) FROM fold_metrics a JOIN fold_metrics b USING (fold) WHERE a.feature_set = 'mean' AND b.feature_set = 'rank') AS worse_in_every_fold FROM fold_metrics GROUP BY 1")
 def _(spark, d):
-    rows = fold_metrics(spark, d)
+    rows = stored(fold_metrics(fold_rows(spark, d)))
     worse = M.consistently_worse(rows, "feature_set", "fold", "mae", "mean", "rank").first()[0]
     return rounded(M.average_metric(rows, "feature_set", "mae"), {"average": 4}).withColumn("worse_in_every_fold", F.lit(worse))
 
@@ -267,17 +266,27 @@ def _(spark, d):
     return out.select("fold", "feature", *(F.round(c, 4).alias(c) for c in ("train_mean", "test_mean", "median_diff", "p90_diff")), F.round("smd", 6).alias("smd"))
 
 
-@query("residual_interval", """WITH r AS (SELECT abs(predicted - actual) AS a FROM predictions WHERE strategy = 'forward' AND model_name = 'rank_mean' AND split_name = 'valid')
+@query("residual_interval", """WITH r AS (SELECT abs(predicted - actual) AS a FROM predictions WHERE strategy = 'forward' AND model_name = 'rank' AND split_name = 'valid')
   SELECT round(avg(a), 4) AS mean_residual, round(quantile_cont(a, 0.8), 4) AS half_width, false AS fallback FROM r""")
 def _(spark, d):
-    rows = predictions(spark, d).filter("strategy = 'forward' and model_name = 'rank_mean' and split_name = 'valid'")
+    rows = predictions(spark, d).filter("strategy = 'forward' and model_name = 'rank' and split_name = 'valid'")
     return rounded(residual_interval(rows, "actual", "predicted"), {"mean_residual": 4, "half_width": 4})
 
 
-@query("scenario_scoring", "SELECT 'reference' AS scenario, count(*) AS n FROM model WHERE line_no = 6 UNION ALL SELECT 'cold_start', count(*) FROM model WHERE line_no = 6")
+SCENARIOS = {"reference": ["index_rank", "log_popularity"], "cold_start": ["index_rank", "tag_count"]}
+
+
+def _scenario_sql(name: str, x: str, z: str) -> str:
+    """Errors of a ridge model with two features over the items that took no part in its fit."""
+    sums = f"SELECT avg(label) AS my, avg({x}) AS m1, avg({z}) AS m2, var_pop({x}) * (1 + 1.0::double / count(*)) AS a1, var_pop({z}) * (1 + 1.0::double / count(*)) AS a2, covar_pop({x}, {z}) AS c, covar_pop(label, {x}) AS y1, covar_pop(label, {z}) AS y2 FROM model WHERE line_no <> 6"
+    return f"SELECT '{name}' AS scenario, count(*) AS n, round(avg(abs(my + ({x} - m1) * (y1 * a2 - y2 * c) / (a1 * a2 - c * c) + ({z} - m2) * (y2 * a1 - y1 * c) / (a1 * a2 - c * c) - label)), 4) AS mae FROM model, ({sums}) WHERE line_no = 6"
+
+
+@query("scenario_scoring", " UNION ALL ".join(_scenario_sql(k, *v) for k, v in SCENARIOS.items()))
 def _(spark, d):
     rows = stored(A.model_table(spark, d))
-    return score_scenarios(rows, rows.filter("line_no = 6"), {"reference": ["index_rank", "popularity", "log_popularity"], "cold_start": ["index_rank", "tag_count", "points"]}).groupBy("scenario").agg(F.count("predicted").alias("n"))
+    scored = score_scenarios(rows, rows.filter("line_no = 6"), SCENARIOS)
+    return scored.groupBy("scenario").agg(F.count("predicted").alias("n"), F.round(F.avg(F.abs(F.col("predicted") - F.col("actual"))), 4).alias("mae"))
 
 
 def score_scenarios(rows: DataFrame, items: DataFrame, scenarios: dict[str, list[str]], alpha: float = 1.0) -> DataFrame:

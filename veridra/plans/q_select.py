@@ -45,9 +45,9 @@ def _(spark, d):
     return rounded(S.best_by(metrics(spark, d), ["strategy", "split_name"], "mae", ["model_name"]), {"mae": 4}).select("strategy", "split_name", "model_name", "mae")
 
 
-@query("best_in_subset", "SELECT strategy, arg_min(model_name, mae) AS model_name, round(min(mae), 4) AS mae FROM metrics WHERE split_name = 'test' AND model_name IN ('mean', 'rank_mean') GROUP BY 1")
+@query("best_in_subset", "SELECT strategy, arg_min(model_name, mae) AS model_name, round(min(mae), 4) AS mae FROM metrics WHERE split_name = 'test' AND model_name IN ('mean', 'rank', 'popularity') GROUP BY 1")
 def _(spark, d):
-    rows = S.best_by(metrics(spark, d), ["strategy"], "mae", ["model_name"], F.col("model_name").isin("mean", "rank_mean") & (F.col("split_name") == "test"))
+    rows = S.best_by(metrics(spark, d), ["strategy"], "mae", ["model_name"], F.col("model_name").isin("mean", "rank", "popularity") & (F.col("split_name") == "test"))
     return rounded(rows, {"mae": 4}).select("strategy", "model_name", "mae")
 
 
@@ -72,12 +72,15 @@ def _(spark, d):
     return M.array_frequency(A.items(spark, d), "tags").select("term", "n").orderBy(F.desc("n"), "term").limit(5).orderBy("n", "term")
 
 
-DROPS = "(SELECT a.strategy, a.split_name, a.model_name AS removed, a.mae - b.mae AS increase FROM metrics a JOIN metrics b USING (strategy, split_name) WHERE b.model_name = 'rank_mean' AND a.model_name <> 'rank_mean')"
+# What the error grows by when a group of features is taken out of the full model.
+REMOVED = {"popularity": "rank", "index": "popularity", "all": "mean"}
+DROPS = "(SELECT a.strategy, a.split_name, r.removed, a.mae - b.mae AS increase FROM metrics a JOIN metrics b USING (strategy, split_name) JOIN (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in REMOVED.items()) + ") r(removed, model_name) ON a.model_name = r.model_name WHERE b.model_name = 'full')"
 
 
 def drops(spark, d):
-    rows = S.versus_reference(stored(metrics(spark, d)), ["strategy", "split_name"], "model_name", "mae", "rank_mean")
-    return rows.select("strategy", "split_name", F.col("model_name").alias("removed"), F.col("gap").alias("increase"))
+    rows = S.versus_reference(stored(metrics(spark, d)), ["strategy", "split_name"], "model_name", "mae", "full", list(REMOVED.values()))
+    names = F.create_map(*[F.lit(x) for k, v in REMOVED.items() for x in (v, k)])
+    return rows.select("strategy", "split_name", F.element_at(names, F.col("model_name")).alias("removed"), F.col("gap").alias("increase"))
 
 
 @query("argmax_group", f"SELECT strategy, split_name, arg_max(removed, increase) AS removed, round(max(increase), 4) AS increase, CASE WHEN max(increase) <= 0 THEN 'no harmful removal' ELSE '' END AS note FROM {DROPS} GROUP BY 1, 2")
@@ -100,33 +103,35 @@ def _(spark, d):
 PAIRED = "SELECT a.strategy, a.split_name, a.model_name AS baseline, b.model_name AS comparison, round(a.mae - b.mae, 4) AS change, round(100 * (a.mae - b.mae) / a.mae, 6) AS percent FROM metrics a JOIN metrics b USING (strategy, split_name)"
 
 
-@query("baseline_improvement", f"SELECT * FROM ({PAIRED}) WHERE split_name = 'test' AND baseline = 'mean' AND comparison IN ('rank_mean', 'popularity_mean')")
+@query("baseline_improvement", f"SELECT * FROM ({PAIRED}) WHERE split_name = 'test' AND baseline = 'mean' AND comparison IN ('rank', 'popularity', 'full')")
 def _(spark, d):
-    rows = S.improvement(stored(metrics(spark, d)).filter("split_name = 'test'"), ["strategy", "split_name"], "model_name", "mae", [("mean", "rank_mean"), ("mean", "popularity_mean")])
+    rows = S.improvement(stored(metrics(spark, d)).filter("split_name = 'test'"), ["strategy", "split_name"], "model_name", "mae", [("mean", "rank"), ("mean", "popularity"), ("mean", "full")])
     return rounded(rows, {"change": 4, "percent": 6}).drop("baseline_value", "comparison_value")
 
 
-@query("pair_improvement", f"SELECT * FROM ({PAIRED}) WHERE baseline = 'rank_mean' AND comparison = 'popularity_mean'")
+@query("pair_improvement", f"SELECT * FROM ({PAIRED}) WHERE (baseline, comparison) IN (('popularity', 'full'), ('rank', 'full'))")
 def _(spark, d):
-    rows = S.improvement(stored(metrics(spark, d)), ["strategy", "split_name"], "model_name", "mae", [("rank_mean", "popularity_mean")])
+    rows = S.improvement(stored(metrics(spark, d)), ["strategy", "split_name"], "model_name", "mae", [("popularity", "full"), ("rank", "full")])
     return rounded(rows, {"change": 4, "percent": 6}).drop("baseline_value", "comparison_value")
 
 
-@query("reference_gap", f"SELECT strategy, split_name, removed AS model_name, round(increase, 4) AS gap FROM {DROPS} WHERE removed = 'mean'")
+@query("reference_gap", "SELECT a.strategy, a.split_name, a.model_name, round(a.mae - b.mae, 4) AS gap FROM metrics a JOIN metrics b USING (strategy, split_name) WHERE b.model_name = 'full' AND a.model_name <> 'full'")
 def _(spark, d):
-    rows = S.versus_reference(stored(metrics(spark, d)), ["strategy", "split_name"], "model_name", "mae", "rank_mean", ["mean"])
+    rows = S.versus_reference(stored(metrics(spark, d)), ["strategy", "split_name"], "model_name", "mae", "full")
     return rounded(rows, {"gap": 4}).select("strategy", "split_name", "model_name", "gap")
 
 
-@query("raw_vs_normalized", f"SELECT strategy, split_name, round(increase, 4) AS gap FROM {DROPS} WHERE removed = 'popularity_mean'")
+@query("raw_vs_normalized", "SELECT a.strategy, a.split_name, round(a.mae, 4) AS raw, round(b.mae, 4) AS normalized, round(a.mae - b.mae, 4) AS change, round(100 * (a.mae - b.mae) / a.mae, 6) AS percent FROM metrics a JOIN metrics b USING (strategy, split_name) WHERE a.model_name = 'full' AND b.model_name = 'full_aged'")
 def _(spark, d):
-    rows = S.versus_reference(stored(metrics(spark, d)), ["strategy", "split_name"], "model_name", "mae", "rank_mean", ["popularity_mean"])
-    return rounded(rows, {"gap": 4}).select("strategy", "split_name", "gap")
+    """The full model with popularity as it is against the one with popularity by age."""
+    rows = S.improvement(stored(metrics(spark, d)), ["strategy", "split_name"], "model_name", "mae", [("full", "full_aged")])
+    rows = rows.select("strategy", "split_name", F.col("baseline_value").alias("raw"), F.col("comparison_value").alias("normalized"), "change", "percent")
+    return rounded(rows, {"raw": 4, "normalized": 4, "change": 4, "percent": 6})
 
 
 @query("paired_cluster_bootstrap", f"""WITH e AS (SELECT group_id, line_no, setting, abs(predicted - actual) AS err FROM ({REFIT_SQL})),
-  c AS (SELECT group_id % 50 AS cluster, sum(err) FILTER (setting = 'rank') AS a, sum(err) FILTER (setting = 'popularity') AS b, count(*) FILTER (setting = 'rank') AS n, row_number() OVER (ORDER BY group_id % 50) - 1 AS i FROM e GROUP BY 1),
-  draws AS (SELECT rep, CAST('0x' || substr(md5('42:' || rep || ':' || slot), 1, 8) AS bigint) % (SELECT count(*) FROM c) AS i FROM range(200) r(rep), range((SELECT count(*) FROM c)) s(slot)),
+  c AS (SELECT group_id AS cluster, sum(err) FILTER (setting = 'rank') AS a, sum(err) FILTER (setting = 'popularity') AS b, count(*) FILTER (setting = 'rank') AS n, row_number() OVER (ORDER BY group_id) - 1 AS i FROM e GROUP BY 1),
+  draws AS (SELECT rep, CAST('0x' || substr(md5('42:' || rep || ':' || slot), 1, 8) AS bigint) % (SELECT count(*) FROM c) AS i FROM range(10000) r(rep), range((SELECT count(*) FROM c)) s(slot)),
   v AS (SELECT rep, (sum(b) - sum(a)) / sum(n) AS v FROM draws JOIN c USING (i) GROUP BY 1)
   SELECT round((SELECT (sum(b) - sum(a)) / sum(n) FROM c), 4) AS estimate, round(quantile_cont(v, 0.025), 4) AS low, round(quantile_cont(v, 0.975), 4) AS high, (SELECT count(*) FROM c) AS clusters, count(*) AS reps FROM v""")
 def _(spark, d):
@@ -169,7 +174,7 @@ def _(spark, d):
 @query("missing_expected", f"SELECT n AS term FROM (VALUES ('red'), ('no such tag')) v(n) WHERE n NOT IN (SELECT term FROM {TERMS})")
 def _(spark, d):
     expected = spark.createDataFrame([("red",), ("no such tag",)], "term string")
-    return expected.join(M.array_frequency(A.items(spark, d), "tags"), "term", "left_anti")
+    return expected.join(M.array_frequency(A.items(spark, d), "tags").hint("merge"), "term", "left_anti")
 
 
 @query("dedupe_keep_first", "SELECT l_orderkey, l_linenumber, min(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY 1, 2")
@@ -182,10 +187,10 @@ def _(spark, d):
     return A.model_table(spark, d).select("group_id", "start_time").distinct()
 
 
-@query("selection_recheck", "SELECT strategy, model_name, CASE WHEN model_name = 'gone' THEN 'missing' ELSE 'not the lowest' END AS problem FROM (SELECT DISTINCT metrics.strategy, v.c AS model_name FROM metrics, (VALUES ('gone'), ('mean'), ('rank_mean'), ('popularity_mean')) v(c)) ANTI JOIN (SELECT strategy, arg_min(model_name, mae) AS model_name FROM metrics WHERE split_name = 'valid' GROUP BY 1) USING (strategy, model_name)")
+@query("selection_recheck", "SELECT strategy, model_name, CASE WHEN model_name = 'gone' THEN 'missing' ELSE 'not the lowest' END AS problem FROM (SELECT DISTINCT metrics.strategy, v.c AS model_name FROM metrics, (VALUES ('gone'), ('mean'), ('rank'), ('popularity')) v(c)) ANTI JOIN (SELECT strategy, arg_min(model_name, mae) AS model_name FROM metrics WHERE split_name = 'valid' GROUP BY 1) USING (strategy, model_name)")
 def _(spark, d):
     rows = stored(metrics(spark, d)).filter("split_name = 'valid'")
-    lock = rows.select("strategy").distinct().withColumn("model_name", F.explode(F.array(*map(F.lit, ("gone", "mean", "rank_mean", "popularity_mean")))))
+    lock = rows.select("strategy").distinct().withColumn("model_name", F.explode(F.array(*map(F.lit, ("gone", "mean", "rank", "popularity"))))).hint("merge")
     return S.recheck_selection(rows, lock, ["strategy"], "model_name", "mae")
 
 

@@ -38,11 +38,13 @@ def scan_metrics(spark: SparkSession, paths: dict[str, str], schema: str, number
 
 
 def classify_content(content: Column, path: Column) -> Column:
-    """empty, pdf, html or other, from the first 4096 bytes and the suffix."""
-    head = F.lower(F.ltrim(F.substring(content.cast("string"), 1, 4096)))
-    suffix = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
-    html = head.startswith("<!doctype html") | head.startswith("<html") | head.contains("<html") | suffix.isin("html", "htm")
-    return F.when(F.octet_length(content) == 0, "empty").when(head.startswith("%pdf-") | (suffix == "pdf"), "pdf").when(html, "html").otherwise("other")
+    """empty, pdf, html or other: by how the first 4096 bytes begin, a byte-order mark and white space aside, and by the file's suffix."""
+    head = F.lower(F.regexp_replace(F.substring(content, 1, 4096).cast("string"), r"^[\x{FEFF} \t\r\n]+", ""))
+    suffix = F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1))
+    pdf = head.startswith("%pdf-") | (suffix == "pdf")
+    # How pages begin.
+    html = head.startswith("<!doctype html") | head.startswith("<html") | head.startswith("<head") | head.startswith("<body") | suffix.isin("html", "htm")
+    return F.when(F.octet_length(content) == 0, "empty").when(pdf, "pdf").when(html, "html").otherwise("other")
 
 
 def content_manifest(files: DataFrame, path: str, content: str, modified: str | None = None) -> DataFrame:

@@ -5,13 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below `spark.checkpoint.dir`; below a temporary folder only where that is unset (tests)."""
+    """A fresh path below `spark.checkpoint.dir` or the context's checkpoint folder; below a temporary folder only in a local session without
+    either (tests). On a cluster that is an error, as executors could not read it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veridra-"))
         folder = spark.sparkContext.getCheckpointDir()
     return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "stage") -> DataFrame:
+    """The frame written as Parquet and read back: what builds on it several times scans it, joins know its size, and a lost executor costs
+    no more than its own tasks."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
