@@ -43,10 +43,38 @@ def test_tfidf_has_the_whole_vocabulary(spark, duck, monkeypatch):
     assert q_text.weights(spark, D).select("term").distinct().count() > 2000
     seen, tfidf = [], q_text.X.tfidf
     monkeypatch.setattr(q_text.X, "tfidf", lambda *a, **k: seen.append(tfidf(*a, **k).select("term").distinct().count()) or tfidf(*a, **k))
-    assert registry.queries()["tfidf_ridge"](spark, D).count() == 2
+    assert q_text.study_rows(spark, D).count() > 0
     assert seen[0] > 2000
 
 
+def test_text_studies_equal_closed_forms(spark):
+    import numpy as np
+
+    from veridra.plans import q_text
+
+    rows = q_text.study_rows(spark, D).collect()
+    got = {(r.setting, r.part): r for r in registry.queries()["tfidf_ridge"](spark, D).collect()}
+    assert {s for s, _ in got} == set(q_text.SETTINGS) and len(got) == 14
+    y, train = np.array([r.label for r in rows]), np.array([r.part == "train" for r in rows])
+    cats = lambda c: sorted({r[c] or "__missing__" for r, t in zip(rows, train) if t})
+    light = np.array([[float(r[c]) for c in q_text.LIGHT] for r in rows])
+    blocks = {
+        "metadata": np.array([[float((r[c] or "__missing__") == v) for c in ("lang", "source") for v in cats(c)] for r in rows]),
+        "text_light": (light - light[train].mean(axis=0)) / light[train].std(axis=0),
+        "tfidf": np.array([r.tfidf.toArray() for r in rows]),
+    }
+    for setting, parts in q_text.SETTINGS.items():
+        x = np.hstack([blocks[p] for p in parts])
+        centre = x[train].mean(axis=0)
+        z = x[train] - centre
+        # the dual form: as many unknowns as rows
+        w = z.T @ np.linalg.solve(z @ z.T + np.eye(len(z)), y[train] - y[train].mean())
+        e = np.abs((x - centre) @ w + y[train].mean() - y)
+        for part, rows_of in (("train", train), ("test", ~train)):
+            r = got[setting, part]
+            assert r.n == rows_of.sum() and abs(r.mae - e[rows_of].mean()) < 2e-3, (setting, part, r.mae, e[rows_of].mean())
+
+
 def test_bootstrap_draws_whole_groups_ten_thousand_times(spark, duck):
     sql = whole("paired_cluster_bootstrap", "group_id % 50", "group_id").replace("range(200)", "range(10000)")
     names = ["estimate", "low", "high", "clusters", "reps"]

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veridra.functions import text as X
 from veridra.operators import joins as J
 from veridra.operators import metrics as M
+from veridra.operators import models as R
 from veridra.operators import select as S
 from veridra.operators.ranks import quantiles_by
 from veridra.plans.base import query
@@ -270,26 +274,51 @@ def _(spark, d):
     return weights(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.round(F.max("weight"), 6).alias("top_weight"), F.min("term").alias("first_term"))
 
 
-@query("tfidf_ridge")
-def _(spark, d):
-    """Ridge over sparse tf-idf vectors: quality of labelled documents, scored on documents that took no part."""
-    from pyspark.ml.linalg import VectorUDT
-    from pyspark.ml.regression import LinearRegression
+LIGHT = ("n_chars", "n_words", "n_lines", "n_numbers")
+#: what each setting's model sees: the document's kind, its counters, its terms
+SETTINGS = {
+    "metadata": ("metadata",),
+    "text_light": ("text_light",),
+    "tfidf": ("tfidf",),
+    "metadata_text_light": ("metadata", "text_light"),
+    "metadata_tfidf": ("metadata", "tfidf"),
+    "text_light_tfidf": ("text_light", "tfidf"),
+    "metadata_text_light_tfidf": ("metadata", "text_light", "tfidf"),
+}
 
+
+def study_rows(spark, d):
+    """Labelled documents with `part`, their kind, counters and sparse tf-idf vector, stored; seven in ten are train rows."""
     long = stored(weights(spark, d))
     names = [r.term for r in long.select("term").distinct().orderBy("term").collect()]  # max_terms at most
     index = F.broadcast(spark.createDataFrame(list(enumerate(names)), "i int, term string"))
-    size = len(names)
     # a sparse vector is a struct of its kind, size, indices and values; JSON turns one into the other inside the JVM
-    entries = F.array_sort(F.collect_list(F.struct("i", "weight")))
-    plain = F.struct(F.struct(F.lit(0).alias("type"), F.lit(size).alias("size"), F.transform(entries, lambda e: e["i"]).alias("indices"), F.transform(entries, lambda e: e["weight"]).alias("values")).alias("x"))
-    rows = long.join(index, "term").groupBy("doc_id").agg(F.from_json(F.to_json(plain), T.StructType([T.StructField("x", VectorUDT())]))["x"].alias("x"))
-    rows = stored(rows.join(A.docs(spark, d).filter("label is not null").select("doc_id", F.col("label").cast("double").alias("label")), "doc_id"))
-    train = rows.filter(F.col("doc_id") % 10 < 7)
+    entries = F.coalesce("entries", F.array().cast("array<struct<i: int, weight: double>>"))
+    plain = F.struct(F.struct(F.lit(0).alias("type"), F.lit(len(names)).alias("size"), F.transform(entries, lambda e: e["i"]).alias("indices"), F.transform(entries, lambda e: e["weight"]).alias("values")).alias("x"))
+    # max_terms entries a document at most
+    found = long.join(index, "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "weight"))).alias("entries"))
+    counters = X.text_counters(F.col("text"))
+    docs = A.docs(spark, d).filter("label is not null").select("doc_id", "lang", "source", F.col("label").cast("double").alias("label"), *(counters[c].alias(c) for c in LIGHT))
+    rows = docs.join(found.hint("merge"), "doc_id", "left").withColumn("part", F.when(F.col("doc_id") % 10 < 7, "train").otherwise("test"))
+    return stored(rows.withColumn("tfidf", F.from_json(F.to_json(plain), T.StructType([T.StructField("x", VectorUDT())]))["x"]).drop("entries"))
+
+
+@query("tfidf_ridge")
+def _(spark, d):
+    """Ridge models of documents' quality in seven settings, scored on the documents that took no part as well."""
+    rows = study_rows(spark, d)
+    train = rows.filter("part = 'train'")
+    for name, columns in (("metadata", ["lang", "source"]), ("text_light", list(LIGHT))):
+        rows = R.preprocessor(train, columns, name).fit(train).transform(rows).drop("_numbers")
+    rows = stored(rows.select("doc_id", "part", "label", "metadata", "text_light", "tfidf"))
+    train = rows.filter("part = 'train'")
     n, sd = train.agg(F.count("*"), F.stddev("label")).first()
-    model = LinearRegression(featuresCol="x", labelCol="label", predictionCol="predicted", elasticNetParam=0.0, regParam=1.0 * (sd or 1.0) / n, standardization=False, solver="l-bfgs").fit(train)
-    scored = model.transform(rows).withColumn("part", F.when(F.col("doc_id") % 10 < 7, "train").otherwise("test"))
-    return M.regression_metrics(scored, "label", "predicted", ["part"], (0.25, 0.5))
+    scored = []
+    for setting, parts in SETTINGS.items():
+        joined = VectorAssembler(inputCols=list(parts), outputCol="x")
+        model = LinearRegression(featuresCol="x", labelCol="label", predictionCol="predicted", elasticNetParam=0.0, regParam=1.0 * (sd or 1.0) / n, standardization=False, solver="l-bfgs", maxIter=300, tol=1e-8).fit(joined.transform(train))
+        scored.append(model.transform(joined.transform(rows)).select(F.lit(setting).alias("setting"), "part", "label", "predicted"))
+    return M.regression_metrics(S.union(scored), "label", "predicted", ["setting", "part"], (0.25, 0.5))
 
 
 @query("round_to_100", "SELECT group_id, line_no, round_even(label / 100, 0) * 100 AS nearest FROM items WHERE label IS NOT NULL")
