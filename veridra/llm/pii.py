@@ -10,7 +10,6 @@ from datetime import date, timedelta
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veridra.llm.common import slices
