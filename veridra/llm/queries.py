@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from veridra.llm.alignment import align_tokenizers
 from veridra.llm.bpe import bpe_digest
 from veridra.llm.fingerprint import fingerprints
 from veridra.llm.langid import identify
@@ -19,6 +20,7 @@ from veridra.llm.topk import top_k
 from veridra.llm.url_filter import url_filter
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+BYTE_BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,8 +67,15 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(_table(spark, sf_dir, "documents"), BYTE_BPE, PIECES, PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_license_scan, op2_fingerprints, op3_top_k, op4_token_counts, op5_url_filter, op6_mixing, op7_pii, op8_language_id, op9_byte_bpe, op10_near_duplicates)
+    found = (
+        op1_license_scan, op2_fingerprints, op3_top_k, op4_token_counts, op5_url_filter, op6_mixing, op7_pii, op8_language_id, op9_byte_bpe, op10_near_duplicates,
+        op13_alignment,
+    )
     return {f.__name__: f for f in found}
 
 
