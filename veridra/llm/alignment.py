@@ -25,9 +25,30 @@ WIDE = 256
 _ALIGNED = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, same array<int>, same_times array<int>, pairs array<long>, pair_times array<int>"
 
 
+class Strings:
+    """Byte strings by number, joined without a Python object for each."""
+
+    def __init__(self, items: list[bytes]):
+        self.length = np.array([len(x) for x in items], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.data = np.frombuffer(b"".join(items), np.uint8)
+
+    def join(self, numbers: np.ndarray, at_once: int = 500_000) -> bytes:
+        """The strings of the given numbers, end to end; some at a time, so that a long text needs little more than its result."""
+        out = []
+        for at in range(0, len(numbers), at_once):
+            some = numbers[at : at + at_once]
+            length = self.length[some]
+            ends = np.cumsum(length)
+            out.append(self.data[np.arange(int(ends[-1])) + np.repeat(self.start[some] - ends + length, length)].tobytes())
+        return b"".join(out)
+
+
 class ByteLevel(Codec):
     """A byte-level BPE from a tokenizer file: pieces by `pattern`, remembered like those of `Codec`; special tokens are plain text."""
 
+    limit = 150_000  # about twice the distinct pieces of one block
+
     def __init__(self, path: str, pattern: str):
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
@@ -64,20 +85,26 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str, pattern: str):
         self.a, self.b = ByteLevel(a_path, pattern), Pieces(b_path)
-        self.len_a, self.len_b = (np.array([len(x) for x in side.bytes_of], np.int64) for side in (self.a, self.b))
+        self.bytes_a, self.bytes_b = Strings(self.a.bytes_of), Strings(self.b.bytes_of)
+        self.len_a, self.len_b = self.bytes_a.length, self.bytes_b.length
         self.same = np.array([self.b.id_of.get(x, -1) if x else -1 for x in self.a.bytes_of], np.int64)
         # decimal ids with what may follow them: another id, the other side, the next group
-        self.shown = [f"{i}{s}".encode() for s in (",", "|") for i in range(len(self.len_a))] + [f"{i}{s}".encode() for s in (",", ";") for i in range(len(self.len_b))]
+        self.shown = Strings([f"{i}{s}".encode() for s in (",", "|") for i in range(len(self.len_a))] + [f"{i}{s}".encode() for s in (",", ";") for i in range(len(self.len_b))])
 
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of both sides per text; none where a side does not give back the text's bytes."""
         spaced = [" " + t if t else "" for t in texts]
         a, b = self.a.encode(spaced), self.b.encode([t or "" for t in texts])
-        none = np.empty(0, np.int64)
-        for i, text in enumerate(spaced):
-            want = text.encode("utf-8", "surrogatepass")
-            if not want or any(b"".join(map(side.bytes_of.__getitem__, ids.tolist())) != want for side, ids in ((self.a, a[i]), (self.b, b[i]))):
-                a[i] = b[i] = none
+        want = [x.encode("utf-8", "surrogatepass") for x in spaced]
+        whole = np.array([bool(x) for x in want])
+        for ids, strings in ((a, self.bytes_a), (b, self.bytes_b)):
+            size = [int(strings.length[x].sum()) for x in ids]
+            back, at = strings.join(np.concatenate([*ids, np.empty(0, np.int64)]).astype(np.int64)), 0
+            for i, n in enumerate(size):
+                whole[i] &= back[at : at + n] == want[i]
+                at += n
+        for i in np.flatnonzero(~whole):
+            a[i] = b[i] = np.empty(0, np.int64)
         return a, b
 
     def align(self, a: list[np.ndarray], b: list[np.ndarray]) -> dict:
@@ -134,7 +161,7 @@ class Aligner:
     def _per_doc(n: int, docs, keys, times) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Each document's distinct keys in order, and how often it has each."""
         doc, key, times = (np.concatenate(x).astype(np.int64) for x in (docs, keys, times))
-        order = np.lexsort((key, doc))
+        order = np.argsort(doc << 40 | key)  # keys, pairs of ids, and documents of a block are far below 2 ** 40 and 2 ** 23
         doc, key, times = doc[order], key[order], times[order]
         new = np.ones(len(key), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
@@ -149,8 +176,9 @@ class Aligner:
         va, vb = len(self.len_a), len(self.len_b)
         codes[np.arange(len(ids_a)) + from_b[group_a]] = ids_a + va * cut_a
         codes[np.arange(len(ids_b)) + upto_a[group_b]] = 2 * va + ids_b + vb * cut_b
-        ends = np.cumsum(n_a + n_b).tolist()
-        return [b"".join(map(self.shown.__getitem__, codes[at:end].tolist()))[:-1] for at, end in zip([0, *ends], ends)]
+        text, ends = self.shown.join(codes), np.concatenate([[0], np.cumsum(self.shown.length[codes])])
+        upto = ends[np.concatenate([[0], np.cumsum(n_a + n_b)])].tolist()
+        return [text[at : end - 1] if end > at else b"" for at, end in zip(upto, upto[1:])]
 
 
 @lru_cache(maxsize=1)
