@@ -190,7 +190,7 @@ def keyword_flags(col: Column, keywords: Mapping[str, str] = KEYWORDS) -> dict[s
 # Counter -> pattern.
 COUNTERS = {
     "numbers": r"[-+]?\p{Nd}+(?:\.\p{Nd}+)?",
-    "floats": r"[-+]?\p{Nd}+\.\p{Nd}+",
+    "floats": r"[-+]?(?<!\p{Nd})\p{Nd}++\.\p{Nd}+",
     "inequalities": r"<=|>=|<|>|≤|≥",
     "maths": r"[+\-*/=^%]|<=|>=|≤|≥",
     "constraint_words": rf"(?iu){BEGIN}(?:constraints?|limits?|integers?|positive|negative|at most|at least|sum){END}",
@@ -210,7 +210,7 @@ def text_counters(col: Column, paragraphs: Column | None = None) -> dict[str, Co
     t = F.coalesce(col, F.lit(""))
     count = lambda p: F.regexp_count(t, F.lit(p))
     lines = count(f"\r\n|[{BREAKS}]") + F.when(t == "", 0).otherwise((F.instr(F.lit(BREAKS), F.substring(t, -1, 1)) == 0).cast("int"))
-    out = {"n_chars": F.length(t), "n_words": count(rf"['-]*{WORD}(?:{WORD}|['-])*"), "n_lines": lines, "n_paragraphs": F.coalesce(paragraphs, F.lit(0)) if paragraphs is not None else F.lit(0)}
+    out = {"n_chars": F.length(t), "n_words": count(rf"{WORD}[\p{{L}}\p{{N}}_'-]*+"), "n_lines": lines, "n_paragraphs": F.coalesce(paragraphs, F.lit(0)) if paragraphs is not None else F.lit(0)}
     out |= {f"n_{k}": count(p) for k, p in COUNTERS.items()}
     return {k: v.cast("long") for k, v in (out | {"n_integers": out["n_numbers"] - out["n_floats"]}).items()}
 

@@ -7,13 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml import Estimator
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridra.operators.ranks import quantiles_by
+from veridra.operators.encode import Encoding, fit_encoding, with_vector
 from veridra.sources.workspace import stored
 
 
@@ -123,31 +122,33 @@ def gradient_boosting(iterations: int = 160, rate: float = 0.06, depth: int = 4,
     return lambda x, y: GBTRegressor(featuresCol=x, labelCol=y, predictionCol="predicted", maxIter=iterations, stepSize=rate, maxDepth=depth, seed=seed)
 
 
-#: the category of a text that is not there
-MISSING = "__missing__"
-
-
-def preprocessor(train: DataFrame, features: list[str], out: str = "x") -> Pipeline:
-    """Missing numbers become their median, then all are standardised by mean and population deviation (constant ones become 0); texts one-hot, a
-    missing one as a category of its own, unknown ones all zero. Medians, means and deviations are those of `train`, exact, and so are the
-    categories once the pipeline is fitted on it. `train` is read several times; give it stored."""
-    text = [c for c in features if dict(train.dtypes)[c] == "string"]
-    numbers = [c for c in features if c not in text]
-    made: list[str] = []
-    if numbers:
-        long = stored(train.select(*(F.col(c).cast("double").alias(c) for c in numbers)).unpivot([], numbers, "feature", "v"))
-        median = {r.feature: r.median for r in quantiles_by(long, ["feature"], "v", {"median": 0.5}).collect()}  # a row per feature
-        filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(median.get(c, 0.0))) for c in numbers}
-        facts = train.agg(*(f(v).alias(f"{n}_{c}") for c, v in filled.items() for n, f in (("mean", F.avg), ("sd", F.stddev_pop)))).first()
-        scale = lambda c: f"(coalesce(CAST(`{c}` AS double), {median.get(c, 0.0)!r}D) - ({facts[f'mean_{c}'] or 0.0!r}D)) / {facts[f'sd_{c}'] or 1.0!r}D AS `_{c}_scaled`"
-        made += map(scale, numbers)
-    made += [f"coalesce(`{c}`, '{MISSING}') AS `_{c}_filled`" for c in text]
-    stages: list = [SQLTransformer(statement=f"SELECT *, {', '.join(made)} FROM __THIS__")]
-    parts = [f"_{c}_scaled" for c in numbers]
-    if text:
-        stages += [StringIndexer(inputCols=[f"_{c}_filled" for c in text], outputCols=[f"_{c}_index" for c in text], handleInvalid="keep"), OneHotEncoder(inputCols=[f"_{c}_index" for c in text], outputCols=[f"_{c}_hot" for c in text], dropLast=True)]
-        parts += [f"_{c}_hot" for c in text]
-    return Pipeline(stages=[*stages, VectorAssembler(inputCols=parts, outputCol=out)])
+@dataclass(frozen=True)
+class Prepared:
+    """A fitted preprocessor: adds one sparse vector of all features."""
+
+    encoding: Encoding
+    out: str
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return with_vector(rows, self.encoding, self.out)
+
+
+@dataclass(frozen=True)
+class Preprocessor:
+    features: list[str]
+    out: str
+
+    def fit(self, train: DataFrame) -> Prepared:
+        return Prepared(fit_encoding(train, self.features), self.out)
+
+
+def preprocessor(train: DataFrame, features: list[str], out: str = "x") -> Preprocessor:
+    """Missing numbers become their median, then all are standardised by mean and population deviation (constant ones become 0); texts one-hot by a
+    dictionary that is a table, a missing one as a category of its own, unknown ones all zero. Everything is learned, exactly, from the rows given to
+    `fit`, which are read several times; give them stored."""
+    if missing := set(features) - set(train.columns):
+        raise ValueError(f"no such columns: {sorted(missing)}")
+    return Preprocessor(features, out)
 
 
 def evaluate_grid(df: DataFrame, specs: list[ModelSpec], y: str, keys: list[str], split: str = "split_name") -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from veridra.sources.workspace import stored
 
 
-def how(small: DataFrame, most: int = 100_000) -> str:
-    """Join hint for a table of few columns: broadcast up to a checked number of rows."""
-    return "broadcast" if small.count() <= most else "merge"
+def how(small: DataFrame, most: int = 32 << 20) -> str:
+    """Join hint for a small table: broadcast up to a checked number of bytes, measured as the table's text."""
+    size = small.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
+    return "broadcast" if (size or 0) <= most else "merge"
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, int]:
@@ -25,32 +26,49 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> tuple[DataFrame,
     return rows.join(F.broadcast(sizes), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before"), dealt.count()
 
 
-def quantiles_by(df: DataFrame, by: list[str], col: str, qs: dict[str, float], per_range: int = 1_000_000) -> DataFrame:
+#: bits of a double's image that one step looks at
+STEP = 16
+
+
+def image(v: Column) -> Column:
+    """A double's 64 bits as a long in the order of the doubles: those of negative numbers are turned. -0.0 is 0.0, and NaN comes last."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), v + F.lit(0.0)).cast("long")
+    return bits.bitwiseXOR(F.shiftright(bits, 63).bitwiseAND(F.lit(2**63 - 1)))
+
+
+def quantiles_by(df: DataFrame, by: list[str], col: str, qs: dict[str, float], per_cell: int = 1_000_000) -> DataFrame:
     """(by..., _k, n, a column per name of `qs`): exact quantiles of the non-null values with linear interpolation. `_k` holds `by` as one
-    struct, for joins in which null is a key like others. `df` is read three times; give it stored.
+    struct, for joins in which null is a key like others. `df` is read twice or a few times more; give it stored.
 
-    Approximate quantiles cut each group's values into ranges; counts per range tell in which one a quantile lies, and only the distinct
-    values of those ranges are counted and ordered, about `per_range` at most in a task.
+    Radix selection on the values' 64-bit images: rows are counted per group and leading 16 bits, and sums of the counts tell the cell in which a
+    quantile's rank lies. Cells of more than `per_cell` rows are counted by the next 16 bits; of the others the distinct values are counted and
+    ordered. A row's work is the same for tables of any size, counts are added up before every shuffle, and what is joined to the rows is a few
+    cells per group and quantile.
     """
-    rows = df.select(F.struct(*(F.col(c) for c in by), F.lit(0).alias("_")).alias("_k"), F.col(col).cast("double").alias("v")).filter("v is not null")
-    parts = min(10_000, max(64, -(-rows.count() // per_range)))
-    groups = stored(rows.groupBy("_k").agg(F.count("*").alias("n"), F.percentile_approx("v", [i / parts for i in range(1, parts)], 4 * parts).alias("cuts")), "cuts")
-    hint = how(groups)
+    rows = df.select(F.struct(*(F.col(c) for c in by), F.lit(0).alias("_")).alias("_k"), F.col(col).cast("double").alias("v")).filter("v is not null").withColumn("bits", image(F.col("v")))
     spots = {k: F.lit(q) * (F.col("n") - 1) for k, q in qs.items()}
     ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(s), F.ceil(s)) for s in spots.values()))))
-    placed = rows.join(groups.select("_k", "cuts", ranks.alias("ranks")).hint(hint), "_k").select("_k", "ranks", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("range"), "v")
-    before = Window.partitionBy("_k").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # `parts` rows a group at most
     inside = lambda c: F.filter("ranks", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col(c)))
-    sums = placed.groupBy("_k", "ranks", "range").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))
-    edges = stored(sums.select("_k", "range", "before", inside("c").alias("ranks")).filter(F.size("ranks") > 0), "edges")
-    near = placed.drop("ranks").join(edges.hint(hint), ["_k", "range"]).groupBy("_k", "range", "before", "ranks", "v").agg(F.count("*").alias("c"))
-    upto = Window.partitionBy("_k", "range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    near = near.withColumn("before", F.col("before") + F.coalesce(F.sum("c").over(upto), F.lit(0)))
+    upto = lambda *parts: Window.partitionBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    shift = 64 - STEP
+    counts = stored(rows.groupBy("_k", F.shiftright("bits", shift).alias("cell")).agg(F.count("*").alias("c")), "counts")
+    groups = stored(counts.groupBy("_k").agg(F.sum("c").alias("n")), "groups")
+    # 65,536 rows a group at most, in this window and in those of later steps
+    placed = counts.join(groups.select("_k", ranks.alias("ranks")).hint(how(groups)), "_k").withColumn("before", F.coalesce(F.sum("c").over(upto("_k").orderBy("cell")), F.lit(0)))
+    cells = stored(placed.select("_k", "cell", "before", "c", inside("c").alias("ranks")).filter(F.size("ranks") > 0), "cells")
+    while shift and (cells.agg(F.max("c")).first()[0] or 0) > per_cell:
+        here = rows.withColumn("cell", F.shiftright("bits", shift)).join(cells.drop("c").hint(how(cells)), ["_k", "cell"])
+        shift -= STEP
+        finer = here.groupBy("_k", "cell", "before", "ranks", F.shiftright("bits", shift).alias("next")).agg(F.count("*").alias("c"))
+        finer = finer.withColumn("before", F.col("before") + F.coalesce(F.sum("c").over(upto("_k", "cell").orderBy("next")), F.lit(0)))
+        cells = stored(finer.select("_k", F.col("next").alias("cell"), "before", "c", inside("c").alias("ranks")).filter(F.size("ranks") > 0), "cells")
+    near = rows.withColumn("cell", F.shiftright("bits", shift)).join(cells.drop("c").hint(how(cells)), ["_k", "cell"]).groupBy("_k", "cell", "before", "ranks", "v").agg(F.count("*").alias("c"))
+    near = near.withColumn("before", F.col("before") + F.coalesce(F.sum("c").over(upto("_k", "cell").orderBy("v")), F.lit(0)))
     # two values a quantile and group at most
     found = near.select("_k", "v", F.explode(inside("c")).alias("r")).groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct("r", "v"))).alias("at"))
     lo, hi = ({k: F.element_at("at", f(s)) for k, s in spots.items()} for f in (F.floor, F.ceil))
     values = {k: lo[k] + (hi[k] - lo[k]) * (s - F.floor(s)) for k, s in spots.items()}
-    return found.join(groups.select("_k", "n").hint("merge"), "_k").select(*(F.col("_k")[c].alias(c) for c in by), "_k", "n", *(v.alias(k) for k, v in values.items()))
+    return found.join(groups.hint("merge"), "_k").select(*(F.col("_k")[c].alias(c) for c in by), "_k", "n", *(v.alias(k) for k, v in values.items()))
 
 
 def with_quantiles(groups: DataFrame, values: DataFrame, by: list[str], col: str, qs: dict[str, float]) -> DataFrame:

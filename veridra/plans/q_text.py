@@ -4,17 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.linalg import VectorUDT
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veridra.functions import text as X
 from veridra.operators import metrics as M
-from veridra.operators import models as R
 from veridra.operators import select as S
+from veridra.operators.encode import encoded, fit_encoding
 from veridra.operators.ranks import quantiles_by
+from veridra.operators.sparse_ridge import predict_sparse, sparse_ridge
 from veridra.plans.base import query
 from veridra.sources import adapters as A
 from veridra.sources import files as FS
@@ -287,39 +284,35 @@ SETTINGS = {
 
 
 def study_rows(spark, d):
-    """Labelled documents with `part`, their kind, counters and sparse tf-idf vector, stored; seven in ten are train rows."""
+    """(labelled documents with `part`, their kind, counters and the places and weights of their terms, stored; the number of terms). Seven in ten are
+    train rows."""
     long = stored(weights(spark, d))
     names = [r.term for r in long.select("term").distinct().orderBy("term").collect()]  # max_terms at most
     index = F.broadcast(spark.createDataFrame(list(enumerate(names)), "i int, term string"))
-    # a sparse vector is a struct of its kind, size, indices and values; JSON turns one into the other inside the JVM
-    entries = F.coalesce("entries", F.array().cast("array<struct<i: int, weight: double>>"))
-    plain = F.struct(F.struct(F.lit(0).alias("type"), F.lit(len(names)).alias("size"), F.transform(entries, lambda e: e["i"]).alias("indices"), F.transform(entries, lambda e: e["weight"]).alias("values")).alias("x"))
     # max_terms entries a document at most
     found = long.join(index, "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "weight"))).alias("entries"))
+    entries = F.coalesce("entries", F.array().cast("array<struct<i: int, weight: double>>"))
     counters = X.text_counters(F.col("text"))
     docs = A.docs(spark, d).filter("label is not null").select("doc_id", "lang", "source", F.col("label").cast("double").alias("label"), *(counters[c].alias(c) for c in LIGHT))
     rows = docs.join(found.hint("merge"), "doc_id", "left").withColumn("part", F.when(F.col("doc_id") % 10 < 7, "train").otherwise("test"))
-    return stored(rows.withColumn("tfidf", F.from_json(F.to_json(plain), T.StructType([T.StructField("x", VectorUDT())]))["x"]).drop("entries"))
+    rows = rows.withColumns({"terms": F.transform(entries, lambda e: e["i"]), "weights": F.transform(entries, lambda e: e["weight"])}).drop("entries")
+    return stored(rows), len(names)
 
 
 @query("tfidf_ridge")
 def _(spark, d):
     """Ridge models of documents' quality in seven settings, scored on the documents that took no part as well."""
-    rows = study_rows(spark, d)
-    train = rows.filter("part = 'train'")
-    for name, columns in (("metadata", ["lang", "source"]), ("text_light", list(LIGHT))):
-        rows = R.preprocessor(train, columns, name).fit(train).transform(rows).drop("_numbers")
-    rows = stored(rows.select("doc_id", "part", "label", "metadata", "text_light", "tfidf"))
-    train = rows.filter("part = 'train'")
-    n, sd = train.agg(F.count("*"), F.stddev("label")).first()
-    scored = []
-    for setting, parts in SETTINGS.items():
-        joined = VectorAssembler(inputCols=list(parts), outputCol="x")
-        # few columns are solved directly; counters that grow together take the iterations long to converge
-        solver = "l-bfgs" if "tfidf" in parts else "normal"
-        model = LinearRegression(featuresCol="x", labelCol="label", predictionCol="predicted", elasticNetParam=0.0, regParam=1.0 * (sd or 1.0) / n, standardization=False, solver=solver, maxIter=1000, tol=1e-10).fit(joined.transform(train))
-        scored.append(model.transform(joined.transform(rows)).select(F.lit(setting).alias("setting"), "part", "label", "predicted"))
-    return M.regression_metrics(S.union(scored), "label", "predicted", ["setting", "part"], (0.25, 0.5))
+    rows, n_terms = study_rows(spark, d)
+    e = fit_encoding(rows.filter("part = 'train'"), [*LIGHT, "lang", "source"])
+    rows = encoded(rows, e)
+    shifted = F.transform("terms", lambda i: i + e.size)
+    rows = stored(rows.select("doc_id", "part", "label", F.concat("indices", shifted).alias("indices"), F.concat("values", "weights").alias("values")))
+    blocks = {"metadata": [e.ranges[c] for c in ("lang", "source")], "text_light": [e.ranges[c] for c in LIGHT], "tfidf": [(e.size, e.size + n_terms)]}
+    sets = {s: [r for p in parts for r in blocks[p]] for s, parts in SETTINGS.items()}
+    # the counters come first and grow together
+    models = sparse_ridge(rows.filter("part = 'train'"), e.size + n_terms, "label", sets, 1.0, head=len(LIGHT))
+    scored = predict_sparse(rows, models, ["part", "label"])
+    return M.regression_metrics(scored, "label", "predicted", ["setting", "part"], (0.25, 0.5))
 
 
 @query("round_to_100", "SELECT group_id, line_no, round_even(label / 100, 0) * 100 AS nearest FROM items WHERE label IS NOT NULL")
