@@ -97,7 +97,11 @@ def drift(df: DataFrame, cols: list[str], part: str, by: list[str]) -> DataFrame
     long = stored(df.select(*by, part, *(F.col(c).cast("double").alias(c) for c in cols)).unpivot([*by, part], cols, "feature", "value"))
     keys = [*by, "feature", part]
     rows = long.groupBy(*keys).agg(F.avg("value").alias("mean"), F.var_pop("value").alias("var"))
-    rows = with_quantiles(rows, long, keys, "value", {"median": 0.5, "p90": 0.9})
+    return _drift(with_quantiles(rows, long, keys, "value", {"median": 0.5, "p90": 0.9}), part, by)
+
+
+def _drift(rows: DataFrame, part: str, by: list[str]) -> DataFrame:
+    """Train and test facts of each feature side by side."""
     side = lambda s, m: F.max(F.when(F.col(part) == s, F.col(m))).alias(f"{s}_{m}")
     rows = rows.groupBy(*by, "feature").agg(*(side(s, m) for s in ("train", "test") for m in ("mean", "median", "p90", "var")))
     sd = F.sqrt((F.col("train_var") + F.col("test_var")) / 2)
@@ -105,6 +109,32 @@ def drift(df: DataFrame, cols: list[str], part: str, by: list[str]) -> DataFrame
     return rows.withColumns(diff).withColumn("smd", F.when(sd > 0, F.col("mean_diff") / sd)).drop("train_var", "test_var")
 
 
+def drift_by_fold(df: DataFrame, cols: list[str], segment: str, windows: list[tuple[int, str, int]]) -> DataFrame:
+    """The same per fold (fold, feature, ...), whose windows are runs of segments: `windows` lists (fold, part, segment). Segments are summed and
+    counted once and merged to windows, so a row that lies in many training windows is read as often as any other. `df` is read once
+    for the sums and a few times for the quantiles; give it stored."""
+    spark = df.sparkSession
+    table = F.broadcast(spark.createDataFrame(windows, "fold int, part string, segment int"))  # a few rows for each fold
+    long = df.select(F.col(segment).alias("segment"), F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols))).alias("_x")).select("segment", "_x.*")
+    sums = long.groupBy("segment", "feature").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    total = F.sum("n")
+    mean = F.sum(F.col("n") * F.col("m")) / total
+    # the variance of a union: within its parts, and of their means
+    rows = sums.filter("n > 0").join(table, "segment").groupBy("fold", "feature", "part").agg(mean.alias("mean"), (F.sum(F.col("n") * F.col("v")) / total).alias("within"), F.collect_list(F.struct("n", "m")).alias("parts"))
+    spread = F.aggregate("parts", F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("n")), lambda a, x: F.struct((a["s"] + x["n"] * (x["m"] - F.col("mean")) * (x["m"] - F.col("mean"))).alias("s"), (a["n"] + x["n"]).alias("n")), lambda a: a["s"] / a["n"])
+    rows = rows.withColumn("var", F.col("within") + spread)
+    into = {s: F.array(*(F.struct(F.lit(f).alias("fold"), F.lit(p).alias("part")) for f, p, x in windows if x == s)) for s in sorted({s for _, _, s in windows})}
+
+    def targets(part: Column) -> Column:
+        own = F.lit(None).cast("array<struct<fold: int, part: string>>")
+        for s, of in into.items():
+            own = F.when(part["segment"] == s, of).otherwise(own)
+        return F.transform(own, lambda t: F.struct(t["fold"].alias("fold"), part["feature"].alias("feature"), t["part"].alias("part")))
+
+    found = quantiles_by(long, ["segment", "feature"], "value", {"median": 0.5, "p90": 0.9}, into=(["fold", "feature", "part"], targets))
+    return _drift(rows.join(found.drop("_k", "n").hint("merge"), ["fold", "feature", "part"]), "part", ["fold"])
+
+
 def coverage(df: DataFrame, split: str, group: str, time: str, parsed: str) -> DataFrame:
     """(split, n, n_groups, n_times, parsed, coverage) per split and over all."""
     rows = df.rollup(split).agg(F.count("*").alias("n"), F.count_distinct(group).alias("n_groups"), F.count_distinct(time).alias("n_times"), F.count_if(F.col(parsed)).alias("parsed"))

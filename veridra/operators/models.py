@@ -93,6 +93,40 @@ def ridge(g: Gram, features: list[str], alpha: float) -> tuple[dict[str, float],
     return dict(zip(features, w.tolist())), float(centre[y] - w @ centre[at])
 
 
+def linear_scores(df: DataFrame, features: list[str], y: str, by: str, models: Mapping[str, list[tuple[tuple, Mapping[str, float], float]]], names: list[str], bands: tuple[float, float], centre: float) -> DataFrame:
+    """(names..., n, mae, rmse, r2, within_1, within_2) of linear models: each value of `by` (as text) has a list of (labels, coefficients, intercept)
+    that score its rows; sums of equal labels are added up over values. Every row is read once, whatever the number of models; a task emits a row of
+    sums per value and model. Labels are taken about `centre`, which keeps their squares well scaled. r2 is null below two rows or for a
+    constant label."""
+    listed = [(value, k, m) for value, own in models.items() for k, m in enumerate(own)]
+    weights = {v: np.array([[m[1].get(c, 0.0) for m in own] for c in features]).reshape(len(features), len(own)) for v, own in models.items()}
+    free = {v: np.array([m[2] for m in own]) for v, own in models.items()}
+    sums = ["n", "a", "s", "y", "yy", "w1", "w2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {v: np.zeros((len(sums), len(own))) for v, own in models.items()}
+        for batch in batches:
+            keys = np.array(batch.column(0).to_pylist(), dtype=object)
+            label = batch.column(1).to_numpy(zero_copy_only=False)
+            x = np.column_stack([batch.column(i + 2).to_numpy(zero_copy_only=False) for i in range(len(features))])
+            for v in set(keys) & set(total):
+                at = keys == v
+                e = x[at] @ weights[v] + free[v] - label[at, None]
+                t, size = label[at] - centre, np.abs(e)
+                total[v] += [np.full(e.shape[1], len(e)), size.sum(axis=0), (e * e).sum(axis=0), np.full(e.shape[1], t.sum()), np.full(e.shape[1], t @ t), *((size <= b).sum(axis=0) for b in bands)]
+        rows = [(v, k, *total[v][:, k]) for v, k, _ in listed if total[v][0, k]]
+        yield pa.RecordBatch.from_pylist([dict(zip(["v", "k", *sums], r)) for r in rows], schema)
+
+    schema = pa.schema([("v", pa.string()), ("k", pa.int64()), *((c, pa.float64()) for c in sums)])
+    rows = df.select(F.col(by).cast("string"), F.col(y).cast("double"), *(F.col(c).cast("double") for c in features))
+    rows = rows.mapInArrow(run, "v string, k long, " + ", ".join(f"{c} double" for c in sums))
+    labels = df.sparkSession.createDataFrame([(v, k, *m[0]) for v, k, m in listed], ["v", "k", *names])  # a row per value and model
+    rows = rows.join(F.broadcast(labels), ["v", "k"]).groupBy(*names).agg(*(F.sum(c).alias(c) for c in sums))
+    spread = F.col("yy") - F.col("y") * F.col("y") / F.col("n")
+    r2 = F.when((F.col("n") > 1) & (spread > 0), 1 - F.col("s") / spread)
+    return rows.select(*names, F.col("n").cast("long").alias("n"), (F.col("a") / F.col("n")).alias("mae"), F.sqrt(F.col("s") / F.col("n")).alias("rmse"), r2.alias("r2"), (F.col("w1") / F.col("n")).alias("within_1"), (F.col("w2") / F.col("n")).alias("within_2"))
+
+
 def linear(coefficients: Mapping[str, float], intercept: float) -> Column:
     """The prediction as a column expression."""
     out = F.lit(intercept)

@@ -3,6 +3,8 @@ range is added up from counts."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,39 +38,54 @@ def image(v: Column) -> Column:
     return bits.bitwiseXOR(F.shiftright(bits, 63).bitwiseAND(F.lit(2**63 - 1)))
 
 
-def quantiles_by(df: DataFrame, by: list[str], col: str, qs: dict[str, float], per_cell: int = 1_000_000) -> DataFrame:
+def quantiles_by(df: DataFrame, by: list[str], col: str, qs: dict[str, float], per_cell: int = 1_000_000, into: tuple[list[str], Callable[[Column], Column]] | None = None) -> DataFrame:
     """(by..., _k, n, a column per name of `qs`): exact quantiles of the non-null values with linear interpolation. `_k` holds `by` as one
     struct, for joins in which null is a key like others. `df` is read twice or a few times more; give it stored.
 
+    With `into` = (names, function) the groups of `by` are parts of larger, perhaps overlapping ones: the function makes an array of structs of
+    those names from the struct of `by`, and the result has a row per such struct. Parts are merged as counts; no row is copied.
+
     Radix selection on the values' 64-bit images: rows are counted per group and leading 16 bits, and sums of the counts tell the cell in which a
     quantile's rank lies. Cells of more than `per_cell` rows are counted by the next 16 bits; of the others the distinct values are counted and
     ordered. A row's work is the same for tables of any size, counts are added up before every shuffle, and what is joined to the rows is a few
     cells per group and quantile.
     """
-    rows = df.select(F.struct(*(F.col(c) for c in by), F.lit(0).alias("_")).alias("_k"), F.col(col).cast("double").alias("v")).filter("v is not null").withColumn("bits", image(F.col("v")))
+    rows = df.select(F.struct(*(F.col(c) for c in by), F.lit(0).alias("_")).alias("_part"), F.col(col).cast("double").alias("v")).filter("v is not null").withColumn("bits", image(F.col("v")))
+    names = into[0] if into else by
+    # the key of each larger group, with a last field that makes it a struct even where it has no other
+    targets = lambda part: F.transform(into[1](part), lambda t: F.struct(*(t[c].alias(c) for c in names), F.lit(0).alias("_"))) if into else F.array(part)
+    spread = lambda counts: counts.withColumn("_k", F.explode(targets(F.col("_part")))) if into else counts.withColumn("_k", F.col("_part"))
     spots = {k: F.lit(q) * (F.col("n") - 1) for k, q in qs.items()}
     ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(s), F.ceil(s)) for s in spots.values()))))
     inside = lambda c: F.filter("ranks", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col(c)))
     upto = lambda *parts: Window.partitionBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
     shift = 64 - STEP
-    counts = stored(rows.groupBy("_k", F.shiftright("bits", shift).alias("cell")).agg(F.count("*").alias("c")), "counts")
+    counted = stored(rows.groupBy("_part", F.shiftright("bits", shift).alias("cell")).agg(F.count("*").alias("c")), "counts")
+    counts = spread(counted).groupBy("_k", "cell").agg(F.sum("c").alias("c"))
     groups = stored(counts.groupBy("_k").agg(F.sum("c").alias("n")), "groups")
+    parts = stored(spread(counted.select("_part").distinct()), "parts")
     # 65,536 rows a group at most, in this window and in those of later steps
     placed = counts.join(groups.select("_k", ranks.alias("ranks")).hint(how(groups)), "_k").withColumn("before", F.coalesce(F.sum("c").over(upto("_k").orderBy("cell")), F.lit(0)))
     cells = stored(placed.select("_k", "cell", "before", "c", inside("c").alias("ranks")).filter(F.size("ranks") > 0), "cells")
+
+    def counted_in(cells: DataFrame, shift: int, last: Column, name: str) -> DataFrame:
+        """The rows of the cells, counted by something finer: per part, then per group and cell."""
+        wanted = stored(cells.join(parts.hint(how(parts)), "_k").select("_part", "cell").distinct(), "wanted")
+        here = rows.withColumn("cell", F.shiftright("bits", shift)).join(wanted.hint(how(wanted)), ["_part", "cell"]).groupBy("_part", "cell", last.alias(name)).agg(F.count("*").alias("c"))
+        return spread(here).join(cells.drop("c").hint(how(cells)), ["_k", "cell"]).groupBy("_k", "cell", "before", "ranks", name).agg(F.sum("c").alias("c"))
+
     while shift and (cells.agg(F.max("c")).first()[0] or 0) > per_cell:
-        here = rows.withColumn("cell", F.shiftright("bits", shift)).join(cells.drop("c").hint(how(cells)), ["_k", "cell"])
         shift -= STEP
-        finer = here.groupBy("_k", "cell", "before", "ranks", F.shiftright("bits", shift).alias("next")).agg(F.count("*").alias("c"))
+        finer = counted_in(cells, shift + STEP, F.shiftright("bits", shift), "next")
         finer = finer.withColumn("before", F.col("before") + F.coalesce(F.sum("c").over(upto("_k", "cell").orderBy("next")), F.lit(0)))
         cells = stored(finer.select("_k", F.col("next").alias("cell"), "before", "c", inside("c").alias("ranks")).filter(F.size("ranks") > 0), "cells")
-    near = rows.withColumn("cell", F.shiftright("bits", shift)).join(cells.drop("c").hint(how(cells)), ["_k", "cell"]).groupBy("_k", "cell", "before", "ranks", "v").agg(F.count("*").alias("c"))
+    near = counted_in(cells, shift, F.col("v"), "v")
     near = near.withColumn("before", F.col("before") + F.coalesce(F.sum("c").over(upto("_k", "cell").orderBy("v")), F.lit(0)))
     # two values a quantile and group at most
     found = near.select("_k", "v", F.explode(inside("c")).alias("r")).groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct("r", "v"))).alias("at"))
     lo, hi = ({k: F.element_at("at", f(s)) for k, s in spots.items()} for f in (F.floor, F.ceil))
     values = {k: lo[k] + (hi[k] - lo[k]) * (s - F.floor(s)) for k, s in spots.items()}
-    return found.join(groups.hint("merge"), "_k").select(*(F.col("_k")[c].alias(c) for c in by), "_k", "n", *(v.alias(k) for k, v in values.items()))
+    return found.join(groups.hint("merge"), "_k").select(*(F.col("_k")[c].alias(c) for c in names), "_k", "n", *(v.alias(k) for k, v in values.items()))
 
 
 def with_quantiles(groups: DataFrame, values: DataFrame, by: list[str], col: str, qs: dict[str, float]) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridra.operators.checks import assert_finite, assert_unique
-from veridra.operators.ranks import numbered, quantiles_by
+from veridra.operators.ranks import quantiles_by
 from veridra.sources.workspace import stored
 
 
@@ -97,26 +101,57 @@ def versus_reference(metrics: DataFrame, by: list[str], setting: str, metric: st
     return rows.join(ref, by).select(*by, setting, F.col(metric).alias("value"), "reference_value", (F.col(metric) - F.col("reference_value")).alias("gap"))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of 32-bit numbers, every bit spread over all."""
+    x = x ^ (x >> np.uint32(16))
+    x = x * np.uint32(2246822507)
+    x = x ^ (x >> np.uint32(13))
+    x = x * np.uint32(3266489909)
+    return x ^ (x >> np.uint32(16))
+
+
+#: a hash below the k-th of these, and not below those before it, is k draws: the distribution of a Poisson number of mean 1, in units of 2 ** -32
+POISSON = np.array([math.floor(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12)], np.uint32)
+
+
+def draws(seed: int, reps: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """How often each replicate (rows) draws each cluster (columns; two 32-bit halves of its key)."""
+    r = _mixed(reps.astype(np.uint32) * np.uint32(2654435769) + np.uint32(seed))
+    u = _mixed(_mixed(r[:, None] ^ high[None, :].astype(np.uint32)) ^ low[None, :].astype(np.uint32))
+    return np.searchsorted(POISSON, u, side="right").astype(np.float64)
+
+
 def cluster_bootstrap(df: DataFrame, keys: list[str], cluster: str, setting: str, error: str, pair: tuple[str, str], reps: int, seed: int, level: float = 0.95) -> DataFrame:
     """One row (estimate, low, high, clusters, reps): percentile interval of the difference of two settings' mean errors, whole clusters
     drawn with replacement. Rows that lack one of the settings are an error.
 
-    Draw `slot` of replicate `rep` is the first 32 bits of md5(seed:rep:slot) modulo the clusters, so any engine repeats it. Replicates
-    and slots are spread over tasks, and each joins the clusters' sums, a row per cluster, by number. The interval is read off `reps` numbers.
+    Each replicate draws each cluster a Poisson number of times, mean 1: the form of the bootstrap in which clusters are drawn independently, so that
+    no task has to know the others' clusters. The number is a hash of seed, replicate and the cluster's md5, so any engine repeats it. A task
+    holds its clusters' sums in Arrow batches, draws them for some replicates at a time, multiplies, and emits one row of sums per replicate; the
+    interval is read off `reps` numbers.
     """
     a, b = (F.sum(F.when(F.col(setting) == s, F.col(error))) for s in pair)
     counts = df.filter(F.col(setting).isin(*pair)).groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct(setting).alias("s"))
     if counts.filter("n <> 2 or s <> 2").limit(1).count():
         raise ValueError("rows are not paired")
-    sums = df.groupBy(cluster).agg(a.alias("a"), b.alias("b"), F.count_if(F.col(setting) == pair[0]).alias("n"))
-    sums, clusters = numbered(sums, [F.col(cluster)], "c")
-    sums = stored(sums.withColumn("c", F.col("c") - 1), "clusters")
-    total_a, total_b, total = sums.agg(F.sum("a"), F.sum("b"), F.sum("n")).first()
-    draws = df.sparkSession.range(reps * clusters).select(F.floor(F.col("id") / clusters).alias("rep"), (F.col("id") % clusters).alias("slot"))
-    text = F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("slot").cast("string"))
-    draws = draws.withColumn("c", F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % clusters)
-    drawn = draws.join(sums.select("c", "a", "b", "n").hint("broadcast" if clusters <= 1_000_000 else "merge"), "c")
-    each = drawn.groupBy("rep").agg(((F.sum("b") - F.sum("a")) / F.sum("n")).alias("v"))
+    sums = df.groupBy(cluster).agg(a.alias("a"), b.alias("b"), F.count_if(F.col(setting) == pair[0]).cast("double").alias("n"))
+    half = lambda at: F.conv(F.substring(F.md5(F.col(cluster).cast("string")), at, 8), 16, 10).cast("long")
+    sums = stored(sums.select(half(1).alias("high"), half(9).alias("low"), "a", "b", "n"), "clusters")
+    total_a, total_b, total, clusters = sums.agg(F.sum("a"), F.sum("b"), F.sum("n"), F.count("*")).first()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((reps, 3))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                high, low, *values = (c.to_numpy(zero_copy_only=False) for c in batch.slice(at, 8192).columns)
+                for rep in range(0, reps, 128):
+                    some = np.arange(rep, min(rep + 128, reps))
+                    out[some] += draws(seed, some, high, low) @ np.column_stack(values)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(reps)), *(pa.array(out[:, k].copy()) for k in range(3))], names=["rep", "a", "b", "n"])
+
+    drawn = sums.mapInArrow(run, "rep long, a double, b double, n double")
+    # a replicate that drew nothing says nothing
+    each = drawn.groupBy("rep").agg((F.try_divide(F.sum("b") - F.sum("a"), F.sum("n"))).alias("v"))
     tail = (1 - level) / 2
     band = each.agg(F.percentile("v", F.array(F.lit(tail), F.lit(1 - tail))).alias("p"))
     return band.select(F.lit((total_b - total_a) / total).alias("estimate"), F.get("p", F.lit(0)).alias("low"), F.get("p", F.lit(1)).alias("high"), F.lit(clusters).alias("clusters"), F.lit(reps).alias("reps"))

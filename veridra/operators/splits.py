@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,15 +94,53 @@ def group_times(df: DataFrame, group: str, time: str) -> DataFrame:
     return out.orderBy(time, group)
 
 
-def rolling_folds(times: DataFrame, group: str, time: str, shares: list[float], test: float) -> DataFrame:
-    """(fold, group, part): expanding training windows over groups in time order, each followed by its test window. Bounds are rounded
-    half to even; each side has one group at least. The folds are a small literal table that ranks are compared with."""
-    ranked, n = numbered(times, [F.col(time), F.col(group)], "rk")
+@dataclass(frozen=True)
+class Windows:
+    """Expanding training windows over ranked groups, each with the test window after it: (fold, last train rank, last test rank). Their bounds cut the ranks into
+    segments; every window is a run of segments, so sums per segment add up to any window's."""
+
+    bounds: list[tuple[int, int, int]]
+
+    @property
+    def cuts(self) -> list[int]:
+        return sorted({x for _, a, b in self.bounds for x in (a, b)})
+
+    def segment(self, rank: Column) -> Column:
+        """The number of the segment that a rank lies in; ranks after all windows lie in the last one."""
+        return reduce(lambda x, y: x + y, [(rank > c).cast("int") for c in self.cuts], F.lit(0))
+
+    def of(self, fold: int, part: str) -> list[int]:
+        """The segments of a window."""
+        a, b = next((a, b) for f, a, b in self.bounds if f == fold)
+        first, last = self.cuts.index(a), self.cuts.index(b)
+        return list(range(first + 1)) if part == "train" else list(range(first + 1, last + 1))
+
+    def table(self) -> list[tuple[int, str, int]]:
+        """(fold, part, segment), a few rows for each fold."""
+        return [(f, p, s) for f, _, _ in self.bounds for p in ("train", "test") for s in self.of(f, p)]
+
+
+def window_bounds(n: int, shares: list[float], test: float) -> Windows:
+    """Windows over n ranks. Bounds are rounded half to even; each side has one group at least."""
     bounds = []
     for i, share in enumerate(shares):
         a = min(max(1, round(n * share)), n - 1)
         bounds.append((i + 1, a, min(n, max(a + 1, round(n * (share + test))))))
-    folds = F.array(*(F.struct(F.lit(f).alias("fold"), F.lit(a).alias("a"), F.lit(b).alias("b")) for f, a, b in bounds))
+    return Windows(bounds)
+
+
+def fold_segments(times: DataFrame, group: str, time: str, shares: list[float], test: float) -> tuple[DataFrame, Windows]:
+    """(group, segment), a row per group, and the windows that the segments make up."""
+    ranked, n = numbered(times, [F.col(time), F.col(group)], "rk")
+    windows = window_bounds(n, shares, test)
+    return ranked.select(group, windows.segment(F.col("rk")).alias("segment")), windows
+
+
+def rolling_folds(times: DataFrame, group: str, time: str, shares: list[float], test: float) -> DataFrame:
+    """(fold, group, part): expanding training windows over groups in time order, each followed by its test window. The folds are a small
+    literal table that ranks are compared with."""
+    ranked, n = numbered(times, [F.col(time), F.col(group)], "rk")
+    folds = F.array(*(F.struct(F.lit(f).alias("fold"), F.lit(a).alias("a"), F.lit(b).alias("b")) for f, a, b in window_bounds(n, shares, test).bounds))
     spread = ranked.select(group, "rk", F.explode(F.filter(folds, lambda f: F.col("rk") <= f["b"])).alias("f"))
     return spread.select(F.col("f.fold").alias("fold"), group, F.when(F.col("rk") <= F.col("f.a"), "train").otherwise("test").alias("part"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyspark.sql.functions as F
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -115,10 +117,11 @@ def folds(rows: DataFrame) -> DataFrame:
     return P.rolling_folds(P.group_times(rows, "group_id", "start_time"), "group_id", "start_time", SHARES, 0.1)
 
 
-def fold_rows(spark, d) -> DataFrame:
-    """The model table once per fold and part, stored."""
+def fold_rows(spark, d) -> tuple[DataFrame, P.Windows]:
+    """The model table, a row per row, with the segment of time that its group lies in, stored; and the windows that the segments make up."""
     rows = stored(A.model_table(spark, d))
-    return stored(rows.join(folds(rows).hint("merge"), "group_id"))
+    segments, windows = P.fold_segments(P.group_times(rows, "group_id", "start_time"), "group_id", "start_time", SHARES, 0.1)
+    return stored(rows.join(segments.hint("merge"), "group_id")), windows
 
 
 @query("rolling_folds", f"WITH {FOLDS_VIEW} SELECT fold, part, count(*) AS n, sum(group_id)::bigint AS s FROM folds GROUP BY 1, 2")
@@ -231,28 +234,39 @@ FOLD_ERRORS = f"""{FOLDS_VIEW}, fold_rows AS (SELECT fold, part, m.* FROM model
 FOLD_SETS = {k: SETS[k] for k in ("mean", "rank", "full")}
 
 
-def fold_metrics(rows: DataFrame) -> DataFrame:
-    """Scores per fold and feature set: a ridge model each, fitted on the fold's train rows."""
-    train = R.grams(rows.filter("part = 'train'"), ["index_rank", "log_popularity"], "label", "fold")
-    long = R.predict_by(rows.filter("part = 'test'"), train, "fold", FOLD_SETS, 1.0, ["fold"], "label").withColumnRenamed("model_name", "feature_set")
-    return M.regression_metrics(long, "actual", "predicted", ["fold", "feature_set"], BANDS)
+def fold_metrics(rows: DataFrame, windows: P.Windows) -> DataFrame:
+    """Scores per fold and feature set: a ridge model each, fitted on the fold's train rows. The sums of every segment, read once, add up to those
+    of the nested training windows."""
+    features = ["index_rank", "log_popularity"]
+    sums = R.grams(rows, features, "label", "segment")
+    models: dict[str, list] = {}
+    for fold, _, _ in windows.bounds:
+        train = reduce(lambda x, y: x + y, [sums[str(s)] for s in windows.of(fold, "train") if str(s) in sums])
+        own = [((fold, name), *R.ridge(train, x, 1.0)) for name, x in FOLD_SETS.items()]
+        for s in windows.of(fold, "test"):
+            models.setdefault(str(s), []).extend(own)
+    centre = float(next(iter(sums.values())).shift[-1])
+    return R.linear_scores(rows, features, "label", "segment", models, ["fold", "feature_set"], BANDS, centre)
 
 
 @query("rolling_evaluate", f"WITH {FOLD_ERRORS} SELECT fold, feature_set, n, round(mae, 4) AS mae FROM fold_metrics")
 def _(spark, d):
-    return fold_metrics(fold_rows(spark, d)).select("fold", "feature_set", "n", F.round("mae", 4).alias("mae"))
+    return fold_metrics(*fold_rows(spark, d)).select("fold", "feature_set", "n", F.round("mae", 4).alias("mae"))
 
 
 @query("metrics_by_fold", f"WITH {FOLD_ERRORS} SELECT fold, feature_set, n, round(mae, 4) AS mae, first_test, last_train FROM fold_metrics JOIN (SELECT fold, min(start_time) FILTER (part = 'test') AS first_test, max(start_time) FILTER (part = 'train') AS last_train FROM fold_rows GROUP BY 1) USING (fold)")
 def _(spark, d):
-    rows = fold_rows(spark, d)
-    windows = rows.groupBy("fold").agg(F.min(F.when(F.col("part") == "test", F.col("start_time"))).alias("first_test"), F.max(F.when(F.col("part") == "train", F.col("start_time"))).alias("last_train"))
-    return fold_metrics(rows).join(windows.hint("broadcast"), "fold").select("fold", "feature_set", "n", F.round("mae", 4).alias("mae"), "first_test", "last_train")
+    rows, windows = fold_rows(spark, d)
+    edges = rows.groupBy("segment").agg(F.min("start_time").alias("first"), F.max("start_time").alias("last"))
+    table = F.broadcast(spark.createDataFrame(windows.table(), "fold int, part string, segment int"))  # a few rows for each fold
+    side = lambda p, c: F.when(F.col("part") == p, F.col(c))
+    times = edges.join(table, "segment").groupBy("fold").agg(F.min(side("test", "first")).alias("first_test"), F.max(side("train", "last")).alias("last_train"))
+    return fold_metrics(rows, windows).join(times.hint("broadcast"), "fold").select("fold", "feature_set", "n", F.round("mae", 4).alias("mae"), "first_test", "last_train")
 
 
 @query("average_by_feature_set", f"WITH {FOLD_ERRORS} SELECT feature_set, round(avg(mae), 4) AS average, row_number() OVER (ORDER BY avg(mae), feature_set) = 1 AS best, (SELECT bool_and(a.mae > b.mae) FROM fold_metrics a JOIN fold_metrics b USING (fold) WHERE a.feature_set = 'mean' AND b.feature_set = 'rank') AS worse_in_every_fold FROM fold_metrics GROUP BY 1")
 def _(spark, d):
-    rows = stored(fold_metrics(fold_rows(spark, d)))
+    rows = stored(fold_metrics(*fold_rows(spark, d)))
     worse = M.consistently_worse(rows, "feature_set", "fold", "mae", "mean", "rank").first()[0]
     return rounded(M.average_metric(rows, "feature_set", "mae"), {"average": 4}).withColumn("worse_in_every_fold", F.lit(worse))
 
@@ -261,8 +275,8 @@ def _(spark, d):
   s AS (SELECT fold, feature, avg(v) FILTER (part = 'train') AS m1, avg(v) FILTER (part = 'test') AS m2, quantile_cont(v, 0.5) FILTER (part = 'train') AS d1, quantile_cont(v, 0.5) FILTER (part = 'test') AS d2, quantile_cont(v, 0.9) FILTER (part = 'train') AS p1, quantile_cont(v, 0.9) FILTER (part = 'test') AS p2, var_pop(v) FILTER (part = 'train') AS v1, var_pop(v) FILTER (part = 'test') AS v2 FROM long GROUP BY 1, 2)
   SELECT fold, feature, round(m1, 4) AS train_mean, round(m2, 4) AS test_mean, round(d2 - d1, 4) AS median_diff, round(p2 - p1, 4) AS p90_diff, round((m2 - m1) / sqrt((v1 + v2) / 2), 6) AS smd FROM s""")
 def _(spark, d):
-    rows = fold_rows(spark, d)
-    out = M.drift(rows, ["popularity", "label"], "part", ["fold"])
+    rows, windows = fold_rows(spark, d)
+    out = M.drift_by_fold(rows, ["popularity", "label"], "segment", windows.table())
     return out.select("fold", "feature", *(F.round(c, 4).alias(c) for c in ("train_mean", "test_mean", "median_diff", "p90_diff")), F.round("smd", 6).alias("smd"))
 
 

@@ -130,9 +130,16 @@ def _(spark, d):
 
 
 @query("paired_cluster_bootstrap", f"""WITH e AS (SELECT group_id, line_no, setting, abs(predicted - actual) AS err FROM ({REFIT_SQL})),
-  c AS (SELECT group_id AS cluster, sum(err) FILTER (setting = 'rank') AS a, sum(err) FILTER (setting = 'popularity') AS b, count(*) FILTER (setting = 'rank') AS n, row_number() OVER (ORDER BY group_id) - 1 AS i FROM e GROUP BY 1),
-  draws AS (SELECT rep, CAST('0x' || substr(md5('42:' || rep || ':' || slot), 1, 8) AS bigint) % (SELECT count(*) FROM c) AS i FROM range(10000) r(rep), range((SELECT count(*) FROM c)) s(slot)),
-  v AS (SELECT rep, (sum(b) - sum(a)) / sum(n) AS v FROM draws JOIN c USING (i) GROUP BY 1)
+  c AS (SELECT sum(err) FILTER (setting = 'rank') AS a, sum(err) FILTER (setting = 'popularity') AS b, count(*) FILTER (setting = 'rank') AS n,
+    CAST('0x' || substr(md5(CAST(group_id AS varchar)), 1, 8) AS ubigint) AS high, CAST('0x' || substr(md5(CAST(group_id AS varchar)), 9, 8) AS ubigint) AS low FROM e GROUP BY group_id),
+  r1 AS (SELECT rep, (rep::ubigint * 2654435769::ubigint + 42) & 4294967295::ubigint AS x FROM range(10000) t(rep)),
+  r2 AS (SELECT rep, xor(x, x >> 16) * 2246822507::ubigint & 4294967295::ubigint AS x FROM r1), r3 AS (SELECT rep, xor(x, x >> 13) * 3266489909::ubigint & 4294967295::ubigint AS x FROM r2), r AS (SELECT rep, xor(x, x >> 16) AS h FROM r3),
+  d1 AS (SELECT rep, a, b, n, low, xor(h, high) AS x FROM r, c), d2 AS (SELECT rep, a, b, n, low, xor(x, x >> 16) * 2246822507::ubigint & 4294967295::ubigint AS x FROM d1),
+  d3 AS (SELECT rep, a, b, n, low, xor(x, x >> 13) * 3266489909::ubigint & 4294967295::ubigint AS x FROM d2), d4 AS (SELECT rep, a, b, n, xor(xor(x, x >> 16), low) AS x FROM d3),
+  d5 AS (SELECT rep, a, b, n, xor(x, x >> 16) * 2246822507::ubigint & 4294967295::ubigint AS x FROM d4), d6 AS (SELECT rep, a, b, n, xor(x, x >> 13) * 3266489909::ubigint & 4294967295::ubigint AS x FROM d5),
+  d AS (SELECT rep, a, b, n, xor(x, x >> 16) AS u FROM d6),
+  w AS (SELECT rep, a, b, n, {' + '.join(f'(u >= {int(p)})::int' for p in S.POISSON)} AS w FROM d),
+  v AS (SELECT rep, (sum(w * b) - sum(w * a)) / nullif(sum(w * n), 0) AS v FROM w GROUP BY 1)
   SELECT round((SELECT (sum(b) - sum(a)) / sum(n) FROM c), 4) AS estimate, round(quantile_cont(v, 0.025), 4) AS low, round(quantile_cont(v, 0.975), 4) AS high, (SELECT count(*) FROM c) AS clusters, count(*) AS reps FROM v""")
 def _(spark, d):
     rows = stored(refit(spark, d).withColumn("absolute_error", F.abs(F.col("predicted") - F.col("actual"))))
