@@ -8,9 +8,9 @@ def brute(rows, k=5):
 
     ok = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, x in ok:
+    for n, (q, x) in enumerate(ok):
         if q % 50 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in ok if i != q and len(x) == len(y))
+            scored = sorted((-sum(a * b for a, b in zip(x, y)), i) for m, (i, y) in enumerate(ok) if m != n and len(x) == len(y))
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -50,5 +50,17 @@ def test_edges_of_the_input(spark):
     rows = [(0, [1.0, 2.0]), (50, [1.0, None]), (100, [nan, 1.0]), (150, None), (1, [1.0, inf]), (2, [0.5, 0.5]), (3, [0.5, 0.5]), (3, [0.5, 0.5]), (4, []), (None, [1.0, 1.0]), (5, [1.0]), (200, [2.0]), (6, [1e30, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as id", "2 as x", "3 as qb")
     got = sorted(tuple(r) for r in top_k(df).collect())
-    assert got == brute([r for r in rows if r[1] is None or 1e30 not in r[1]][:7] + rows[8:12])
+    assert got == brute([r for r in rows if r[1] is None or 1e30 not in r[1]])
     assert top_k(df.limit(0)).count() == 0
+
+
+def test_every_row_counts_where_ids_repeat(spark):
+    rows = [(0, [1.0, 0.0]), (7, [0.5, 0.0]), (7, [0.9, 0.0]), (9, [0.6, 0.0])]
+    kind = "vec_id long, embedding array<double>"
+    got = sorted(tuple(r) for r in top_k(spark.createDataFrame(rows, kind)).collect())
+    assert got == brute(rows) and got[0] == (0, 1, 7, 58880)
+    rng = np.random.default_rng(5)
+    rows = [(int(i) * 10, [float(x) for x in v]) for i, v in zip(rng.integers(0, 12, 300), rng.integers(-2, 3, (300, 2)) / 4)] + [(100, [1.0, 1.0])] * 9 + [(100, [1.0, -1.0])] * 2 + [(101, [1.0, 1.0])] * 3
+    df = spark.createDataFrame(rows, kind).repartition(3)
+    for cfg in (TopKConfig(), TopKConfig(block=20, queries=6), TopKConfig(block=50, depths=(0.2, 0.5, 0.9))):
+        assert sorted(tuple(r) for r in top_k(df, cfg=cfg).collect()) == brute(rows)

@@ -43,7 +43,7 @@ def miner(pages, labels, cfg):
     rules = []
     for some, c in sets.items():
         for verdict, both, base in (("block", blocked[some], n_bad), ("allow", c - blocked[some], n - n_bad)):
-            if both and both >= math.ceil(cfg.support * n) and both / c >= cfg.confidence and both / c / (base / n) >= cfg.lift:
+            if both and both >= max(math.ceil(cfg.support * n), cfg.least) and both / c >= cfg.confidence and both / c / (base / n) >= cfg.lift:
                 rules.append((both / c, both / n, " ".join(some), verdict, frozenset(some)))
 
     def best(url):
@@ -105,3 +105,39 @@ def test_no_labels_and_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.verdict for r in url_filter(pages, none).collect()] == ["allow", "allow"]
     assert url_filter(pages.limit(0), none).count() == 0
+
+
+def test_few_labelled_urls_of_many_tokens_end(spark):
+    import random
+
+    random.seed(1)
+    long = [(i, "http://h.org/" + "/".join(f"w{k}" for k in random.sample(range(90), 60))) for i in range(4)]
+    same = [(10 + i, f"http://{'spam' if i % 2 else 'fine'}.net/" + "/".join(f"{'s' if i % 2 else 'f'}{k}" for k in range(60))) for i in range(30)]
+    pages = spark.createDataFrame(long + same, "page_id long, url string")
+    few = spark.createDataFrame([(i, 1, i % 2) for i in range(4)], "doc_id long, quality int, toxic int")
+    assert {r.mined for r in url_filter(pages, few).collect()} == {None}
+    # sixty tokens that always come together are one item; a url that has one of them fits
+    more = pages.union(spark.createDataFrame([(99, "http://other.com/s7"), (98, "http://other.com/f7/x")], "page_id long, url string"))
+    marks = spark.createDataFrame([(10 + i, 1, i % 2) for i in range(30)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.mined for r in url_filter(more, marks).collect()}
+    assert got[99] == "block" and got[98] == "allow" and {got[11], got[13]} == {"block"} and {got[10], got[12]} == {"allow"}
+
+
+def test_merged_tokens_give_the_rules_of_single_ones(spark):
+    import random
+
+    random.seed(3)
+    words = ["a", "b", "c", "d", "e", "f", "g"]
+    urls = []
+    for i in range(150):
+        own = random.sample(words, 3)
+        own += ["a2", "a1"] if "a" in own else []
+        own += ["zc"] if "c" in own else []
+        urls.append((i, f"x://h/{'/'.join(own)}"))
+    urls += [(200 + i, f"x://h/{u}") for i, u in enumerate(["a1", "a2/zc", "a/b", "zc", "a1/d/zc", "q", ""])]
+    labels = [(i, 1, int(random.random() < (0.8 if "a" in u.split("/") else 0.3))) for i, u in urls[:100]]
+    cfg = UrlFilterConfig(support=0.03, lift=1.05)
+    for config in (cfg, UrlFilterConfig(support=0.03, lift=1.05, small_rules=0, salts=2)):
+        rows = url_filter(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), cfg=config).collect()
+        rules, best = miner(urls, labels, cfg)
+        assert rules and {(r.page_id, r.mined) for r in rows} == {(i, best(u)) for i, u in urls}

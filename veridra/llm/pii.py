@@ -162,9 +162,16 @@ def _day_first(text: str, key: bytes) -> str | None:
     return d and d.strftime(f"%d{sign}%m{sign}%Y")
 
 
-#: kind, pattern, rule: pseudonym or None where the value is not valid. The first kind that matches a place has it.
+#: a run that may hold an address's name, where a name can begin in it, and the two forms of host after its @: any address's, and that of one
+#: whose name is the digits after a dot
+_RUN, _FIRST, _NUMBER = re.compile(r"[\w.+-]+"), re.compile(r"[^\W_]"), re.compile(r"(?<=\.)\d+\Z")
+_HOST = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+_LOOSE_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+#: characters that an address's name has at most
+NAME = 64
+
+#: kind, pattern, rule: pseudonym or None where the value is not valid. The first kind that matches a place has it; addresses come before all.
 KINDS: tuple[tuple[str, str, Callable[[str, bytes], str | None]], ...] = (
-    ("email", r"[^\W_][\w.+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}|(?<=\.)\d+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
     ("phone", r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)", _phone),
     ("iso_date", r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])", _iso_date),
     ("day_date", r"(?<![\d./])\d{2}(?P<sep>[./])\d{2}(?P=sep)\d{4}(?![\d/])", _day_first),
@@ -181,31 +188,70 @@ class PiiConfig:
     key: bytes = b"demonstration key"
 
 
-_ALL = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern, _ in KINDS))
+_NUMBERS = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern, _ in KINDS))
 _RULES = {kind: rule for kind, _, rule in KINDS}
 _HINT = re.compile(r"\d[\d ().@/+-]{5,}\d|@")
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int, int, bool]]:
+    """(start of the run before an @, the @, end of the host, whether any name will do), in order. Each run and each host is read once."""
+    if "@" not in text:
+        return
+    for run in _RUN.finditer(text):
+        at = run.end()
+        if text[at : at + 1] == "@":
+            host = _HOST.match(text, at + 1)
+            loose = host or _LOOSE_HOST.match(text, at + 1)
+            if loose:
+                yield max(run.start(), at - NAME), at, loose.end(), host is not None
+
+
+def _name(text: str, address: tuple[int, int, int, bool], done: int) -> int:
+    """Where the address's name begins, not before `done`; -1 if there is no room for one."""
+    begin, at, _, free = address
+    begin = max(begin, done)
+    found = _FIRST.search(text, begin, at) if free else _NUMBER.search(text, begin, at)
+    return found.start() if found else -1
+
+
+def _values(text: str) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of what looks like a value, from left to right without overlaps; where two begin at one place an address goes first."""
+    done, addresses, number = 0, _addresses(text), _NUMBERS.search(text)
+    address = next(addresses, None)
+    while address or number:
+        if number and number.start() < done:
+            number = _NUMBERS.search(text, done)
+            continue
+        begin = _name(text, address, done) if address else -1
+        if address and begin < 0:
+            address = next(addresses, None)
+        elif address and (number is None or begin <= number.start()):
+            yield "email", begin, address[2]
+            done, address = address[2], next(addresses, None)
+        elif number:
+            yield next(k for k, v in number.groupdict().items() if v is not None and k != "sep"), number.start(), number.end()
+            done = number.end()
+
+
 def pseudonymise(text: str, cfg: PiiConfig) -> tuple[str, list[str]]:
-    """The text with its valid values replaced, and their kinds in order."""
+    """The text with its valid values replaced, and their kinds in order. Time grows with the text's length, whatever it holds."""
     found: list[str] = []
     if not _HINT.search(text):
         return text, found
-
-    def swap(m: re.Match) -> str:
-        kind = next(k for k, v in m.groupdict().items() if v is not None and k != "sep")
-        new = _RULES[kind](m[0], cfg.key)
-        if new is None and kind == "card" and " " in m[0]:
+    out, done = [], 0
+    for kind, begin, end in _values(text):
+        value = text[begin:end]
+        new = _email(value, cfg.key) if kind == "email" else _RULES[kind](value, cfg.key)
+        if new is None and kind == "card" and " " in value:
             # neighbouring numbers, not one number in groups: each stands for itself
-            parts = [(_card(p, cfg.key) if 13 <= len(p) <= 19 else None, p) for p in m[0].split(" ")]
+            parts = [(_card(p, cfg.key) if 13 <= len(p) <= 19 else None, p) for p in value.split(" ")]
             found.extend("card" for p, _ in parts if p is not None)
-            return " ".join(old if p is None else p for p, old in parts)
-        if new is None:
-            return m[0]
-        found.append(kind)
-        return new
-
-    return _ALL.sub(swap, text), found
+            new = " ".join(old if p is None else p for p, old in parts)
+        elif new is not None:
+            found.append(kind)
+        out += [text[done:begin], value if new is None else new]
+        done = end
+    return "".join([*out, text[done:]]), found
 
 
 def pseudonyms(docs: DataFrame, text_col: str = "text", cfg: PiiConfig = PiiConfig()) -> DataFrame:
@@ -214,7 +260,8 @@ def pseudonyms(docs: DataFrame, text_col: str = "text", cfg: PiiConfig = PiiConf
 
     Cards must pass the check digit (and the pseudonym does), dates exist between 1900 and 2099, octets stay below 256, and social security
     numbers give such as can be valid; numbers that fail stay as they are. A value keeps its pseudonym in another spelling: a card or phone
-    number with other signs, a date in another order, an address in other capitals. Very long texts are read whole. A null text stays null with 0 found. Repeated rows get equal results, an empty table
+    number with other signs, a date in another order, an address in other capitals. Of an address's name the last 64 characters
+    count. Very long texts are read whole, in time that grows with their length. A null text stays null with 0 found. Repeated rows get equal results, an empty table
     stays empty. Rows stay where they are: no shuffle.
     """
     kept = docs.drop("pii_found", "pii_kinds")

@@ -90,10 +90,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 TOP_K_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS double))) AS x FROM embeddings),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS bigint) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+WITH v AS (SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: floor(256 * CAST(x AS double))) AS x FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, q.n, c.vec_id, CAST(list_inner_product(q.x, c.x) AS bigint) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.n <> q.n)
 SELECT query_id, CAST(rank AS int) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5"""
+FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5"""
 
 NEAR_SQL = """
 WITH RECURSIVE w AS (

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridra.llm.common import written
+
 LIMIT = 2**24
 
 
@@ -144,36 +146,60 @@ def quantised(vec: Column, scale: float) -> Column:
     return F.when(finite, F.transform(vec, lambda x: whole(scaled(x))))
 
 
+def _own(ids: np.ndarray, block: np.ndarray, query_ids: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """The place of each query's own row in the block whose ids ascend; -1 where it lies in another block."""
+    low, high = np.searchsorted(ids, query_ids), np.searchsorted(ids, query_ids, "right")
+    out = np.full(len(query_ids), -1)
+    for j in np.flatnonzero(low < high):
+        same = np.flatnonzero((block[low[j] : high[j]] == queries[j]).all(axis=1))
+        out[j] = low[j] + same[0] if len(same) else -1
+    return out
+
+
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", is_query: Column | None = None, cfg: TopKConfig = TopKConfig()) -> DataFrame:
-    """The k highest integer inner products of every query with all other rows: (query_id, rank, vec_id, score).
+    """The k highest integer inner products of every query row with all other rows: (query_id, rank, vec_id, score).
 
     Queries are the rows where `is_query` holds (default: id divisible by 50). Ties go to the smaller id; fewer candidates
-    than k are all returned. Rows with a null id, or a vector that is null or holds a null or non-finite component, take no part; of
-    rows with one id the smallest vector stands; only vectors of equal length meet, empty ones too. A pair whose score does not fit
-    a long has no row, as the score column cannot hold it. An empty table gives an empty result.
+    than k are all returned. Rows with a null id, or a vector that is null or holds a null or non-finite component, take no part; only
+    vectors of equal length meet, empty ones too. Every row counts, also where ids repeat: a query row has all rows but itself as candidates,
+    another row of its id and even its equal among them, and each of several query rows of one id has its own k results. A pair whose score
+    does not fit a long has no row, as the score column cannot hold it. An empty table gives an empty result.
 
-    Candidates and queries are dealt into blocks by a hash, and every pair of blocks is one group of bounded size;
-    k rows per query and block go on to the merge.
+    Equal rows are worked on once, with their number. Candidates and queries are dealt into blocks by a hash, and every pair of blocks is
+    one group of bounded size; k rows per query and block go on to the merge.
     """
     asked = F.col("id") % 50 == 0 if is_query is None else is_query
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vec_col), cfg.scale).alias("x")).filter("id is not null and x is not null")
-    rows = rows.groupBy("id").agg(F.min("x").alias("x"))
+    rows = written(rows.groupBy("id", "x").agg(F.count("*").alias("m")), "vectors")
     total, wanted = rows.agg(F.count("*"), F.count_if(asked)).first()
     n_blocks, n_asked = max(1, -(-total // cfg.block)), max(1, -(-wanted // cfg.queries))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    candidates = rows.select("id", "x", F.size("x").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("cb"), numbers(n_asked).alias("qb"))
-    queries = rows.filter(asked).select("id", "x", F.size("x").alias("dim"), numbers(n_blocks).alias("cb"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_asked)).cast("int").alias("qb"))
+    dim, key = F.size("x").alias("dim"), F.sha2(F.array_join(F.transform("x", lambda x: x.cast("string")), " "), 256).alias("key")
+    candidates = rows.select("id", "x", "m", dim, F.pmod(F.xxhash64("id", "x"), F.lit(n_blocks)).cast("int").alias("cb"), numbers(n_asked).alias("qb"))
+    queries = rows.filter(asked).select("id", "x", "m", key, dim, numbers(n_blocks).alias("cb"), F.pmod(F.xxhash64("id", "x", F.lit(1)), F.lit(n_asked)).cast("int").alias("qb"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, int]] = []
+        ids, of, score, copies = (np.empty(0, np.int64) for _ in range(4))
         if left.num_rows and right.num_rows:
             matrix = lambda t: np.asarray(t["x"].combine_chunks().flatten()).reshape(t.num_rows, t["dim"][0].as_py())
             left = left.sort_by("id")
-            found = best_pairs(left["id"].to_numpy(), matrix(left), right["id"].to_numpy(), matrix(right), cfg)
-        columns = list(zip(*found)) or [[], [], []]
-        return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("query_id", "vec_id", "score"), columns)})
+            block, asking, times = matrix(left), matrix(right), left["m"].to_numpy()
+            own = _own(left["id"].to_numpy(), block, right["id"].to_numpy(), asking)
+            # a row without an equal leaves itself out; one with equals meets all but one of them
+            alone = (own >= 0) & (times[own] == 1)
+            labels = np.where(alone, own, -1 - np.arange(len(own)))
+            found = np.array(best_pairs(np.arange(len(block)), block, labels, asking, cfg), np.int64).reshape(-1, 3)
+            query_of = dict(zip(labels.tolist(), range(len(labels))))
+            of, at, score = np.array([query_of[q] for q in found[:, 0].tolist()], np.int64), found[:, 1], found[:, 2]
+            ids, copies = left["id"].to_numpy()[at], times[at] - ((own[of] == at) & ~alone[of])
+        picked = right.take(pa.array(of))
+        return pa.table({"query_id": picked["id"], "key": picked["key"], "m": picked["m"], "vec_id": pa.array(ids), "score": pa.array(score), "copies": pa.array(copies)})
 
     keys = ["dim", "cb", "qb"]
-    met = candidates.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cfg.k).select("query_id", "rank", "vec_id", "score")
+    met = candidates.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(meet, "query_id long, key string, m long, vec_id long, score long, copies long")
+    # k rows a query and block
+    w = Window.partitionBy("query_id", "key", "m").orderBy(F.desc("score"), "vec_id").rowsBetween(Window.unboundedPreceding, -1)
+    met = met.withColumn("before", F.coalesce(F.sum("copies").over(w), F.lit(0))).filter(F.col("before") < cfg.k)
+    ranks = F.sequence((F.col("before") + 1).cast("int"), F.least(F.col("before") + F.col("copies"), F.lit(cfg.k)).cast("int"))
+    met = met.select("query_id", "m", "vec_id", "score", F.explode(ranks).alias("rank"))
+    return met.select("query_id", "rank", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), "m"))).drop("col")
