@@ -146,7 +146,7 @@ def test_trees_repeat_and_beat_the_mean(spark):
 def test_one_boosted_stump_is_the_best_split(spark):
     data = [(i, float(i % 5), float(i * 7 % 11 % 4), float((i * 13) % 17), "train") for i in range(60)]
     df = spark.createDataFrame(data, "id long, a double, b double, y double, split_name string")
-    long = R.evaluate_grid(df, [R.ModelSpec("one", ("a", "b"), R.gradient_boosting(1, depth=1))], "y", ["id"])
+    long = R.evaluate_grid(df, [R.ModelSpec("one", ("a", "b"), R.gradient_boosting(1, rate=1.0, depth=1, l2=0.0, least=1))], "y", ["id"])
     best = None
     for k in (1, 2):
         for cut in sorted({r[k] for r in data})[:-1]:

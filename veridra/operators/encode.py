@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,8 +96,21 @@ def with_vector(rows: DataFrame, e: Encoding, out: str = "x") -> DataFrame:
     return encoded(rows, e, "_indices", "_values").withColumn(out, as_vector(e.size, "_indices", "_values")).drop("_indices", "_values")
 
 
-def one_hot_names(words: DataFrame, prefix: str) -> DataFrame:
-    """The dictionary with the column name that stands for each category: the prefix and its letters and digits; names that meet get a number."""
-    base = F.concat(F.lit(prefix), F.regexp_replace(F.regexp_replace(F.lower("category"), r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", ""))
-    again = F.row_number().over(Window.partitionBy("_base").orderBy("category"))
-    return words.withColumn("_base", base).withColumn("column", F.when(again == 1, F.col("_base")).otherwise(F.concat_ws("_", "_base", again.cast("string")))).drop("_base")
+def array_dictionary(df: DataFrame, col: str) -> DataFrame:
+    """(term, n, place) of an array column's terms, stored: in how many rows each occurs, and a place from 0, frequent terms first, ties by term."""
+    counts = df.select(F.explode(F.array_distinct(col)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    placed = numbered(stored(counts, "terms"), [F.desc("n"), F.col("term")], "place")[0]
+    return stored(placed.select("term", "n", (F.col("place") - 1).cast("int").alias("place")), "terms")
+
+
+def encode_array(df: DataFrame, keys: list[str], col: str, words: DataFrame, out: str = "places") -> DataFrame:
+    """(keys..., out): the places of each row's terms in ascending order, an array however many terms there are. Rows without terms, or without any that
+    the dictionary knows, have an empty one. `keys` name a row."""
+    long = df.select(*keys, F.explode_outer(F.array_distinct(col)).alias("term"))
+    return long.join(words.select("term", "place").hint(how(words)), "term", "left").groupBy(*keys).agg(F.array_sort(F.collect_list("place")).alias(out))
+
+
+def decode_array(rows: DataFrame, keys: list[str], places: str, words: DataFrame, out: str = "tags") -> DataFrame:
+    """(keys..., out): the terms behind the places, in order."""
+    long = rows.select(*keys, F.explode_outer(places).alias("place"))
+    return long.join(words.select("place", "term").hint(how(words)), "place", "left").groupBy(*keys).agg(F.array_sort(F.collect_list("term")).alias(out))

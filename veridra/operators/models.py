@@ -8,11 +8,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Estimator
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridra.operators.encode import Encoding, fit_encoding, with_vector
+from veridra.operators.trees import Trees, fit_trees, tree_columns
 from veridra.sources.workspace import stored
 
 
@@ -141,19 +142,21 @@ class ModelSpec:
 
     name: str
     features: tuple[str, ...]
-    estimator: Callable[[str, str], Estimator]
+    estimator: Callable[[str, str], Estimator | Trees]
 
 
 def least_squares() -> Callable[[str, str], Estimator]:
     return lambda x, y: LinearRegression(featuresCol=x, labelCol=y, predictionCol="predicted", solver="normal")
 
 
-def random_forest(trees: int = 100, depth: int = 8, seed: int = 42) -> Callable[[str, str], Estimator]:
-    return lambda x, y: RandomForestRegressor(featuresCol=x, labelCol=y, predictionCol="predicted", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=seed)
+def random_forest(trees: int = 100, depth: int = 8, seed: int = 42, least: int = 2) -> Callable[[str, str], Trees]:
+    """The mean of trees over keyed Poisson draws of the rows, so that any engine repeats it."""
+    return lambda x, y: Trees(trees, depth, boosting=False, least=least, seed=seed)
 
 
-def gradient_boosting(iterations: int = 160, rate: float = 0.06, depth: int = 4, seed: int = 42) -> Callable[[str, str], Estimator]:
-    return lambda x, y: GBTRegressor(featuresCol=x, labelCol=y, predictionCol="predicted", maxIter=iterations, stepSize=rate, maxDepth=depth, seed=seed)
+def gradient_boosting(iterations: int = 160, rate: float = 0.06, depth: int = 4, seed: int = 42, l2: float = 0.01, least: int = 20) -> Callable[[str, str], Trees]:
+    """Boosted trees over histograms, with an l2 term in gains and leaves."""
+    return lambda x, y: Trees(iterations, depth, boosting=True, rate=rate, l2=l2, least=least, seed=seed)
 
 
 @dataclass(frozen=True)
@@ -193,10 +196,15 @@ def evaluate_grid(df: DataFrame, specs: list[ModelSpec], y: str, keys: list[str]
     train = rows.filter(F.col(split) == "train")
     out = None
     for s in specs:
-        prepared = preprocessor(train, list(s.features)).fit(train)
-        ready = prepared.transform(rows)
-        model = s.estimator("x", "_y").fit(prepared.transform(train))
-        one = model.transform(ready).select(*keys, split, F.lit(s.name).alias("model_name"), F.col("_y").alias("actual"), "predicted")
+        estimator = s.estimator("x", "_y")
+        if isinstance(estimator, Trees):
+            ready, columns = tree_columns(train, rows, list(s.features))
+            ready = stored(ready) if columns != list(s.features) else ready
+            predicted = fit_trees(ready.filter(F.col(split) == "train"), columns, "_y", keys, estimator).predict(ready, [*keys, split, "_y"])
+        else:
+            prepared = preprocessor(train, list(s.features)).fit(train)
+            predicted = estimator.fit(prepared.transform(train)).transform(prepared.transform(rows))
+        one = predicted.select(*keys, split, F.lit(s.name).alias("model_name"), F.col("_y").alias("actual"), "predicted")
         out = one if out is None else out.unionByName(one)
     return out
 

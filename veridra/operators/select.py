@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridra.operators.checks import assert_finite, assert_unique
+from veridra.operators.draws import POISSON, draws, halves  # noqa: F401  (the oracle of the bootstrap names the limits)
 from veridra.operators.ranks import quantiles_by
 from veridra.sources.workspace import stored
 
@@ -101,26 +101,6 @@ def versus_reference(metrics: DataFrame, by: list[str], setting: str, metric: st
     return rows.join(ref, by).select(*by, setting, F.col(metric).alias("value"), "reference_value", (F.col(metric) - F.col("reference_value")).alias("gap"))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A 32-bit hash of 32-bit numbers, every bit spread over all."""
-    x = x ^ (x >> np.uint32(16))
-    x = x * np.uint32(2246822507)
-    x = x ^ (x >> np.uint32(13))
-    x = x * np.uint32(3266489909)
-    return x ^ (x >> np.uint32(16))
-
-
-#: a hash below the k-th of these, and not below those before it, is k draws: the distribution of a Poisson number of mean 1, in units of 2 ** -32
-POISSON = np.array([math.floor(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12)], np.uint32)
-
-
-def draws(seed: int, reps: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """How often each replicate (rows) draws each cluster (columns; two 32-bit halves of its key)."""
-    r = _mixed(reps.astype(np.uint32) * np.uint32(2654435769) + np.uint32(seed))
-    u = _mixed(_mixed(r[:, None] ^ high[None, :].astype(np.uint32)) ^ low[None, :].astype(np.uint32))
-    return np.searchsorted(POISSON, u, side="right").astype(np.float64)
-
-
 def cluster_bootstrap(df: DataFrame, keys: list[str], cluster: str, setting: str, error: str, pair: tuple[str, str], reps: int, seed: int, level: float = 0.95) -> DataFrame:
     """One row (estimate, low, high, clusters, reps): percentile interval of the difference of two settings' mean errors, whole clusters
     drawn with replacement. Rows that lack one of the settings are an error.
@@ -135,8 +115,8 @@ def cluster_bootstrap(df: DataFrame, keys: list[str], cluster: str, setting: str
     if counts.filter("n <> 2 or s <> 2").limit(1).count():
         raise ValueError("rows are not paired")
     sums = df.groupBy(cluster).agg(a.alias("a"), b.alias("b"), F.count_if(F.col(setting) == pair[0]).cast("double").alias("n"))
-    half = lambda at: F.conv(F.substring(F.md5(F.col(cluster).cast("string")), at, 8), 16, 10).cast("long")
-    sums = stored(sums.select(half(1).alias("high"), half(9).alias("low"), "a", "b", "n"), "clusters")
+    high, low = halves(F.col(cluster))
+    sums = stored(sums.select(high.alias("high"), low.alias("low"), "a", "b", "n"), "clusters")
     total_a, total_b, total, clusters = sums.agg(F.sum("a"), F.sum("b"), F.sum("n"), F.count("*")).first()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

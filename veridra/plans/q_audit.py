@@ -70,7 +70,8 @@ def _(spark, d):
 
 @query("incremental_pages", "SELECT page_id, length(html) AS n_html, strlen(html) AS n_bytes, len(regexp_extract_all(html, '\\d+(?:\\.\\d+)?')) AS n_numbers FROM pages")
 def _(spark, d):
-    """Two deliveries, the second of which repeats part of the first; the stream's rows equal the batch's."""
+    """Three deliveries an hour apart, each of which repeats part of the one before; the stream's rows equal the batch's. A key is remembered for two
+    hours of arrival."""
     path, out, mark = (new_path(spark, n) for n in ("incoming", "features", "stream"))
     rows = A.pages(spark, d)
 
@@ -78,7 +79,9 @@ def _(spark, d):
         c = X.text_counters(F.col("html"))
         return pages.select("page_id", c["n_chars"].alias("n_html"), F.octet_length("html").alias("n_bytes"), c["n_numbers"].alias("n_numbers"))
 
-    for part in (rows.filter("page_id % 2 = 0"), rows.filter("page_id % 2 = 1 or page_id % 10 = 0")):
-        part.write.mode("append").parquet(path)
-        got = incremental(spark, path, rows.schema, "page_id", features, out, mark)
+    deliveries = ("page_id % 3 = 0", "page_id % 3 = 1 or page_id % 12 = 0", "page_id % 3 = 2 or page_id % 12 = 1")
+    for hour, which in enumerate(deliveries):
+        delivery = rows.filter(which).withColumn("arrival", F.timestamp_seconds(F.lit(1_700_000_000 + 3600 * hour)))
+        delivery.write.mode("append").parquet(path)
+        got = incremental(spark, path, delivery.schema, "page_id", features, out, mark, "arrival", "2 hours")
     return got.drop("processed")

@@ -183,6 +183,22 @@ def _(spark, d):
     return _tree(spark, d, "gradient_boosting", R.gradient_boosting())
 
 
+STUMP = (("index_rank", 0), ("tag_count", 1))
+
+
+@query("boosted_stump", f"""WITH r AS (SELECT split_name, label, label - (SELECT avg(label) FROM joined WHERE strategy = 'forward' AND split_name = 'train') AS g, index_rank::double AS index_rank, tag_count::double AS tag_count FROM joined WHERE strategy = 'forward'),
+  t AS ({' UNION ALL '.join(f"SELECT {i} AS f, {c} AS v, count(*) AS n, sum(g) AS g FROM r WHERE split_name = 'train' GROUP BY 2" for c, i in STUMP)}),
+  c AS (SELECT f, v, sum(n) OVER w AS ln, sum(g) OVER w AS lg, sum(n) OVER (PARTITION BY f) AS n, sum(g) OVER (PARTITION BY f) AS g FROM t WINDOW w AS (PARTITION BY f ORDER BY v)),
+  b AS (SELECT f, v, 0.06::double * lg / (ln + 0.01::double) AS low, 0.06::double * (g - lg) / (n - ln + 0.01::double) AS high FROM c WHERE ln >= 20 AND n - ln >= 20
+        ORDER BY lg * lg / (ln + 0.01::double) + (g - lg) * (g - lg) / (n - ln + 0.01::double) DESC, f, v LIMIT 1)
+  SELECT split_name, count(*) AS n, round(avg(abs(label - g + CASE WHEN CASE f WHEN 0 THEN index_rank ELSE tag_count END <= v THEN low ELSE high END - label)), 4) AS mae FROM r, b GROUP BY 1""")
+def _(spark, d):
+    """One step of boosting with one cut: the l2 term and the rate of `gradient_boosting`."""
+    spec = R.ModelSpec("stump", tuple(c for c, _ in STUMP), R.gradient_boosting(1, depth=1))
+    long = R.evaluate_grid(forward_split(spark, d), [spec], "label", A.KEYS)
+    return M.regression_metrics(long, "actual", "predicted", ["split_name"], BANDS).select("split_name", "n", F.round("mae", 4).alias("mae"))
+
+
 @query("evaluate_grid", " UNION ALL ".join(f"SELECT '{m}' AS model_name, split_name, count(*) AS n, round(avg(abs(b + w * {x} - label)), 4) AS mae FROM joined, ({SLOPE.format(alpha=0, x=x, splits="('train')")}) WHERE strategy = 'forward' GROUP BY 2" for m, x in (("rank", "index_rank"), ("popularity", "log_popularity"))))
 def _(spark, d):
     specs = [R.ModelSpec("rank", ("index_rank",), R.least_squares()), R.ModelSpec("popularity", ("log_popularity",), R.least_squares())]

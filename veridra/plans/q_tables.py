@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from veridra.operators import checks as K
 from veridra.operators import normalize as N
+from veridra.operators.encode import array_dictionary, decode_array, encode_array
 from veridra.plans.base import query
 from veridra.sources import adapters as A
 from veridra.sources import files as S
-from veridra.sources.workspace import new_path
+from veridra.sources.workspace import new_path, stored
 
 
 @query("scan_parquet_pruned", "SELECT o_orderkey, o_orderstatus FROM orders")
@@ -209,23 +210,20 @@ def _(spark, d):
     return N.safe_names(terms.union(terms.select(F.concat(F.upper("term"), F.lit("!"))))).select("term", "column")
 
 
-def _vocab(spark, d):
-    """Every term that occurs, as a driver-side map of columns."""
-    return {r.term: r.column for r in N.safe_names(N.vocabulary(A.items(spark, d), "tags", 1)).orderBy("term").collect()}
-
-
 @query("tag_one_hot", f"SELECT 'tag__' || term AS \"column\", df AS ones FROM {TERMS}")
 def _(spark, d):
-    names = _vocab(spark, d)
-    hot = N.one_hot(A.items(spark, d), "tags", names)
-    return hot.agg(*(F.sum(c).alias(c) for c in names.values())).unpivot([], list(names.values()), "column", "ones")
+    rows = stored(A.items(spark, d).select(*A.KEYS, "tags"))
+    words = array_dictionary(rows, "tags")
+    ones = encode_array(rows, A.KEYS, "tags", words).select(F.explode("places").alias("place")).groupBy("place").agg(F.count("*").alias("ones"))
+    return N.safe_names(words).join(ones.hint("merge"), "place").select("column", "ones")
 
 
 @query("one_hot_inverse", "SELECT group_id, line_no, array_to_string(tags, ';') AS tags FROM items")
 def _(spark, d):
-    names = _vocab(spark, d)
-    back = N.one_hot_to_array(N.one_hot(A.items(spark, d), "tags", names).drop("tags"), names)
-    return back.select("group_id", "line_no", F.array_join("tags", ";").alias("tags"))
+    rows = stored(A.items(spark, d).select(*A.KEYS, "tags"))
+    words = array_dictionary(rows, "tags")
+    back = decode_array(encode_array(rows, A.KEYS, "tags", words), A.KEYS, "places", words)
+    return back.select(*A.KEYS, F.array_join("tags", ";").alias("tags"))
 
 
 SYNONYMS = {"not specified": "none", "urgent": "high"}
