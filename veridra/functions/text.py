@@ -192,7 +192,7 @@ COUNTERS = {
     "numbers": r"[-+]?\p{Nd}+(?:\.\p{Nd}+)?",
     "floats": r"[-+]?(?<!\p{Nd})\p{Nd}++\.\p{Nd}+",
     "inequalities": r"<=|>=|<|>|≤|≥",
-    "maths": r"[+\-*/=^%]|<=|>=|≤|≥",
+    "maths": r"[+\-*/=%^]|<=|>=|≤|≥",
     "constraint_words": rf"(?iu){BEGIN}(?:constraints?|limits?|integers?|positive|negative|at most|at least|sum){END}",
     "big_o": rf"{BEGIN}O[\s\x0b\p{{Z}}]*\([^)]*\)",
     "uppercase": rf"{BEGIN}[A-Z]{{2,}}{END}",

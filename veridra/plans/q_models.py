@@ -24,7 +24,7 @@ BANDS = (10_000, 20_000)
 
 def both_splits(spark, d) -> DataFrame:
     """The model table with ages once per strategy, with its split."""
-    rows = stored(A.aged(spark, d))
+    rows = A.aged(spark, d)
     forward = P.time_split(rows, "start_time", RATIOS).withColumn("strategy", F.lit("forward"))
     grouped = P.group_split(rows, "group_id", RATIOS, SEED).withColumn("strategy", F.lit("grouped"))
     return stored(forward.unionByName(grouped))
@@ -32,7 +32,7 @@ def both_splits(spark, d) -> DataFrame:
 
 def forward_split(spark, d) -> DataFrame:
     """The model table with its forward split, stored."""
-    return stored(P.time_split(stored(A.model_table(spark, d)), "start_time", RATIOS))
+    return stored(P.time_split(A.model_table(spark, d), "start_time", RATIOS))
 
 
 #: feature sets of the studies' ridge models; the last one has popularity by age
@@ -119,14 +119,14 @@ def folds(rows: DataFrame) -> DataFrame:
 
 def fold_rows(spark, d) -> tuple[DataFrame, P.Windows]:
     """The model table, a row per row, with the segment of time that its group lies in, stored; and the windows that the segments make up."""
-    rows = stored(A.model_table(spark, d))
+    rows = A.model_table(spark, d)
     segments, windows = P.fold_segments(P.group_times(rows, "group_id", "start_time"), "group_id", "start_time", SHARES, 0.1)
     return stored(rows.join(segments.hint("merge"), "group_id")), windows
 
 
 @query("rolling_folds", f"WITH {FOLDS_VIEW} SELECT fold, part, count(*) AS n, sum(group_id)::bigint AS s FROM folds GROUP BY 1, 2")
 def _(spark, d):
-    return folds(stored(A.model_table(spark, d))).groupBy("fold", "part").agg(F.count("*").alias("n"), F.sum("group_id").alias("s"))
+    return folds(A.model_table(spark, d)).groupBy("fold", "part").agg(F.count("*").alias("n"), F.sum("group_id").alias("s"))
 
 
 @query("holdout_split", "SELECT group_id, line_no, row_number() OVER (ORDER BY md5('42:' || group_id || ':' || line_no)) <= ceil(count(*) OVER () * 0.2) AS held FROM model")
@@ -314,7 +314,7 @@ def _scenario_sql(name: str, x: str, z: str) -> str:
 
 @query("scenario_scoring", " UNION ALL ".join(_scenario_sql(k, *v) for k, v in SCENARIOS.items()))
 def _(spark, d):
-    rows = stored(A.model_table(spark, d))
+    rows = A.model_table(spark, d)
     scored = score_scenarios(rows, rows.filter("line_no = 6"), SCENARIOS)
     return scored.groupBy("scenario").agg(F.count("predicted").alias("n"), F.round(F.avg(F.abs(F.col("predicted") - F.col("actual"))), 4).alias("mae"))
 

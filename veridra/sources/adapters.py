@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veridra.operators import normalize as N
+from veridra.sources.workspace import made_once
 
 KEYS = ["group_id", "line_no"]
 DAY = 86_400
@@ -16,7 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (group_id, line_no): the first of lineitem's rows with that key in the order of all other columns."""
+    """One row per (group_id, line_no): the first of lineitem's rows with that key in the order of all other columns. Made once per session."""
+    return made_once(spark, "items", sf_dir, lambda: _items(spark, sf_dir), "group_id", KEYS)
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     order = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
     first = lines.withColumn("rn", F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*order))).filter("rn = 1")
@@ -51,7 +56,11 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled standard items with feature columns."""
+    """Labelled standard items with feature columns. Made once per session, in buckets of groups."""
+    return made_once(spark, "model", sf_dir, lambda: _model_table(spark, sf_dir), "group_id", KEYS)
+
+
+def _model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = merged(spark, sf_dir).filter("item_type = 'STANDARD' and label is not null")
     rows = N.impute_flag(N.code_features(rows, "item_code"), {"points": "has_points"}, {"popularity": "popularity_missing"})
     return rows.withColumn("log_popularity", F.log1p("popularity")).withColumn("tag_count", F.size("tags"))
