@@ -106,3 +106,34 @@ def test_models_have_their_full_size(spark, monkeypatch, name, size):
 def test_all_tags_and_keys_come_back(spark, duck, name, cut, order):
     want = duck.sql(f"""select {', '.join(f'"{c}"' for c in order)} from ({whole(name, cut, '')})""").fetchall()
     assert rows(registry.queries()[name](spark, D), order) == sorted(want)
+
+
+def test_ablation_equals_closed_forms(spark):
+    import numpy as np
+
+    from veridra.plans import q_models
+
+    rows = q_models.P.time_split(q_models.A.model_table(spark, D), "start_time", q_models.RATIOS).collect()
+    y, train = np.array([float(r.label) for r in rows]), np.array([r.split_name == "train" for r in rows])
+    scaled = lambda c: (lambda v: (v - v[train].mean()) / (v[train].std() or 1.0))(np.array([float(r[c]) for r in rows]))
+    letters = sorted({r.index_letter for r, t in zip(rows, train) if t})
+    terms = sorted({x for r, t in zip(rows, train) if t for x in r.tags})
+    blocks = {
+        "index": np.column_stack([scaled("index_rank"), scaled("index_number"), *(np.array([float(r.index_letter == x) for r in rows]) for x in letters)]),
+        "solved": np.column_stack([scaled("log_popularity"), scaled("popularity_missing")]),
+        "points": np.column_stack([scaled("points"), scaled("has_points")]),
+        "tags": np.array([[float(x in r.tags) for x in terms] for r in rows]),
+    }
+    got = {(r.feature_set, r.split_name): r for r in registry.queries()["ablation_sets"](spark, D).filter("strategy = 'forward'").collect()}
+    assert len(got) == 3 * len(q_models.ABLATION)
+    for name, groups in q_models.ABLATION.items():
+        x = np.hstack([blocks[g] for g in groups])
+        z = x[train] - x[train].mean(axis=0)
+        w = np.linalg.solve(z.T @ z + np.eye(z.shape[1]), z.T @ (y[train] - y[train].mean()))
+        e = np.abs((x - x[train].mean(axis=0)) @ w + y[train].mean() - y)
+        for split in ("train", "valid", "test"):
+            at = np.array([r.split_name == split for r in rows])
+            assert got[name, split].n == at.sum() and abs(got[name, split].mae - e[at].mean()) < 1e-2 * max(1.0, e[at].mean() / 1e4), (name, split)
+    ranks = {r.feature_set: r.validation_rank for r in got.values()}
+    assert sorted(ranks.values()) == list(range(1, 10))
+    assert min(ranks, key=ranks.get) == min((got[s, "valid"].mae, s) for s in ranks)[1]

@@ -12,7 +12,9 @@ from veridra.operators import joins as J
 from veridra.operators import metrics as M
 from veridra.operators import models as R
 from veridra.operators import splits as P
-from veridra.operators.select import residual_interval, validation_ranked
+from veridra.operators.encode import array_dictionary, encode_array, encoded, fit_encoding
+from veridra.operators.select import residual_interval, union, validation_ranked
+from veridra.operators.sparse_ridge import predict_sparse, sparse_ridge
 from veridra.plans.base import query
 from veridra.sources import adapters as A
 from veridra.sources.workspace import stored
@@ -296,6 +298,46 @@ def _(spark, d):
     return out.select("fold", "feature", *(F.round(c, 4).alias(c) for c in ("train_mean", "test_mean", "median_diff", "p90_diff")), F.round("smd", 6).alias("smd"))
 
 
+#: groups of features that the ablation leaves out one at a time, and the sets that it compares
+GROUPS = {"index": ["index_rank", "index_number", "index_letter"], "solved": ["log_popularity", "popularity_missing"], "points": ["points", "has_points"], "tags": ["tags"]}
+ABLATION = {**{g: (g,) for g in GROUPS}, "all": tuple(GROUPS), **{f"all_without_{g}": tuple(x for x in GROUPS if x != g) for g in GROUPS}}
+
+
+#: the numbers among the features; they come first and grow together
+HEAD = 6
+
+
+def ablation_rows(rows: DataFrame) -> tuple[DataFrame, dict[str, list[tuple[int, int]]], int]:
+    """(keys, label and split with sparse features, the places of every feature group, how many places): numbers scaled and texts one-hot by the train rows, and
+    one place for every tag that a train row has."""
+    train = rows.filter("split_name = 'train'")
+    plain = [c for g in GROUPS.values() for c in g if c != "tags"]
+    e = fit_encoding(train, plain)
+    words = array_dictionary(train, "tags")
+    n_tags = words.count()
+    coded = encoded(rows.select(*A.KEYS, "label", "split_name", *plain), e)
+    # the tags of a row come after its other places
+    tags = encode_array(rows, A.KEYS, "tags", words).withColumn("places", F.transform("places", lambda p: p + e.size))
+    coded = coded.join(tags.hint("merge"), A.KEYS).select(*A.KEYS, "label", "split_name", F.concat("indices", "places").alias("indices"), F.concat("values", F.transform("places", lambda _: F.lit(1.0))).alias("values"))
+    places = {g: [(e.size, e.size + n_tags)] if g == "tags" else [e.ranges[c] for c in cols] for g, cols in GROUPS.items()}
+    return stored(coded, "ablation"), places, e.size + n_tags
+
+
+@query("ablation_sets")
+def _(spark, d):
+    """Ridge models over nine sets of feature groups, tags among them, by strategy and split, ranked by their validation error. All sets of a strategy are solved in
+    shared passes over its sparse rows."""
+    scored = []
+    for strategy, rows in (("forward", P.time_split(A.model_table(spark, d), "start_time", RATIOS)), ("grouped", P.group_split(A.model_table(spark, d), "group_id", RATIOS, SEED))):
+        coded, places, size = ablation_rows(stored(rows))
+        sets = {s: [r for g in groups for r in places[g]] for s, groups in ABLATION.items()}
+        models = sparse_ridge(coded.filter("split_name = 'train'"), size, "label", sets, 1.0, head=HEAD)
+        scored.append(predict_sparse(coded, models, ["split_name", "label"]).withColumn("strategy", F.lit(strategy)))
+    rows = stored(M.regression_metrics(union(scored), "label", "predicted", ["strategy", "setting", "split_name"], BANDS).withColumnRenamed("setting", "feature_set"))
+    ranked = validation_ranked(rows, ["strategy"], "feature_set", "mae").select("strategy", "feature_set", F.col("rank").cast("int").alias("validation_rank"))
+    return rounded(rows.join(ranked.hint("broadcast"), ["strategy", "feature_set"]), FIGURES)
+
+
 @query("residual_interval", """WITH r AS (SELECT abs(predicted - actual) AS a FROM predictions WHERE strategy = 'forward' AND model_name = 'rank' AND split_name = 'valid')
   SELECT round(avg(a), 4) AS mean_residual, round(quantile_cont(a, 0.8), 4) AS half_width, false AS fallback FROM r""")
 def _(spark, d):
