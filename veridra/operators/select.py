@@ -179,7 +179,7 @@ def recheck_selection(metrics: DataFrame, lock: DataFrame, by: list[str], candid
     """(by..., candidate, problem): stored winners that are missing, not finite, or no longer the lowest."""
     best = best_by(metrics, by, metric, [candidate]).select(*by, F.col(candidate).alias("best"))
     values = metrics.select(*by, candidate, F.col(metric).alias("_value"), F.lit(True).alias("_there"))
-    rows = lock.join(values, [*by, candidate], "left").join(best, by, "left")
+    rows = lock.join(values.hint("merge"), [*by, candidate], "left").join(best.hint("merge"), by, "left")
     finite = F.coalesce(~F.isnan("_value") & (F.abs("_value") < float("inf")), F.lit(False))
     problem = F.when(F.col("_there").isNull(), "missing").when(~finite, "not finite").when(F.col("best") != F.col(candidate), "not the lowest")
     return rows.select(*by, candidate, problem.alias("problem")).filter("problem is not null")
