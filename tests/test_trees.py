@@ -56,11 +56,12 @@ def columns(data):
     return np.array([[r[1], -1e9 if r[2] is None else r[2], r[3]] for r in data]), np.array([r[4] for r in data])
 
 
-def test_boosting_equals_a_plain_grower(spark, monkeypatch):
+@pytest.mark.parametrize("rows", [40, 50_000])
+def test_boosting_equals_a_plain_grower(spark, monkeypatch, rows):
     data, df = table(spark)
     x, y = columns(data)
     monkeypatch.setattr(T, "REFRESH", 3)
-    monkeypatch.setattr(T, "ROWS", 40)
+    monkeypatch.setattr(T, "ROWS", rows)
     cfg = T.Trees(8, 3, boosting=True, rate=0.3, l2=0.7, least=5)
     got = {r.id: r.predicted for r in T.fit_trees(df, ["a", "b", "c"], "y", ["id"], cfg).predict(df, ["id"]).collect()}
     f = np.full(len(y), y.mean())

@@ -183,6 +183,8 @@ def _histogram(bins: np.ndarray, node: np.ndarray, w: np.ndarray, g: np.ndarray,
 def _boost(rows: DataFrame, d: int, cfg: Trees) -> Grown:
     """Rows are (bins, n, y, f): how many rows have these bins, the sum of their labels about the mean, and the prediction so far."""
     grown, spark, written, parts = Grown.empty(cfg.trees, cfg.depth), rows.sparkSession, 0, rows.rdd.getNumPartitions()
+    if parts == 1:
+        return _boost_alone(rows, d, cfg)
     for tree in range(cfg.trees):
         if tree - written >= REFRESH:
             rows, written = stored(_added(rows, grown, written, tree, d, cfg), "boosted"), tree
@@ -207,6 +209,25 @@ def _boost(rows: DataFrame, d: int, cfg: Trees) -> Grown:
     return grown
 
 
+def _boost_alone(rows: DataFrame, d: int, cfg: Trees) -> Grown:
+    """The same for a table of one partition, so of ROWS distinct rows of bins or little more, whatever the number of rows behind them: no histogram has to
+    wait for another task's, so one task goes through all levels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(_matrix(b.column(0), d), *(c.to_numpy() for c in b.columns[1:])) for b in batches]
+        bins, n, y, f = (np.concatenate(c) for c in zip(*parts))
+        grown = Grown.empty(cfg.trees, cfg.depth)
+        for tree in range(cfg.trees):
+            for level in range(cfg.depth):
+                if not _split(grown, tree, level, _histogram(bins, grown.node(tree, bins, level), n, y - n * f, level, cfg.bins), d, cfg):
+                    break
+            f = f + cfg.rate * grown.value[tree][grown.node(tree, bins, cfg.depth)]
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(t)) for x, t in ((grown.feature, pa.int64()), (grown.cut, pa.int64()), (grown.value, pa.float64()))], ["feature", "cut", "value"])
+
+    table = rows.mapInArrow(run, "feature array<long>, cut array<long>, value array<double>").toArrow()
+    return Grown(*(table[c].combine_chunks().flatten().to_numpy().reshape(cfg.trees, -1).copy() for c in ("feature", "cut", "value")))
+
+
 def _row(tree: int, total: np.ndarray) -> pa.RecordBatch:
     from pyspark import TaskContext
 
