@@ -47,10 +47,11 @@ def grams(df: DataFrame, features: list[str], y: str, by: str) -> dict[str, Gram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, list] = {}
         for batch in batches:
-            keys = np.array(batch.column(0).to_pylist(), dtype=object)
+            keys = batch.column(0).dictionary_encode()
+            codes = keys.indices.fill_null(-1).to_numpy(zero_copy_only=False)
             x = np.column_stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(d)]) - shift
-            for k in set(keys):
-                part = x[keys == k]
+            for code in np.unique(codes):
+                k, part = (None if code < 0 else keys.dictionary[code].as_py()), x[codes == code]
                 old = total.setdefault(k, [0, np.zeros(d), np.zeros((d, d))])
                 old[0] += len(part)
                 old[1] += part.sum(axis=0)
@@ -107,11 +108,14 @@ def linear_scores(df: DataFrame, features: list[str], y: str, by: str, models: M
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {v: np.zeros((len(sums), len(own))) for v, own in models.items()}
         for batch in batches:
-            keys = np.array(batch.column(0).to_pylist(), dtype=object)
+            keys = batch.column(0).dictionary_encode()
+            codes = keys.indices.fill_null(-1).to_numpy(zero_copy_only=False)
             label = batch.column(1).to_numpy(zero_copy_only=False)
             x = np.column_stack([batch.column(i + 2).to_numpy(zero_copy_only=False) for i in range(len(features))])
-            for v in set(keys) & set(total):
-                at = keys == v
+            for code, v in enumerate(keys.dictionary.to_pylist()):
+                if v not in total:
+                    continue
+                at = codes == code
                 e = x[at] @ weights[v] + free[v] - label[at, None]
                 t, size = label[at] - centre, np.abs(e)
                 total[v] += [np.full(e.shape[1], len(e)), size.sum(axis=0), (e * e).sum(axis=0), np.full(e.shape[1], t.sum()), np.full(e.shape[1], t @ t), *((size <= b).sum(axis=0) for b in bands)]

@@ -24,9 +24,10 @@ SEED = 42
 BANDS = (10_000, 20_000)
 
 
-def both_splits(spark, d) -> DataFrame:
-    """The model table with ages once per strategy, with its split."""
+def both_splits(spark, d, *columns: str) -> DataFrame:
+    """The model table with ages (or some of its columns) once per strategy, with its split."""
     rows = A.aged(spark, d)
+    rows = rows.select(*columns) if columns else rows
     forward = P.time_split(rows, "start_time", RATIOS).withColumn("strategy", F.lit("forward"))
     grouped = P.group_split(rows, "group_id", RATIOS, SEED).withColumn("strategy", F.lit("grouped"))
     return stored(forward.unionByName(grouped))
@@ -41,15 +42,28 @@ def forward_split(spark, d) -> DataFrame:
 SETS = {"mean": [], "rank": ["index_rank"], "popularity": ["log_popularity"], "full": ["index_rank", "log_popularity"], "full_aged": ["index_rank", "log_per_day"]}
 
 
+FEATURES = ["index_rank", "log_popularity", "log_per_day"]
+
+
+def fitted(spark, d) -> tuple[DataFrame, dict[str, R.Gram]]:
+    """The rows of both strategies, and the sums of each one's train rows, from one pass."""
+    rows = both_splits(spark, d, *A.KEYS, "item_code", "start_time", "label", *FEATURES)
+    return rows, R.grams(rows.filter("split_name = 'train'"), FEATURES, "label", "strategy")
+
+
 def predictions(spark, d) -> DataFrame:
-    """Long predictions of a ridge model per feature set and strategy, all from one pass of sums over the train rows."""
-    rows = both_splits(spark, d)
-    train = R.grams(rows.filter("split_name = 'train'"), ["index_rank", "log_popularity", "log_per_day"], "label", "strategy")
+    """Long predictions of a ridge model per feature set and strategy."""
+    rows, train = fitted(spark, d)
     return stored(R.predict_by(rows, train, "strategy", SETS, 1.0, ["strategy", "split_name", "group_id", "line_no", "item_code", "start_time"], "label"))
 
 
 def metrics(spark, d) -> DataFrame:
-    return M.regression_metrics(predictions(spark, d), "actual", "predicted", ["strategy", "model_name", "split_name"], BANDS)
+    """Scores of the same models, as sums over the rows: no prediction is written."""
+    rows, train = fitted(spark, d)
+    solved = {s: [(name, *R.ridge(g, x, 1.0)) for name, x in SETS.items()] for s, g in train.items()}
+    models = {f"{s}/{split}": [((s, name, split), w, b) for name, w, b in own] for s, own in solved.items() for split in P.NAMES}
+    centre = float(next(iter(train.values())).shift[-1])
+    return R.linear_scores(rows.withColumn("part", F.concat_ws("/", "strategy", "split_name")), FEATURES, "label", "part", models, ["strategy", "model_name", "split_name"], BANDS, centre)
 
 
 ROUNDED = "round(mae, 4) AS mae, round(rmse, 4) AS rmse, round(r2, 6) + 0.0::double AS r2, round(within_1, 6) AS within_1, round(within_2, 6) AS within_2"
