@@ -315,7 +315,8 @@ def fit_trees(train: DataFrame, features: list[str], y: str, keys: list[str], cf
     else:
         rows = rows.select("bins", F.lit(1.0).alias("n"), F.col("_y").alias("y"), F.col("_high").alias("high"), F.col("_low").alias("low"))
     rows = stored(rows, "binned")
-    rows = stored(rows.repartition(max(1, -(-rows.count() // ROWS))), "binned")
+    # in a fixed order, so that sums are the same to the last bit in every run
+    rows = stored(rows.repartition(max(1, -(-rows.count() // ROWS))).sortWithinPartitions(*rows.columns), "binned")
     grown = (_boost if cfg.boosting else _forest)(rows, len(features), cfg) if n else Grown.empty(cfg.trees, cfg.depth)
     return TreeModel(features, cuts, grown, mean, cfg)
 
