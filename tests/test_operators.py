@@ -271,6 +271,9 @@ def test_statement_sections(spark):
     r = got[1]
     assert (r.title, r.time_limit, r.input, r.note, r.examples) == ("A. Sum", "2 seconds", "n", "Easy.", "1 2") and r.text == "Add <two> numbers."
     assert got[2].title == "" and got[3].text == ""
+    after = [(1, page.replace("</body>", "<div>footer <p>more</p></div></body>")), (2, '<p class="problem-statement">a<div>b</p>c'), (3, '<br class="problem-statement">x')]
+    last = {r.k: (r.text, r.paragraphs) for r in X.extract_sections(spark.createDataFrame(after, "k long, html string"), "k", "html", X.STATEMENT).collect()}
+    assert last == {1: (r.text, r.paragraphs), 2: ("a b", 1), 3: ("", 0)}
     samples, blocks = X.sample_counts(F.col("html"))
     assert df.select(samples.alias("s"), blocks.alias("b")).first() == (1, 2)
 

@@ -88,19 +88,20 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 
 
 class _Sections(HTMLParser):
-    """Text by nearest enclosing section; an end tag that was left out ends with its parent."""
+    """Text inside the root by nearest enclosing section; an end tag that was left out ends with its parent."""
 
     def __init__(self, profile: Profile):
         super().__init__(convert_charrefs=True)
         self.profile, self.stack, self.parts, self.inside, self.paragraphs = profile, [], {}, False, 0
+        self.root_at = 0
 
     def _named(self, names, tag: str, classes: list[str]) -> str | None:
         return next((n for n in names if n == tag or n[:1] == "." and n[1:] in classes), None)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         classes = (dict(attrs).get("class") or "").split()
-        if self._named((self.profile.root,), tag, classes):
-            self.inside = True
+        if not self.inside and tag not in _VOID and self._named((self.profile.root,), tag, classes):
+            self.inside, self.root_at = True, len(self.stack)
         above = self.stack[-1][1] if self.stack else ("text" if self.inside else None)
         own = self._named(self.profile.sections, tag, classes)
         self.paragraphs += self.inside and tag == "p"
@@ -113,6 +114,7 @@ class _Sections(HTMLParser):
         at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), None)
         if at is not None:
             del self.stack[at:]
+            self.inside = self.inside and len(self.stack) > self.root_at
         if self.stack:
             self.parts.setdefault(self.stack[-1][1], []).append(" ")
 

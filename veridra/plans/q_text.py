@@ -216,6 +216,37 @@ def _(spark, d):
     return rows.groupBy("status").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in FEATURES_SQL))
 
 
+#: between items of a printed page's text, and what separates them in an extracted section
+SPACE_SQL = "[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+"
+
+
+def statement_pages(spark, d):
+    """Documents as pages in the statement layout: a header with title and limits, the text as body, input, output, an example and for two in three a note."""
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    block = lambda name, *parts: F.concat(F.lit(f'<div class="{name}">'), *(F.lit(x) if isinstance(x, str) else x for x in parts), F.lit("</div>"))
+    titled = lambda name, title, *parts: block(name, f'<div class="section-title">{title}</div><p>', *parts, "</p>")
+    key, source = F.col("doc_id").cast("string"), F.coalesce("source", F.lit("none"))
+    time = block("time-limit", '<div class="property-title">time limit per test</div>', (F.col("doc_id") % 5 + 1).cast("string"), ".5 seconds")
+    memory = block("memory-limit", "memory limit per test<br>", (F.col("doc_id") % 7 * 64).cast("string"), " megabytes")
+    example = block("sample-test", block("input", "<pre>", key, "</pre>"), block("output", "<pre>", F.coalesce(F.col("n_chars").cast("string"), F.lit("")), "</pre>"))
+    note = F.when(F.col("doc_id") % 3 != 0, titled("note", "Note", "About &laquo;", source, "&raquo;.")).otherwise("")
+    body = F.concat(F.lit("<div><p>"), text, F.lit("</p><p>End.</p></div>"))
+    header = block("header", block("title", key, ". ", source), time, memory, block("header-rest", "standard input"))
+    page = F.concat(F.lit("<html><body><div>menu<p>skipped</p></div>"), block("problem-statement", header, body, titled("input-specification", "Input", "Read ", source), titled("output-specification", "Output", "Print <b>", key, "</b>"), example, note), F.lit("<div>footer</div></body></html>"))
+    return A.table(spark, d, "documents").select("doc_id", page.alias("html"))
+
+
+@query("statement_sections", f"""WITH r AS (SELECT doc_id, doc_id || '. ' || coalesce(source, 'none') AS title, doc_id % 5 * 1000 + 1500 AS time_limit_ms, doc_id % 7 * 64 AS memory_limit_mb, trim(regexp_replace(coalesce(text, '') || ' End.', '{SPACE_SQL}', ' ', 'g')) AS body,
+    'Read ' || coalesce(source, 'none') AS input, 'Print ' || doc_id AS output, doc_id || coalesce(' ' || n_chars, '') AS examples, CASE WHEN doc_id % 3 <> 0 THEN 'About «' || coalesce(source, 'none') || '».' ELSE '' END AS note FROM documents)
+  SELECT doc_id, title, time_limit_ms, memory_limit_mb, md5(body) AS body, input, output, examples, note, CAST(doc_id % 3 <> 0 AS int) AS has_note, length(note) AS note_length, 1 AS samples, CASE WHEN doc_id % 3 <> 0 THEN 5 ELSE 4 END AS paragraphs FROM r""")
+def _(spark, d):
+    """The statement layout read back: limits as numbers, every section, and what is not in one."""
+    pages = statement_pages(spark, d)
+    rows = X.extract_sections(pages, "doc_id", "html", X.STATEMENT).join(pages.select("doc_id", X.sample_counts(F.col("html"))[0].alias("samples")).hint("merge"), "doc_id")
+    limits = {"time_limit_ms": X.parse_quantity(F.col("time_limit"), X.TIME_UNITS), "memory_limit_mb": X.parse_memory(F.col("memory_limit"))}
+    return rows.select("doc_id", "title", *(v.alias(k) for k, v in limits.items()), F.md5("text").alias("body"), "input", "output", "examples", "note", *(v.alias(k) for k, v in X.section_lengths(["note"]).items()), "samples", "paragraphs")
+
+
 @query("text_record_assembly", f"SELECT o_orderkey AS item, coalesce(page_id % 5 = 4, false) AS available, coalesce(CASE WHEN page_id % 5 = 4 THEN n ELSE 0 END, 0) AS n FROM orders LEFT JOIN (SELECT page_id, length({FLAT_SQL}) AS n FROM pages) ON o_orderkey = page_id")
 def _(spark, d):
     items = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("item"))
