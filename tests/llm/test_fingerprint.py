@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from veridra.llm.common import WordHash
 from veridra.llm.fingerprint import SketchConfig, containment, fingerprints, from_text, likeness, merge, sketch_text, to_text
@@ -98,3 +99,11 @@ def test_edges_of_the_input(spark):
     assert one.near_next == 1.0
     twice = df.union(df.filter("doc_id = 1")).union(df.selectExpr("null", "text", "slot", "guest", "id").limit(2))
     assert fingerprints(twice).count() == len(rows) + 3
+
+
+def test_rows_of_one_id_are_dealt_over_ranges(spark):
+    df = spark.range(400).selectExpr("5L as doc_id", "concat('row ', id, ' of the same id') as text")
+    got = fingerprints(df, cfg=SketchConfig(range_bytes=1000)).collect()
+    texts = [r.text for r in df.orderBy(F.xxhash64("text")).collect()]
+    want = brute([(i, t) for i, t in enumerate(texts)])
+    assert sorted(tuple(r)[1:] for r in got) == sorted(r[1:] for r in want)

@@ -8,10 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridra.llm.common import WordHash, release, shingle_hashes, slices, text_bytes
+from veridra.llm.common import WordHash, release, shingle_hashes, slices, text_bytes, written
 
 _LOWEST = -(2**63)
 
@@ -65,31 +66,31 @@ def from_text(text: str) -> np.ndarray:
     return np.frombuffer(bytes.fromhex(text), ">u4").astype(np.uint32)
 
 
-def _place(key: str, cuts: list[int]) -> Column:
-    """How many of the ascending cuts are not above the key, less one; looked up in two steps, so that many cuts cost little a row."""
-    width = max(1, int(len(cuts) ** 0.5))
-    longs = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")  # noqa: E731  one literal, whatever its length
-    upto = lambda values: F.size(F.filter(values, lambda c: c <= F.col(key)))
-    coarse = F.greatest(upto(longs(cuts[::width])) - 1, F.lit(0)) * width
-    return coarse + upto(F.slice(longs(cuts), coarse + 1, F.lit(width))) - 1
-
-
 def _in_order(docs: DataFrame, id_col: str, text_col: str, cfg: SketchConfig) -> DataFrame:
-    """Rows sorted by id within partitions that each hold one range of ids. Each range ends with a `guest`, the first row of the
-    next range (after the last: of the first), so every row's successor stands after it and nothing is ranked globally."""
-    order = F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST))
+    """(id, t) dealt by Spark's own range partitioning and sorted within each range. Rows of one id may lie in several ranges."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // cfg.range_bytes))
-    found = docs.agg(F.min(order).alias("lo"), F.percentile_approx(order, [i / parts for i in range(1, parts)] or [0.5], 4 * parts).alias("cuts")).first()
-    # the cuts are ids that occur, so each range starts with its cut
-    cuts = sorted({found.lo, *(found.cuts or [])}) if found.lo is not None else [0]
-    rows = docs.select(order.alias("ok"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).withColumn("slot", _place("ok", cuts))
-    starts = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
-    guest = F.when(F.col("ok") == F.element_at(starts, F.col("slot") + 1), F.struct((F.pmod(F.col("slot") - 1, F.lit(len(cuts)))).alias("slot"), F.lit(True).alias("guest")))
-    own = F.struct(F.col("slot"), F.lit(False).alias("guest"))
-    rows = rows.select("ok", "id", "t", F.explode(F.array_compact(F.array(own, guest))).alias("s")).select("s.slot", "s.guest", "ok", "id", "t")
-    # a slot is a partition: hashing slots would give some tasks several and others none
-    return rows.repartitionById(len(cuts), F.col("slot")).sortWithinPartitions("guest", "ok", F.xxhash64("t")).select("slot", "guest", "id", "t")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("ok"), F.xxhash64(text_col).alias("h"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    return rows.repartitionByRange(parts, "ok", "h").sortWithinPartitions("ok", "h").select("id", "t")
+
+
+_MADE = [("doc_id", pa.int64(), "long"), ("n_chars", pa.int64(), "long"), ("edited_sha256", pa.string(), "string"), ("fingerprint", pa.string(), "string"), ("edited_fingerprint", pa.string(), "string"), ("near_edited", pa.float64(), "double"), ("near_next", pa.float64(), "double"), ("next_in_doc", pa.float64(), "double")]
+#: a range's number, first and last text, on one row of each range; null on the others
+_EDGE = [("slot", pa.int32(), "int"), ("first", pa.string(), "string"), ("last", pa.string(), "string")]
+
+
+def _compared(doc: int | None, text: str, own: np.ndarray, after: str, following: np.ndarray, cfg: SketchConfig, seen: WordHash) -> tuple:
+    """A document's row, given its sketch and its successor's text and sketch."""
+    cut = len(text) // 4
+    edited_text = text[: len(text) - cut] + after[:cut]
+    edited = sketch_text(edited_text, cfg, seen)
+    digest = hashlib.sha256(text_bytes(edited_text)).hexdigest()
+    return doc, len(text), digest, to_text(own), to_text(edited), likeness(own, edited), likeness(own, following), containment(following, own)
+
+
+def _batch(rows: list[tuple], columns: list[tuple]) -> pa.RecordBatch:
+    parts = list(zip(*rows)) if rows else [()] * len(columns)
+    return pa.RecordBatch.from_arrays([pa.array(p, kind) for p, (_, kind, _) in zip(parts, columns)], names=[name for name, _, _ in columns])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: SketchConfig = SketchConfig()) -> DataFrame:
@@ -98,33 +99,45 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Edited: the last floor(n_chars / 4) code points give way to as many first ones (or all) of the next document by
     ascending id; after the last stands the first. Null text is empty; two texts without words have likeness 1. Repeated
-    ids stand in the order of a hash of their texts, null ids first. A single row is its own successor. An empty table gives no rows.
-    Other columns are not looked at. The texts are shuffled once, by ranges of ids, a task each.
+    ids stand in the order of a hash of their texts, null ids first, and need not lie in one task. A single row is its own successor. An
+    empty table gives no rows. Other columns are not looked at. The texts are shuffled once, by ranges of ids, a task each; the rows are written with
+    each range's first and last text, and a join of those, two texts a range, gives the last row of every range its successor.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, before = WordHash(), None
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "next_in_doc"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64()]
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, first, before = WordHash(), None, None
         for batch in batches:
-            for piece in slices(batch, 500, 3, 1_000_000):
+            for piece in slices(batch, 500, 1, 1_000_000):
                 rows = []
-                for slot, guest, doc, text in zip(*(c.to_pylist() for c in piece.columns)):
+                for doc, text in zip(*(c.to_pylist() for c in piece.columns)):
                     text = text or ""
-                    if before and before[0] == slot and before[1]:
-                        continue  # a repeated first row; one guest is enough
                     own = sketch_text(text, cfg, seen)
-                    if before and before[0] == slot:
-                        _, _, last_doc, last_text, last = before
-                        cut = len(last_text) // 4
-                        edited_text = last_text[: len(last_text) - cut] + text[:cut]
-                        edited = sketch_text(edited_text, cfg, seen)
-                        rows.append((last_doc, len(last_text), hashlib.sha256(text_bytes(edited_text)).hexdigest(), to_text(last), to_text(edited), likeness(last, edited), likeness(last, own), containment(own, last)))
-                    before = (slot, guest, doc, text, own)
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                    if before:
+                        rows.append((*_compared(*before, text, own, cfg, seen), None, None, None))
+                    else:
+                        first = text
+                    before = (doc, text, own)
+                yield _batch(rows, _MADE + _EDGE)
+        if before:
+            yield _batch([(before[0], *[None] * (len(_MADE) - 1), TaskContext.get().partitionId(), first, before[1])], _MADE + _EDGE)
+        seen.clear()
+        release()
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = WordHash()
+        for batch in batches:
+            for piece in slices(batch, 100, 1, 1_000_000):
+                rows = zip(*(c.to_pylist() for c in piece.columns))
+                yield _batch([_compared(doc, text, sketch_text(text, cfg, seen), after, sketch_text(after, cfg, seen), cfg, seen) for doc, text, after in rows], _MADE)
         seen.clear()
         release()
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, next_in_doc double"
-    return _in_order(docs, id_col, text_col, cfg).mapInArrow(run, schema)
+    schema = lambda columns: ", ".join(f"{name} {kind}" for name, _, kind in columns)
+    made = written(_in_order(docs, id_col, text_col, cfg).mapInArrow(within, schema(_MADE + _EDGE)), "fingerprints")
+    edges = made.filter("slot is not null")
+    # the ranges' numbers alone pass through one task
+    order = Window.orderBy("slot")
+    turns = edges.select("slot", F.coalesce(F.lead("slot").over(order), F.first("slot").over(order)).alias("next"))
+    heads = edges.select(F.col("slot").alias("next"), F.col("first").alias("after"))
+    ends = edges.select("slot", "doc_id", "last").join(turns.hint("merge"), "slot").join(heads.hint("merge"), "next").select("doc_id", "last", "after")
+    return made.filter("slot is null").select(*(name for name, _, _ in _MADE)).union(ends.mapInArrow(across, schema(_MADE)))
