@@ -59,7 +59,12 @@ def merge(cfg: SketchConfig, *sketches: np.ndarray) -> np.ndarray:
 
 def to_text(sketch: np.ndarray) -> str:
     """Eight hex digits a hash."""
-    return sketch.astype(">u4").tobytes().hex()
+    return _packed(sketch).hex()
+
+
+def _packed(sketch: np.ndarray) -> bytes:
+    """Four bytes a hash, as they are stored between jobs."""
+    return sketch.astype(">u4").tobytes()
 
 
 def from_text(text: str) -> np.ndarray:
@@ -74,7 +79,7 @@ def _in_order(docs: DataFrame, id_col: str, text_col: str, cfg: SketchConfig) ->
     return rows.repartitionByRange(parts, "ok", "h").sortWithinPartitions("ok", "h").select("id", "t")
 
 
-_MADE = [("doc_id", pa.int64(), "long"), ("n_chars", pa.int64(), "long"), ("edited_sha256", pa.string(), "string"), ("fingerprint", pa.string(), "string"), ("edited_fingerprint", pa.string(), "string"), ("near_edited", pa.float64(), "double"), ("near_next", pa.float64(), "double"), ("next_in_doc", pa.float64(), "double")]
+_MADE = [("doc_id", pa.int64(), "long"), ("n_chars", pa.int64(), "long"), ("edited_sha256", pa.string(), "string"), ("fingerprint", pa.binary(), "binary"), ("edited_fingerprint", pa.binary(), "binary"), ("near_edited", pa.float64(), "double"), ("near_next", pa.float64(), "double"), ("next_in_doc", pa.float64(), "double")]
 #: a range's number, first and last text, on one row of each range; null on the others
 _EDGE = [("slot", pa.int32(), "int"), ("first", pa.string(), "string"), ("last", pa.string(), "string")]
 
@@ -85,7 +90,7 @@ def _compared(doc: int | None, text: str, own: np.ndarray, after: str, following
     edited_text = text[: len(text) - cut] + after[:cut]
     edited = sketch_text(edited_text, cfg, seen)
     digest = hashlib.sha256(text_bytes(edited_text)).hexdigest()
-    return doc, len(text), digest, to_text(own), to_text(edited), likeness(own, edited), likeness(own, following), containment(following, own)
+    return doc, len(text), digest, _packed(own), _packed(edited), likeness(own, edited), likeness(own, following), containment(following, own)
 
 
 def _batch(rows: list[tuple], columns: list[tuple]) -> pa.RecordBatch:
@@ -140,4 +145,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     turns = edges.select("slot", F.coalesce(F.lead("slot").over(order), F.first("slot").over(order)).alias("next"))
     heads = edges.select(F.col("slot").alias("next"), F.col("first").alias("after"))
     ends = edges.select("slot", "doc_id", "last").join(turns.hint("merge"), "slot").join(heads.hint("merge"), "next").select("doc_id", "last", "after")
-    return made.filter("slot is null").select(*(name for name, _, _ in _MADE)).union(ends.mapInArrow(across, schema(_MADE)))
+    whole = made.filter("slot is null").select(*(name for name, _, _ in _MADE)).union(ends.mapInArrow(across, schema(_MADE)))
+    return whole.select(*(F.lower(F.hex(name)).alias(name) if kind == "binary" else name for name, _, kind in _MADE))
