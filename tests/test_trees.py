@@ -71,6 +71,24 @@ def test_boosting_equals_a_plain_grower(spark, monkeypatch, rows):
     assert np.allclose([got[r[0]] for r in data], f, atol=1e-8)
 
 
+@pytest.mark.parametrize(("rows", "small"), [(10, 32 << 20), (40, 0), (50_000, 32 << 20)])
+def test_boosting_over_sets_equals_a_plain_grower_each(spark, monkeypatch, rows, small):
+    data, df = table(spark)
+    x, y = columns(data)
+    for name, value in (("REFRESH", 2), ("ROWS", rows), ("SMALL", small)):
+        monkeypatch.setattr(T, name, value)
+    cfg = T.Trees(5, 3, boosting=True, rate=0.3, l2=0.7, least=5)
+    sets = {"two": [0, 1], "one": [2], "all": [2, 0, 1], "none": []}
+    models = T.fit_boosted(df, {s: ["abc"[i] for i in at] for s, at in sets.items()}, "y", cfg)
+    for s, at in sets.items():
+        f = np.full(len(y), y.mean())
+        for _ in range(cfg.trees if at else 0):
+            tree = grow(x[:, at], np.ones(len(y)), y - f, cfg.depth, cfg.l2, cfg.least)
+            f = f + cfg.rate * np.array([walk(tree, r) for r in x[:, at]])
+        got = {r.id: r.predicted for r in models[s].predict(df, ["id"]).collect()}
+        assert np.allclose([got[r[0]] for r in data], f, atol=1e-8), s
+
+
 @pytest.mark.parametrize("small", [0, 32 << 20])
 def test_a_forest_equals_a_plain_grower_node_by_node(spark, monkeypatch, small):
     data, df = table(spark)

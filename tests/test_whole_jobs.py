@@ -137,3 +137,23 @@ def test_ablation_equals_closed_forms(spark):
     ranks = {r.feature_set: r.validation_rank for r in got.values()}
     assert sorted(ranks.values()) == list(range(1, 10))
     assert min(ranks, key=ranks.get) == min((got[s, "valid"].mae, s) for s in ranks)[1]
+
+
+def test_boosted_ablation_equals_models_fitted_alone(spark):
+    from veridra.operators import metrics as M
+    from veridra.operators import models as R
+    from veridra.plans import q_models
+
+    found = registry.queries()["ablation_boosting"](spark, D).collect()
+    got = {(r.strategy, r.feature_set, r.split_name): r for r in found}
+    assert len(got) == len(found) == 2 * 3 * len(q_models.ABLATION)
+    for name in ("solved", "points"):
+        spec = R.ModelSpec(name, tuple(q_models.GROUPS[name]), R.gradient_boosting())
+        long = R.evaluate_grid(q_models.forward_split(spark, D), [spec], "label", q_models.A.KEYS)
+        for r in M.regression_metrics(long, "actual", "predicted", ["split_name"], q_models.BANDS).collect():
+            own = got["forward", name, r.split_name]
+            assert own.n == r.n and abs(own.mae - r.mae) < 1e-3 and abs(own.rmse - r.rmse) < 1e-3
+            assert abs(own.mae_over_all - (own.mae - got["forward", "all", r.split_name].mae)) < 1e-3
+    for strategy in ("forward", "grouped"):
+        errors = sorted((got[strategy, s, "valid"].mae, s) for s in q_models.ABLATION)
+        assert [got[strategy, s, "test"].validation_rank for _, s in errors] == list(range(1, 10))

@@ -5,8 +5,9 @@ feature, bin) of its rows, tasks' sums are added up, and every node takes its be
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -180,52 +181,73 @@ def _histogram(bins: np.ndarray, node: np.ndarray, w: np.ndarray, g: np.ndarray,
     return np.concatenate([np.bincount(at, weights=np.repeat(x[here], d), minlength=n) for x in (w, g)])
 
 
-def _boost(rows: DataFrame, d: int, cfg: Trees) -> Grown:
-    """Rows are (bins, n, y, f): how many rows have these bins, the sum of their labels about the mean, and the prediction so far."""
-    grown, spark, written, parts = Grown.empty(cfg.trees, cfg.depth), rows.sparkSession, 0, rows.rdd.getNumPartitions()
-    if parts == 1:
-        return _boost_alone(rows, d, cfg)
+def _boost(rows: DataFrame, at: list[list[int]], cfg: Trees) -> list[Grown]:
+    """Models over some of the bins' places each, grown in step: a pass over the rows gives the next level of every model's tree. Rows are (bins, n, y, f): how many
+    rows have these bins, the sum of their labels about the mean, and each model's prediction so far."""
+    grown, spark, written, parts = [Grown.empty(cfg.trees, cfg.depth) for _ in at], rows.sparkSession, 0, rows.rdd.getNumPartitions()
     for tree in range(cfg.trees):
         if tree - written >= REFRESH:
-            rows, written = stored(_added(rows, grown, written, tree, d, cfg), "boosted"), tree
+            rows, written = stored(_added(rows, grown, written, tree, at, cfg), "boosted"), tree
+        live = list(range(len(at)))
         for level in range(cfg.depth):
-            sent = spark.sparkContext.broadcast(grown.some(slice(written, tree + 1)))
-            size = 2 * 2**level * d * cfg.bins
+            sent = spark.sparkContext.broadcast([g.some(slice(written, tree + 1)) for g in grown])
+            sizes = [2 * 2**level * len(places) * cfg.bins for places in at]
+            size = max(sizes[k] for k in live)
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                trees, total = sent.value, np.zeros(size)  # noqa: B023
+                total = {k: np.zeros(size) for k in live}  # noqa: B023
                 for batch in batches:
-                    bins, n, y, f = _matrix(batch.column(0), d), *(c.to_numpy() for c in batch.columns[1:])
-                    for t in range(len(trees.value) - 1):
-                        f = f + cfg.rate * trees.value[t][trees.node(t, bins, cfg.depth)]
-                    node = trees.node(len(trees.value) - 1, bins, level)  # noqa: B023
-                    total += _histogram(bins, node, n, y - n * f, level, cfg.bins)  # noqa: B023
-                yield _row(0, total)
-
-            (_, sums), = _summed(rows, parts, 1, size, run)
+                    every, n, y, f = _columns(batch)
+                    for k, sums in total.items():
+                        trees, bins, own = sent.value[k], every[:, at[k]], f[:, k]  # noqa: B023
+                        for t in range(len(trees.value) - 1):
+                            own = own + cfg.rate * trees.value[t][trees.node(t, bins, cfg.depth)]
+                        node = trees.node(len(trees.value) - 1, bins, level)  # noqa: B023
+                        sums[: sizes[k]] += _histogram(bins, node, n, y - n * own, level, cfg.bins)  # noqa: B023
+                for k, sums in total.items():
+                    yield _row(k, sums)
+
+            live = sorted(k for k, sums in _summed(rows, parts, len(live), size, run) if _split(grown[k], tree, level, sums[: sizes[k]], len(at[k]), cfg))
             sent.destroy()
-            if not _split(grown, tree, level, sums, d, cfg):
+            if not live:
                 break
     return grown
 
 
-def _boost_alone(rows: DataFrame, d: int, cfg: Trees) -> Grown:
-    """The same for a table of one partition, so of ROWS distinct rows of bins or little more, whatever the number of rows behind them: no histogram has to
-    wait for another task's, so one task goes through all levels."""
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bins, n, y, f) as arrays; f has a column per model."""
+    n, y = (c.to_numpy() for c in batch.columns[1:3])
+    places = len(batch.column(0)[0].as_py()) if batch.num_rows else 0
+    return _matrix(batch.column(0), places), n, y, batch.column(3).flatten().to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 0))
+
+
+def _boost_alone(rows: DataFrame, at: list[list[int]], cfg: Trees) -> list[Grown]:
+    """The same for models of ROWS distinct rows of bins at most, whatever the number of rows behind them, given as (model, bins, n, y): no histogram has to wait for
+    another task's, so each model has a task that goes through all levels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(_matrix(b.column(0), d), *(c.to_numpy() for c in b.columns[1:])) for b in batches]
-        bins, n, y, f = (np.concatenate(c) for c in zip(*parts))
-        grown = Grown.empty(cfg.trees, cfg.depth)
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        k = parts[0].column(0)[0].as_py()
+        bins = np.concatenate([_matrix(b.column(1), len(at[k])) for b in parts])
+        n, y = (np.concatenate([b.column(c).to_numpy() for b in parts]) for c in (2, 3))
+        grown, f = Grown.empty(cfg.trees, cfg.depth), np.zeros(len(n))
         for tree in range(cfg.trees):
             for level in range(cfg.depth):
-                if not _split(grown, tree, level, _histogram(bins, grown.node(tree, bins, level), n, y - n * f, level, cfg.bins), d, cfg):
+                if not _split(grown, tree, level, _histogram(bins, grown.node(tree, bins, level), n, y - n * f, level, cfg.bins), len(at[k]), cfg):
                     break
             f = f + cfg.rate * grown.value[tree][grown.node(tree, bins, cfg.depth)]
-        yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(t)) for x, t in ((grown.feature, pa.int64()), (grown.cut, pa.int64()), (grown.value, pa.float64()))], ["feature", "cut", "value"])
+        flat = [pa.array([x.ravel()], pa.list_(t)) for x, t in ((grown.feature, pa.int64()), (grown.cut, pa.int64()), (grown.value, pa.float64()))]
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *flat], ["model", "feature", "cut", "value"])
 
-    table = rows.mapInArrow(run, "feature array<long>, cut array<long>, value array<double>").toArrow()
-    return Grown(*(table[c].combine_chunks().flatten().to_numpy().reshape(cfg.trees, -1).copy() for c in ("feature", "cut", "value")))
+    # a partition a model, in a fixed order
+    dealt = rows.repartitionById(len(at), F.col("model")).sortWithinPartitions("bins")
+    made = dealt.mapInArrow(run, "model int, feature array<long>, cut array<long>, value array<double>").toArrow()
+    out = [Grown.empty(cfg.trees, cfg.depth) for _ in at]
+    for i, k in enumerate(made["model"].to_pylist()):
+        out[k] = Grown(*(made[c][i].values.to_numpy().reshape(cfg.trees, -1).copy() for c in ("feature", "cut", "value")))
+    return out
 
 
 def _row(tree: int, total: np.ndarray) -> pa.RecordBatch:
@@ -234,16 +256,22 @@ def _row(tree: int, total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([tree], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total], pa.list_(pa.float64()))], ["tree", "part", "s"])
 
 
-def _added(rows: DataFrame, grown: Grown, begin: int, end: int, d: int, cfg: Trees) -> DataFrame:
-    """The rows with the predictions of some more trees in f."""
-    trees = grown.some(slice(begin, end))
+def _added(rows: DataFrame, grown: list[Grown], begin: int, end: int, at: list[list[int]], cfg: Trees) -> DataFrame:
+    """The rows with the predictions of some more trees of each model in f."""
+    more = [g.some(slice(begin, end)) for g in grown]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bins, f = _matrix(batch.column(0), d), batch.column(3).to_numpy()
-            for t in range(len(trees.value)):
-                f = f + cfg.rate * trees.value[t][trees.node(t, bins, cfg.depth)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(f)], batch.schema.names)
+            if not batch.num_rows:
+                continue
+            every, _, _, f = _columns(batch)
+            f = f.copy()
+            for k, trees in enumerate(more):
+                bins = every[:, at[k]]
+                for t in range(len(trees.value)):
+                    f[:, k] += cfg.rate * trees.value[t][trees.node(t, bins, cfg.depth)]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1, dtype=np.int32) * len(more)), pa.array(f.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], batch.schema.names)
 
     return rows.mapInArrow(run, rows.schema)
 
@@ -287,6 +315,8 @@ class TreeModel:
 
     def predict(self, rows: DataFrame, keep: list[str], out: str = "predicted") -> DataFrame:
         """(keep..., out) of every row."""
+        if not self.features:
+            return rows.select(*keep, F.lit(self.mean).alias(out))
         grown, mean, cfg, d = self.grown, self.mean, self.cfg, len(self.features)
         weight = cfg.rate if cfg.boosting else 1.0 / cfg.trees
 
@@ -302,25 +332,56 @@ class TreeModel:
 
 
 def fit_trees(train: DataFrame, features: list[str], y: str, keys: list[str], cfg: Trees) -> TreeModel:
-    """Grow trees over numeric features. Rows with a null label take no part; `keys` name a row, for the draws. Rows of a boosted model that have the same
-    bins are one row with their number and sum, which is exact for squared errors. `train` is read several times; give it stored."""
+    """Grow trees over numeric features. Rows with a null label take no part; `keys` name a row, for the draws. `train` is read several times; give
+    it stored."""
+    if cfg.boosting:
+        return fit_boosted(train, {"": features}, y, cfg)[""]
     train = train.filter(F.col(y).isNotNull())
     cuts = bin_cuts(train, features, cfg.bins)
     n, mean = train.agg(F.count("*"), F.avg(F.col(y).cast("double"))).first()
     mean = mean or 0.0
-    own = [(F.col(y).cast("double") - mean).alias("_y")] + ([] if cfg.boosting else [h.alias(a) for h, a in zip(halves(*(F.col(k) for k in keys)), ("_high", "_low"))])
-    rows = binned(train.select(*features, *own), features, cuts, ["_y"] + ([] if cfg.boosting else ["_high", "_low"]))
-    if cfg.boosting:
-        rows = rows.groupBy("bins").agg(F.count("*").cast("double").alias("n"), F.sum("_y").alias("y")).withColumn("f", F.lit(0.0))
-    else:
-        rows = rows.select("bins", F.lit(1.0).alias("n"), F.col("_y").alias("y"), F.col("_high").alias("high"), F.col("_low").alias("low"))
+    own = [(F.col(y).cast("double") - mean).alias("_y"), *(h.alias(a) for h, a in zip(halves(*(F.col(k) for k in keys)), ("_high", "_low")))]
+    rows = binned(train.select(*features, *own), features, cuts, ["_y", "_high", "_low"])
+    rows = rows.select("bins", F.lit(1.0).alias("n"), F.col("_y").alias("y"), F.col("_high").alias("high"), F.col("_low").alias("low"))
     rows = stored(rows, "binned")
     # in a fixed order, so that sums are the same to the last bit in every run
     rows = stored(rows.repartition(max(1, -(-rows.count() // ROWS))).sortWithinPartitions(*rows.columns), "binned")
-    grown = (_boost if cfg.boosting else _forest)(rows, len(features), cfg) if n else Grown.empty(cfg.trees, cfg.depth)
+    grown = _forest(rows, len(features), cfg) if n else Grown.empty(cfg.trees, cfg.depth)
     return TreeModel(features, cuts, grown, mean, cfg)
 
 
+def fit_boosted(train: DataFrame, sets: Mapping[str, list[str]], y: str, cfg: Trees) -> dict[str, TreeModel]:
+    """A boosted model per named set of numeric features; a set without features is the mean. Rows with a null label take no part. All sets share one table of bins. Rows
+    that have the same bins in a set are one row with their number and sum, which is exact for squared errors. Models of ROWS such rows at most grow in
+    a task each, all at once; the others in step, a level of all of them in one pass. `train` is read several times; give it stored."""
+    features = list(dict.fromkeys(c for s in sets.values() for c in s))
+    train = train.filter(F.col(y).isNotNull())
+    cuts = dict(zip(features, bin_cuts(train, features, cfg.bins) if features else []))
+    n, mean = train.agg(F.count("*"), F.avg(F.col(y).cast("double"))).first()
+    mean = mean or 0.0
+    grown = {s: Grown.empty(cfg.trees, cfg.depth) for s in sets}
+    places = {s: [features.index(c) for c in own] for s, own in sets.items() if own}
+    if n and places:
+        rows = binned(train.select(*features, (F.col(y).cast("double") - mean).alias("_y")), features, [cuts[c] for c in features], ["_y"])
+        rows = stored(rows.groupBy("bins").agg(F.count("*").cast("double").alias("n"), F.sum("_y").alias("y")), "binned")
+        alone, together = {}, {}
+        for s, at in places.items():
+            part = rows
+            if at != list(range(len(features))):
+                part = rows.groupBy(F.concat(*(F.substring("bins", i + 1, 1) for i in at)).alias("bins")).agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+                part = stored(part, "binned")
+            (alone if part.count() <= ROWS else together)[s] = part
+        if alone:
+            marked = [part.select(F.lit(k).alias("model"), "bins", "n", "y") for k, part in enumerate(alone.values())]
+            grown |= zip(alone, _boost_alone(reduce(DataFrame.union, marked), [places[s] for s in alone], cfg))
+        if together:
+            rows = rows.withColumn("f", F.array_repeat(F.lit(0.0), len(together)))
+            # in a fixed order, so that sums are the same to the last bit in every run
+            rows = stored(rows.repartition(max(1, -(-rows.count() // ROWS))).sortWithinPartitions("bins"), "binned")
+            grown |= zip(together, _boost(rows, [places[s] for s in together], cfg))
+    return {s: TreeModel(own, [cuts[c] for c in own], grown[s], mean, cfg) for s, own in sets.items()}
+
+
 def tree_columns(train: DataFrame, rows: DataFrame, features: list[str], most: int = 32) -> tuple[DataFrame, list[str]]:
     """The rows with a numeric column for every feature, and those columns' names. Text columns of at most `most` categories in `train` become one 0/1
     column a category; others their place in the dictionary (frequent ones first), unknown ones null."""

@@ -12,6 +12,7 @@ from veridra.operators import joins as J
 from veridra.operators import metrics as M
 from veridra.operators import models as R
 from veridra.operators import splits as P
+from veridra.operators import trees as T
 from veridra.operators.encode import array_dictionary, encode_array, encoded, fit_encoding
 from veridra.operators.select import residual_interval, union, validation_ranked
 from veridra.operators.sparse_ridge import predict_sparse, sparse_ridge
@@ -337,19 +338,60 @@ def ablation_rows(rows: DataFrame) -> tuple[DataFrame, dict[str, list[tuple[int,
     return stored(coded, "ablation"), places, e.size + n_tags
 
 
+def both_strategies(spark, d) -> list[tuple[str, DataFrame]]:
+    rows = A.model_table(spark, d)
+    return [("forward", stored(P.time_split(rows, "start_time", RATIOS))), ("grouped", stored(P.group_split(rows, "group_id", RATIOS, SEED)))]
+
+
+def ablation_scores(scored: list[DataFrame]) -> DataFrame:
+    """Metrics of every set by strategy and split, ranked by the validation error within a strategy, and how much more the set errs than all features do."""
+    rows = stored(M.regression_metrics(union(scored), "label", "predicted", ["strategy", "setting", "split_name"], BANDS).withColumnRenamed("setting", "feature_set"))
+    ranked = validation_ranked(rows, ["strategy"], "feature_set", "mae").select("strategy", "feature_set", F.col("rank").cast("int").alias("validation_rank"))
+    every = rows.filter("feature_set = 'all'").select("strategy", "split_name", F.col("mae").alias("_all"))
+    rows = rows.join(ranked.hint("broadcast"), ["strategy", "feature_set"]).join(every.hint("broadcast"), ["strategy", "split_name"])
+    return rounded(rows.withColumn("mae_over_all", F.col("mae") - F.col("_all")).drop("_all"), FIGURES | {"mae_over_all": 4})
+
+
 @query("ablation_sets")
 def _(spark, d):
     """Ridge models over nine sets of feature groups, tags among them, by strategy and split, ranked by their validation error. All sets of a strategy are solved in
     shared passes over its sparse rows."""
     scored = []
-    for strategy, rows in (("forward", P.time_split(A.model_table(spark, d), "start_time", RATIOS)), ("grouped", P.group_split(A.model_table(spark, d), "group_id", RATIOS, SEED))):
-        coded, places, size = ablation_rows(stored(rows))
+    for strategy, rows in both_strategies(spark, d):
+        coded, places, size = ablation_rows(rows)
         sets = {s: [r for g in groups for r in places[g]] for s, groups in ABLATION.items()}
         models = sparse_ridge(coded.filter("split_name = 'train'"), size, "label", sets, 1.0, head=HEAD)
         scored.append(predict_sparse(coded, models, ["split_name", "label"]).withColumn("strategy", F.lit(strategy)))
-    rows = stored(M.regression_metrics(union(scored), "label", "predicted", ["strategy", "setting", "split_name"], BANDS).withColumnRenamed("setting", "feature_set"))
-    ranked = validation_ranked(rows, ["strategy"], "feature_set", "mae").select("strategy", "feature_set", F.col("rank").cast("int").alias("validation_rank"))
-    return rounded(rows.join(ranked.hint("broadcast"), ["strategy", "feature_set"]), FIGURES)
+    return ablation_scores(scored)
+
+
+#: tags that trees see one by one, the most frequent ones; of the others they see the number
+TREE_TAGS = 32
+
+
+def tree_rows(rows: DataFrame) -> tuple[DataFrame, dict[str, list[str]]]:
+    """(rows with a number for every feature, stored; the columns of every feature group), learned from the train rows."""
+    train = rows.filter("split_name = 'train'")
+    tags: list = array_dictionary(train, "tags").filter(F.col("place") < TREE_TAGS).orderBy("place").collect()
+    flags = {f"_tag{r.place}": F.array_contains("tags", r.term).cast("double") for r in tags}
+    numbers = {g: [c for c in own if dict(rows.dtypes)[c] != "string" and c != "tags"] for g, own in GROUPS.items()}
+    ready, letters = T.tree_columns(train, rows, ["index_letter"])
+    groups = numbers | {"index": [*numbers["index"], *letters], "tags": ["tag_count", *flags]}
+    used = [c for g in groups.values() for c in g]
+    ready = ready.withColumns(flags).select(*A.KEYS, "split_name", "label", *(F.col(c).cast("double").alias(c) for c in used))
+    return stored(ready, "ablation"), groups
+
+
+@query("ablation_boosting")
+def _(spark, d):
+    """The same sets with boosted trees, grown together over one table of bins for each strategy."""
+    scored, cfg = [], R.gradient_boosting()("x", "label")
+    for strategy, rows in both_strategies(spark, d):
+        ready, groups = tree_rows(rows)
+        sets = {s: [c for g in own for c in groups[g]] for s, own in ABLATION.items()}
+        models = T.fit_boosted(ready.filter("split_name = 'train'"), sets, "label", cfg)
+        scored += [m.predict(ready, ["split_name", "label"]).select("split_name", "label", "predicted", F.lit(s).alias("setting"), F.lit(strategy).alias("strategy")) for s, m in models.items()]
+    return ablation_scores(scored)
 
 
 @query("residual_interval", """WITH r AS (SELECT abs(predicted - actual) AS a FROM predictions WHERE strategy = 'forward' AND model_name = 'rank' AND split_name = 'valid')
