@@ -241,8 +241,8 @@ def statement_pages(spark, d):
   SELECT doc_id, title, time_limit_ms, memory_limit_mb, md5(body) AS body, input, output, examples, note, CAST(doc_id % 3 <> 0 AS int) AS has_note, length(note) AS note_length, 1 AS samples, CASE WHEN doc_id % 3 <> 0 THEN 5 ELSE 4 END AS paragraphs FROM r""")
 def _(spark, d):
     """The statement layout read back: limits as numbers, every section, and what is not in one."""
-    pages = statement_pages(spark, d)
-    rows = X.extract_sections(pages, "doc_id", "html", X.STATEMENT).join(pages.select("doc_id", X.sample_counts(F.col("html"))[0].alias("samples")).hint("merge"), "doc_id")
+    keyed = statement_pages(spark, d).select(F.struct("doc_id", X.sample_counts(F.col("html"))[0].alias("samples")).alias("k"), "html")
+    rows = X.extract_sections(keyed, "k", "html", X.STATEMENT).select("k.*", "*")
     limits = {"time_limit_ms": X.parse_quantity(F.col("time_limit"), X.TIME_UNITS), "memory_limit_mb": X.parse_memory(F.col("memory_limit"))}
     return rows.select("doc_id", "title", *(v.alias(k) for k, v in limits.items()), F.md5("text").alias("body"), "input", "output", "examples", "note", *(v.alias(k) for k, v in X.section_lengths(["note"]).items()), "samples", "paragraphs")
 
