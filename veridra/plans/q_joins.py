@@ -29,13 +29,13 @@ def _(spark, d):
 
 @query("inner_join_complete", "SELECT group_id, line_no, label, split_name FROM model JOIN time_split USING (group_id, line_no)")
 def _(spark, d):
-    rows = forward_split(spark, d)
+    rows = forward_split(spark, d, *A.KEYS, "start_time", "label")
     return J.join_split(rows.drop("split_name", "fold"), rows.select(*A.KEYS, "split_name"), A.KEYS).select(*A.KEYS, "label", "split_name")
 
 
 @query("left_join_complete", "SELECT group_id, line_no, label, split_name FROM model JOIN time_split USING (group_id, line_no)")
 def _(spark, d):
-    rows = forward_split(spark, d)
+    rows = forward_split(spark, d, *A.KEYS, "start_time", "label")
     return J.join_split(rows.drop("split_name", "fold"), rows.select(*A.KEYS, "split_name"), A.KEYS, how="left").select(*A.KEYS, "label", "split_name")
 
 

@@ -34,7 +34,7 @@ def _(spark, d):
 def test_errors(spark, d):
     """Test errors of the rank means with item features."""
     features = A.model_table(spark, d).select(*A.KEYS, "index_rank", "tags")
-    return J.enrich_predictions(predictions(spark, d).filter("model_name = 'rank' and split_name = 'test'"), features, A.KEYS)
+    return J.enrich_predictions(predictions(spark, d, "rank").filter("split_name = 'test'"), features, A.KEYS)
 
 
 ERRORS = "(SELECT p.*, abs(predicted - actual) AS absolute_error, index_rank, tags FROM predictions p JOIN (SELECT group_id, line_no, index_rank, tags FROM model) USING (group_id, line_no) WHERE model_name = 'rank' AND split_name = 'test')"

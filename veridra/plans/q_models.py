@@ -34,9 +34,10 @@ def both_splits(spark, d, *columns: str) -> DataFrame:
     return stored(forward.unionByName(grouped))
 
 
-def forward_split(spark, d) -> DataFrame:
-    """The model table with its forward split, stored."""
-    return stored(P.time_split(A.model_table(spark, d), "start_time", RATIOS))
+def forward_split(spark, d, *columns: str) -> DataFrame:
+    """The model table (or some of its columns) with its forward split, stored."""
+    rows = A.model_table(spark, d)
+    return stored(P.time_split(rows.select(*columns) if columns else rows, "start_time", RATIOS))
 
 
 #: feature sets of the studies' ridge models; the last one has popularity by age
@@ -52,10 +53,12 @@ def fitted(spark, d) -> tuple[DataFrame, dict[str, R.Gram]]:
     return rows, R.grams(rows.filter("split_name = 'train'"), FEATURES, "label", "strategy")
 
 
-def predictions(spark, d) -> DataFrame:
-    """Long predictions of a ridge model per feature set and strategy."""
+def predictions(spark, d, *models: str) -> DataFrame:
+    """Long predictions of a ridge model per feature set (or some of them) and strategy, made from the stored rows as they are read: several rows for each of those,
+    so they are not written."""
     rows, train = fitted(spark, d)
-    return stored(R.predict_by(rows, train, "strategy", SETS, 1.0, ["strategy", "split_name", "group_id", "line_no", "item_code", "start_time"], "label"))
+    sets = {k: SETS[k] for k in models or SETS}
+    return R.predict_by(rows, train, "strategy", sets, 1.0, ["strategy", "split_name", "group_id", "line_no", "item_code", "start_time"], "label")
 
 
 def metrics(spark, d) -> DataFrame:
@@ -153,7 +156,7 @@ def _(spark, d):
 
 @query("mean_model", "SELECT strategy, split_name, count(*) AS n, round(avg(predicted), 4) AS predicted FROM predictions WHERE model_name = 'mean' GROUP BY 1, 2")
 def _(spark, d):
-    fitted = R.mean_model(both_splits(spark, d), "label", by=["strategy"])
+    fitted = R.mean_model(both_splits(spark, d, "group_id", "start_time", "label"), "label", by=["strategy"])
     return fitted.groupBy("strategy", "split_name").agg(F.count("*").alias("n"), F.round(F.avg("predicted"), 4).alias("predicted"))
 
 
