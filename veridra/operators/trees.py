@@ -5,6 +5,7 @@ feature, bin) of its rows, tasks' sums are added up, and every node takes its be
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import reduce
@@ -27,6 +28,12 @@ ROOM = 32 << 20
 REFRESH = 20
 #: rows that a partition of the binned table has about
 ROWS = 50_000
+#: distinct rows of bins up to which a boosted model grows in one task: some hundred bytes each
+ALONE = 2_000_000
+#: distinct rows of bins whose predictions a task keeps
+KNOWN = 1 << 18
+#: combinations of bins that columns summed up together have at most
+CELLS = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -76,6 +83,25 @@ class Grown:
             at = np.where(f >= 0, 2 * at + 1 + (bins[rows, f] > self.cut[tree][at]), at)
         return at
 
+    def values(self, tree: int, columns: np.ndarray) -> np.ndarray:
+        """What the tree gives for each row, its bins as `columns`. Nodes near the root are tried for all rows at a time, those below by the node that a row is in."""
+        n, depth = columns.shape[1], (self.value.shape[1] + 1).bit_length() - 2
+        feature, cut, value = self.feature[tree], self.cut[tree], self.value[tree].copy()
+        for node in range(len(value) // 2):
+            if feature[node] < 0:
+                value[2 * node + 1 : 2 * node + 3] = value[node]
+        at, rows = np.zeros(n, np.int64), np.arange(n)
+        for level in range(depth):
+            base, right = 2**level - 1, np.zeros(n, bool)
+            if level < 4:
+                for i in np.flatnonzero(feature[base : 2 * base + 1] >= 0).tolist():
+                    right |= (columns[feature[base + i]] > cut[base + i]) & (at == i)
+            else:
+                f = feature[base + at]
+                right = (columns[f, rows] > cut[base + at]) & (f >= 0)
+            at = 2 * at + right
+        return value[2**depth - 1 + at]
+
     def some(self, trees: slice) -> Grown:
         return Grown(self.feature[trees], self.cut[trees], self.value[trees])
 
@@ -90,15 +116,16 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
 def bin_cuts(train: DataFrame, features: list[str], bins: int) -> list[np.ndarray]:
     """Ascending cuts per numeric feature: values up to the i-th cut are in bin i at most. All values but the largest are cuts where there are no more
     than `bins`, else exact quantiles. Nulls count as smaller than all numbers."""
-    long = stored(train.select(*(F.col(c).cast("double").alias(c) for c in features)).unpivot([], features, "feature", "v").filter("v is not null"))
-    distinct = {r.feature: r.n for r in long.groupBy("feature").agg(F.count_distinct("v").alias("n")).collect()}  # a row per feature
+    long = train.select(*(F.col(c).cast("double").alias(c) for c in features)).unpivot([], features, "feature", "v").filter("v is not null")
+    values = stored(long.select("feature", "v").distinct(), "values")
+    distinct = {r.feature: r.n for r in values.groupBy("feature").agg(F.count("*").alias("n")).collect()}  # a row per feature
     few = [c for c in features if distinct.get(c, 0) <= bins]
     cuts = {c: np.empty(0) for c in features}
-    for r in long.filter(F.col("feature").isin(few)).groupBy("feature").agg(F.array_sort(F.collect_set("v")).alias("v")).collect():  # `bins` values a feature at most
+    for r in values.filter(F.col("feature").isin(few)).groupBy("feature").agg(F.array_sort(F.collect_list("v")).alias("v")).collect():  # `bins` values a feature at most
         cuts[r.feature] = np.array(r.v[:-1])
     if len(few) < len(features):
         qs = {f"q{i}": i / bins for i in range(1, bins)}
-        for r in quantiles_by(long.filter(~F.col("feature").isin(few)), ["feature"], "v", qs).collect():
+        for r in quantiles_by(stored(long.filter(~F.col("feature").isin(few))), ["feature"], "v", qs).collect():
             cuts[r.feature] = np.unique([r[q] for q in qs])
     return [cuts[c] for c in features]
 
@@ -184,10 +211,12 @@ def _histogram(bins: np.ndarray, node: np.ndarray, w: np.ndarray, g: np.ndarray,
 def _boost(rows: DataFrame, at: list[list[int]], cfg: Trees) -> list[Grown]:
     """Models over some of the bins' places each, grown in step: a pass over the rows gives the next level of every model's tree. Rows are (bins, n, y, f): how many
     rows have these bins, the sum of their labels about the mean, and each model's prediction so far."""
+    rows = _wide(rows)
     grown, spark, written, parts = [Grown.empty(cfg.trees, cfg.depth) for _ in at], rows.sparkSession, 0, rows.rdd.getNumPartitions()
     for tree in range(cfg.trees):
         if tree - written >= REFRESH:
-            rows, written = stored(_added(rows, grown, written, tree, at, cfg), "boosted"), tree
+            rows, written = _wide(stored(_added(rows, grown, written, tree, at, cfg), "boosted")), tree
+            parts = rows.rdd.getNumPartitions()
         live = list(range(len(at)))
         for level in range(cfg.depth):
             sent = spark.sparkContext.broadcast([g.some(slice(written, tree + 1)) for g in grown])
@@ -200,8 +229,9 @@ def _boost(rows: DataFrame, at: list[list[int]], cfg: Trees) -> list[Grown]:
                     every, n, y, f = _columns(batch)
                     for k, sums in total.items():
                         trees, bins, own = sent.value[k], every[:, at[k]], f[:, k]  # noqa: B023
+                        turned = np.ascontiguousarray(bins.T)
                         for t in range(len(trees.value) - 1):
-                            own = own + cfg.rate * trees.value[t][trees.node(t, bins, cfg.depth)]
+                            own = own + cfg.rate * trees.values(t, turned)
                         node = trees.node(len(trees.value) - 1, bins, level)  # noqa: B023
                         sums[: sizes[k]] += _histogram(bins, node, n, y - n * own, level, cfg.bins)  # noqa: B023
                 for k, sums in total.items():
@@ -221,8 +251,69 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return _matrix(batch.column(0), places), n, y, batch.column(3).flatten().to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 0))
 
 
+def _blocks(bins: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of columns that have CELLS combinations of bins at most (or one column), each as (first column, every row's combination, the combinations). Sums over
+    rows are taken per combination, and those of single bins from them."""
+    out, d = [], bins.shape[1]
+    first = 0
+    while first < d:
+        code, cells = np.zeros(len(bins), np.int32), 1
+        for c in range(first, d):
+            finer = code * np.int32(int(bins[:, c].max(initial=0)) + 1) + bins[:, c]
+            there = np.bincount(finer) > 0
+            if c > first and there.sum() > CELLS:
+                break
+            code, cells = (np.cumsum(there, dtype=np.int32) - 1)[finer], int(there.sum())
+            last = c
+        table = np.zeros((cells, last + 1 - first), np.uint8)
+        table[code] = bins[:, first : last + 1]
+        out.append((first, code, table))
+        first = last + 1
+    return out
+
+
+def _grown_alone(blocks: list[tuple[int, np.ndarray, np.ndarray]], n: np.ndarray, y: np.ndarray, d: int, cfg: Trees) -> Grown:
+    """All trees of a boosted model over `blocks` of d columns in all: a row costs some steps per block and level, however many columns there are."""
+    grown, f = Grown.empty(cfg.trees, cfg.depth), np.zeros(len(n))
+    single = []
+    for _, _, table in blocks:
+        # a 1 for each combination's bin of every column
+        used = [np.unique(column) for column in table.T]
+        single.append((np.concatenate([c * cfg.bins + u.astype(np.int64) for c, u in enumerate(used)]), np.hstack([(column[:, None] == u).astype(np.float64) for column, u in zip(table.T, used)])))
+    for tree in range(cfg.trees):
+        g, node, value = y - n * f, np.zeros(len(n), np.int32), grown.value[tree, :1]
+        for level in range(cfg.depth):
+            base, nodes = 2**level - 1, 2**level
+            sums, at = np.zeros((2, nodes, d, cfg.bins)), []
+            for (first, code, table), (used, one) in zip(blocks, single):
+                at.append(node * np.int32(len(table)) + code)
+                for w, total in zip((n, g), sums):
+                    cells = np.bincount(at[-1], weights=w, minlength=nodes * len(table)).reshape(nodes, -1)
+                    own = np.zeros((nodes, table.shape[1] * cfg.bins))
+                    own[:, used] = cells @ one
+                    total[:, first : first + table.shape[1]] = own.reshape(nodes, -1, cfg.bins)
+            if level:
+                # nodes below one that was not split hold nothing
+                sums[:, np.repeat(grown.feature[tree, (base - 1) // 2 : base] < 0, 2)] = 0
+            found = _split(grown, tree, level, sums, d, cfg)
+            if not level:
+                value = grown.value[tree, :1]
+            if not found:
+                break
+            feature, cut = grown.feature[tree, base : base + nodes], grown.cut[tree, base : base + nodes]
+            right = np.zeros(len(n), bool)
+            for (first, _, table), keys in zip(blocks, at):
+                mine = (feature >= first) & (feature < first + table.shape[1])
+                goes = mine[:, None] & (table.T[np.where(mine, feature - first, 0)] > cut[:, None])
+                right |= goes.ravel()[keys]
+            node = 2 * node + right
+            value = np.where(np.repeat(feature >= 0, 2), grown.value[tree, 2 * base + 1 : 2 * base + 1 + 2 * nodes], np.repeat(value, 2))
+        f += cfg.rate * value[node]
+    return grown
+
+
 def _boost_alone(rows: DataFrame, at: list[list[int]], cfg: Trees) -> list[Grown]:
-    """The same for models of ROWS distinct rows of bins at most, whatever the number of rows behind them, given as (model, bins, n, y): no histogram has to wait for
+    """The same for models of ALONE distinct rows of bins at most, whatever the number of rows behind them, given as (model, bins, n, y): no histogram has to wait for
     another task's, so each model has a task that goes through all levels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,12 +323,7 @@ def _boost_alone(rows: DataFrame, at: list[list[int]], cfg: Trees) -> list[Grown
         k = parts[0].column(0)[0].as_py()
         bins = np.concatenate([_matrix(b.column(1), len(at[k])) for b in parts])
         n, y = (np.concatenate([b.column(c).to_numpy() for b in parts]) for c in (2, 3))
-        grown, f = Grown.empty(cfg.trees, cfg.depth), np.zeros(len(n))
-        for tree in range(cfg.trees):
-            for level in range(cfg.depth):
-                if not _split(grown, tree, level, _histogram(bins, grown.node(tree, bins, level), n, y - n * f, level, cfg.bins), len(at[k]), cfg):
-                    break
-            f = f + cfg.rate * grown.value[tree][grown.node(tree, bins, cfg.depth)]
+        grown = _grown_alone(_blocks(bins), n, y, len(at[k]), cfg)
         flat = [pa.array([x.ravel()], pa.list_(t)) for x, t in ((grown.feature, pa.int64()), (grown.cut, pa.int64()), (grown.value, pa.float64()))]
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *flat], ["model", "feature", "cut", "value"])
 
@@ -267,17 +353,61 @@ def _added(rows: DataFrame, grown: list[Grown], begin: int, end: int, at: list[l
             every, _, _, f = _columns(batch)
             f = f.copy()
             for k, trees in enumerate(more):
-                bins = every[:, at[k]]
+                turned = np.ascontiguousarray(every[:, at[k]].T)
                 for t in range(len(trees.value)):
-                    f[:, k] += cfg.rate * trees.value[t][trees.node(t, bins, cfg.depth)]
+                    f[:, k] += cfg.rate * trees.values(t, turned)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1, dtype=np.int32) * len(more)), pa.array(f.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], batch.schema.names)
 
     return rows.mapInArrow(run, rows.schema)
 
 
+def _codes(bins: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """One number per row that stands for its bins, given how many bins every column has."""
+    code = np.zeros(len(bins), np.int64)
+    for column, size in zip(bins.T, sizes):
+        code = code * size + column
+    return code
+
+
+def _countable(sizes: list[int]) -> bool:
+    return math.prod(sizes) < 2**62
+
+
+def _wide(rows: DataFrame) -> DataFrame:
+    """The rows in no more tasks than keep the cluster busy, as every task sends sums of one size, however many rows it has."""
+    return rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def _forest_of_cells(rows: DataFrame, table: np.ndarray, sizes: list[int], cfg: Trees) -> Grown:
+    """The same where rows have few distinct bins, the rows of `table`: one pass adds up every tree's draws and labels per distinct row, and trees grow over those sums."""
+    grown, d, order = Grown.empty(cfg.trees, cfg.depth), table.shape[1], np.argsort(_codes(table, sizes))
+    table = table[order]
+    known, rows = _codes(table, sizes), _wide(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((cfg.trees, 2, len(known)))
+        for batch in batches:
+            bins, _, y, high, low = _matrix(batch.column(0), d), *(c.to_numpy() for c in batch.columns[1:])
+            at = np.searchsorted(known, _codes(bins, sizes))
+            for t in range(cfg.trees):
+                (drawn,) = draws(cfg.seed, np.array([t]), high, low)
+                for sums, w in zip(total[t], (drawn, drawn * y)):
+                    sums += np.bincount(at, weights=w, minlength=len(known))
+        for t in range(cfg.trees):
+            yield _row(t, total[t].ravel())
+
+    for tree, sums in _summed(rows, rows.rdd.getNumPartitions(), cfg.trees, 2 * len(known), run):
+        w, g = sums.reshape(2, -1)
+        for level in range(cfg.depth):
+            if not _split(grown, tree, level, _histogram(table, grown.node(tree, table, level), w, g, level, cfg.bins), d, cfg):
+                break
+    return grown
+
+
 def _forest(rows: DataFrame, d: int, cfg: Trees) -> Grown:
     """Rows are (bins, n, y, high, low): label about the mean, and the halves of the row's key, by which each tree draws it."""
+    rows = _wide(rows)
     grown, spark, parts = Grown.empty(cfg.trees, cfg.depth), rows.sparkSession, rows.rdd.getNumPartitions()
     live = set(range(cfg.trees))
     for level in range(cfg.depth):
@@ -318,13 +448,32 @@ class TreeModel:
         if not self.features:
             return rows.select(*keep, F.lit(self.mean).alias(out))
         grown, mean, cfg, d = self.grown, self.mean, self.cfg, len(self.features)
-        weight = cfg.rate if cfg.boosting else 1.0 / cfg.trees
+        weight, sizes = cfg.rate if cfg.boosting else 1.0 / cfg.trees, [len(c) + 1 for c in self.cuts]
+
+        def predicted(bins: np.ndarray) -> np.ndarray:
+            f, columns = np.full(len(bins), mean), np.ascontiguousarray(bins.T)
+            for t in range(cfg.trees):
+                f += weight * grown.values(t, columns)
+            return f
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # predictions of distinct bins that the task has met
+            known, found = np.zeros(0, np.int64), np.zeros(0)
             for batch in batches:
-                bins, f = _matrix(batch.column(batch.num_columns - 1), d), np.full(batch.num_rows, mean)
-                for t in range(cfg.trees):
-                    f += weight * grown.value[t][grown.node(t, bins, cfg.depth)]
+                bins = _matrix(batch.column(batch.num_columns - 1), d)
+                if _countable(sizes):
+                    codes, first, where = np.unique(_codes(bins, sizes), return_index=True, return_inverse=True)
+                    at = np.searchsorted(known, codes)
+                    have = at < len(known)
+                    have[have] = known[at[have]] == codes[have]
+                    new = np.zeros(len(codes))
+                    new[have] = found[at[have]]
+                    new[~have] = predicted(bins[first[~have]])
+                    if len(known) < KNOWN:
+                        known, found = np.insert(known, at[~have], codes[~have]), np.insert(found, at[~have], new[~have])
+                    f = new[where]
+                else:
+                    f = predicted(bins)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(f)], [*keep, out])
 
         made = binned(rows, self.features, self.cuts, keep)
@@ -343,16 +492,21 @@ def fit_trees(train: DataFrame, features: list[str], y: str, keys: list[str], cf
     own = [(F.col(y).cast("double") - mean).alias("_y"), *(h.alias(a) for h, a in zip(halves(*(F.col(k) for k in keys)), ("_high", "_low")))]
     rows = binned(train.select(*features, *own), features, cuts, ["_y", "_high", "_low"])
     rows = rows.select("bins", F.lit(1.0).alias("n"), F.col("_y").alias("y"), F.col("_high").alias("high"), F.col("_low").alias("low"))
-    rows = stored(rows, "binned")
     # in a fixed order, so that sums are the same to the last bit in every run
-    rows = stored(rows.repartition(max(1, -(-rows.count() // ROWS))).sortWithinPartitions(*rows.columns), "binned")
-    grown = _forest(rows, len(features), cfg) if n else Grown.empty(cfg.trees, cfg.depth)
-    return TreeModel(features, cuts, grown, mean, cfg)
+    rows = stored(rows.repartition(max(1, -(-n // ROWS))).sortWithinPartitions(*rows.columns), "binned")
+    if not n:
+        return TreeModel(features, cuts, Grown.empty(cfg.trees, cfg.depth), mean, cfg)
+    sizes = [len(c) + 1 for c in cuts]
+    cells = rows.select("bins").distinct().limit(CELLS + 1).toArrow().combine_chunks() if _countable(sizes) else None
+    if cells is None or len(cells) > CELLS:
+        return TreeModel(features, cuts, _forest(rows, len(features), cfg), mean, cfg)
+    table = np.frombuffer(b"".join(cells["bins"].to_pylist()), np.uint8).reshape(-1, len(features))
+    return TreeModel(features, cuts, _forest_of_cells(rows, table, sizes, cfg), mean, cfg)
 
 
 def fit_boosted(train: DataFrame, sets: Mapping[str, list[str]], y: str, cfg: Trees) -> dict[str, TreeModel]:
     """A boosted model per named set of numeric features; a set without features is the mean. Rows with a null label take no part. All sets share one table of bins. Rows
-    that have the same bins in a set are one row with their number and sum, which is exact for squared errors. Models of ROWS such rows at most grow in
+    that have the same bins in a set are one row with their number and sum, which is exact for squared errors. Models of ALONE such rows at most grow in
     a task each, all at once; the others in step, a level of all of them in one pass. `train` is read several times; give it stored."""
     features = list(dict.fromkeys(c for s in sets.values() for c in s))
     train = train.filter(F.col(y).isNotNull())
@@ -370,7 +524,7 @@ def fit_boosted(train: DataFrame, sets: Mapping[str, list[str]], y: str, cfg: Tr
             if at != list(range(len(features))):
                 part = rows.groupBy(F.concat(*(F.substring("bins", i + 1, 1) for i in at)).alias("bins")).agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
                 part = stored(part, "binned")
-            (alone if part.count() <= ROWS else together)[s] = part
+            (alone if part.count() <= ALONE else together)[s] = part
         if alone:
             marked = [part.select(F.lit(k).alias("model"), "bins", "n", "y") for k, part in enumerate(alone.values())]
             grown |= zip(alone, _boost_alone(reduce(DataFrame.union, marked), [places[s] for s in alone], cfg))
