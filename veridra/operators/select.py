@@ -155,10 +155,17 @@ def prediction_range(predicted: Column, half_width: Column, low: float = 800, hi
     return clamp(near(predicted)), F.least(a, b), F.greatest(a, b)
 
 
-def set_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., side) of the keys on one side only."""
-    one = lambda x, y, side: x.select(*keys).distinct().join(y, keys, "left_anti").withColumn("side", F.lit(side))
-    return one(a, b, "first").unionByName(one(b, a, "second"))
+def set_diff(a: DataFrame, b: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
+    """(keys..., side) of the keys on one side only; a key with a null is like no other. Both sides are dealt by key into `parts` tasks, each row once."""
+    flag = lambda df, x, y: df.select(*keys, F.lit(x).alias("_a"), F.lit(y).alias("_b"))
+    both = flag(a, True, False).unionByName(flag(b, False, True))
+    both = both.repartition(parts, *keys) if parts else both
+    found = both.groupBy(*keys).agg(F.bool_or("_a").alias("_a"), F.bool_or("_b").alias("_b"))
+    alone = F.lit(False)
+    for k in keys:
+        alone = alone | F.col(k).isNull()
+    sides = F.array_compact(F.array(F.when(F.col("_a") & (alone | ~F.col("_b")), F.lit("first")), F.when(F.col("_b") & (alone | ~F.col("_a")), F.lit("second"))))
+    return found.select(*keys, F.explode(sides).alias("side"))
 
 
 def union(frames: list[DataFrame]) -> DataFrame:

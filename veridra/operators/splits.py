@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridra.operators.ranks import numbered
+from veridra.sources.workspace import stored
 
 NAMES = ("train", "valid", "test")
 SCALE = 10_000
@@ -71,17 +72,31 @@ def validate_split_input(df: DataFrame, keys: list[str], group: str, time: str)
     return nulls.union(twice).union(times)
 
 
-def audit_split(df: DataFrame, split: DataFrame, keys: list[str], time: str) -> DataFrame:
-    """(check, violations) of a split of `df`: completeness, one row per key, no empty part, no shared instant, strict order."""
+def audit_split(df: DataFrame, split: DataFrame, keys: list[str], time: str, parts: int | None = None) -> DataFrame:
+    """(check, violations) of a split of `df`: completeness, one row per key, no empty part, no shared instant, strict order. Rows of both sides meet once, dealt
+    by key into `parts` tasks; all checks follow from counts per instant and part."""
+    sides = df.select(*keys, F.struct(F.col(time).alias("t")).alias("_t"), F.lit(None).cast("string").alias("_s"), F.lit(1).alias("_a"))
+    sides = sides.unionByName(split.select(*keys, F.lit(None).cast(sides.schema["_t"].dataType).alias("_t"), F.col("split_name").alias("_s"), F.lit(0).alias("_a")))
+    sides = sides.repartition(parts, *keys) if parts else sides
+    rows = sides.groupBy(*keys).agg(F.sum("_a").alias("a"), F.sum(1 - F.col("_a")).alias("s"), F.collect_set("_t").alias("times"), F.collect_set("_s").alias("names"))
+    met = (F.col("a") > 0) & (F.col("s") > 0)
+    for k in keys:
+        met = met & F.col(k).isNotNull()
+    entry = lambda t, s, m, a=0, b=0, c=0: F.struct(t.alias("t"), s.alias("s"), F.lit(m).alias("met"), *(F.lit(x).cast("long").alias(n) for n, x in (("unassigned", a), ("unknown", b), ("twice", c))))
+    none = F.lit(None).cast(df.schema[time].dataType), F.lit(None).cast("string")
+    counts = F.array(entry(*none, False, F.when(met, 0).otherwise(F.col("a")), F.when(met, 0).otherwise(F.col("s")), (F.col("s") > 1).cast("int")))
+    there = F.transform("names", lambda n: entry(none[0], n, False))
+    pairs = F.when(met, F.flatten(F.transform("times", lambda t: F.transform("names", lambda n: entry(t["t"], n, True))))).otherwise(F.slice(there, 1, 0))
+    facts = rows.select(F.inline(F.concat(counts, there, pairs))).groupBy("t", "s", "met").agg(*(F.sum(c).alias(c) for c in ("unassigned", "unknown", "twice")))
+    facts = stored(facts, "audit")
     one = lambda name, frame: frame.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check"), "violations")
-    joined = df.select(*keys, time).join(split.select(*keys, "split_name"), keys)
-    out = one("unassigned rows", df.join(split, keys, "left_anti"))
-    out = out.union(one("unknown rows", split.join(df, keys, "left_anti")))
-    out = out.union(one("duplicate assignments", split.groupBy(*keys).count().filter("count > 1")))
-    named = split.sparkSession.createDataFrame([(x,) for x in NAMES], "split_name string")
-    out = out.union(one("empty splits", named.join(split, "split_name", "left_anti")))
-    out = out.union(one("shared instants", joined.groupBy(time).agg(F.count_distinct("split_name").alias("n")).filter("n > 1")))
-    edges = joined.agg(*(f(F.when(F.col("split_name") == s, F.col(time))).alias(f"{w}_{s}") for s in NAMES for w, f in (("lo", F.min), ("hi", F.max))))
+    total = lambda name, c: facts.agg(F.coalesce(F.sum(c), F.lit(0)).alias("violations")).select(F.lit(name).alias("check"), "violations")
+    out = total("unassigned rows", "unassigned").union(total("unknown rows", "unknown")).union(total("duplicate assignments", "twice"))
+    named = split.sparkSession.createDataFrame([(x,) for x in NAMES], "s string")
+    out = out.union(one("empty splits", named.join(facts.select("s").distinct(), "s", "left_anti")))
+    joined = facts.filter("met")
+    out = out.union(one("shared instants", joined.groupBy("t").agg(F.count_distinct("s").alias("n")).filter("n > 1")))
+    edges = joined.agg(*(f(F.when(F.col("s") == s, F.col("t"))).alias(f"{w}_{s}") for s in NAMES for w, f in (("lo", F.min), ("hi", F.max))))
     late = edges.filter("not (hi_train < lo_valid and hi_valid < lo_test)")
     return out.union(one("order broken", late))
 

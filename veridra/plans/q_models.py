@@ -15,7 +15,7 @@ from veridra.operators import splits as P
 from veridra.operators import trees as T
 from veridra.operators.encode import array_dictionary, encode_array, encoded, fit_encoding
 from veridra.operators.select import residual_interval, union, validation_ranked
-from veridra.operators.sparse_ridge import predict_sparse, sparse_ridge
+from veridra.operators.sparse_ridge import gram_ridge, predict_sparse, sparse_ridge
 from veridra.plans.base import query
 from veridra.sources import adapters as A
 from veridra.sources.workspace import stored
@@ -118,9 +118,9 @@ def _(spark, d):
 
 @query("split_audit", "SELECT c AS \"check\", CAST(CASE WHEN c = 'unknown rows' THEN (SELECT count(*) FROM time_split WHERE line_no = 1) WHEN c = 'unassigned rows' THEN (SELECT count(*) FROM model WHERE line_no = 2) ELSE 0 END AS bigint) AS violations FROM (VALUES ('unassigned rows'), ('unknown rows'), ('duplicate assignments'), ('empty splits'), ('shared instants'), ('order broken')) v(c)")
 def _(spark, d):
-    rows = A.model_table(spark, d)
+    rows = A.model_table(spark, d).select(*A.KEYS, "start_time")
     split = P.time_split(rows, "start_time", RATIOS).filter("line_no <> 2")
-    return P.audit_split(rows.filter("line_no <> 1"), split, A.KEYS, "start_time")
+    return P.audit_split(rows.filter("line_no <> 1"), split, A.KEYS, "start_time", A.line_tasks(spark, d))
 
 
 @query("group_time_table", "SELECT group_id, min(start_time) AS start_time FROM model GROUP BY 1")
@@ -323,6 +323,8 @@ ABLATION = {**{g: (g,) for g in GROUPS}, "all": tuple(GROUPS), **{f"all_without_
 
 #: the numbers among the features; they come first and grow together
 HEAD = 6
+#: columns up to which models are solved from their products, one pass in all
+DIRECT = 512
 
 
 def ablation_rows(rows: DataFrame) -> tuple[DataFrame, dict[str, list[tuple[int, int]]], int]:
@@ -363,7 +365,8 @@ def _(spark, d):
     for strategy, rows in both_strategies(spark, d):
         coded, places, size = ablation_rows(rows)
         sets = {s: [r for g in groups for r in places[g]] for s, groups in ABLATION.items()}
-        models = sparse_ridge(coded.filter("split_name = 'train'"), size, "label", sets, 1.0, head=HEAD)
+        train = coded.filter("split_name = 'train'")
+        models = gram_ridge(train, size, "label", sets, 1.0) if size <= DIRECT else sparse_ridge(train, size, "label", sets, 1.0, head=HEAD)
         scored.append(predict_sparse(coded, models, ["split_name", "label"]).withColumn("strategy", F.lit(strategy)))
     return ablation_scores(scored)
 

@@ -165,9 +165,10 @@ def _(spark, d):
 @query("key_set_difference", "SELECT group_id, line_no, 'first' AS side FROM items ANTI JOIN item_stats USING (group_id, line_no) UNION ALL SELECT group_id, line_no, 'second' FROM item_stats WHERE line_no = 1")
 def _(spark, d):
     stats = A.item_stats(spark, d)
-    keys = A.items(spark, d).select(*A.KEYS)
-    some = keys.filter("line_no <> 1").unionByName(keys.filter("line_no = 1").join(stats, A.KEYS, "left_anti"))
-    return S.set_diff(some, stats, A.KEYS)
+    keys, parts = A.items(spark, d).select(*A.KEYS), A.line_tasks(spark, d)
+    first = keys.filter("line_no = 1").repartition(parts, *A.KEYS)
+    some = keys.filter("line_no <> 1").unionByName(first.join(stats.hint("merge"), A.KEYS, "left_anti"))
+    return S.set_diff(some, stats, A.KEYS, parts)
 
 
 @query("time_set_intersection", "SELECT start_time FROM joined WHERE strategy = 'grouped' AND split_name = 'train' INTERSECT SELECT start_time FROM joined WHERE strategy = 'grouped' AND split_name = 'test'")
