@@ -17,15 +17,28 @@ def how(small: DataFrame, most: int = 32 << 20) -> str:
     return "broadcast" if (size or 0) <= most else "merge"
 
 
-def numbered(df: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, int]:
-    """(rows with `name`, their place from 1 in the order; the number of rows). Rows are dealt by ranges of the order and written, so that
-    their ranges stand still; each is numbered within its range, after the rows of all ranges before."""
+def in_ranges(df: DataFrame, order: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """(rows with `_range`, dealt by ranges of the order and written, so that their ranges stand still; a row per range with `_n`, its rows, and `_before`, those of all
+    ranges before)."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = stored(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return dealt, dealt.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, int]:
+    """(rows with `name`, their place from 1 in the order; the number of rows). Each row is numbered within its range, after the rows of all ranges before."""
+    dealt, sizes = in_ranges(df, order)
     rows = dealt.withColumn(name, F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
-    return rows.join(F.broadcast(sizes), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before"), dealt.count()
+    return rows.join(F.broadcast(sizes.drop("_n")), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before"), dealt.count()
+
+
+def at_places(dealt: DataFrame, sizes: DataFrame, order: list[Column], places: list[int], name: str) -> DataFrame:
+    """The rows at some places from 1 in the order, with `name`, their place. Of what `in_ranges` made, only the ranges that hold such a place are put in order."""
+    wanted = F.array(*(F.lit(p).cast("long") for p in places))
+    here = sizes.filter(F.exists(wanted, lambda p: (p > F.col("_before")) & (p <= F.col("_before") + F.col("_n"))))
+    rows = dealt.join(F.broadcast(here), "_range").withColumn(name, F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before"))
+    return rows.filter(F.array_contains(wanted, F.col(name))).drop("_range", "_n", "_before")
 
 
 #: bits of a double's image that one step looks at

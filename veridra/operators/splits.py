@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridra.operators.ranks import numbered
+from veridra.operators.ranks import at_places, in_ranges, numbered
 from veridra.sources.workspace import stored
 
 NAMES = ("train", "valid", "test")
@@ -38,25 +38,33 @@ def partition_counts(n: Column, ratios: tuple[float, float, float]) -> list[Colu
     return [F.get(fixed, F.lit(i)) for i in range(3)]
 
 
-def _cut(keys: DataFrame, order: list[Column], ratios: tuple[float, float, float]) -> DataFrame:
-    """Name the split of every row of `keys`, in the given order. Only distinct groups or instants come here, not items."""
-    ranked, n = numbered(keys, order, "_rank")
-    a, b, _ = keys.sparkSession.range(1).select(*partition_counts(F.lit(n), ratios)).first() if n else (0, 0, 0)
-    fold = F.when(F.col("_rank") <= a, 0).when(F.col("_rank") <= a + b, 1).otherwise(2)
-    return ranked.withColumn("fold", fold).withColumn("split_name", F.element_at(F.array(*map(F.lit, NAMES)), F.col("fold") + 1)).drop("_rank")
+def _cut(df: DataFrame, key: str, order: list[Column], ratios: tuple[float, float, float]) -> DataFrame:
+    """Add fold and split_name by the place of `key` in the order, which is one of it alone; rows without a key are dropped. Only distinct groups or instants are dealt by the
+    order; the last ones of train and validation are looked up there, and each row is compared with those two where it lies."""
+    dealt, sizes = in_ranges(df.select(key).distinct(), order)
+    n = dealt.count()
+    a, b, _ = df.sparkSession.range(1).select(*partition_counts(F.lit(n), ratios)).first() if n else (0, 0, 0)
+    place = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(order)))
+    last = lambda rank: F.max(F.when(F.col("_rank") == rank, place))
+    ends = stored(at_places(dealt, sizes, order, [a, a + b], "_rank").agg(last(a).alias("_train"), last(a + b).alias("_valid")), "ends")  # one row
+    fold = F.when(place <= F.col("_train"), 0).when(place <= F.col("_valid"), 1).otherwise(2)
+    rows = df.filter(F.col(key).isNotNull()).crossJoin(F.broadcast(ends)).withColumn("fold", fold)
+    rows = rows.withColumn("split_name", F.element_at(F.array(*map(F.lit, NAMES)), F.col("fold") + 1))
+    return rows.select(key, *(c for c in df.columns if c != key), "fold", "split_name")
 
 
 def group_split(df: DataFrame, group: str, ratios: tuple[float, float, float], seed: int) -> DataFrame:
     """Add split_name and fold: whole groups, in the order of a seeded hash."""
-    cut = _cut(df.select(group).distinct(), [F.md5(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string"))), F.col(group)], ratios)
-    return df.join(cut, group)
+    kind = dict(df.dtypes)[group]
+    at = (F.col(group) + F.lit(0.0)).cast(kind) if kind in ("float", "double") else F.col(group)  # -0.0 and 0.0 are one group
+    return _cut(df, group, [F.md5(F.concat(F.lit(f"{seed}:"), at.cast("string"))), at], ratios)
 
 
 def time_split(df: DataFrame, time: str, ratios: tuple[float, float, float]) -> DataFrame:
     """Add split_name and fold: whole instants in time order; a null instant is an error."""
     if df.filter(F.col(time).isNull()).limit(1).count():
         raise ValueError(f"null in {time}")
-    return df.join(_cut(df.select(time).distinct(), [F.col(time)], ratios), time)
+    return _cut(df, time, [F.col(time)], ratios)
 
 
 def assignment(df: DataFrame, keys: list[str], strategy: str) -> DataFrame:

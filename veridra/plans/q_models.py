@@ -25,13 +25,22 @@ SEED = 42
 BANDS = (10_000, 20_000)
 
 
-def both_splits(spark, d, *columns: str) -> DataFrame:
-    """The model table with ages (or some of its columns) once per strategy, with its split."""
+def _two_splits(spark, d, *columns: str) -> DataFrame:
+    """The model table with ages (or some of its columns), its split of either strategy beside each row."""
     rows = A.aged(spark, d)
     rows = rows.select(*columns) if columns else rows
-    forward = P.time_split(rows, "start_time", RATIOS).withColumn("strategy", F.lit("forward"))
-    grouped = P.group_split(rows, "group_id", RATIOS, SEED).withColumn("strategy", F.lit("grouped"))
-    return stored(forward.unionByName(grouped))
+    beside = lambda df, s: df.withColumn(f"_{s}", F.struct(F.lit(s).alias("strategy"), "fold", "split_name")).drop("fold", "split_name")
+    return beside(P.group_split(beside(P.time_split(rows, "start_time", RATIOS), "forward"), "group_id", RATIOS, SEED), "grouped")
+
+
+def _per_strategy(rows: DataFrame) -> DataFrame:
+    """A row per strategy, made as the rows are read."""
+    return rows.select(*(c for c in rows.columns if c not in ("_forward", "_grouped")), F.inline(F.array("_forward", "_grouped")))
+
+
+def both_splits(spark, d, *columns: str) -> DataFrame:
+    """The model table with ages (or some of its columns) once per strategy, with its split; stored once for both."""
+    return _per_strategy(stored(_two_splits(spark, d, *columns)))
 
 
 def forward_split(spark, d, *columns: str) -> DataFrame:
@@ -47,23 +56,24 @@ SETS = {"mean": [], "rank": ["index_rank"], "popularity": ["log_popularity"], "f
 FEATURES = ["index_rank", "log_popularity", "log_per_day"]
 
 
-def fitted(spark, d) -> tuple[DataFrame, dict[str, R.Gram]]:
-    """The rows of both strategies, and the sums of each one's train rows, from one pass."""
-    rows = both_splits(spark, d, *A.KEYS, "item_code", "start_time", "label", *FEATURES)
-    return rows, R.grams(rows.filter("split_name = 'train'"), FEATURES, "label", "strategy")
+def train_sums(rows: DataFrame) -> dict[str, R.Gram]:
+    """The sums of each strategy's train rows, from one pass."""
+    return R.grams(rows.filter("split_name = 'train'"), FEATURES, "label", "strategy")
 
 
 def predictions(spark, d, *models: str) -> DataFrame:
     """Long predictions of a ridge model per feature set (or some of them) and strategy, made from the stored rows as they are read: several rows for each of those,
     so they are not written."""
-    rows, train = fitted(spark, d)
+    rows = both_splits(spark, d, *A.KEYS, "item_code", "start_time", "label", *FEATURES)
+    train = train_sums(rows)
     sets = {k: SETS[k] for k in models or SETS}
     return R.predict_by(rows, train, "strategy", sets, 1.0, ["strategy", "split_name", "group_id", "line_no", "item_code", "start_time"], "label")
 
 
 def metrics(spark, d) -> DataFrame:
-    """Scores of the same models, as sums over the rows: no prediction is written."""
-    rows, train = fitted(spark, d)
+    """Scores of the same models, as sums over the stored items as they are read: neither their splits nor a prediction is written."""
+    rows = _per_strategy(_two_splits(spark, d, "group_id", "start_time", "label", *FEATURES))
+    train = train_sums(rows)
     solved = {s: [(name, *R.ridge(g, x, 1.0)) for name, x in SETS.items()] for s, g in train.items()}
     models = {f"{s}/{split}": [((s, name, split), w, b) for name, w, b in own] for s, own in solved.items() for split in P.NAMES}
     centre = float(next(iter(train.values())).shift[-1])
