@@ -6,12 +6,13 @@ feature, bin) of its rows, tasks' sums are added up, and every node takes its be
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -29,11 +30,15 @@ REFRESH = 20
 #: rows that a partition of the binned table has about
 ROWS = 50_000
 #: distinct rows of bins up to which a boosted model grows in one task: some hundred bytes each
-ALONE = 2_000_000
+ALONE = 10_000_000
+#: cells of a grid that such a model may grow over instead, and how many times its rows they may be
+GRID, SPARSE = 1 << 24, 8
 #: distinct rows of bins whose predictions a task keeps
 KNOWN = 1 << 18
 #: combinations of bins that columns summed up together have at most
 CELLS = 1 << 15
+#: combinations of bins that columns looked up together have at most, levels of trees that are looked up so, and rows at a time
+LOOKED_UP, LEVELS, AT_A_TIME = 1 << 12, 4, 1 << 11
 
 
 @dataclass(frozen=True)
@@ -102,6 +107,46 @@ class Grown:
             at = 2 * at + right
         return value[2**depth - 1 + at]
 
+    def sums(self, bins: np.ndarray, sizes: list[int]) -> np.ndarray:
+        """What all trees together give for each row of bins. A bin leaves some leaves of a tree within reach, as bits; those that all of a row's bins leave, looked up for
+        some columns at a time, begin with the row's leaf."""
+        trees, depth = len(self.value), (self.value.shape[1] + 1).bit_length() - 2
+        if depth > LEVELS:
+            turned = np.ascontiguousarray(bins.T)
+            return sum((self.values(t, turned) for t in range(trees)), np.zeros(len(bins)))
+        leaves, value = 2**depth, self.value.copy()
+        reach = {}
+        for node in range(leaves - 1):
+            level = (node + 1).bit_length() - 1
+            wide = leaves >> level
+            at = (node + 1 - 2**level) * wide
+            sides = [sum(1 << leaf for leaf in range(a, a + wide // 2)) for a in (at, at + wide // 2)]
+            whole = self.feature[:, node] < 0
+            value[whole, 2 * node + 1] = value[whole, 2 * node + 2] = value[whole, node]
+            for t in np.flatnonzero(~whole).tolist():
+                f, cut = int(self.feature[t, node]), int(self.cut[t, node])
+                table = reach.setdefault(f, np.full((sizes[f], trees), 0xFFFF, np.uint16))
+                table[: cut + 1, t] &= np.uint16(0xFFFF ^ sides[1])
+                table[cut + 1 :, t] &= np.uint16(0xFFFF ^ sides[0])
+        groups: list[tuple[list[int], np.ndarray]] = []
+        for f in sorted(reach):
+            if groups and len(groups[-1][1]) * sizes[f] <= LOOKED_UP:
+                columns, table = groups[-1]
+                groups[-1] = [*columns, f], (table[:, None] & reach[f]).reshape(-1, trees)
+            else:
+                groups.append(([f], reach[f]))
+        # the place of the lowest bit, for numbers that have one bit
+        place = np.zeros(1 << 16, np.int32)
+        place[1 << np.arange(16)] = np.arange(16)
+        flat, first, out = value[:, leaves - 1 :].ravel(), np.arange(trees, dtype=np.int32) * leaves, np.zeros(len(bins))
+        for a in range(0, len(bins), AT_A_TIME):
+            part = bins[a : a + AT_A_TIME]
+            left = np.full((len(part), trees), 0xFFFF, np.uint16)
+            for columns, table in groups:
+                left &= table[_codes(part[:, columns], [sizes[c] for c in columns])]
+            out[a : a + AT_A_TIME] = flat[place[left & (~left + np.uint16(1))] + first].sum(axis=1)
+        return out
+
     def some(self, trees: slice) -> Grown:
         return Grown(self.feature[trees], self.cut[trees], self.value[trees])
 
@@ -116,8 +161,16 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
 def bin_cuts(train: DataFrame, features: list[str], bins: int) -> list[np.ndarray]:
     """Ascending cuts per numeric feature: values up to the i-th cut are in bin i at most. All values but the largest are cuts where there are no more
     than `bins`, else exact quantiles. Nulls count as smaller than all numbers."""
-    long = train.select(*(F.col(c).cast("double").alias(c) for c in features)).unpivot([], features, "feature", "v").filter("v is not null")
-    values = stored(long.select("feature", "v").distinct(), "values")
+    numbers = train.select(*(F.col(c).cast("double").alias(c) for c in features))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a batch's distinct values, before anything is written or compared with other batches'
+        for batch in batches:
+            for c, column in zip(features, batch.columns):
+                v = pc.drop_null(pc.unique(column))
+                yield pa.RecordBatch.from_arrays([pa.array([c] * len(v), pa.string()), v], ["feature", "v"])
+
+    values = stored(numbers.mapInArrow(run, "feature string, v double").distinct(), "values")
     distinct = {r.feature: r.n for r in values.groupBy("feature").agg(F.count("*").alias("n")).collect()}  # a row per feature
     few = [c for c in features if distinct.get(c, 0) <= bins]
     cuts = {c: np.empty(0) for c in features}
@@ -125,7 +178,8 @@ def bin_cuts(train: DataFrame, features: list[str], bins: int) -> list[np.ndarra
         cuts[r.feature] = np.array(r.v[:-1])
     if len(few) < len(features):
         qs = {f"q{i}": i / bins for i in range(1, bins)}
-        for r in quantiles_by(stored(long.filter(~F.col("feature").isin(few))), ["feature"], "v", qs).collect():
+        many = [c for c in features if c not in few]
+        for r in quantiles_by(stored(numbers.select(*many).unpivot([], many, "feature", "v").filter("v is not null")), ["feature"], "v", qs).collect():
             cuts[r.feature] = np.unique([r[q] for q in qs])
     return [cuts[c] for c in features]
 
@@ -272,14 +326,72 @@ def _blocks(bins: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
     return out
 
 
+def _single(table: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places among all columns' bins that occur, a 1 for each combination's bin of every column)."""
+    used = [np.unique(column) for column in table.T]
+    return np.concatenate([c * bins + u.astype(np.int64) for c, u in enumerate(used)]), np.hstack([(column[:, None] == u).astype(np.float64) for column, u in zip(table.T, used)])
+
+
+def _grown_in_grid(blocks: list[tuple[int, np.ndarray, np.ndarray]], n: np.ndarray, y: np.ndarray, d: int, cfg: Trees) -> Grown:
+    """The same as `_grown_alone` over the grid of two blocks' combinations. Each cut looks at one block, so a node is some combinations of the one with some of the other, and its
+    sums per combination are products of the grid with vectors of 0 and 1: a cell costs much less than a row."""
+    grown, tables, firsts = Grown.empty(cfg.trees, cfg.depth), [b[2] for b in blocks], [b[0] for b in blocks]
+    shape = len(tables[0]), len(tables[1])
+    key = blocks[0][1].astype(np.int64) * shape[1] + blocks[1][1]
+    n, g = (np.bincount(key, weights=x, minlength=shape[0] * shape[1]).reshape(shape) for x in (n, y))
+    single = [_single(table, cfg.bins) for table in tables]
+    rows = max(1, (1 << 18) // shape[1])
+    for tree in range(cfg.trees):
+        # per block, the combinations that each node has, and sums of weights and gradients over its combinations of the other block
+        inside, value = [np.ones((1, k)) for k in shape], grown.value[tree, :1]
+        over = [np.stack([x.sum(axis=1 - s)[None] for x in (n, g)]) for s in (0, 1)]
+        for level in range(cfg.depth):
+            base, nodes = 2**level - 1, 2**level
+            sums = np.zeros((2, nodes, d, cfg.bins))
+            for first, table, (used, one), mine, own in zip(firsts, tables, single, inside, over):
+                found = np.zeros((2, nodes, table.shape[1] * cfg.bins))
+                found[:, :, used] = (own * mine) @ one
+                sums[:, :, first : first + table.shape[1]] = found.reshape(2, nodes, -1, cfg.bins)
+            if level:
+                # nodes below one that was not split hold nothing
+                sums[:, np.repeat(grown.feature[tree, (base - 1) // 2 : base] < 0, 2)] = 0
+            split = _split(grown, tree, level, sums, d, cfg)
+            if not level:
+                value = grown.value[tree, :1]
+            if not split:
+                break
+            feature, cut = grown.feature[tree, base : base + nodes], grown.cut[tree, base : base + nodes]
+            side = (feature >= firsts[1]).astype(int)
+            below = [np.repeat(x, 2, axis=0) for x in inside]
+            for k in range(nodes):
+                s = side[k]
+                goes = tables[s][:, feature[k] - firsts[s]] > cut[k] if feature[k] >= 0 else np.zeros(shape[s], bool)
+                below[s][2 * k] *= ~goes
+                below[s][2 * k + 1] *= goes
+            value = np.where(np.repeat(feature >= 0, 2), grown.value[tree, 2 * base + 1 : 2 * base + 1 + 2 * nodes], np.repeat(value, 2))
+            inside = below
+            if level == cfg.depth - 1:
+                break
+            over = [np.repeat(x, 2, axis=1) for x in over]
+            for s in (0, 1):
+                # a cut of one block leaves the sums over the other block as they are
+                at = np.flatnonzero((side == s) & (feature >= 0))
+                if len(at):
+                    low = inside[s][2 * at]
+                    left = np.stack([low @ (x if s == 0 else x.T) for x in (n, g)])
+                    over[1 - s][:, 2 * at], over[1 - s][:, 2 * at + 1] = left, over[1 - s][:, 2 * at] - left
+        given = (inside[0] * (cfg.rate * value)[:, None]).T
+        for a in range(0, shape[0], rows):
+            g[a : a + rows] -= n[a : a + rows] * (given[a : a + rows] @ inside[1])
+    return grown
+
+
 def _grown_alone(blocks: list[tuple[int, np.ndarray, np.ndarray]], n: np.ndarray, y: np.ndarray, d: int, cfg: Trees) -> Grown:
     """All trees of a boosted model over `blocks` of d columns in all: a row costs some steps per block and level, however many columns there are."""
+    if len(blocks) == 2 and len(blocks[0][2]) * len(blocks[1][2]) <= min(GRID, SPARSE * len(n)):
+        return _grown_in_grid(blocks, n, y, d, cfg)
     grown, f = Grown.empty(cfg.trees, cfg.depth), np.zeros(len(n))
-    single = []
-    for _, _, table in blocks:
-        # a 1 for each combination's bin of every column
-        used = [np.unique(column) for column in table.T]
-        single.append((np.concatenate([c * cfg.bins + u.astype(np.int64) for c, u in enumerate(used)]), np.hstack([(column[:, None] == u).astype(np.float64) for column, u in zip(table.T, used)])))
+    single = [_single(table, cfg.bins) for _, _, table in blocks]
     for tree in range(cfg.trees):
         g, node, value = y - n * f, np.zeros(len(n), np.int32), grown.value[tree, :1]
         for level in range(cfg.depth):
@@ -323,7 +435,10 @@ def _boost_alone(rows: DataFrame, at: list[list[int]], cfg: Trees) -> list[Grown
         k = parts[0].column(0)[0].as_py()
         bins = np.concatenate([_matrix(b.column(1), len(at[k])) for b in parts])
         n, y = (np.concatenate([b.column(c).to_numpy() for b in parts]) for c in (2, 3))
-        grown = _grown_alone(_blocks(bins), n, y, len(at[k]), cfg)
+        del parts
+        blocks = _blocks(bins)
+        del bins
+        grown = _grown_alone(blocks, n, y, len(at[k]), cfg)
         flat = [pa.array([x.ravel()], pa.list_(t)) for x, t in ((grown.feature, pa.int64()), (grown.cut, pa.int64()), (grown.value, pa.float64()))]
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *flat], ["model", "feature", "cut", "value"])
 
@@ -447,38 +562,74 @@ class TreeModel:
         """(keep..., out) of every row."""
         if not self.features:
             return rows.select(*keep, F.lit(self.mean).alias(out))
-        grown, mean, cfg, d = self.grown, self.mean, self.cfg, len(self.features)
-        weight, sizes = cfg.rate if cfg.boosting else 1.0 / cfg.trees, [len(c) + 1 for c in self.cuts]
-
-        def predicted(bins: np.ndarray) -> np.ndarray:
-            f, columns = np.full(len(bins), mean), np.ascontiguousarray(bins.T)
-            for t in range(cfg.trees):
-                f += weight * grown.values(t, columns)
-            return f
+        scores, d = self.scorer(), len(self.features)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            # predictions of distinct bins that the task has met
-            known, found = np.zeros(0, np.int64), np.zeros(0)
+            score = scores()
             for batch in batches:
-                bins = _matrix(batch.column(batch.num_columns - 1), d)
-                if _countable(sizes):
-                    codes, first, where = np.unique(_codes(bins, sizes), return_index=True, return_inverse=True)
-                    at = np.searchsorted(known, codes)
-                    have = at < len(known)
-                    have[have] = known[at[have]] == codes[have]
-                    new = np.zeros(len(codes))
-                    new[have] = found[at[have]]
-                    new[~have] = predicted(bins[first[~have]])
-                    if len(known) < KNOWN:
-                        known, found = np.insert(known, at[~have], codes[~have]), np.insert(found, at[~have], new[~have])
-                    f = new[where]
-                else:
-                    f = predicted(bins)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(f)], [*keep, out])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score(_matrix(batch.column(batch.num_columns - 1), d)))], [*keep, out])
 
         made = binned(rows, self.features, self.cuts, keep)
         return made.mapInArrow(run, made.drop("bins").withColumn(out, F.lit(0.0)).schema)
 
+    def scorer(self) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
+        """What makes, in a task, a function from rows of bins to predictions."""
+        grown, mean, cfg, d = self.grown, self.mean, self.cfg, len(self.features)
+        weight, sizes = cfg.rate if cfg.boosting else 1.0 / cfg.trees, [len(c) + 1 for c in self.cuts]
+
+        def make() -> Callable[[np.ndarray], np.ndarray]:
+            # predictions of distinct bins that the task has met
+            known, found = np.zeros(0, np.int64), np.zeros(0)
+
+            def score(bins: np.ndarray) -> np.ndarray:
+                nonlocal known, found
+                if not d:
+                    return np.full(len(bins), mean)
+                if not _countable(sizes):
+                    return mean + weight * grown.sums(bins, sizes)
+                codes, first, where = np.unique(_codes(bins, sizes), return_index=True, return_inverse=True)
+                at = np.searchsorted(known, codes)
+                have = at < len(known)
+                have[have] = known[at[have]] == codes[have]
+                new = np.zeros(len(codes))
+                new[have] = found[at[have]]
+                new[~have] = mean + weight * grown.sums(bins[first[~have]], sizes)
+                if len(known) < KNOWN:
+                    known, found = np.insert(known, at[~have], codes[~have]), np.insert(found, at[~have], new[~have])
+                return new[where]
+
+            return score
+
+        return make
+
+
+def predict_sets(rows: DataFrame, models: Mapping[str, TreeModel], keep: list[str]) -> DataFrame:
+    """Long predictions (keep..., setting, predicted) of models that share their features' cuts (as those of `fit_boosted`), in one pass: a row's bins are found once."""
+    cuts = {c: cut for m in models.values() for c, cut in zip(m.features, m.cuts)}
+    features = list(cuts)
+    scorers = [(m.scorer(), [features.index(c) for c in m.features]) for m in models.values()]
+    d, k = len(features), len(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = [(make(), at) for make, at in scorers]
+        for batch in batches:
+            bins = _matrix(batch.column(batch.num_columns - 1), d)
+            out = np.column_stack([score(bins[:, at]) for score, at in scores])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * k), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], [*keep, "_p"])
+
+    made = binned(rows, features, [cuts[c] for c in features], keep)
+    scored = made.mapInArrow(run, made.drop("bins").withColumn("_p", F.array().cast("array<double>")).schema)
+    return scored.select(*keep, F.posexplode("_p").alias("_k", "predicted")).withColumn("setting", F.element_at(F.array(*map(F.lit, models)), F.col("_k") + 1)).drop("_k")
+
+
+def _runs(places: list[int]) -> list[tuple[int, int]]:
+    """Places that follow one another, as (from, to)."""
+    out: list[tuple[int, int]] = []
+    for i in places:
+        out = [*out[:-1], (out[-1][0], i + 1)] if out and out[-1][1] == i else [*out, (i, i + 1)]
+    return out
+
 
 def fit_trees(train: DataFrame, features: list[str], y: str, keys: list[str], cfg: Trees) -> TreeModel:
     """Grow trees over numeric features. Rows with a null label take no part; `keys` name a row, for the draws. `train` is read several times; give
@@ -522,7 +673,7 @@ def fit_boosted(train: DataFrame, sets: Mapping[str, list[str]], y: str, cfg: Tr
         for s, at in places.items():
             part = rows
             if at != list(range(len(features))):
-                part = rows.groupBy(F.concat(*(F.substring("bins", i + 1, 1) for i in at)).alias("bins")).agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+                part = rows.groupBy(F.concat(*(F.substring("bins", a + 1, b - a) for a, b in _runs(at))).alias("bins")).agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
                 part = stored(part, "binned")
             (alone if part.count() <= ALONE else together)[s] = part
         if alone:

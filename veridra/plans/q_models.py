@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import pyspark.sql.functions as F
@@ -25,9 +27,9 @@ SEED = 42
 BANDS = (10_000, 20_000)
 
 
-def _two_splits(spark, d, *columns: str) -> DataFrame:
+def _two_splits(spark, d, *columns: str, table: Callable[..., DataFrame] = A.aged) -> DataFrame:
     """The model table with ages (or some of its columns), its split of either strategy beside each row."""
-    rows = A.aged(spark, d)
+    rows = table(spark, d)
     rows = rows.select(*columns) if columns else rows
     beside = lambda df, s: df.withColumn(f"_{s}", F.struct(F.lit(s).alias("strategy"), "fold", "split_name")).drop("fold", "split_name")
     return beside(P.group_split(beside(P.time_split(rows, "start_time", RATIOS), "forward"), "group_id", RATIOS, SEED), "grouped")
@@ -394,20 +396,25 @@ def tree_rows(rows: DataFrame) -> tuple[DataFrame, dict[str, list[str]]]:
     ready, letters = T.tree_columns(train, rows, ["index_letter"])
     groups = numbers | {"index": [*numbers["index"], *letters], "tags": ["tag_count", *flags]}
     used = [c for g in groups.values() for c in g]
-    ready = ready.withColumns(flags).select(*A.KEYS, "split_name", "label", *(F.col(c).cast("double").alias(c) for c in used))
+    ready = ready.withColumns(flags).select("split_name", "label", *(F.col(c).cast("double").alias(c) for c in used))
     return stored(ready, "ablation"), groups
 
 
 @query("ablation_boosting")
 def _(spark, d):
     """The same sets with boosted trees, grown together over one table of bins for each strategy."""
-    scored, cfg = [], R.gradient_boosting()("x", "label")
-    for strategy, rows in both_strategies(spark, d):
-        ready, groups = tree_rows(rows)
+    cfg = R.gradient_boosting()("x", "label")
+    rows = stored(_two_splits(spark, d, "group_id", "start_time", "label", "tag_count", *(c for g in GROUPS.values() for c in g), table=A.model_table))
+
+    def scored(strategy: str) -> DataFrame:
+        ready, groups = tree_rows(rows.withColumn("split_name", F.col(f"_{strategy}")["split_name"]))
         sets = {s: [c for g in own for c in groups[g]] for s, own in ABLATION.items()}
         models = T.fit_boosted(ready.filter("split_name = 'train'"), sets, "label", cfg)
-        scored += [m.predict(ready, ["split_name", "label"]).select("split_name", "label", "predicted", F.lit(s).alias("setting"), F.lit(strategy).alias("strategy")) for s, m in models.items()]
-    return ablation_scores(scored)
+        return T.predict_sets(ready, models, ["split_name", "label"]).withColumn("strategy", F.lit(strategy))
+
+    # at the same time, as few tasks are long while models grow
+    with ThreadPoolExecutor(2) as pool:
+        return ablation_scores(list(pool.map(scored, ("forward", "grouped"))))
 
 
 @query("residual_interval", """WITH r AS (SELECT abs(predicted - actual) AS a FROM predictions WHERE strategy = 'forward' AND model_name = 'rank' AND split_name = 'valid')
